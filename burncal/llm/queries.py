@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burncal.llm import media, packing
-from burncal.llm.common import documents
+from burncal.llm import media, packing, quality, simhash
+from burncal.llm.common import documents, table
+
+
+def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +27,16 @@ def op5_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_media(media.encode_media(documents(spark, sf_dir)))
 
 
+def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_covering_simhash": op3_covering_simhash,
     "op4_vector_packing": op4_vector_packing,
     "op5_signature_sniffing": op5_signature_sniffing,
+    "op9_fourier_quality": op9_fourier_quality,
 }
 
 ORACLES: dict[str, str] = {}
