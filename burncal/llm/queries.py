@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burncal.llm import media, packing, quality, simhash
-from burncal.llm.common import documents, table
+from burncal.llm import media, packing, quality, secrets, simhash, toxicity
+from burncal.llm.common import documents, held_out, table
+
+
+def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), offsets.alias("offending"))
 
 
 def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,15 +34,21 @@ def op5_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_media(media.encode_media(documents(spark, sf_dir)))
 
 
+def op6_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(documents(spark, sf_dir)))
+
+
 def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_crf_toxicity": op2_crf_toxicity,
     "op3_covering_simhash": op3_covering_simhash,
     "op4_vector_packing": op4_vector_packing,
     "op5_signature_sniffing": op5_signature_sniffing,
+    "op6_char_cnn_secrets": op6_char_cnn_secrets,
     "op9_fourier_quality": op9_fourier_quality,
 }
 
