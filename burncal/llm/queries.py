@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burncal.llm import media, packing, pieces, quality, secrets, simhash, toxicity
+from burncal.llm import decontaminate, media, packing, pieces, quality, secrets, simhash, toxicity
 from burncal.llm.common import documents, held_out, table
 
 
@@ -38,6 +38,10 @@ def op6_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
+def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(documents(spark, sf_dir), n=3)
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vector_packing": op4_vector_packing,
     "op5_signature_sniffing": op5_signature_sniffing,
     "op6_char_cnn_secrets": op6_char_cnn_secrets,
+    "op7_benchmark_windows": op7_benchmark_windows,
     "op8_nbest_pieces": op8_nbest_pieces,
     "op9_fourier_quality": op9_fourier_quality,
 }
