@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burncal.llm import decontaminate, media, packing, pieces, quality, secrets, simhash, toxicity
+from burncal.llm import decontaminate, media, packing, pieces, quality, secrets, simhash, suffixes, toxicity
 from burncal.llm.common import documents, held_out, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -52,6 +56,7 @@ def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_crf_toxicity": op2_crf_toxicity,
     "op3_covering_simhash": op3_covering_simhash,
     "op4_vector_packing": op4_vector_packing,
