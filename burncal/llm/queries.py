@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burncal.llm import decontaminate, media, packing, pieces, quality, secrets, simhash, suffixes, toxicity
+from burncal.llm import decontaminate, licenses, media, packing, pieces, quality, secrets, simhash, suffixes, toxicity
 from burncal.llm.common import documents, held_out, table
 
 
@@ -55,6 +55,10 @@ def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op10_minhash_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_crf_toxicity": op2_crf_toxicity,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_benchmark_windows": op7_benchmark_windows,
     "op8_nbest_pieces": op8_nbest_pieces,
     "op9_fourier_quality": op9_fourier_quality,
+    "op10_minhash_licenses": op10_minhash_licenses,
 }
 
 ORACLES: dict[str, str] = {}
