@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,13 +30,25 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's (spark.checkpoint.dir); a temporary one only where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="burncal-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows from a Parquet table in the shared folder, each call in a folder of its own."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a result to the checkpoint folder and go on from there: later stages do not run it again, and a lost
-    executor costs a read. The folder is the cluster's (spark.checkpoint.dir); a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="burncal-checkpoint-"))
+    executor costs a read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

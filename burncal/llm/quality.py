@@ -13,7 +13,8 @@ its id; further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -109,9 +110,30 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", ridge: float = 1e-3) -> DataFrame:
-    """doc_id, held_out, score for every row of docs; labels of held-out rows are never read."""
-    stats = cut(document_statistics(docs, id_col, text_col))
+@dataclass
+class Model:
+    fourier: FourierMap
+    weights: np.ndarray
+    curve: tuple[np.ndarray, np.ndarray]  # raw score to share of label 1
+
+    def raw(self, stats: np.ndarray) -> np.ndarray:
+        return self.fourier(stats) @ self.weights
+
+    def score(self, stats: np.ndarray) -> np.ndarray:
+        return np.round(np.clip(np.interp(self.raw(stats), *self.curve), 0, 1), 6)
+
+
+def _scored(frame: DataFrame, keep: str, kind: str, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The column to keep and the score of stats."""
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(keep), pa.array(score(_matrix(batch.column("stats"))))], [keep, "score"])
+
+    return map_batches(frame.select(keep, "stats"), per_batch, f"{keep} {kind}, score double")
+
+
+def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", ridge: float = 1e-3) -> Model:
+    """The model from the statistics of all documents and the labels that are not held out."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out())
     learnt = stats.join(known, "doc_id").select("stats", "label", (F.crc32(F.col("doc_id").cast("string")) % 5 == 4).alias("calibrates"))
     moments = stats.select(*(c for i in range(STATS) for c in (F.avg(F.col("stats")[i]), F.stddev_pop(F.col("stats")[i])))).first()
@@ -120,21 +142,28 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     xx, xy = normal_equations(learnt.filter("not calibrates"), fourier)
     n = xx[-1, -1]
     weights = np.linalg.solve(xx + ridge * max(n, 1.0) * np.eye(len(xx)), xy)
-
-    def scored(frame: DataFrame, keep: str, schema: str, curve: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-        def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = fourier(_matrix(batch.column("stats"))) @ weights
-            if curve is not None:
-                raw = np.round(np.clip(np.interp(raw, *curve), 0, 1), 6)
-            return pa.record_batch([batch.column(keep), pa.array(raw)], [keep, "score"])
-
-        return map_batches(frame.select(keep, "stats"), per_batch, schema)
-
-    raw = scored(learnt.filter("calibrates"), "label", "label int, score double", None)
+    model = Model(fourier, weights, (np.array([0.0]), np.array([0.5])))
+    raw = _scored(learnt.filter("calibrates"), "label", "int", model.raw)
     bin_of = F.floor(F.least(F.greatest(F.col("score"), F.lit(-1.0)), F.lit(2.0)) * BINS)
     bins = raw.groupBy(bin_of.alias("bin")).agg(F.avg("label").alias("y"), F.count("*").alias("w")).orderBy("bin").collect()  # 3 * BINS rows at most
     if 0 < xy[-1] < n and bins:
-        curve = isotonic(np.array([(b.bin + 0.5) / BINS for b in bins]), np.array([b.y for b in bins], float), np.array([b.w for b in bins], float))
-    else:
-        curve = (np.array([0.0]), np.array([0.5]))
-    return scored(stats, "doc_id", "doc_id long, score double", curve).select("doc_id", held_out().alias("held_out"), "score")
+        model.curve = isotonic(np.array([(b.bin + 0.5) / BINS for b in bins]), np.array([b.y for b in bins], float), np.array([b.w for b in bins], float))
+    return model
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score for every row of docs; labels of held-out rows are never read."""
+    stats = cut(document_statistics(docs, id_col, text_col))
+    model = fit(stats, labels, label_col, id_col)
+    return _scored(stats, "doc_id", "long", model.score).select("doc_id", held_out().alias("held_out"), "score")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, with a score of at least the threshold. Texts are scored where they lie."""
+    model = fit(cut(document_statistics(docs)), labels)
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stats = np.array([statistics(t) for t in texts(batch)], float).reshape(-1, STATS)
+        return batch.filter(pa.array(model.score(stats) >= threshold))
+
+    return map_batches(docs, per_batch, docs.schema)
