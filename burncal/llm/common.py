@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burncal.session import cut, written  # noqa: F401
+
 #: Rows of one Arrow batch; texts can be long, and a worker holds a batch as Arrow and as Python objects.
 BATCH_ROWS = 512
 
@@ -30,28 +30,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's (spark.checkpoint.dir); a temporary one only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="burncal-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows from a Parquet table in the shared folder, each call in a folder of its own."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a result to the checkpoint folder and go on from there: later stages do not run it again, and a lost
-    executor costs a read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow for functions that need one batch at a time."""
     small_batches(df.sparkSession)
@@ -71,6 +49,9 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only what a text operator reads, under fixed names, so that no further column of the input can clash."""
+    kinds = dict(docs.dtypes)
+    if (id_col, text_col, kinds[id_col], kinds[text_col]) == ("doc_id", "text", "bigint", "string"):
+        return docs.select(id_col, text_col)  # without aliases, so that two uses of one scan have one plan and share an exchange
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
