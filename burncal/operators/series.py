@@ -7,13 +7,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from burncal.functions.constants import PROTOTYPES
-from burncal.functions.scalars import cosine, month_distance, month_of, next_month, rounded, year_of  # noqa: F401
+from burncal.functions.scalars import month_distance, month_of, rounded, year_of
 
-ORDER = Window.partitionBy("region").orderBy("ym")
+
+def _by_month() -> WindowSpec:
+    return Window.partitionBy("region").orderBy("ym")
 
 
 def climatology(series: DataFrame, baseline_end: str = "2024-01") -> DataFrame:
@@ -56,8 +58,8 @@ def annual_totals(series: DataFrame, least_months: int = 10) -> DataFrame:
 
 def decomposition(series: DataFrame) -> DataFrame:
     """Trend (mean of the rows 6 before to 5 after; none for the first and last six), season (mean of what the trend leaves, per month) and rest."""
-    i, n = F.row_number().over(ORDER), F.count("*").over(Window.partitionBy("region"))
-    mean = F.avg("count").over(ORDER.rowsBetween(-6, 5))
+    i, n = F.row_number().over(_by_month()), F.count("*").over(Window.partitionBy("region"))
+    mean = F.avg("count").over(_by_month().rowsBetween(-6, 5))
     trended = series.select("region", "ym", "count", F.when((i > 6) & (i <= n - 6), mean).alias("trend"))
     season = F.coalesce(F.avg(F.col("count") - F.col("trend")).over(Window.partitionBy("region", month_of("ym"))), F.lit(0.0))
     seasonal = trended.withColumn("s", season)
@@ -67,7 +69,7 @@ def decomposition(series: DataFrame) -> DataFrame:
 def theil_sen(series: DataFrame) -> DataFrame:
     """Median of the slopes of all pairs of a region's months, the median intercept, and the slope per decade. Under four months: slope 0, mean.
     The pairs are of one region's few hundred months."""
-    rows = series.select("region", (F.row_number().over(ORDER) - 1).alias("i"), F.col("count").cast("double").alias("y"))
+    rows = series.select("region", (F.row_number().over(_by_month()) - 1).alias("i"), F.col("count").cast("double").alias("y"))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.i") < F.col("b.i")))
     slopes = pairs.groupBy("a.region").agg(F.percentile((F.col("b.y") - F.col("a.y")) / (F.col("b.i") - F.col("a.i")), 0.5).alias("slope"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def field_cells(detections: DataFrame, box, cell: float | None = None) -> DataFr
     west, south, east, north = box
     wide, high = max(0.5, east - west), max(0.5, north - south)
     cell = cell or max(0.05, min(wide, high) / 26)
-    columns, rows = -int(-wide // cell), -int(-high // cell)
+    columns, rows = math.ceil(wide / cell), math.ceil(high / cell)
     gx = F.least(F.lit(columns - 1), F.greatest(F.lit(0), F.floor((F.col("lon") - west) / cell))).cast("int")
     gy = F.least(F.lit(rows - 1), F.greatest(F.lit(0), F.floor((F.col("lat") - south) / cell))).cast("int")
     n = F.count("*")
@@ -155,6 +157,6 @@ def grid_histogram(detections: DataFrame, box, cell: float) -> DataFrame:
     """Count and power of each raster cell inside the box; what lies outside is dropped."""
     west, south, east, north = box
     i, j = F.floor((F.col("lon") - west) / cell).cast("int"), F.floor((F.col("lat") - south) / cell).cast("int")
-    wide, high = -int(-(east - west) // cell) + 1, -int(-(north - south) // cell) + 1
+    wide, high = math.ceil((east - west) / cell) + 1, math.ceil((north - south) / cell) + 1
     cells = detections.select("day", i.alias("i"), j.alias("j"), "frp").filter(f"i >= 0 and i < {wide} and j >= 0 and j < {high}")
     return cells.groupBy("day", "i", "j").agg(F.count("*").alias("n"), exact_sum("frp").alias("frp"))
