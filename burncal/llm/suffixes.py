@@ -15,8 +15,8 @@ suffix is thus its bucket at depth LENGTH. Refining all suffixes of a corpus wou
 4. Every document marks what its repeated windows cover.
 
 Scale. Records are packed by task and bucket; records with the same bytes around them are reduced to the smallest document
-before they are shuffled, so copies do not gather. Buckets are as many as the bytes demand. Texts are shuffled once, by
-doc_id, to meet their marks; nothing is collected.
+before they are shuffled, so copies do not gather. Buckets, and the parts into which documents are dealt, are as many as the
+bytes demand. Texts are shuffled once, to meet the marks of their part, packed by bucket; nothing is collected.
 
 Cases: null texts are empty; texts under LENGTH bytes keep all; copies of a document with a smaller id lose all; repeats
 inside one document, and rows with the same doc_id, do not count; rows with a null doc_id neither lose nor claim anything;
@@ -31,10 +31,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burncal.llm.common import cut, id_and_text, map_batches, small_batches
+from burncal.llm.common import cut, id_and_text, small_batches
 
 LENGTH = 50
 Q = 20
@@ -167,13 +168,28 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), np.frombuffer(blob, _RECORD, -1, 8 + 12 * n)
 
 
-def _marks(docs: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(doc, packed codes) for each document."""
-    order = np.lexsort((codes, docs))
-    docs, codes = docs[order], codes[order]
-    starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
-    for s, e in zip(starts, np.append(starts[1:], len(docs))):
-        yield int(docs[s]), codes[s:e].astype("<i8").tobytes()
+def part_of(doc_id: Column, parts: int) -> Column:
+    """The part of a document; `_parts` gives the same."""
+    return F.pmod(doc_id.bitwiseXOR(F.shiftright(doc_id, 13)).bitwiseXOR(F.shiftright(doc_id, 29)), F.lit(parts))
+
+
+def _parts(docs: np.ndarray, parts: int) -> np.ndarray:
+    return (docs ^ (docs >> 13) ^ (docs >> 29)) % parts
+
+
+def _by_part(rows: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed rows) of rows whose first column is a document."""
+    part = _parts(rows[:, 0], parts)
+    order = np.argsort(part, kind="stable")
+    stops = np.flatnonzero(np.append(part[order][1:] != part[order][:-1], True)) + 1 if len(order) else []
+    for s, e in zip([0, *stops], stops):
+        yield int(part[order[s]]), rows[order[s:e]].astype("<i8").tobytes()
+
+
+def _packed(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The packed rows of a column, sorted by document."""
+    rows = np.frombuffer(b"".join(x for x in column.to_pylist() if x), "<i8").reshape(-1, width)
+    return rows[np.lexsort(rows.T[::-1])]
 
 
 def _to_buckets(raw: list[bytes], ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -200,12 +216,10 @@ def _to_buckets(raw: list[bytes], ids: np.ndarray, buckets: int) -> Iterator[tup
             own = order[stops[b] : stops[b + 1]]
             yield b, _pack(docs[own], records[own]), b""
     if len(resolved):
-        marked = code(key[resolved], context[resolved]) << 1
-        of = np.lexsort((marked, doc[resolved]))
-        yield int(doc[resolved[0]] % buckets), b"", np.stack([doc[resolved][of], marked[of]]).astype("<i8").tobytes()
+        yield int(doc[resolved[0]] % buckets), b"", np.stack([doc[resolved], code(key[resolved], context[resolved]) << 1], 1).astype("<i8").tobytes()
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(table: pa.Table, parts: int) -> pa.Table:
     """All records of a bucket: marks (code << 1, lowest bit for ambiguous) for the documents."""
     docs, codes = [], []
     records, owners = [np.zeros(0, _RECORD)], [np.zeros(0, np.int64)]
@@ -215,9 +229,9 @@ def _compare(table: pa.Table) -> pa.Table:
             owners.append(own)
             records.append(rec)
         if marks:
-            pair = np.frombuffer(marks, "<i8").reshape(2, -1)
-            docs.append(pair[0])
-            codes.append(pair[1])
+            pair = np.frombuffer(marks, "<i8").reshape(-1, 2)
+            docs.append(pair[:, 0])
+            codes.append(pair[:, 1])
     r, doc = np.concatenate(records), np.concatenate(owners)
     key = (r["high"].astype(np.uint64) << np.uint64(32)) | (r["low"].astype(np.uint64) << np.uint64(16))
     order = np.lexsort((doc, r["context"], key))
@@ -242,22 +256,24 @@ def _compare(table: pa.Table) -> pa.Table:
                 unsure[there[np.repeat(several, sizes)]] = True
         docs.append(doc[unsure])
         codes.append((code(key[unsure], r["context"][unsure]) << 1) | 1)
-    rows = list(_marks(np.concatenate(docs), np.concatenate(codes))) if docs else []
-    return pa.table({"doc_id": pa.array([x for x, _ in rows], pa.int64()), "codes": pa.array([x for _, x in rows], pa.binary())})
+    rows = list(_by_part(np.stack([np.concatenate(docs), np.concatenate(codes)], 1), parts)) if docs else []
+    return pa.table({"part": pa.array([x for x, _ in rows], pa.int64()), "marks": pa.array([x for _, x in rows], pa.binary())})
 
 
-def _marked(a: Anchors, codes: list[list[bytes] | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Which anchors are repeats as a whole, and which are ambiguous."""
+def _marked(a: Anchors, ids: list[int | None], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors are repeats as a whole, and which are ambiguous. marks: (doc, code << 1 and whether ambiguous), sorted."""
     own = a.codes()
     whole, unsure = np.zeros(len(own), bool), np.zeros(len(own), bool)
-    stops = np.searchsorted(a.doc, np.arange(len(codes) + 1))
-    for i, packed in enumerate(codes):
-        if packed and stops[i] < stops[i + 1]:
-            marks = np.frombuffer(b"".join(packed), "<i8")
-            part = slice(stops[i], stops[i + 1])
-            whole[part] = np.isin(own[part], marks[marks & 1 == 0] >> 1)
-            unsure[part] = np.isin(own[part], marks[marks & 1 == 1] >> 1) & ~whole[part]
-            # an anchor that is a repeat as a whole is some smaller document's context too: that one answers for it
+    stops = np.searchsorted(a.doc, np.arange(len(ids) + 1))
+    named = np.array([i for i, x in enumerate(ids) if x is not None], np.int64)
+    values = np.array([x for x in ids if x is not None], np.int64)
+    begin, end = np.searchsorted(marks[:, 0], values), np.searchsorted(marks[:, 0], values, "right")
+    for i, s, e in zip(named.tolist(), begin.tolist(), end.tolist()):
+        if s < e and stops[i] < stops[i + 1]:
+            codes, part = marks[s:e, 1], slice(stops[i], stops[i + 1])
+            whole[part] = np.isin(own[part], codes[codes & 1 == 0] >> 1)
+            # a context that is a repeat as a whole stands in a smaller document too, and that one answers for it
+            unsure[part] = np.isin(own[part], codes[codes & 1 == 1] >> 1) & ~whole[part]
     return whole, unsure
 
 
@@ -293,8 +309,8 @@ def refine(data: np.ndarray, room: np.ndarray, depth: int = LENGTH) -> np.ndarra
 _PLACE = np.dtype([("doc", "<i8"), ("first", "<i8"), ("windows", "<i4")])
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    """All contexts of a bucket: the windows that repeat in a smaller document, as (doc, first, last) runs."""
+def _resolve(table: pa.Table, parts: int) -> pa.Table:
+    """All contexts of a bucket: the windows that repeat in a smaller document, as packed (doc, first, last) runs."""
     places = np.concatenate([np.frombuffer(b, _PLACE) for b in table.column("places").to_pylist()] or [np.zeros(0, _PLACE)])
     data = np.frombuffer(b"".join(table.column("contexts").to_pylist()), np.uint8)
     sizes = places["windows"].astype(np.int64) + LENGTH - 1
@@ -313,19 +329,19 @@ def _resolve(table: pa.Table) -> pa.Table:
     new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)) if len(doc) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     last = at[np.append(begin[1:], len(at)) - 1] if len(at) else at
-    return pa.table({"doc_id": pa.array(doc[begin], pa.int64()), "first": pa.array(at[begin], pa.int64()), "last": pa.array(last, pa.int64())})
+    rows = list(_by_part(np.stack([doc[begin], at[begin], last], 1), parts))
+    return pa.table({"part": pa.array([x for x, _ in rows], pa.int64()), "runs": pa.array([x for _, x in rows], pa.binary())})
 
 
-def repeated_windows(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, text) with the marks of their anchors, and the runs of repeated windows of ambiguous anchors."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _records(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, records, marks: the anchors of all texts, CHUNK bytes of text at a time."""
+    small_batches(docs.sparkSession)
 
-    def collect_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(raw: list[bytes], ids: list[int]) -> pa.RecordBatch:
-            out = list(_to_buckets(raw, np.array(ids, np.int64), buckets))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "records", "marks"])
+    def rows(raw: list[bytes], ids: list[int]) -> pa.RecordBatch:
+        out = list(zip(*_to_buckets(raw, np.array(ids, np.int64), buckets))) or [[]] * 3
+        return pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "records", "marks"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, ids, size = [], [], 0
         for batch in batches:
             raw += _bytes(batch.column("text"))
@@ -337,31 +353,54 @@ def repeated_windows(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFram
         if raw:
             yield rows(raw, ids)
 
-    records = docs.mapInArrow(collect_records, "bucket int, records binary, marks binary")
-    marks = cut(records.groupBy("bucket").applyInArrow(_compare, "doc_id long, codes binary"))
-    marked = docs.join(marks.groupBy("doc_id").agg(F.collect_list("codes").alias("codes")), "doc_id", "left")
-
-    def contexts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        packed = batch.column("codes").to_pylist()
-        chosen = [i for i, p in enumerate(packed) if p and any((np.frombuffer(b, "<i8") & 1).any() for b in p)]
-        if not chosen:
-            return None
-        some = batch.take(pa.array(chosen))
-        raw, ids = _bytes(some.column("text")), some.column("doc_id").to_numpy(zero_copy_only=False)
-        a = Anchors(raw)
-        keep = np.flatnonzero(_marked(a, [packed[i] for i in chosen])[1])
-        keep = keep[np.argsort(a.key[keep] % np.uint64(buckets), kind="stable")]
-        of = (a.key[keep] % np.uint64(buckets)).astype(np.int64)
-        out = []
-        for b in np.unique(of).tolist():
-            own = keep[of == b]
-            places = np.zeros(len(own), _PLACE)
-            places["doc"], places["first"], places["windows"] = ids[a.doc[own]], a.first[own], a.last[own] - a.first[own] + 1
-            out.append((b, places.tobytes(), b"".join([raw[d][f : e + LENGTH] for d, f, e in zip(a.doc[own].tolist(), a.first[own].tolist(), a.last[own].tolist())])))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "places", "contexts"])
-
-    ambiguous = map_batches(marked, contexts, "bucket int, places binary, contexts binary")
-    return marked, ambiguous.groupBy("bucket").applyInArrow(_resolve, "doc_id long, first long, last long")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, records binary, marks binary")
+
+
+def _contexts(texts: pa.Table, marks: pa.Table, buckets: int) -> pa.Table:
+    """A part's texts and marks: bucket, places and bytes of its ambiguous anchors."""
+    rows = _packed(marks.column("marks"), 2)
+    asked = np.unique(rows[rows[:, 1] & 1 == 1, 0])
+    some = texts.filter(pc.is_in(texts.column("doc_id"), pa.array(asked, pa.int64())))
+    raw, ids = _bytes(some.column("text")), some.column("doc_id").to_pylist()
+    a = Anchors(raw)
+    keep = np.flatnonzero(_marked(a, ids, rows)[1])
+    of = (a.key[keep] % np.uint64(buckets)).astype(np.int64)
+    out, doc_of = [], np.array(ids, np.int64)
+    for b in np.unique(of).tolist():
+        own = keep[of == b]
+        places = np.zeros(len(own), _PLACE)
+        places["doc"], places["first"], places["windows"] = doc_of[a.doc[own]], a.first[own], a.last[own] - a.first[own] + 1
+        out.append((b, places.tobytes(), b"".join([raw[d][f : e + LENGTH] for d, f, e in zip(a.doc[own].tolist(), a.first[own].tolist(), a.last[own].tolist())])))
+    columns = list(zip(*out)) or [[]] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "places", "contexts"])
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _finish(texts: pa.Table, found: pa.Table, keep_text: bool) -> pa.Table:
+    """A part's texts, marks and runs of repeated windows: what each document loses."""
+    marks, runs = _packed(found.column("marks"), 2), _packed(found.column("runs"), 3)
+    raw, ids = _bytes(texts.column("text")), texts.column("doc_id").to_pylist()
+    touched = set(np.unique(marks[:, 0]).tolist())
+    a = Anchors([t if d in touched else b"" for t, d in zip(raw, ids)])
+    whole = np.flatnonzero(_marked(a, ids, marks)[0])
+    stops, rows = np.searchsorted(a.doc[whole], np.arange(len(raw) + 1)), []
+    for i, (text, doc_id) in enumerate(zip(raw, ids)):
+        own, (s, e) = whole[stops[i] : stops[i + 1]], (0, 0) if doc_id is None else (np.searchsorted(runs[:, 0], doc_id, side) for side in ("left", "right"))
+        first, last = np.append(a.first[own], runs[s:e, 1]).astype(np.int64), np.append(a.last[own], runs[s:e, 2]).astype(np.int64)
+        kept, spans = text, 0
+        if len(first):
+            edge = np.zeros(len(text) + 1, np.int64)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + LENGTH, -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+        rows.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+    columns = (list(zip(*rows)) or [[]] * 5)[: 4 + keep_text]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    return pa.table([texts.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -369,32 +408,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = id_and_text(docs, id_col, text_col)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    marked, runs = repeated_windows(own.filter("doc_id is not null"), buckets)
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    nameless = own.filter("doc_id is null").select("*", F.lit(None).cast("array<binary>").alias("codes"), F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-
-    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, codes = _bytes(batch.column("text")), batch.column("codes").to_pylist()
-        a = Anchors([t if c else b"" for t, c in zip(raw, codes)])
-        whole = np.flatnonzero(_marked(a, codes)[0])
-        stops, rows = np.searchsorted(a.doc[whole], np.arange(len(raw) + 1)), []
-        for i, (text, found) in enumerate(zip(raw, batch.column("runs").to_pylist())):
-            own = whole[stops[i] : stops[i + 1]]
-            first = np.append(a.first[own], [r["first"] for r in found or ()]).astype(np.int64)
-            last = np.append(a.last[own], [r["last"] for r in found or ()]).astype(np.int64)
-            kept, spans = text, 0
-            if len(first):
-                edge = np.zeros(len(text) + 1, np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, last + LENGTH, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            rows.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-        columns = list(zip(*rows))[: 4 + keep_text]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text])
-
-    named = marked.join(runs, "doc_id", "left")
-    return map_batches(named.unionByName(nameless), finish, schema)
+    parts = buckets | 1
+    records = _records(own.filter("doc_id is not null"), buckets)
+    marks = cut(records.groupBy("bucket").applyInArrow(lambda t: _compare(t, parts), "part long, marks binary"))
+    # rows without an id are dealt by their text
+    dealt = own.withColumn("part", F.coalesce(part_of(F.col("doc_id"), parts), F.pmod(F.xxhash64("text"), F.lit(parts)))).groupBy("part")
+    ambiguous = dealt.cogroup(marks.groupBy("part")).applyInArrow(lambda t, m: _contexts(t, m, buckets), "bucket int, places binary, contexts binary")
+    runs = ambiguous.groupBy("bucket").applyInArrow(lambda t: _resolve(t, parts), "part long, runs binary")
+    none = F.lit(None).cast("binary")
+    found = marks.select("part", "marks", none.alias("runs")).unionByName(runs.select("part", none.alias("marks"), "runs"))
+    return dealt.cogroup(found.groupBy("part")).applyInArrow(lambda t, f: _finish(t, f, keep_text), RESULT + ", kept binary" * keep_text)
