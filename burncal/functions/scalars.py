@@ -184,7 +184,7 @@ def cosine(a, b) -> Column:
 
 def geo_score(distance) -> Column:
     """1 at the place, 0 from 60 degrees on, 0.25 where the distance is unknown."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0) - col(distance) / 60), F.lit(0.25))
+    return F.when(col(distance).isNull(), 0.25).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - col(distance) / 60))
 
 
 def tile_x(lon, zoom: int) -> Column:

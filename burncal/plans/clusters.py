@@ -190,7 +190,7 @@ ORACLES = {
     ),
     "event_relevance": f"""with pf as (select list(v order by i) as profile from (select i, avg(cast(embedding[i] as double)) as v from embeddings, range(1,65) g(i) where label=0 group by i) x),
  ev as (select vec_id as event_id, embedding, case when vec_id%7<>0 then cast(vec_id%90 as double) end as distance from embeddings where label<>0),
- sc as (select event_id, greatest(0e0, {_DOT('embedding', 'profile')}/(sqrt({_DOT('embedding', 'embedding')})*sqrt({_DOT('profile', 'profile')})+1e-9)) as sem, coalesce(greatest(0e0,1e0-distance/60),0.25e0) as geo from ev, pf)
+ sc as (select event_id, greatest(0e0, {_DOT('embedding', 'profile')}/(sqrt({_DOT('embedding', 'embedding')})*sqrt({_DOT('profile', 'profile')})+1e-9)) as sem, case when distance is null then 0.25e0 else greatest(0e0,1e0-distance/60) end as geo from ev, pf)
  select event_id, {r('geo', 3)} as geo_score, {r('sem', 3)} as semantic_score, {r('0.55e0*sem+0.45e0*geo', 4)} as relevance from sc order by relevance desc, event_id limit 20""",
     "sitrep_text": oracle(
         f"select day, printf('%s: %d active-fire detections, %d confident, strongest %.1f MW; MODIS %d, VIIRS %d.', cast(day as varchar), n, hi, top, modis, n-modis) as text from (select day, count(*) as n, count(case when conf>=80 then 1 end) as hi, {r('max(frp)', 1)} as top, count(case when sensor like 'MODIS%' then 1 end) as modis from dc where lon between -74 and -46 and lat between -12 and 2 group by day) x",

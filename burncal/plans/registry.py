@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burncal.plans import clusters, detections, series
+from burncal.plans import clusters, detections, series, streams
 
-MODULES = (detections, series, clusters)
+MODULES = (detections, series, clusters, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -57,7 +57,7 @@ def read_outlook(spark: SparkSession, path: str) -> DataFrame:
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Events with the place of their last geometry: a point, or the first vertex of its first ring."""
     events = spark.read.schema(EVENTS).json(path, multiLine=True).select(F.explode("events").alias("e"))
-    last = F.element_at("e.geometry", -1)
+    last = F.try_element_at("e.geometry", F.lit(-1))
     flat = F.from_json(F.concat(F.lit("["), F.regexp_replace(last["coordinates"], r"[\[\]\s]", ""), F.lit("]")), "array<double>")
     return events.select(F.col("e.id").alias("event_id"), "e.title", "e.link", F.transform("e.sources", lambda s: s["id"]).alias("sources"), last["date"].alias("date"), F.get(flat, F.lit(0)).alias("lon"), F.get(flat, F.lit(1)).alias("lat"))
 
