@@ -43,7 +43,8 @@ SIDE = (LENGTH - Q) // 2
 WINDOW = LENGTH - Q + 1  # Q-grams in a window
 CHUNK = 4 << 20
 PIECE = 1 << 18
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 10 << 20  # of text for each bucket of anchors
+PART_BYTES = 6 << 20  # of text for each part of the documents
 _RECORD = np.dtype([("high", "<u4"), ("low", "<u2"), ("context", "<u4"), ("left", "u1"), ("right", "u1")])
 _BASE = 0x9E3779B97F4A7C15
 
@@ -408,7 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = id_and_text(docs, id_col, text_col)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    parts = buckets | 1
+    parts = max(buckets, -(-size // PART_BYTES)) | 1
     records = _records(own.filter("doc_id is not null"), buckets)
     marks = cut(records.groupBy("bucket").applyInArrow(lambda t: _compare(t, parts), "part long, marks binary"))
     # rows without an id are dealt by their text
