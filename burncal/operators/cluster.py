@@ -1,7 +1,7 @@
 """Density clustering of detections, scene by scene, and measures of the clusters.
 
-Neighbours are found with a grid: every point goes to its own cell and is compared with the points of the cells around it, an equi-join with
-the distance as residual predicate. Points are core if enough neighbours lie within eps; core points that are neighbours form components; a
+Neighbours are found with a grid: a point is compared with the points of the cells around its own, an equi-join on the cell with the distance
+as residual predicate. Points are core if enough neighbours lie within eps; core points that are neighbours form components; a
 border point joins the adjacent component whose first core point comes first; clusters are numbered in that order. This is the
 labelling that a sequential scan in the order of pt_seq gives.
 """
@@ -9,6 +9,7 @@ labelling that a sequential scan in the order of pt_seq gives.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from burncal.functions.scalars import KM_LAT, KM_LON, cluster_class, complex_class, confidence, confidence_training, exact_sum, haversine_km, rounded, weak_label
 from burncal.operators.components import connected_components
+from burncal.session import cut
 
 
 def neighbor_pairs(points: DataFrame, eps: float, scene=("day",), dims=("lon", "lat"), own: bool = False) -> DataFrame:
@@ -44,17 +46,60 @@ def density_features(points: DataFrame, radii=(0.05, 0.25, 1.0), scene=("day",))
     return pairs.groupBy(F.col("a").alias("pt_seq")).agg(*(F.count_if(F.col("d2") <= r * r).alias(f"dens_{k}") for k, r in enumerate(radii)))
 
 
+def _in_cells(points: DataFrame, side: float, scene, dims) -> DataFrame:
+    return points.select(*scene, "pt_seq", *dims, *(F.floor(F.col(d) / side).alias(f"c{k}") for k, d in enumerate(dims)))
+
+
+def _beside(rows: DataFrame, offsets, keep: list[str], scene, count: int) -> DataFrame:
+    """The rows once for each offset, at the cell that the offset leads to."""
+    around = F.array(*(F.struct(*(F.lit(x).alias(f"o{k}") for k, x in enumerate(o))) for o in offsets))
+    return rows.select(*scene, *keep, *(f"c{k}" for k in range(count)), F.explode(around).alias("o")).select(*scene, *keep, *((F.col(f"c{k}") + F.col(f"o.o{k}")).alias(f"c{k}") for k in range(count)))
+
+
+def _squared(a: str, b: str, dims):
+    terms = [(F.col(f"{a}{d}") - F.col(f"{b}{d}")) * (F.col(f"{a}{d}") - F.col(f"{b}{d}")) for d in dims]
+    return sum(terms[1:], terms[0])
+
+
 def dbscan(points: DataFrame, eps: float, min_pts: int = 3, scene=("day",), dims=("lon", "lat")) -> DataFrame:
-    """The points with `component` (first core point of the cluster; null for noise) and `label` (number of the cluster in its scene, from 1)."""
-    pairs = neighbor_pairs(points, eps, scene, dims)
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= min_pts).select("a")
-    from_core = pairs.select("a", "b").join(core, "a")
-    core_edges = from_core.join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    found = connected_components(core_edges)
-    cores = core.join(found.withColumnRenamed("node", "a"), "a", "left").select(F.col("a").alias("pt_seq"), F.coalesce("component", "a").alias("component"))
-    border = from_core.join(cores.withColumnRenamed("pt_seq", "a"), "a").groupBy(F.col("b").alias("pt_seq")).agg(F.min("component").alias("near"))
+    """The points with `component` (first core point of the cluster; null for noise) and `label` (number of the cluster in its scene, from 1).
+
+    Cells are so small that all points of a cell are neighbours. A cell of min_pts points holds core points only, and the core points of a cell are
+    connected, so no pairs inside a cell are formed: points of other cells, fewer than min_pts in each, look for neighbours in the cells around, and
+    components are those of cells. Two cells are linked for certain if the boxes of their core points lie within eps as a whole, not at all if
+    the boxes are further apart, and by their points only in between.
+    """
+    d, side = len(dims), eps / len(dims) ** 0.5 * (1 - 1e-9)
+    cell, reach = [*scene, *(f"c{k}" for k in range(len(dims)))], math.ceil(len(dims) ** 0.5)
+    offsets = list(itertools.product(range(-reach, reach + 1), repeat=d))
+    placed = _in_cells(points, side, scene, dims)
+    sizes = placed.groupBy(*cell).agg(F.count("*").alias("size"))
+    sized = cut(placed.join(sizes, cell))
+    seekers = sized.filter(F.col("size") < min_pts).select(*cell, F.col("pt_seq").alias("a"), *(F.col(x).alias(f"a_{x}") for x in dims))
+    others = sized.select(*cell, F.col("pt_seq").alias("b"), *(F.col(x).alias(f"b_{x}") for x in dims))
+    wide = _beside(seekers, offsets, ["a", *(f"a_{x}" for x in dims)], scene, d)
+    met = wide.join(others, cell).filter((_squared("a_", "b_", dims) <= eps * eps) & (F.col("a") != F.col("b"))).select("a", "b")
+    lone_core = met.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= min_pts).select(F.col("a").alias("pt_seq"), F.lit(True).alias("lone"))
+    core = sized.join(lone_core, "pt_seq", "left").filter((F.col("size") >= min_pts) | F.col("lone")).drop("lone", "size")
+    boxes = core.groupBy(*cell).agg(F.min("pt_seq").alias("node"), *(f for x in dims for f in (F.min(x).alias(f"low_{x}"), F.max(x).alias(f"high_{x}"))))
+    core = cut(core.join(boxes, cell))
+    boxes = core.select(*cell, "node", *(f"{e}_{x}" for e in ("low", "high") for x in dims)).dropDuplicates(["node"])
+    ahead = [o for o in offsets if o > (0,) * d]
+    left = _beside(boxes.select(*cell, F.col("node").alias("na"), *(F.col(f"{e}_{x}").alias(f"a_{e}_{x}") for e in ("low", "high") for x in dims)), ahead, ["na", *(f"a_{e}_{x}" for e in ("low", "high") for x in dims)], scene, d)
+    pairs = left.join(boxes.withColumnRenamed("node", "nb"), cell)
+    gap = [F.greatest(F.lit(0.0), F.col(f"low_{x}") - F.col(f"a_high_{x}"), F.col(f"a_low_{x}") - F.col(f"high_{x}")) for x in dims]
+    span = [F.greatest(F.col(f"high_{x}") - F.col(f"a_low_{x}"), F.col(f"a_high_{x}") - F.col(f"low_{x}")) for x in dims]
+    near = sum((g * g for g in gap[1:]), gap[0] * gap[0]) <= eps * eps * (1 + 1e-9)
+    sure = sum((g * g for g in span[1:]), span[0] * span[0]) <= eps * eps * (1 - 1e-9)
+    pairs = cut(pairs.filter(near).select("na", "nb", sure.alias("sure")))
+    a = core.select(F.col("node").alias("na"), *(F.col(x).alias(f"a_{x}") for x in dims))
+    b = core.select(F.col("node").alias("nb"), *(F.col(x).alias(f"b_{x}") for x in dims))
+    tested = pairs.filter("not sure").join(a, "na").join(b, "nb").filter(_squared("a_", "b_", dims) <= eps * eps).select("na", "nb").distinct()
+    found = connected_components(pairs.filter("sure").select("na", "nb").unionByName(tested), "na", "nb")
+    cores = core.select("pt_seq", "node").join(found, "node", "left").select("pt_seq", F.coalesce("component", "node").alias("component"))
+    border = met.join(cores.withColumnRenamed("pt_seq", "b"), "b").groupBy(F.col("a").alias("pt_seq")).agg(F.min("component").alias("near"))
     labelled = points.join(cores, "pt_seq", "left").join(border, "pt_seq", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "near")).drop("near")
+    labelled = cut(labelled.withColumn("component", F.coalesce("component", "near")).drop("near"))
     numbers = labelled.filter("component is not null").select(*scene, "component").distinct()  # clusters of a scene are few
     number = F.row_number().over(Window.partitionBy(*scene).orderBy("component"))
     return labelled.join(numbers.select("component", number.alias("label")), "component", "left")
