@@ -72,4 +72,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_licenses": op10_minhash_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # bytes as two hexadecimal digits, in blocks of 200 bytes that overlap by 49; a window is the 100 digits of 50 bytes
+    "op1_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, cast(length(hex(encode(coalesce(text, '')))) / 2 as bigint) as n from documents),
+bl as (select doc_id, n, q, substring(h, 400 * q + 1, 498) as part from (select *, unnest(range((n + 199) // 200)) as q from d) x),
+o as (select doc_id, n, 200 * q + i as p, substring(part, 2 * i + 1, 100) as s from (select *, unnest(range(least(200, n - 200 * q))) as i from bl) x),
+w as (select doc_id, p, hash(s) as s from o where p + 50 <= n),
+m as (select s, min(doc_id) as first_doc from w group by s),
+hit as (select w.doc_id, w.p from w join m using (s) where m.first_doc < w.doc_id),
+c as (select o.doc_id, o.p, substring(o.s, 1, 2) as x,
+        coalesce(max(hit.p) over (partition by o.doc_id order by o.p rows unbounded preceding) >= o.p - 49, false) as gone
+      from o left join hit on hit.doc_id = o.doc_id and hit.p = o.p),
+e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as rise from c),
+k as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (rise) as n_spans, string_agg(x, '' order by p) filter (not gone) as kept from e group by doc_id)
+select d.doc_id, n as n_bytes, coalesce(k.n_removed, 0) as n_removed, coalesce(k.n_spans, 0) as n_spans, sha256(unhex(coalesce(k.kept, ''))) as kept_sha256
+from d left join k using (doc_id)""",
+}
