@@ -231,3 +231,40 @@ def test_stream_tracks(spark, tmp_path):
     stream = tracked(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in")))
     stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert max(r.days_seen for r in seen) == 3 and {r.track_id for r in seen} == {"SYS-001"}
+
+
+def _field(number, value):
+    """One protocol-buffer field with a short value."""
+    return bytes([number << 3 | 2, len(value)]) + value
+
+
+def test_tiles(spark, tmp_path):
+    import gzip
+    import struct
+
+    from burncal.sources.tiles import attributes, read_tiles
+
+    values = [_field(1, b"N"), bytes([2 << 3 | 5]) + struct.pack("<f", 1.5), bytes([5 << 3, 70])]
+    layer = b"".join(_field(3, k) for k in (b"DAYNIGHT", b"LATITUDE", b"CONFIDENCE")) + b"".join(_field(4, v) for v in values) + _field(2, _field(2, bytes([0, 0, 1, 1, 2, 2]))) + _field(2, _field(2, bytes([1, 1])))
+    tile = _field(3, layer)
+    assert attributes(tile) == [{"DAYNIGHT": "N", "LATITUDE": 1.5, "CONFIDENCE": 70}, {"LATITUDE": 1.5}] and attributes(b"") == []
+    (tmp_path / "a.pbf").write_bytes(gzip.compress(tile))
+    (tmp_path / "b.pbf").write_bytes(b"")
+    assert [(r.lat, r.conf_raw, r.night, r.frp) for r in read_tiles(spark, str(tmp_path), "*.pbf").collect()] == [(1.5, "70", True, 0.0), (1.5, None, False, 0.0)]
+
+
+def test_selections(spark):
+    from burncal.operators import selections as sel
+
+    assert sel.area_of_corners(3, 4, 1, 2.123) == (1, 2.12, 3, 4) and sel.area_of_corners(0, 0, 0.4, 9) is None
+    place = spark.createDataFrame([(0.0, 1.0, 0.0, 1.0, 0.5, 0.5), (0.0, 50.0, 0.0, 50.0, 10.0, 20.0)], "south double, north double, west double, east double, lon double, lat double")
+    assert [r.bbox for r in sel.area_of_place(place).collect()] == [[0, 0, 1, 1], [7.75, 18, 12.25, 22]]
+    ring = F.array(*(F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (2, 0), (2, 2), (0, 2))))
+    assert spark.range(1).select(sel.inside_ring(F.lit(1.0), F.lit(1.0), ring), sel.inside_ring(F.lit(3.0), F.lit(1.0), ring)).first()[:] == (True, False)
+    hulls = spark.createDataFrame([(DAY, [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]])], "day date, hull array<array<double>>")
+    assert sel.cells_in_hulls(hulls, (0, 0, 2, 2), 0.5).count() == 4
+    rows = fixtures.detections(spark, SF)
+    train, test = sel.split_by_last_day(rows)
+    assert train.count() + test.count() == rows.count() and sel.seeded_sample(rows, 7).collect() == sel.seeded_sample(rows.repartition(5), 7).collect()
+    assert sel.contexts(summary.sensor_day_summary(rows, fixtures.BBOX), summary.alert_level(rows)).count() == 30
+    assert "night overpass" in " ".join(r.question for r in sel.detection_questions(rows, "amazon").collect())
