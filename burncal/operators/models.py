@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,27 @@ def binary_metrics(df: DataFrame, label: str = "y", p: str = "p", threshold: flo
     hit, said, true = F.count_if((F.col(p) >= threshold) & (F.col(label) == 1)), F.count_if(F.col(p) >= threshold), F.count_if(F.col(label) == 1)
     right = F.count_if((F.col(p) >= threshold) == (F.col(label) == 1))
     return df.agg((right / F.count("*")).alias("accuracy"), F.try_divide(hit, said).alias("precision"), F.try_divide(hit, true).alias("recall"), F.try_divide(2 * hit, said + true).alias("f1"), F.avg((F.col(p) - F.col(label)) ** 2).alias("brier"), F.try_divide(hit, said + true - hit).alias("iou"))
+
+
+def silhouette(df: DataFrame, features: list[str], k: int = 6, seed: int = 42) -> float:
+    """Squared-distance silhouette of a KMeans clustering."""
+    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(df)
+    return ClusteringEvaluator().evaluate(KMeans(k=k, seed=seed).fit(assembled).transform(assembled))
+
+
+def linear_weights(fitted) -> dict:
+    """Features, scaler and coefficients of a model of train_logistic, as plain numbers."""
+    assembler, scaler, model = fitted.stages
+    return {"features": assembler.getInputCols(), "mean": scaler.mean.toArray().tolist(), "scale": scaler.std.toArray().tolist(), "coef": model.coefficients.toArray().tolist(), "intercept": model.intercept}
+
+
+def train_footprint(cells: DataFrame, features: list[str]):
+    """The footprint model fitted on all days but the last, and its scores of the last day beside a persistence baseline: the cells whose density of the
+    last day is in the upper two fifths."""
+    from burncal.operators.selections import split_by_last_day
+
+    train, test = split_by_last_day(cells.withColumnRenamed("target", "day"))
+    fitted = train_logistic(train, features, "label")
+    scored = fitted.transform(test).select("day", "i", "j", "label", F.element_at(vector_to_array("probability"), 2).alias("p"), "last_day")
+    bound = scored.agg(F.percentile("last_day", 0.6).alias("bound"))  # one row
+    return fitted, scored.crossJoin(F.broadcast(bound)).withColumn("persistence", (F.col("last_day") >= F.col("bound")).cast("double")).drop("bound")

@@ -94,6 +94,41 @@ def footprint_forecast(points: DataFrame, box, alias_prior: bool = False, thresh
     return cells.groupBy("area").applyInPandas(one, "day date, i int, j int, lon double, lat double, p double, actual boolean")
 
 
+LAYERS = ("kde_010", "kde_035", "kde_080", "frp_035", "last_day", "day_before")
+
+
+def training_cells(points: DataFrame, box, cell: float = 0.05, window: int = 4, edge: str = "reflect", least: float = 0.01) -> DataFrame:
+    """For every day with enough detections before it: the cells with any density, their six layers, place, season, and whether the cell is active
+    that day. A detection serves the days up to `window` after it; each target day is one raster."""
+    west, south, east, north = box
+    wide, high = math.ceil((east - west) / cell) + 1, math.ceil((north - south) / cell) + 1
+    i, j = F.floor((F.col("lon") - west) / cell).cast("int"), F.floor((F.col("lat") - south) / cell).cast("int")
+    cells = points.select("day", i.alias("i"), j.alias("j"), "frp").filter((F.col("i") >= 0) & (F.col("i") < wide) & (F.col("j") >= 0) & (F.col("j") < high)).groupBy("day", "i", "j").agg(F.count("*").alias("n"), exact_sum("frp").alias("frp"))
+    ahead = cells.select(F.explode(F.sequence(F.lit(1), F.lit(window))).alias("age"), "day", "i", "j", "n", "frp").select(F.date_add("day", F.col("age")).alias("target"), "age", "i", "j", "n", "frp")
+
+    def one(scene: pd.DataFrame) -> pd.DataFrame:
+        def raster(rows: pd.DataFrame, column: str = "n") -> np.ndarray:
+            grid = np.zeros((high, wide))
+            np.add.at(grid, (rows["j"].to_numpy(), rows["i"].to_numpy()), rows[column].to_numpy(float))
+            return grid
+
+        names = ["target", "i", "j", *LAYERS, "x", "y", "doy_sin", "doy_cos"]
+        if scene["n"].sum() < 30:
+            return pd.DataFrame(columns=names)
+        last = scene[scene["age"] == scene["age"].min()]
+        layers = [smoothed(raster(scene), s / cell, edge) for s in (0.10, 0.35, 0.80)]
+        layers += [smoothed(raster(scene, "frp"), 0.35 / cell, edge), smoothed(raster(last), 0.35 / cell, edge), smoothed(raster(scene[scene["age"] == 2]), 0.35 / cell, edge)]
+        jj, ii = np.nonzero(np.max(layers, axis=0) > least)
+        angle = 2 * math.pi * pd.Timestamp(scene["target"].iloc[0]).dayofyear / 365
+        out = {"target": scene["target"].iloc[0], "i": ii, "j": jj} | {name: np.log1p(layer[jj, ii]) for name, layer in zip(LAYERS, layers)}
+        return pd.DataFrame(out | {"x": ii * cell / (east - west), "y": jj * cell / (north - south), "doy_sin": math.sin(angle), "doy_cos": math.cos(angle)})[names]
+
+    features = ahead.groupBy("target").applyInPandas(one, "target date, i int, j int, " + ", ".join(f"{x} double" for x in (*LAYERS, "x", "y", "doy_sin", "doy_cos")))
+    active = cells.select(F.col("day").alias("target"), "i", "j", F.lit(1).alias("y_active"))
+    known = cells.select(F.col("day").alias("target")).distinct()
+    return features.join(known, "target", "left_semi").join(active, ["target", "i", "j"], "left").withColumn("label", F.coalesce("y_active", F.lit(0))).drop("y_active")
+
+
 def footprint_stats(cells: DataFrame, actual_cells: int, cell: float, mid_lat: float) -> DataFrame:
     """Number of cells, area, mean and largest p, overlap and IoU with the cells that are active now, confident cells."""
     area = cell * KM * (cell * KM * math.cos(math.radians(mid_lat)))

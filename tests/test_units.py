@@ -268,3 +268,15 @@ def test_selections(spark):
     assert train.count() + test.count() == rows.count() and sel.seeded_sample(rows, 7).collect() == sel.seeded_sample(rows.repartition(5), 7).collect()
     assert sel.contexts(summary.sensor_day_summary(rows, fixtures.BBOX), summary.alert_level(rows)).count() == 30
     assert "night overpass" in " ".join(r.question for r in sel.detection_questions(rows, "amazon").collect())
+
+
+def test_footprint_training(spark):
+    rows = fixtures.detections(spark, SF)
+    cells = raster.training_cells(rows, fixtures.BBOX, cell=0.5).cache()
+    features = [*raster.LAYERS, "x", "y"]
+    fitted, scored = models.train_footprint(cells, features)
+    weights = models.linear_weights(fitted)
+    assert weights["features"] == features and len(weights["coef"]) == len(features)
+    m, base = models.binary_metrics(scored, "label").first(), models.binary_metrics(scored, "label", "persistence").first()
+    assert 0 < m.iou <= 1 and 0 <= base.iou <= 1
+    assert -1 <= models.silhouette(cells.limit(300), ["x", "y"], 3) <= 1
