@@ -58,3 +58,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def held_out(id_col: str = "doc_id"):
     """True for the rows of which no label is learnt: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
+def smallest_hashes(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """About n rows, those with the smallest hashes of the keys; all rows if there are no more. Only a count is gathered, and the rows are
+    filtered where they lie, so tasks do not each send their own n to one place."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.filter(F.xxhash64(*keys) < F.lit(-(1 << 63) + int((1 << 64) * (n / total))))  # hashes are uniform on 64 bits
