@@ -1,6 +1,6 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals give document scores and offsets.
 
-1. From a bounded sample of labelled documents (MAX_LABELLED, in the order of a hash of the id; never a held-out one) Spark
+1. From a bounded sample of labelled documents (about MAX_LABELLED, by the hash of the id; never a held-out one) Spark
    counts in how many toxic and other documents each word and each word beginning occurs. Those with a strong positive
    association (likelihood ratio) form the lexicon.
 2. Tokens of toxic documents that carry a lexicon feature are labelled toxic, all others not. On windows of labelled tokens
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burncal.llm.common import held_out, id_and_text, map_batches, texts
+from burncal.llm.common import cut, held_out, id_and_text, map_batches, smallest_hashes, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -68,9 +68,9 @@ def likelihood_ratio(a: int, b: int, n1: int, n0: int) -> float:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
-    """doc_id, text, label of at most MAX_LABELLED rows; the chosen labels are a bounded side to broadcast."""
+    """doc_id, text, label of about MAX_LABELLED rows at most; the chosen labels are a bounded side to broadcast."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    chosen = known.filter(F.col("label").isin(0, 1) & ~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(MAX_LABELLED)
+    chosen = smallest_hashes(known.filter(F.col("label").isin(0, 1) & ~held_out()), MAX_LABELLED, "doc_id")
     return docs.join(F.broadcast(chosen), "doc_id")
 
 
@@ -117,7 +117,8 @@ def windows(labelled: DataFrame, lexicon: dict[str, int]) -> tuple[np.ndarray, n
                 labels.append(label)
         return pa.record_batch([pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["label", "feats"])
 
-    found = map_batches(labelled.select("text", "label"), cut_out, "label int, feats array<int>").orderBy(F.xxhash64("feats", "label"), "feats", "label").limit(MAX_WINDOWS).collect()
+    found = map_batches(labelled.select("text", "label"), cut_out, "label int, feats array<int>")
+    found = sorted(smallest_hashes(cut(found), MAX_WINDOWS, "feats", "label").collect(), key=lambda r: (r.feats, r.label))  # not the order of tasks
     x = np.array([r.feats for r in found], np.int64).reshape(-1, WIDTH, PER_TOKEN)
     there = x[:, :, 0] >= 0
     x = np.maximum(x, 0)
@@ -241,7 +242,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    labelled = _labelled(id_and_text(docs, id_col, text_col), labels.withColumnRenamed(id_col, "doc_id"), label_col)
+    labelled = cut(_labelled(id_and_text(docs, id_col, text_col), labels.withColumnRenamed(id_col, "doc_id"), label_col))  # one pass over the texts
     lexicon, n1, n0 = mine_lexicon(labelled)
     if not lexicon:
         return Model({}, np.zeros(1), 0.0, np.zeros((2, 2)), np.zeros(3), n1 / (n1 + n0) if n1 + n0 else 0.5)
