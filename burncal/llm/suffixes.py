@@ -15,7 +15,9 @@ suffix is thus its bucket at depth LENGTH. Refining all suffixes of a corpus wou
 4. Every document marks what its repeated windows cover.
 
 Scale. Records are packed by task and bucket; records with the same bytes around them are reduced to the smallest document
-before they are shuffled, so copies do not gather. Buckets, and the parts into which documents are dealt, are as many as the
+before they are shuffled, so copies do not gather. A Q-gram with many different contexts (a line that very many documents share, with
+their own text on both sides) is hot: a task sends one record for it, and its contexts are compared window by window, dealt by
+the bytes of each window, equal ones reduced to the smallest document of the part. Buckets, and the parts into which documents are dealt, are as many as the
 bytes demand. Texts are shuffled once, to meet the marks of their part, packed by bucket; nothing is collected.
 
 Cases: null texts are empty; texts under LENGTH bytes keep all; copies of a document with a smaller id lose all; repeats
@@ -26,6 +28,7 @@ repeated rows are kept; further columns are ignored; an empty table gives an emp
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,9 +46,12 @@ SIDE = (LENGTH - Q) // 2
 WINDOW = LENGTH - Q + 1  # Q-grams in a window
 CHUNK = 4 << 20
 PIECE = 1 << 18
+HOT = 64  # contexts of one Q-gram in a chunk, from which on the Q-gram is hot
+HOT_RECORDS = 4096  # records of one Q-gram in its bucket, likewise
+WHOLE, AMBIGUOUS, SPREAD = 0, 1, 3  # the two low bits of a mark
 BUCKET_BYTES = 10 << 20  # of text for each bucket of anchors
 PART_BYTES = 6 << 20  # of text for each part of the documents
-_RECORD = np.dtype([("high", "<u4"), ("low", "<u2"), ("context", "<u4"), ("left", "u1"), ("right", "u1")])
+_RECORD = np.dtype([("high", "<u4"), ("low", "<u2"), ("context", "<u4"), ("left", "u1"), ("right", "u1"), ("hot", "u1")])
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -145,12 +151,12 @@ class Anchors:
         self.parts.append((np.array(docs)[owner], at - here, first - here, last - here, grams[at], context, left, right))
 
     def codes(self) -> np.ndarray:
-        """62 bits that stand for bucket and context in the marks of a document."""
+        """61 bits that stand for bucket and context in the marks of a document."""
         return code(self.key, self.context)
 
 
 def code(key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return (_mix((key & ~np.uint64(0xFFFF)) ^ (context.astype(np.uint64) * np.uint64(_BASE))) >> np.uint64(2)).astype(np.int64)
+    return (_mix((key & ~np.uint64(0xFFFF)) ^ (context.astype(np.uint64) * np.uint64(_BASE))) >> np.uint64(3)).astype(np.int64)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -205,23 +211,39 @@ def _to_buckets(raw: list[bytes], ids: np.ndarray, buckets: int) -> Iterator[tup
     heads = np.flatnonzero(~same)
     smallest = np.repeat(doc[heads], np.diff(np.append(heads, len(key))))
     resolved = np.flatnonzero(doc > smallest)
-    records = np.zeros(len(heads), _RECORD)
-    k = key[heads]
-    records["high"], records["low"], records["context"] = k >> np.uint64(32), (k >> np.uint64(16)) & np.uint64(0xFFFF), context[heads]
-    records["left"], records["right"] = a.left[order][heads], a.right[order][heads]
-    docs, bucket = doc[heads], (k % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((docs, bucket))
+    k, own_context, docs = key[heads], context[heads], doc[heads]
+    hot, first = _crowded(k, docs, np.zeros(len(k), bool), HOT)
+    keep = np.flatnonzero(~hot | first)
+    records = np.zeros(len(keep), _RECORD)
+    records["high"], records["low"], records["context"] = k[keep] >> np.uint64(32), (k[keep] >> np.uint64(16)) & np.uint64(0xFFFF), own_context[keep]
+    records["left"], records["right"], records["hot"] = a.left[order][heads][keep], a.right[order][heads][keep], hot[keep]
+    bucket = (k[keep] % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((docs[keep], bucket))
     stops = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
         if stops[b] < stops[b + 1]:
             own = order[stops[b] : stops[b + 1]]
-            yield b, _pack(docs[own], records[own]), b""
-    if len(resolved):
-        yield int(doc[resolved[0]] % buckets), b"", np.stack([doc[resolved], code(key[resolved], context[resolved]) << 1], 1).astype("<i8").tobytes()
+            yield b, _pack(docs[keep][own], records[own]), b""
+    known = np.concatenate([np.stack([doc[resolved], (code(key[resolved], context[resolved]) << 2) | WHOLE], 1), np.stack([docs[hot], (code(k[hot], own_context[hot]) << 2) | SPREAD], 1)])
+    if len(known):
+        yield int(known[0, 0] % buckets), b"", known.astype("<i8").tobytes()
+
+
+def _crowded(key: np.ndarray, doc: np.ndarray, said: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are of a hot key (`most` rows or more of several documents, or said to be hot), and which are their key's first by document."""
+    order = np.lexsort((doc, key))
+    new = np.append(True, key[order][1:] != key[order][:-1]) if len(key) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(key)))
+    several = doc[order][starts] != doc[order][starts + sizes - 1] if len(starts) else new
+    crowded = (several & (sizes >= most)) | (np.logical_or.reduceat(said[order], starts) if len(starts) else several)
+    hot, first = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    hot[order], first[order[starts]] = np.repeat(crowded, sizes), True
+    return hot, first
 
 
 def _compare(table: pa.Table, parts: int) -> pa.Table:
-    """All records of a bucket: marks (code << 1, lowest bit for ambiguous) for the documents."""
+    """All records of a bucket: marks (code << 2, and what the anchor is) for the documents."""
     docs, codes = [], []
     records, owners = [np.zeros(0, _RECORD)], [np.zeros(0, np.int64)]
     for blob, marks in zip(table.column("records").to_pylist(), table.column("marks").to_pylist()):
@@ -243,7 +265,7 @@ def _compare(table: pa.Table, parts: int) -> pa.Table:
         smallest = np.repeat(doc[heads], np.diff(np.append(heads, len(key))))
         copies = np.flatnonzero(doc > smallest)
         docs.append(doc[copies])
-        codes.append(code(key[copies], r["context"][copies]) << 1)
+        codes.append((code(key[copies], r["context"][copies]) << 2) | WHOLE)
         r, doc, key = r[heads], doc[heads], key[heads]
         unsure = np.zeros(len(r), bool)
         for side in ("left", "right"):
@@ -255,16 +277,18 @@ def _compare(table: pa.Table, parts: int) -> pa.Table:
                 sizes = np.diff(np.append(starts, len(there)))
                 several = doc[there][starts] != doc[there][starts + sizes - 1]
                 unsure[there[np.repeat(several, sizes)]] = True
-        docs.append(doc[unsure])
-        codes.append((code(key[unsure], r["context"][unsure]) << 1) | 1)
+        hot, _ = _crowded(key, doc, r["hot"] > 0, HOT_RECORDS)
+        for chosen, mark in ((unsure & ~hot, AMBIGUOUS), (hot, SPREAD)):
+            docs.append(doc[chosen])
+            codes.append((code(key[chosen], r["context"][chosen]) << 2) | mark)
     rows = list(_by_part(np.stack([np.concatenate(docs), np.concatenate(codes)], 1), parts)) if docs else []
     return pa.table({"part": pa.array([x for x, _ in rows], pa.int64()), "marks": pa.array([x for _, x in rows], pa.binary())})
 
 
-def _marked(a: Anchors, ids: list[int | None], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which anchors are repeats as a whole, and which are ambiguous. marks: (doc, code << 1 and whether ambiguous), sorted."""
+def _marked(a: Anchors, ids: list[int | None], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which anchors are repeats as a whole, which are ambiguous, and which of these are of hot Q-grams. marks: (doc, mark), sorted."""
     own = a.codes()
-    whole, unsure = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    found = [np.zeros(len(own), bool) for _ in range(3)]
     stops = np.searchsorted(a.doc, np.arange(len(ids) + 1))
     named = np.array([i for i, x in enumerate(ids) if x is not None], np.int64)
     values = np.array([x for x in ids if x is not None], np.int64)
@@ -272,10 +296,11 @@ def _marked(a: Anchors, ids: list[int | None], marks: np.ndarray) -> tuple[np.nd
     for i, s, e in zip(named.tolist(), begin.tolist(), end.tolist()):
         if s < e and stops[i] < stops[i + 1]:
             codes, part = marks[s:e, 1], slice(stops[i], stops[i + 1])
-            whole[part] = np.isin(own[part], codes[codes & 1 == 0] >> 1)
-            # a context that is a repeat as a whole stands in a smaller document too, and that one answers for it
-            unsure[part] = np.isin(own[part], codes[codes & 1 == 1] >> 1) & ~whole[part]
-    return whole, unsure
+            for mark, into in zip((WHOLE, AMBIGUOUS, SPREAD), found):
+                into[part] = np.isin(own[part], codes[codes & 3 == mark] >> 2)
+    whole, unsure, hot = found
+    # a context that is a repeat as a whole stands in a smaller document too, and that one answers for it
+    return whole, (unsure | hot) & ~whole, hot & ~whole
 
 
 def refine(data: np.ndarray, room: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -330,7 +355,8 @@ def _resolve(table: pa.Table, parts: int) -> pa.Table:
     new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)) if len(doc) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     last = at[np.append(begin[1:], len(at)) - 1] if len(at) else at
-    rows = list(_by_part(np.stack([doc[begin], at[begin], last], 1), parts))
+    known = np.frombuffer(b"".join(x for x in table.column("runs").to_pylist() if x), "<i8").reshape(-1, 3)
+    rows = list(_by_part(np.concatenate([np.stack([doc[begin], at[begin], last], 1), known]), parts))
     return pa.table({"part": pa.array([x for x, _ in rows], pa.int64()), "runs": pa.array([x for _, x in rows], pa.binary())})
 
 
@@ -364,16 +390,38 @@ def _contexts(texts: pa.Table, marks: pa.Table, buckets: int) -> pa.Table:
     some = texts.filter(pc.is_in(texts.column("doc_id"), pa.array(asked, pa.int64())))
     raw, ids = _bytes(some.column("text")), some.column("doc_id").to_pylist()
     a = Anchors(raw)
-    keep = np.flatnonzero(_marked(a, ids, rows)[1])
+    _, unsure, hot = _marked(a, ids, rows)
+    doc_of, out = np.array(ids, np.int64), []
+    keep = np.flatnonzero(unsure & ~hot)
     of = (a.key[keep] % np.uint64(buckets)).astype(np.int64)
-    out, doc_of = [], np.array(ids, np.int64)
     for b in np.unique(of).tolist():
         own = keep[of == b]
         places = np.zeros(len(own), _PLACE)
         places["doc"], places["first"], places["windows"] = doc_of[a.doc[own]], a.first[own], a.last[own] - a.first[own] + 1
-        out.append((b, places.tobytes(), b"".join([raw[d][f : e + LENGTH] for d, f, e in zip(a.doc[own].tolist(), a.first[own].tolist(), a.last[own].tolist())])))
-    columns = list(zip(*out)) or [[]] * 3
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "places", "contexts"])
+        out.append((b, places.tobytes(), b"".join([raw[d][f : e + LENGTH] for d, f, e in zip(a.doc[own].tolist(), a.first[own].tolist(), a.last[own].tolist())]), b""))
+    out += _spread(raw, doc_of, a, np.flatnonzero(hot), buckets)
+    columns = list(zip(*out)) or [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "places", "contexts", "runs"])
+
+
+def _spread(raw: list[bytes], doc_of: np.ndarray, a: Anchors, hot: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Anchors of hot Q-grams window by window, dealt by the window's own bytes. Of the part's equal windows only those of the smallest document
+    go on; the others are repeats already."""
+    least: dict[bytes, int] = {}
+    sent: dict[int, tuple[list, list]] = {}
+    runs = []
+    for x in hot[np.argsort(doc_of[a.doc[hot]], kind="stable")].tolist():
+        text, doc = raw[a.doc[x]], int(doc_of[a.doc[x]])
+        for p in range(int(a.first[x]), int(a.last[x]) + 1):
+            window = text[p : p + LENGTH]
+            if least.setdefault(window, doc) == doc:
+                places, contexts = sent.setdefault(zlib.crc32(window) % buckets, ([], []))
+                places.append((doc, p, 1))
+                contexts.append(window)
+            else:
+                runs.append((doc, p, p))
+    out = [(b, np.array(places, _PLACE).tobytes(), b"".join(contexts), b"") for b, (places, contexts) in sent.items()]
+    return out + ([(runs[0][0] % buckets, b"", b"", np.array(runs, "<i8").tobytes())] if runs else [])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -414,7 +462,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = cut(records.groupBy("bucket").applyInArrow(lambda t: _compare(t, parts), "part long, marks binary"))
     # rows without an id are dealt by their text
     dealt = own.withColumn("part", F.coalesce(part_of(F.col("doc_id"), parts), F.pmod(F.xxhash64("text"), F.lit(parts)))).groupBy("part")
-    ambiguous = dealt.cogroup(marks.groupBy("part")).applyInArrow(lambda t, m: _contexts(t, m, buckets), "bucket int, places binary, contexts binary")
+    ambiguous = dealt.cogroup(marks.groupBy("part")).applyInArrow(lambda t, m: _contexts(t, m, buckets), "bucket int, places binary, contexts binary, runs binary")
     runs = ambiguous.groupBy("bucket").applyInArrow(lambda t: _resolve(t, parts), "part long, runs binary")
     none = F.lit(None).cast("binary")
     found = marks.select("part", "marks", none.alias("runs")).unionByName(runs.select("part", none.alias("marks"), "runs"))

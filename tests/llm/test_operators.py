@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from burncal.llm import common, decontaminate, licenses, media, packing, pieces, quality, queries, secrets, simhash, suffixes, toxicity
@@ -36,6 +38,31 @@ def test_suffixes(spark, docs, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot, records", [(2, 4096), (64, 2), (1, 1)])
+def test_hot_grams(spark, monkeypatch, hot, records):
+    """A line that all documents share, with their own text around it, and copies of parts of it; Q-grams count as hot early."""
+    line = prose(14, 77)
+    rows = [(i, prose(6 + i % 5, i) + "\n" + line[: 60 + i % 30] + "\n" + prose(9, i // 3) + (" " + line + line if i % 4 == 0 else "")) for i in range(60)] + [(60, None), (None, line)]
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOT_RECORDS", records)
+    # in this process, so that the settings hold: the same steps that Spark runs on its groups
+    docs = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    buckets, parts = 5, 7
+    sent = []
+    for at in range(0, 60, 20):
+        sent += list(suffixes._to_buckets([t.encode() for _, t in rows[at : at + 20]], np.arange(at, at + 20), buckets))
+    binary = lambda values: pa.array(values, pa.binary())
+    marks = pa.concat_tables([suffixes._compare(pa.table({"records": binary([r for k, r, _ in sent if k == b]), "marks": binary([m for k, _, m in sent if k == b])}), parts) for b in range(buckets)])
+    of_part = lambda t, p: t.filter(pc.equal(t.column("part"), p))
+    dealt = docs.append_column("part", pa.array([7 if i is None else int(suffixes._parts(np.array([i]), parts)[0]) for i, _ in rows], pa.int64()))
+    contexts = pa.concat_tables([suffixes._contexts(of_part(dealt, p), of_part(marks, p), buckets) for p in range(parts + 1)])
+    runs = pa.concat_tables([suffixes._resolve(contexts.filter(pc.equal(contexts.column("bucket"), b)), parts) for b in range(buckets)])
+    found = pa.concat_tables([marks.append_column("runs", binary([None] * len(marks))), pa.table({"part": runs.column("part"), "marks": binary([None] * len(runs)), "runs": runs.column("runs")})])
+    result = pa.concat_tables([suffixes._finish(of_part(dealt, p), of_part(found, p), False) for p in range(parts + 1)]).to_pylist()
+    expected = removed(rows)
+    assert sorted((repr(r["doc_id"]), *list(r.values())[1:]) for r in result) == sorted((repr(i), *expected[(i, t)]) for i, t in rows)
+
+
 def test_refine_equals_comparison():
     rng = np.random.RandomState(0)
     for size, letters in ((300, 2), (500, 1), (400, 3)):
