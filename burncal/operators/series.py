@@ -102,10 +102,11 @@ def cusum_points(series: DataFrame) -> DataFrame:
 
 
 def season_profile(fused: DataFrame, before: str = "2026-01", years: int = 15) -> DataFrame:
-    """Mean and sample deviation of log1p counts of the last years of each month; 0.6 where there is one value at most."""
+    """Mean and sample deviation of log1p counts of the last years of each month; 0.6 where there is one value at most. The mean is of exact
+    decimals, so that months with the same counts tie in whatever order their rows come."""
     rank = F.row_number().over(Window.partitionBy("region", month_of("ym")).orderBy(F.desc("ym")))
     recent = fused.filter(F.col("ym") < before).select("region", month_of("ym").alias("month"), F.log1p("est").alias("x"), rank.alias("r")).filter(F.col("r") <= years)
-    return recent.groupBy("region", "month").agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.6)).alias("std"))
+    return recent.groupBy("region", "month").agg((F.sum(F.col("x").cast("decimal(24,14)")).cast("double") / F.count("x")).alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.6)).alias("std"))
 
 
 def season_outlook(fused: DataFrame, before: str = "2026-01", horizon: int = 12) -> DataFrame:
