@@ -38,7 +38,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20  # of item texts at once; a worker holds about 85 bytes for each of them
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
