@@ -266,6 +266,7 @@ def _compare(table: pa.Table, parts: int) -> pa.Table:
         copies = np.flatnonzero(doc > smallest)
         docs.append(doc[copies])
         codes.append((code(key[copies], r["context"][copies]) << 2) | WHOLE)
+        said = np.logical_or.reduceat(r["hot"] > 0, heads)  # a hot task's only record can be a copy of a smaller document's
         r, doc, key = r[heads], doc[heads], key[heads]
         unsure = np.zeros(len(r), bool)
         for side in ("left", "right"):
@@ -277,7 +278,7 @@ def _compare(table: pa.Table, parts: int) -> pa.Table:
                 sizes = np.diff(np.append(starts, len(there)))
                 several = doc[there][starts] != doc[there][starts + sizes - 1]
                 unsure[there[np.repeat(several, sizes)]] = True
-        hot, _ = _crowded(key, doc, r["hot"] > 0, HOT_RECORDS)
+        hot, _ = _crowded(key, doc, said, HOT_RECORDS)
         for chosen, mark in ((unsure & ~hot, AMBIGUOUS), (hot, SPREAD)):
             docs.append(doc[chosen])
             codes.append((code(key[chosen], r["context"][chosen]) << 2) | mark)

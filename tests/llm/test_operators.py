@@ -63,6 +63,37 @@ def test_hot_grams(spark, monkeypatch, hot, records):
     assert sorted((repr(r["doc_id"]), *list(r.values())[1:]) for r in result) == sorted((repr(i), *expected[(i, t)]) for i, t in rows)
 
 
+def by_steps(chunks, buckets=5, parts=7):
+    """The rows of remove_repeats by the steps that Spark runs on its groups, in this process; chunks: the (doc_id, text) of each task."""
+    rows = [row for chunk in chunks for row in chunk]
+    binary = lambda values: pa.array(values, pa.binary())
+    of = lambda t, name, k: t.filter(pc.equal(t.column(name), k))
+    dealt = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows]), "part": suffixes._parts(np.array([i for i, _ in rows]), parts)})
+    sent = [x for chunk in chunks for x in suffixes._to_buckets([t.encode() for _, t in chunk], np.array([i for i, _ in chunk]), buckets)]
+    marks = pa.concat_tables([suffixes._compare(pa.table({"records": binary([r for k, r, _ in sent if k == b]), "marks": binary([m for k, _, m in sent if k == b])}), parts) for b in range(buckets)])
+    contexts = pa.concat_tables([suffixes._contexts(of(dealt, "part", p), of(marks, "part", p), buckets) for p in range(parts)])
+    runs = pa.concat_tables([suffixes._resolve(of(contexts, "bucket", b), parts) for b in range(buckets)])
+    found = pa.concat_tables([marks.append_column("runs", binary([None] * len(marks))), pa.table({"part": runs.column("part"), "marks": binary([None] * len(runs)), "runs": runs.column("runs")})])
+    result = pa.concat_tables([suffixes._finish(of(dealt, "part", p), of(found, "part", p), False) for p in range(parts)])
+    return sorted(tuple(r.values()) for r in result.to_pylist())
+
+
+def by_hand(chunks):
+    rows = [row for chunk in chunks for row in chunk]
+    expected = removed(rows)
+    return sorted((i, *expected[(i, t)]) for i, t in rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hot_record_that_is_a_copy(seed):
+    """One task where a line's Q-grams are hot; in another they are not, and its smaller documents copy the hot task's first one."""
+    own = lambda k: hashlib.sha256(f"{seed} {k}".encode()).hexdigest()[:40]
+    line = "The common line of 30 bytes, X"
+    hot = [(100 + i, f"{own(i)}{line}{own(1000 + i)}") for i in range(4 * suffixes.HOT)]
+    few = [*((1 + i, hot[i][1]) for i in range(10)), *((20 + i, f"{own(2000 + i)}{line}{own(1020 + 5 * i)}") for i in range(40))]
+    assert by_steps([few, hot]) == by_hand([few, hot]) == by_steps([hot, few])
+
+
 def test_refine_equals_comparison():
     rng = np.random.RandomState(0)
     for size, letters in ((300, 2), (500, 1), (400, 3)):
