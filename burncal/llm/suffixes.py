@@ -51,7 +51,7 @@ HOT_RECORDS = 4096  # records of one Q-gram in its bucket, likewise
 WHOLE, AMBIGUOUS, SPREAD = 0, 1, 3  # the two low bits of a mark
 BUCKET_BYTES = 10 << 20  # of text for each bucket of anchors
 PART_BYTES = 6 << 20  # of text for each part of the documents
-_RECORD = np.dtype([("high", "<u4"), ("low", "<u2"), ("context", "<u4"), ("left", "u1"), ("right", "u1"), ("hot", "u1")])
+_RECORD = np.dtype([("key", "<u4"), ("context", "<u8"), ("left", "u1"), ("right", "u1"), ("hot", "u1")])
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -94,7 +94,7 @@ class Anchors:
         if group:
             self._add(raw, group)
         names = ("doc", "at", "first", "last", "key", "context", "left", "right")
-        kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint32, np.uint8, np.uint8)
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint8, np.uint8)
         for k, (name, kind) in enumerate(zip(names, kinds)):
             setattr(self, name, np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, kind))
         del self.parts
@@ -140,7 +140,7 @@ class Anchors:
         def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return _mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
 
-        context = (run(first, last + LENGTH) >> np.uint64(16)).astype(np.uint32)
+        context = run(first, last + LENGTH)
         # a shared window shares SIDE bytes on the left or on the right of the gram; 0: no window reaches so far
         left = (run(np.maximum(at - SIDE, 0), at + Q) >> np.uint64(40)).astype(np.uint8) | np.uint8(1)
         right = (run(at, np.minimum(at + Q + SIDE, n)) >> np.uint64(40)).astype(np.uint8) | np.uint8(1)
@@ -152,11 +152,23 @@ class Anchors:
 
     def codes(self) -> np.ndarray:
         """61 bits that stand for bucket and context in the marks of a document."""
-        return code(self.key, self.context)
+        return code(_short(self.key), self.context)
+
+
+def _short(key: np.ndarray) -> np.ndarray:
+    """The 32 bits of a Q-gram's hash that records carry: Q-grams that share them and a bucket only meet in the exact comparison."""
+    return (key >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
 
 
 def code(key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return (_mix((key & ~np.uint64(0xFFFF)) ^ (context.astype(np.uint64) * np.uint64(_BASE))) >> np.uint64(3)).astype(np.int64)
+    return (_mix(_mix(key * np.uint64(_BASE)) ^ context) >> np.uint64(3)).astype(np.int64)
+
+
+def _differs(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before in any column; the first one does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -203,20 +215,19 @@ def _to_buckets(raw: list[bytes], ids: np.ndarray, buckets: int) -> Iterator[tup
     """(bucket, packed records, packed marks): records of distinct contexts with their smallest document, marks of the others."""
     a = Anchors(raw)
     doc = ids[a.doc]
-    order = np.lexsort((doc, a.context, a.key))
-    key, context, doc = a.key[order], a.context[order], doc[order]
+    order = np.lexsort((doc, a.right, a.left, a.context, a.key))
+    key, context, left, right, doc = a.key[order], a.context[order], a.left[order], a.right[order], doc[order]
     if not len(key):
         return
-    same = np.append(False, (key[1:] == key[:-1]) & (context[1:] == context[:-1]))
-    heads = np.flatnonzero(~same)
+    heads = np.flatnonzero(_differs(key, context, left, right))
     smallest = np.repeat(doc[heads], np.diff(np.append(heads, len(key))))
     resolved = np.flatnonzero(doc > smallest)
     k, own_context, docs = key[heads], context[heads], doc[heads]
     hot, first = _crowded(k, docs, np.zeros(len(k), bool), HOT)
     keep = np.flatnonzero(~hot | first)
     records = np.zeros(len(keep), _RECORD)
-    records["high"], records["low"], records["context"] = k[keep] >> np.uint64(32), (k[keep] >> np.uint64(16)) & np.uint64(0xFFFF), own_context[keep]
-    records["left"], records["right"], records["hot"] = a.left[order][heads][keep], a.right[order][heads][keep], hot[keep]
+    records["key"], records["context"] = _short(k[keep]), own_context[keep]
+    records["left"], records["right"], records["hot"] = left[heads][keep], right[heads][keep], hot[keep]
     bucket = (k[keep] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((docs[keep], bucket))
     stops = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -224,7 +235,7 @@ def _to_buckets(raw: list[bytes], ids: np.ndarray, buckets: int) -> Iterator[tup
         if stops[b] < stops[b + 1]:
             own = order[stops[b] : stops[b + 1]]
             yield b, _pack(docs[keep][own], records[own]), b""
-    known = np.concatenate([np.stack([doc[resolved], (code(key[resolved], context[resolved]) << 2) | WHOLE], 1), np.stack([docs[hot], (code(k[hot], own_context[hot]) << 2) | SPREAD], 1)])
+    known = np.concatenate([np.stack([doc[resolved], (code(_short(key[resolved]), context[resolved]) << 2) | WHOLE], 1), np.stack([docs[hot], (code(_short(k[hot]), own_context[hot]) << 2) | SPREAD], 1)])
     if len(known):
         yield int(known[0, 0] % buckets), b"", known.astype("<i8").tobytes()
 
@@ -256,12 +267,11 @@ def _compare(table: pa.Table, parts: int) -> pa.Table:
             docs.append(pair[:, 0])
             codes.append(pair[:, 1])
     r, doc = np.concatenate(records), np.concatenate(owners)
-    key = (r["high"].astype(np.uint64) << np.uint64(32)) | (r["low"].astype(np.uint64) << np.uint64(16))
-    order = np.lexsort((doc, r["context"], key))
-    r, doc, key = r[order], doc[order], key[order]
+    order = np.lexsort((doc, r["right"], r["left"], r["context"], r["key"]))
+    r, doc = r[order], doc[order]
+    key = r["key"].astype(np.uint64)
     if len(r):
-        head = np.append(True, (key[1:] != key[:-1]) | (r["context"][1:] != r["context"][:-1]))
-        heads = np.flatnonzero(head)
+        heads = np.flatnonzero(_differs(key, r["context"], r["left"], r["right"]))
         smallest = np.repeat(doc[heads], np.diff(np.append(heads, len(key))))
         copies = np.flatnonzero(doc > smallest)
         docs.append(doc[copies])

@@ -94,6 +94,16 @@ def test_hot_record_that_is_a_copy(seed):
     assert by_steps([few, hot]) == by_hand([few, hot]) == by_steps([hot, few])
 
 
+@pytest.mark.parametrize("one, two", [("e4066499b1cef7fcd521", "869c462c68b1e8abdd0d"), ("aa707ccff29b5af7fd74", "3dd2b1e105c4da773538"), ("6a9fafa067347d1043b4", "a7231fee9ef4599d123c")])
+def test_contexts_that_agree_in_32_bits(one, two):
+    """Different bytes before one Q-gram, whose hashes agree in the 32 bits that stood for a context before."""
+    rows = [(i, side + "The common line of 30 bytes, X") for i, side in enumerate((one, two))]
+    anchors = suffixes.Anchors([t.encode() for _, t in rows])
+    assert anchors.key[0] == anchors.key[1] and not int(anchors.context[0] ^ anchors.context[1]) >> 16 & 0xFFFFFFFF
+    assert by_steps([rows]) == by_steps([rows[:1], rows[1:]]) == by_hand([rows])
+    assert all(removed_bytes == 0 for _, _, removed_bytes, *_ in by_steps([rows]))
+
+
 def test_refine_equals_comparison():
     rng = np.random.RandomState(0)
     for size, letters in ((300, 2), (500, 1), (400, 3)):
