@@ -76,7 +76,7 @@ class Vocabulary:
         return cls(raw, scores, byte_ids, max(map(len, scores)), lowest - 10)
 
     def edges_into(self, chunk: str, end: int):
-        """(start, score, ids) of the edges that end at a position of a chunk, longest first."""
+        """(start, score, ids) of the edges that end at a position of a chunk, longest first. A marker after the first character is a literal one: no piece."""
         for start in range(max(0, end - self.longest), end):
             piece = chunk[start:end]
             if (found := self.scores.get(piece)) and (start == 0 or piece[0] != MARK):
@@ -104,12 +104,15 @@ def best_path(vocabulary: Vocabulary, chunk: str, best: list[int]) -> tuple[int,
 
 
 def n_best(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The n best segmentations (score, ids), best first: backward A-star with forward Viterbi scores as heuristic."""
+    """The n best segmentations (score, ids), best first: backward A-star with forward Viterbi scores as heuristic.
+
+    Hypotheses of the queue have no segmentation in common, and each has one that is worth what it says, so only the best n that are
+    still to be found can matter. Among equals the newest comes first: it goes straight on to the start, longest pieces first."""
     best = forward(vocabulary, chunk)
     found, order = [], 0
-    queue: list[tuple[int, int, int, int, tuple]] = [(-best[-1], 0, len(chunk), 0, ())]
+    queue: list[tuple[int, int, int, int, tuple]] = [(best[-1], 0, len(chunk), 0, ())]  # ascending
     while queue and len(found) < n:
-        _, _, end, score, path = heapq.heappop(queue)
+        _, _, end, score, path = queue.pop()
         if not end:
             ids: list[int] = []
             while path:
@@ -117,9 +120,11 @@ def n_best(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[int, tuple[
                 path = path[1]
             found.append((score, tuple(ids)))
             continue
-        for start, own, ids in vocabulary.edges_into(chunk, end):
+        for start, own, ids in reversed(list(vocabulary.edges_into(chunk, end))):
             order += 1
-            heapq.heappush(queue, (-(best[start] + own + score), order, start, score + own, (ids, path)))
+            queue.append((best[start] + own + score, order, start, score + own, (ids, path)))
+        queue.sort()
+        del queue[: max(0, len(queue) - n + len(found))]
     return found
 
 
@@ -253,13 +258,12 @@ class Codec:
         self.columns.append(ids, counts, total, np.where(second < NEVER // 2, -1, total - second))
 
     def _segment_long(self, chunk: str) -> None:
-        marked = chunk[0] + chunk[1:].replace(MARK, "\U0010ffff")
-        best = forward(self.vocabulary, marked)
-        ids = _unmark(self.vocabulary, best_path(self.vocabulary, marked, best))
+        best = forward(self.vocabulary, chunk)
+        ids = best_path(self.vocabulary, chunk, best)
         # the frontier along the best path, as for short chunks
-        end, own, second = len(marked), 0, NEVER
+        end, own, second = len(chunk), 0, NEVER
         while end:
-            edges = list(self.vocabulary.edges_into(marked, end))
+            edges = list(self.vocabulary.edges_into(chunk, end))
             on = next(e for e in edges if best[e[0]] + e[1] == best[end])
             second = max([second, *(best[s] + x + own for s, x, _ in edges if s != on[0])])
             own, end = own + on[1], on[0]
@@ -321,9 +325,8 @@ class Codec:
         return [(score - cost, changed) for cost, changed in best]
 
     def _options(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        marked = MARK + word.replace(MARK, "\U0010ffff")
-        found = n_best(self.vocabulary, marked, n)
-        return [(found[0][0] - s, _unmark(self.vocabulary, ids)) for s, ids in found]
+        found = n_best(self.vocabulary, MARK + word, n)
+        return [(found[0][0] - s, ids) for s, ids in found]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.raw[ids].tolist())[1:].decode() if len(ids) else ""
@@ -332,23 +335,6 @@ class Codec:
 MARK_POINT = ord(MARK)
 
 
-def _unmark(vocabulary: Vocabulary, ids: tuple[int, ...]) -> tuple[int, ...]:
-    """Byte pieces of the stand-in for a literal marker become those of the marker."""
-    stand_in = tuple(vocabulary.byte_ids[b] for b in "\U0010ffff".encode())
-    real = tuple(vocabulary.byte_ids[b] for b in MARK.encode())
-    if stand_in[0] not in ids:
-        return ids
-    out, i = [], 0
-    while i < len(ids):
-        if ids[i : i + 4] == stand_in:
-            out += real
-            i += 4
-        else:
-            out.append(ids[i])
-            i += 1
-    return tuple(out)
-
-
 def _smallest(values: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k smallest values, first ones first among equals."""
     bound = np.partition(values, k - 1)[k - 1]

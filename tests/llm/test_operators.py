@@ -330,6 +330,29 @@ def test_pieces(spark, docs, none, monkeypatch):
         assert a.tolist() == b.tolist() and s == t and [v for v, _ in x] == [v for v, _ in y]
 
 
+def test_long_chunks_with_ties():
+    """Hex digits have very many equally good segmentations; the first one is the one that encoding gives."""
+    codec = pieces.Codec(pieces.Vocabulary.read())
+    word = "".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(1600))[:100_000]
+    ids, score, others = codec.encode([word], 3)[0]
+    assert codec.decode(ids) == word and [s for s, _ in others] == [score] * 3
+    changed = [x[0] for _, x in others[1:]]
+    assert len({tuple(ids.tolist()), *changed}) == 3 and all(codec.decode(np.array(x)) == word for x in changed)
+    for short in (word[:12], "aaaaaaaaaa", "a\U0010ffff▁b"):
+        best, marked = codec.encode([short])[0][0].tolist(), pieces.MARK + short
+        found = pieces.n_best(codec.vocabulary, marked, 600)
+        assert [s for s, _ in found] == all_segmentations(codec.vocabulary, marked)[:600]
+        assert len({x for _, x in found}) == len(found) and list(found[0][1]) == best
+
+
+def test_literal_stand_in():
+    """U+10FFFF beside a literal marker, in chunks of both lengths."""
+    codec = pieces.Codec(pieces.Vocabulary.read())
+    for word in ("a\U0010ffff▁b", "a\U0010ffff▁b" * 20):
+        for ids in (codec.encode([word], 3)[0][0], *(np.array(x[0]) for _, x in codec.encode([word], 3)[0][2][1:])):
+            assert codec.decode(ids) == word
+
+
 def plain_licenses(rows):
     """(document, template) with a window of the template's words that holds 0.8 of its shingles."""
     out = set()
