@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burncal.llm.common import cut, held_out, id_and_text, map_batches, smallest_hashes, texts
+from burncal.llm.common import cut, held_out, id_and_text, map_batches, sampled_copies, smallest_hashes, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -118,7 +118,8 @@ def windows(labelled: DataFrame, lexicon: dict[str, int]) -> tuple[np.ndarray, n
         return pa.record_batch([pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["label", "feats"])
 
     found = map_batches(labelled.select("text", "label"), cut_out, "label int, feats array<int>")
-    found = sorted(smallest_hashes(cut(found), MAX_WINDOWS, "feats", "label").collect(), key=lambda r: (r.feats, r.label))  # not the order of tasks
+    found = sorted(sampled_copies(cut(found), MAX_WINDOWS).collect(), key=lambda r: (r.feats, r.label))  # not the order of tasks
+    found = [r for r in found for _ in range(r.copies)]
     x = np.array([r.feats for r in found], np.int64).reshape(-1, WIDTH, PER_TOKEN)
     there = x[:, :, 0] >= 0
     x = np.maximum(x, 0)

@@ -353,6 +353,25 @@ def test_literal_stand_in():
             assert codec.decode(ids) == word
 
 
+def test_samples_of_copies(spark, monkeypatch):
+    """A third of the rows are copies of one: it is in the sample in proportion, and no more rows are gathered for it."""
+    rows = [("same",)] * 1500 + [(f"own {i}",) for i in range(3000)]
+    for n in (150, 300):
+        found = {r.w: r.copies for r in common.sampled_copies(spark.createDataFrame(rows, "w string"), n).collect()}
+        assert found.pop("same") in (n // 3, n // 3 + 1) and set(found.values()) == {1} and 0.8 * n < 1.5 * len(found) < 1.2 * n
+    assert {r.copies for r in common.sampled_copies(spark.createDataFrame(rows, "w string"), 4500).collect()} == {1, 1500}
+    fitted, net = [], secrets.CharNet
+    monkeypatch.setattr(secrets, "MAX_FINDINGS", 90)
+    monkeypatch.setattr(secrets, "encode", lambda w: np.array(w, object))
+    monkeypatch.setattr(net, "fit", lambda self, x, y: (fitted.append((x, y)), self)[1])
+    monkeypatch.setattr(net, "calibrate", lambda self, x, y: (fitted.append((x, y)), self)[1])
+    for copied in ("AKIA0", "AKIA1", "AKIA2"):
+        found = [("access", copied)] * 300 + [(k, f"{k} {i}") for k in ("access", "cnn") for i in range(600)]
+        secrets.train(spark.createDataFrame([([(k, [w])],) for k, w in found], "found array<struct<kind:string,windows:array<string>>>"))
+        (x, _), (held, _) = fitted[-2:]
+        assert (x == copied).sum() in (24, 25) and (held == copied).sum() in (6, 7) and len(x) + len(held) < 2 * 90 + 40
+
+
 def plain_licenses(rows):
     """(document, template) with a window of the template's words that holds 0.8 of its shingles."""
     out = set()
