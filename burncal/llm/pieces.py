@@ -2,9 +2,13 @@
 
 The vocabulary is a public SentencePiece model file; nothing is trained. A text gets the usual marker for spaces (one in
 front, one for each space), so it falls into chunks that begin with the marker; no piece of positive use crosses a
-chunk, so the lattice of a text is the chain of its chunks' lattices. Edges are pieces with their scores in the model;
-a character that is no piece is an edge of its UTF-8 byte pieces, with the lowest score minus 10. The best segmentation
-has the highest sum of scores, ties going to the longest last piece, then the longest before it, and so on.
+chunk, so the lattice of a text is the chain of its chunks' lattices (the file's pieces of several markers are left out).
+
+The model of the file is a BPE, whose scores are ranks of merges and no likelihoods. Nothing is trained for it either: pieces are
+ranked by frequency, so the law of Zipf and Mandelbrot gives each a probability, 1 / ((rank + SHIFT) * norm), and the score of an
+edge is its logarithm, in whole units of 1 / UNIT nats so that sums are exact. A character that is no piece is an edge of its
+UTF-8 byte pieces, 10 nats under the least piece. The best segmentation has the highest sum of scores, thus the highest likelihood,
+ties going to the longest last piece, then the longest before it, and so on.
 
 Forward Viterbi runs on all new chunks of a batch at once (numpy, one column of characters after the other; substrings are
 looked up by rolling hash and compared with the vocabulary's). Its scores are the exact heuristic of the backward A-star search:
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +39,8 @@ from burncal.llm.common import id_and_text, map_batches, small_batches, texts
 #: Where the public model file lies; a parameter of everything below.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+SHIFT = 300  # of the ranks: with 0 the few first ranks outweigh all others and words fall into letters
+UNIT = 10_000  # parts of a nat
 NEVER = -(1 << 60)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA9B0C7EBA1DA115))
@@ -59,7 +66,7 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        raw, scores, byte_ids = [], {}, [0] * 256
+        raw, ranks, byte_ids = [], {}, [0] * 256
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -69,11 +76,12 @@ class Vocabulary:
                 normal = not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
                 raw.append(piece.replace(MARK, " ").encode() if normal else b"")
                 if normal and MARK not in piece[1:] and model.get_score(i) > -1e8:
-                    scores[piece] = i, round(model.get_score(i))
-        lowest = min(s for _, s in scores.values())
-        if MARK not in scores:  # the lone marker has no rank of its own in some models
-            scores[MARK] = model.piece_to_id(MARK), lowest
-        return cls(raw, scores, byte_ids, max(map(len, scores)), lowest - 10)
+                    ranks[piece] = -model.get_score(i), i
+        if MARK not in ranks:  # the lone marker has no rank of its own in some models
+            ranks[MARK] = max(ranks.values())[0], model.piece_to_id(MARK)
+        norm = math.fsum(1 / (rank + SHIFT) for rank, _ in ranks.values())
+        scores = {piece: (i, -round(UNIT * math.log((rank + SHIFT) * norm))) for piece, (rank, i) in ranks.items()}
+        return cls(raw, scores, byte_ids, max(map(len, scores)), min(s for _, s in scores.values()) - 10 * UNIT)
 
     def edges_into(self, chunk: str, end: int):
         """(start, score, ids) of the edges that end at a position of a chunk, longest first. A marker after the first character is a literal one: no piece."""
@@ -156,6 +164,7 @@ class Codec:
     vocabulary: Vocabulary
     known: dict[str, int] = field(default_factory=dict)
     columns: Columns = field(default_factory=Columns)
+    options: dict[tuple[str, int], list[tuple[int, tuple[int, ...]]]] = field(default_factory=dict)
 
     def __post_init__(self):
         pieces = list(self.vocabulary.scores)
@@ -325,8 +334,15 @@ class Codec:
         return [(score - cost, changed) for cost, changed in best]
 
     def _options(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        found = n_best(self.vocabulary, MARK + word, n)
-        return [(found[0][0] - s, ids) for s, ids in found]
+        """The n best segmentations of a chunk with what each costs against the best; kept for chunks that can come again."""
+        if (known := self.options.get((word, n))) is None:
+            found = n_best(self.vocabulary, MARK + word, n)
+            known = [(found[0][0] - s, ids) for s, ids in found]
+            if len(word) < max(LENGTHS, default=0):
+                if len(self.options) >= CACHE:
+                    self.options.clear()
+                self.options[word, n] = known
+        return known
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.raw[ids].tolist())[1:].decode() if len(ids) else ""
