@@ -10,7 +10,14 @@ before their members are gathered. A bucket with more than HEAVY fingerprints is
 masks over the same bits, with the same guarantee; as both masks together keep about 48 bits, what is left of a bucket has
 a bound of about 2^16 fingerprints. Inside a bucket pairs are compared in numpy and only a spanning star is emitted.
 
-Cases: null and empty texts, and texts without words, have fingerprint zero, linked like any other; rows with a null
+Near copies. Fingerprints of shingles differ in about 10 bits at a similarity of 0.8, too many for a mask of every pattern, but those of
+the distinct words differ less, as a changed word touches one word and five shingles. `near_copies` therefore looks for pairs within the
+radius in any of PRINTS independent fingerprints of the distinct words, each with its covering masks, and links a pair only if
+the similarity of their five-word shingles is 0.8 as far as SKETCH further SimHash bits of the shingles tell: at 0.8 these differ in 39 bits on
+average, with a deviation of 6, and pairs of up to MOST_BITS are linked.
+
+Cases: null and empty texts, and texts without words, have fingerprint zero, linked like any other; very long texts count whole; ties
+(a bit set in just half the hashes) are 0; rows with a null
 doc_id keep their fingerprint and join the component of their fingerprint; repeated rows are kept; an empty table gives
 an empty result; further columns are ignored.
 """
@@ -22,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burncal.llm.common import cut, id_and_text, map_batches
@@ -30,6 +37,8 @@ from burncal.operators.components import connected_components
 
 BITS = 64
 HEAVY = 512
+SHINGLE, PRINTS, SKETCH, MOST_BITS = 5, 3, 256, 48
+WORDS = 200_000  # whose hashes a task keeps
 CHUNK_ROWS = 65_536
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -44,11 +53,33 @@ def fingerprint(text: str, words_per_shingle: int = 4, seed: int = 42) -> bytes:
         raw = digest(b" ".join(words), seed)
     else:
         raw = b"".join([digest(s, seed) for s in map(b" ".join, zip(*(words[k:] for k in range(words_per_shingle))))])
-    hashes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
-    counts = np.bincount((hashes + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
+    return majority(raw, 8)
+
+
+def majority(raw: bytes, size: int) -> bytes:
+    """The bits that are set in over half of some hashes of `size` bytes each."""
+    hashes = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    counts = np.bincount((hashes + np.arange(0, 256 * size, 256)).ravel(), minlength=256 * size).reshape(size, 256) @ _BYTE_BITS
     return np.packbits(counts.ravel() * 2 > len(hashes)).tobytes()
 
 
+def describe(text: str, known: dict[bytes, bytes]) -> bytes:
+    """PRINTS fingerprints of the distinct words, then SKETCH bits of the five-word shingles; zero for a text without words."""
+    words = text.encode().lower().split()
+    if not words:
+        return bytes(8 * PRINTS + SKETCH // 8)
+    own = []
+    for w in set(words):
+        if (h := known.get(w)) is None:
+            if len(known) >= WORDS:
+                known.clear()
+            h = known[w] = xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_64_digest(w, 2)
+        own.append(h)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
+    digest = xxhash.xxh3_128_digest
+    return majority(b"".join(own), 8 * PRINTS) + majority(b"".join([digest(s, 3) + digest(s, 4) for s in shingles]), SKETCH // 8)
+
+
 def covering_masks(radius: int, family: int = 0) -> list[int]:
     """One mask for each non-zero vector of radius+1 bits, as signed longs. Families assign vectors to bits differently."""
     vectors = (1 << (radius + 1)) - 1
@@ -71,8 +102,9 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc
     return map_batches(id_and_text(docs, id_col, text_col), per_batch, "doc_id long, fp long")
 
 
-def _stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, root) of the components that pairs of one group within the radius form. Groups are runs."""
+def _stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (node, root) of the components that pairs of one group within the radius, and within `most` bits of their sketches,
+    form. Groups are runs."""
     label = np.arange(len(fp))
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
@@ -94,6 +126,8 @@ def _stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) ->
         if not len(active):
             break
         near = active[np.bitwise_count(fp[active] ^ fp[active + lag]) <= radius]
+        if sketch.shape[1]:
+            near = near[np.bitwise_count(sketch[near] ^ sketch[near + lag]).sum(1, dtype=np.int64) <= most]
         if len(near):
             held.append((near, near + lag))
             size += len(near)
@@ -107,15 +141,16 @@ def _stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) ->
     return node[linked], node[label[linked]]
 
 
-def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by bucket, a whole number of buckets at a time, and yields star edges."""
+def _link(batches: Iterator[pa.RecordBatch], radius: int, keys: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Reads rows (keys, fp, node, sketch) sorted by bucket, a whole number of buckets at a time, and yields star edges."""
 
     def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
-        *key, fp, node = rows
+        key, fp, node, sketch = rows[:keys], rows[keys], rows[keys + 1], rows[keys + 2 :]
+        sketch = np.stack(sketch, 1).view(np.uint64) if sketch else np.zeros((len(fp), 0), np.uint64)
         changes = np.zeros(len(fp), bool)
         for k in key:
             changes[1:] |= k[1:] != k[:-1]
-        a, b = _stars(np.cumsum(changes), fp.view(np.uint64), node, radius)
+        a, b = _stars(np.cumsum(changes), fp.view(np.uint64), node, radius, sketch, most)
         return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     held: list[np.ndarray] = []
@@ -124,7 +159,7 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         held = [np.concatenate(x) for x in zip(held, new)] if held else new
         if len(held[0]) >= CHUNK_ROWS:
             last = np.ones(len(held[0]), bool)
-            for k in held[:-2]:
+            for k in held[:keys]:
                 last &= k == k[-1]
             stop = len(last) - int(last.sum())  # the last bucket may go on in the next batch
             if stop:
@@ -134,20 +169,24 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         yield edges(held)
 
 
-def near_edges(nodes: DataFrame, radius: int = 4, heavy: int = HEAVY) -> DataFrame:
-    """(a, b): edges that connect exactly what pairs within the radius connect. `nodes` has node, fp; fp is distinct."""
+def near_edges(nodes: DataFrame, radius: int = 4, heavy: int = HEAVY, prints: tuple[str, ...] = ("fp",), sketch: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+    """(a, b): edges that connect exactly what pairs within the radius in one of the prints, and with at most so many different bits of
+    all sketch columns, connect. `nodes` has node and these columns; rows are distinct in them."""
 
-    def table(masks: list[int], number: str, key: str):
-        return F.explode(F.array(*(F.struct(F.lit(i).alias(number), F.col("fp").bitwiseAND(F.lit(m)).alias(key)) for i, m in enumerate(masks))))
+    def tables(columns: tuple[str, ...], family: int, number: str, key: str):
+        masks = covering_masks(radius, family)
+        every = [(j * len(masks) + i, p, m) for j, p in enumerate(columns) for i, m in enumerate(masks)]
+        return F.explode(F.array(*(F.struct(F.lit(t).alias(number), F.col(p).bitwiseAND(F.lit(m)).alias(key), F.col(p).alias("fp")) for t, p, m in every)))
 
-    keyed = nodes.select("fp", "node", table(covering_masks(radius), "t", "k").alias("s")).select("s.t", "s.k", "fp", "node")
-    shared = keyed.groupBy("t", "k").count().filter("count > 1")
-    met = cut(keyed.join(shared, ["t", "k"]).select("t", "k", "fp", "node", (F.col("count") > heavy).alias("is_heavy")))
+    keyed = nodes.select("node", tables(prints, 0, "t", "k").alias("s")).select("s.t", "s.k", "s.fp", "node")
+    met = cut(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "k"))).filter("n > 1").select("t", "k", "fp", "node", (F.col("n") > heavy).alias("is_heavy")))
     light = met.filter("not is_heavy").select("t", "k", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp", "node")
-    second = met.filter("is_heavy").select("t", "k", "fp", "node", table(covering_masks(radius, 1), "t2", "k2").alias("s"))
-    split = light.unionByName(second.select("t", "k", "s.t2", "s.k2", "fp", "node"))
+    second = met.filter("is_heavy").select("t", "k", "node", tables(("fp",), 1, "t2", "k2").alias("s"))
+    split = light.unionByName(second.select("t", "k", "s.t2", "s.k2", "s.fp", "node"))
+    if sketch:
+        split = split.join(nodes.select("node", *sketch), "node").select("t", "k", "t2", "k2", "fp", "node", *sketch)
     key = ["t", "k", "t2", "k2"]
-    return split.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: _link(batches, radius), "a long, b long")
+    return split.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: _link(batches, radius, len(key), most), "a long, b long")
 
 
 def near_components(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -159,8 +198,32 @@ def near_components(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4
     return rows.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
+def near_copies(docs: DataFrame, radius: int = 4, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
+    """doc_id, component_id for every row: the smallest doc_id reachable over links between near copies. Rows with a null doc_id join the
+    component of their text."""
+    prints, sketch = tuple(f"f{k}" for k in range(PRINTS)), tuple(f"s{k}" for k in range(SKETCH // 64))
+    own = [*prints, *sketch]
+    known: dict[bytes, bytes] = {}
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = b"".join(describe(t or "", known) for t in batch.column("text").to_pylist())
+        values = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, len(own))
+        return pa.record_batch([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], ["doc_id", *own])
+
+    rows = cut(map_batches(id_and_text(docs, id_col, text_col), per_batch, "doc_id long, " + ", ".join(f"{c} long" for c in own)))
+    nodes = cut(rows.groupBy(*own).agg(F.min("doc_id").alias("node")))
+    components = connected_components(near_edges(nodes.filter("node is not null"), radius, heavy, prints, sketch, most_bits))
+    named = nodes.join(components, "node", "left").select(*own, F.coalesce("component", "node").alias("component_id"))
+    return rows.join(named, own, "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of the smallest doc_id of each component, once each; rows without a doc_id can't be named and stay."""
-    kept = near_components(docs, radius, words_per_shingle).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))
+
+
+def deduplicate(docs: DataFrame, radius: int = 4, most_bits: int = MOST_BITS) -> DataFrame:
+    """One row of each group of near copies, all columns."""
+    return one_of_each(docs, near_copies(docs, radius, most_bits))
