@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import io
 import itertools
+import math
 import re
 import struct
 import wave
@@ -21,7 +22,7 @@ import pytest
 from burncal.llm import common, decontaminate, licenses, media, packing, pieces, quality, queries, secrets, simhash, suffixes, toxicity
 from burncal.operators.components import connected_components
 from tests.conftest import SF
-from tests.llm.data import BASE, LONG, PASSAGE, ROWS, components, frame, prose, removed
+from tests.llm.data import BASE, LONG, PASSAGE, ROWS, components, frame, near_copies, prose, removed
 from tests.llm.data import simhash as plain_simhash
 
 
@@ -145,9 +146,28 @@ def test_simhash(spark, docs, none):
         assert len(found) == len(ROWS)
         assert all(r.component_id == expected[r.doc_id] for r in found if r.doc_id is not None)
     assert simhash.near_components(none).count() == 0
-    kept = simhash.deduplicate(docs)
+
+
+def test_near_copies(spark, docs, none):
+    rng = np.random.RandomState(4)
+    rows = [r for r in ROWS if r[0] is not None and len(r[1] or "") < 9000]
+    for k in range(6):
+        words = [f"{w}{rng.randint(40)}" for w in prose(200, 900 + k).split()]
+        for j in range(6):
+            changed = list(words)
+            for at in rng.randint(0, 200, 2):
+                changed[at] = f"new{at}"
+            rows.append((1000 + 10 * k + j, " ".join(changed)))
+    expected = near_copies(rows)
+    for heavy in (simhash.HEAVY, 1):
+        found = simhash.near_copies(frame(spark, rows), heavy=heavy).collect()
+        assert len(found) == len(rows) and all(r.component_id == expected[r.doc_id] for r in found)
+    assert np.mean([expected[1000 + 10 * k + j] == 1000 + 10 * k for k in range(6) for j in range(1, 6)]) >= 0.9  # two words of 200 each: a similarity of 0.8
+    assert simhash.near_copies(none).count() == 0
+    kept = simhash.deduplicate(frame(spark, rows))
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(expected.values()))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
+    assert {r.text for r in simhash.deduplicate(docs).collect() if r.doc_id is None} == {BASE, "alone"}
 
 
 @pytest.mark.parametrize("radius", [2, 4])
@@ -623,31 +643,79 @@ def test_toxicity(spark, docs, none):
     model = toxicity.fit(documents, labels)
     scored = {r.doc_id: r for r in toxicity.score_toxicity(documents, model).collect()}
     held = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert np.mean([(scored[r.doc_id].score >= 0.5) == bool(r.toxic) for r in held]) >= 0.9
+    assert np.mean([(scored[r.doc_id].score >= 0.5) == bool(r.toxic) for r in held]) >= 0.95
     texts = {r.doc_id: r.text for r in documents.collect()}
     assert all(texts[d][s.start : s.end].isalpha() for d, r in scored.items() for s in r.spans)
+    assert all(r.spans for r in scored.values() if r.score >= 0.5)
+    # each row by a plain version: features and recursion token by token
+    for d in sorted(scored)[:60]:
+        score, offending = plain_toxicity(model, texts[d] or "")
+        assert abs(score - scored[d].score) < 2e-6 and [(s.start, s.end) for s in scored[d].spans] == offending
     rows = toxicity.score_toxicity(docs, model).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows) and all(r.score < 0.5 for r in rows if r.doc_id in (1, 2, 3))
     assert toxicity.score_toxicity(none, model).count() == 0
     empty = toxicity.fit(documents, labels.limit(0))
-    assert empty.constant == 0.5 and {r.score for r in toxicity.score_toxicity(docs, empty).collect()} == {0.5}
+    assert empty.constant == 0.5 and {(r.score, len(r.spans)) for r in toxicity.score_toxicity(docs, empty).collect()} == {(0.5, 0)}
+
+
+def plain_toxicity(model, text):
+    """Score and offending offsets of a text: one token after the other, in logarithms."""
+    places = [m.span() for m in toxicity.WORD.finditer(text)]
+    own = [toxicity.features(text[s:e]) for s, e in places]
+    n, t = len(own), model.transitions
+    if not n:
+        return model_score(model, []), []
+    w = lambda i: float(model.weights[i])
+    emission = [model.bias + sum(map(w, f[: toxicity.OWN])) + (w(own[i - 1][-2]) if i else 0) + (w(own[i + 1][-1]) if i + 1 < n else 0) for i, f in enumerate(own)]
+    emission = [min(max(e, -40), 40) for e in emission]
+    add = np.logaddexp
+    forward, backward = [(0.0, emission[0])], [(0.0, 0.0)]
+    for e in emission[1:]:
+        o, x = forward[-1]
+        forward.append((add(o + t[0, 0], x + t[1, 0]), add(o + t[0, 1], x + t[1, 1]) + e))
+    for e in emission[:0:-1]:
+        o, x = backward[-1]
+        backward.append((add(t[0, 0] + o, t[0, 1] + e + x), add(t[1, 0] + o, t[1, 1] + e + x)))
+    p = [1 / (1 + math.exp(min(700, a[0] + b[0] - a[1] - b[1]))) for a, b in zip(forward, backward[::-1])]
+    score = model_score(model, p)
+    found = [places[i] for i in range(n) if p[i] >= 0.5] or ([places[p.index(max(p))]] if score >= 0.5 else [])
+    return score, found
+
+
+def model_score(model, p):
+    best = min(max(p, default=0), 1 - 1e-12)
+    a = max(-12, math.log(best / (1 - best))) if best else -12
+    return 1 / (1 + math.exp(-(model.calibration @ [1, a, math.log1p(sum(p))])))
 
 
 def test_chain_marginals_equal_enumeration():
     rng = np.random.RandomState(3)
-    n, weights = 9, {2: 1.5, 5: -0.7, 6: 2.0}
-    model = toxicity.Model({}, np.zeros(1), -1.0, rng.standard_normal((2, 2)), np.zeros(3))
-    emission = np.array([[-1.0 + weights.get(i, 0.0) for i in range(n)]])
+    n, transitions = 9, rng.standard_normal((2, 2))
+    emission = rng.standard_normal((1, n)) - 1
     total = np.zeros(n)
     norm = 0.0
     for bits in range(1 << n):
         path = [bits >> i & 1 for i in range(n)]
-        w = np.exp(sum(emission[0, i] for i in range(n) if path[i]) + sum(model.transitions[a, b] for a, b in zip(path, path[1:])))
+        w = np.exp(sum(emission[0, i] for i in range(n) if path[i]) + sum(transitions[a, b] for a, b in zip(path, path[1:])))
         norm += w
         total += w * np.array(path)
-    assert np.allclose(toxicity.Tagger(model).marginals(list(weights), list(weights.values()), n), (total / norm)[list(weights)])
-    batched, _ = toxicity.chain_marginals(emission, np.ones((1, n), bool), model.transitions)
+    batched, _ = toxicity.chain_marginals(emission, np.ones((1, n), bool), transitions)
     assert np.allclose(batched[0], total / norm)
+    assert np.allclose(toxicity.marginals(emission[0], np.arange(n) == 0, transitions), total / norm)
+
+
+@pytest.mark.parametrize("scale", [0.3, 2.0])
+def test_blocks_of_chains(scale):
+    """Chains of all lengths, cut into blocks, against the recursion over each whole chain."""
+    rng = np.random.RandomState(int(scale * 10))
+    transitions, lengths = rng.standard_normal((2, 2)) * scale, [1, 5, 1700, 2, 400, 1]
+    chains = [rng.standard_normal(n) * 2 - 1 for n in lengths]
+    first = np.concatenate([np.arange(n) == 0 for n in lengths])
+    for block in (4, 64, 256):
+        found = np.split(toxicity.marginals(np.concatenate(chains), first, transitions, block), np.cumsum(lengths)[:-1])
+        for emission, p in zip(chains, found):
+            assert np.abs(toxicity.chain_marginals(emission[None], np.ones((1, len(emission)), bool), transitions)[0][0] - p).max() < 1e-10
+    assert not len(toxicity.marginals(np.zeros(0), np.zeros(0, bool), transitions))
 
 
 def test_quality(spark, docs, none):
