@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept. All but the last return the columns of
 documents.
+
+Cases: null and empty texts are scored, linked and kept like any other (null texts stay null) and have no pieces; rows with a null doc_id can't
+be named by the near-dedup, which keeps them all; of rows with one doc_id it keeps one; ties go to the smallest doc_id; very long texts go
+through whole; further columns are carried along up to the last stage, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by SimHash, the one with the smallest doc_id stays."""
+    """Of each group of near copies (similar to 0.8 or more in shingles of five words, found by SimHash), the one with the smallest doc_id stays."""
     return simhash.deduplicate(docs)
 
 
@@ -29,12 +33,12 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark."""
+    """Secrets in the texts, the rules' and those that the networks add, are replaced by a mark."""
     return secrets.redact_secrets(docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids and score of the best segmentation, and the second best as it differs from it."""
+    """doc_id, n_pieces, ids and score of the most likely segmentation, and the second best as it differs from it."""
     return pieces.encode_documents(docs, n=2).select("doc_id", F.size("ids").alias("n_pieces"), "ids", "score", "alternatives")
 
 
