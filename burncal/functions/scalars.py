@@ -24,9 +24,9 @@ def rounded(x, digits: int = 0) -> Column:
     return F.floor(col(x) * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
 
 
-def exact_sum(x, digits: int = 2) -> Column:
-    """A sum of doubles with few decimals that does not depend on the order of rows."""
-    return F.sum(col(x).cast(f"decimal(18,{digits})")).cast("double")
+def exact_sum(x) -> Column:
+    """A sum that does not depend on the order of rows: of decimals with ten fractional digits, more than any feed carries."""
+    return F.sum(col(x).cast("decimal(28,10)")).cast("double")
 
 
 def clamped(x, low: float, high: float) -> Column:

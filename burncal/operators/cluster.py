@@ -10,16 +10,22 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from burncal.functions.scalars import KM_LAT, KM_LON, cluster_class, complex_class, confidence, confidence_training, exact_sum, haversine_km, rounded, weak_label
 from burncal.operators.components import connected_components
 from burncal.session import cut
 
+SCENE_POINTS = 50_000  # of a scene that one task labels
+SUB_CELLS = 8
+
 
 def neighbor_pairs(points: DataFrame, eps: float, scene=("day",), dims=("lon", "lat"), own: bool = False) -> DataFrame:
     """(a, b, d2) of the pairs of a scene within eps, both ways; with own also each point with itself."""
@@ -61,6 +67,31 @@ def _squared(a: str, b: str, dims):
     return sum(terms[1:], terms[0])
 
 
+def _met_cells(core: DataFrame, pairs: DataFrame, eps: float, side: float, dims) -> DataFrame:
+    """Of pairs of cells (na, nb) those with core points (node and place) within eps of each other. Cells are cut into small ones, at most
+    SUB_CELLS in each dimension: a pair is sure if two small ones lie within eps as a whole, and only where none does are the distinct
+    places of small ones compared that may. So the rows of a pair are bounded by the small cells, however many points there are."""
+    sub = [F.floor(F.col(x) / side).alias(f"s{k}") for k, x in enumerate(dims)]
+    ends = [f for x in dims for f in (F.min(x).alias(f"low_{x}"), F.max(x).alias(f"high_{x}"))]
+    small = core.groupBy("node", *sub).agg(*ends)
+    names = [f"s{k}" for k in range(len(dims))] + [f"{e}_{x}" for x in dims for e in ("low", "high")]
+    a = small.select(F.col("node").alias("na"), *(F.col(c).alias(f"a_{c}") for c in names))
+    both = pairs.join(a, "na").join(small.withColumnRenamed("node", "nb"), "nb")
+    gap = [F.greatest(F.lit(0.0), F.col(f"low_{x}") - F.col(f"a_high_{x}"), F.col(f"a_low_{x}") - F.col(f"high_{x}")) for x in dims]
+    span = [F.greatest(F.col(f"high_{x}") - F.col(f"a_low_{x}"), F.col(f"a_high_{x}") - F.col(f"low_{x}")) for x in dims]
+    near = sum((g * g for g in gap[1:]), gap[0] * gap[0]) <= eps * eps * (1 + 1e-9)
+    sure = sum((g * g for g in span[1:]), span[0] * span[0]) <= eps * eps * (1 - 1e-9)
+    keys = [f"{p}s{k}" for p in ("a_", "") for k in range(len(dims))]
+    both = cut(both.filter(near).select("na", "nb", *keys, sure.alias("sure")))
+    found = both.filter("sure").select("na", "nb").distinct()
+    left = both.join(found, ["na", "nb"], "left_anti")
+    places = core.select("node", *sub, *dims).distinct()
+    x = places.select(F.col("node").alias("na"), *(F.col(f"s{k}").alias(f"a_s{k}") for k in range(len(dims))), *(F.col(d).alias(f"a_{d}") for d in dims))
+    y = places.select(F.col("node").alias("nb"), *(f"s{k}" for k in range(len(dims))), *(F.col(d).alias(f"b_{d}") for d in dims))
+    close = left.join(x, ["na", *(f"a_s{k}" for k in range(len(dims)))]).join(y, ["nb", *(f"s{k}" for k in range(len(dims)))]).filter(_squared("a_", "b_", dims) <= eps * eps)
+    return found.unionByName(close.select("na", "nb").distinct())
+
+
 def dbscan(points: DataFrame, eps: float, min_pts: int = 3, scene=("day",), dims=("lon", "lat")) -> DataFrame:
     """The points with `component` (first core point of the cluster; null for noise) and `label` (number of the cluster in its scene, from 1).
 
@@ -92,9 +123,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int = 3, scene=("day",), dims
     near = sum((g * g for g in gap[1:]), gap[0] * gap[0]) <= eps * eps * (1 + 1e-9)
     sure = sum((g * g for g in span[1:]), span[0] * span[0]) <= eps * eps * (1 - 1e-9)
     pairs = cut(pairs.filter(near).select("na", "nb", sure.alias("sure")))
-    a = core.select(F.col("node").alias("na"), *(F.col(x).alias(f"a_{x}") for x in dims))
-    b = core.select(F.col("node").alias("nb"), *(F.col(x).alias(f"b_{x}") for x in dims))
-    tested = pairs.filter("not sure").join(a, "na").join(b, "nb").filter(_squared("a_", "b_", dims) <= eps * eps).select("na", "nb").distinct()
+    tested = _met_cells(core, pairs.filter("not sure").select("na", "nb"), eps, side / SUB_CELLS, dims)
     found = connected_components(pairs.filter("sure").select("na", "nb").unionByName(tested), "na", "nb")
     cores = core.select("pt_seq", "node").join(found, "node", "left").select("pt_seq", F.coalesce("component", "node").alias("component"))
     border = met.join(cores.withColumnRenamed("pt_seq", "b"), "b").groupBy(F.col("a").alias("pt_seq")).agg(F.min("component").alias("near"))
@@ -105,40 +134,103 @@ def dbscan(points: DataFrame, eps: float, min_pts: int = 3, scene=("day",), dims
     return labelled.join(numbers.select("component", number.alias("label")), "component", "left")
 
 
-def dbscan_scene(scene: pd.DataFrame, eps: float, min_pts: int, dims=("lon", "lat")) -> pd.DataFrame:
-    """The same labels for one small scene in memory, as pt_seq, component, label (from 1; missing for noise)."""
-    rows = scene.sort_values("pt_seq")
-    x = rows[list(dims)].to_numpy(float)
-    cell: dict[tuple, list[int]] = {}
-    places = np.floor(x / eps).astype(int)
-    for i, c in enumerate(map(tuple, places.tolist())):
-        cell.setdefault(c, []).append(i)
-    near = []
-    for i, c in enumerate(places.tolist()):
-        around = np.array([j for o in itertools.product((-1, 0, 1), repeat=len(dims)) for j in cell.get(tuple(a + b for a, b in zip(c, o)), ())])
-        d2 = ((x[around] - x[i]) ** 2).sum(1)
-        near.append(around[(d2 <= eps * eps) & (around != i)])
-    core = np.array([len(n) + 1 >= min_pts for n in near], bool)
-    label = np.full(len(x), -1)
-    number = 0
-    for i in range(len(x)):
-        if core[i] and label[i] < 0:
-            label[i], queue = number, [i]
-            while queue:
-                for j in near[queue.pop()]:
-                    if label[j] < 0:
-                        label[j] = number
-                        if core[j]:
-                            queue.append(j)
-            number += 1
-    ids = rows["pt_seq"].to_numpy()
-    first = {c: ids[(label == c) & core].min() for c in range(number)}
-    return pd.DataFrame({"pt_seq": ids, "component": pd.array([first.get(v) for v in label], "Int64"), "label": pd.array([v + 1 if v >= 0 else None for v in label], "Int64")})
-
-
-def dbscan_small_scenes(points: DataFrame, eps: float, min_pts: int = 3, scene: str = "day") -> DataFrame:
-    """pt_seq, component, label with one task per scene; for many scenes that each fit in memory."""
-    return points.select(scene, "pt_seq", "lon", "lat").groupBy(scene).applyInPandas(lambda s: dbscan_scene(s, eps, min_pts), "pt_seq long, component long, label int")
+class _Grid:
+    """Points in the cells of a grid, for pairs of points of cells that touch, a bounded number at a time."""
+
+    def __init__(self, x: np.ndarray, side: float, most: int = 1 << 21):
+        cells = np.floor(x / side).astype(np.int64)
+        cells -= cells.min(0) - 1
+        base = np.append(np.cumprod((cells.max(0) + 2)[::-1])[::-1][1:], 1)
+        key = cells @ base
+        self.order, self.most = np.argsort(key, kind="stable"), most
+        self.key = key[self.order]
+        ahead = [o for o in itertools.product((-1, 0, 1), repeat=x.shape[1]) if o > (0,) * x.shape[1]]
+        self.steps = [int(np.array(o) @ base) for o in ahead]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each pair once, as positions of points."""
+        place = np.arange(len(self.key))
+        for step in (0, *self.steps):
+            end = np.searchsorted(self.key, self.key + step, "right")
+            begin = place + 1 if step == 0 else np.searchsorted(self.key, self.key + step)
+            size = end - begin
+            total = np.cumsum(size)
+            first = 0
+            while first < len(place):
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + self.most, "right")))
+                own = size[first:last]
+                a = np.repeat(place[first:last], own)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(begin[first:last], own)
+                yield self.order[a], self.order[b]
+                first = last
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots (the smallest member) after the components of a and b have become one."""
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def label_scene(x: np.ndarray, eps: float, min_pts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Component (position of its first core point, -1 for noise) and label (from 1, 0 for noise) of points in the order of their ids."""
+    n = len(x)
+
+    def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in grid.pairs():
+            d = x[a] - x[b]
+            close = (d * d).sum(1) <= eps * eps
+            yield a[close], b[close]
+
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grid, degree = _Grid(x, eps * (1 + 1e-9)), np.zeros(n, np.int64)
+    for a, b in near():
+        degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    core, root, border = degree + 1 >= min_pts, np.arange(n), []
+    for a, b in near():
+        both = core[a] & core[b]
+        root = _joined(root, a[both], b[both])
+        a, b = np.where(core[a], b, a), np.where(core[a], a, b)
+        edge = ~core[a] & core[b]
+        border.append(np.stack([a[edge], b[edge]]))
+    component = np.where(core, root, n)
+    at, of = np.concatenate(border, 1)
+    np.minimum.at(component, at, root[of])
+    found, number = np.unique(component, return_inverse=True)
+    noise = component == n
+    return np.where(noise, -1, component), np.where(noise, 0, number + 1)
+
+
+def dbscan_scenes(points: DataFrame, eps: float, min_pts: int = 3, scene=("day",), dims=("lon", "lat")) -> DataFrame:
+    """What `dbscan` gives, with one task per scene; for scenes that each fit in memory."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pt_seq")
+        ids = rows.column("pt_seq").to_numpy()
+        component, label = label_scene(np.stack([rows.column(d).to_numpy() for d in dims], 1), eps, min_pts)
+        noise = component < 0
+        component, label = pa.array(ids[component], pa.int64(), mask=noise), pa.array(label, pa.int32(), mask=noise)
+        return rows.append_column("component", component).append_column("label", label)
+
+    schema = StructType([*points.schema.fields, StructField("component", LongType()), StructField("label", IntegerType())])
+    return points.groupBy(*scene).applyInArrow(one, schema)
+
+
+def labelled(points: DataFrame, eps: float, min_pts: int = 3, scene=("day",), dims=("lon", "lat"), most: int = SCENE_POINTS) -> DataFrame:
+    """The points with component and label: scenes of up to `most` points one task each, larger ones over cells."""
+    over = points.groupBy(*scene).count().filter(F.col("count") > most).drop("count")
+    if not over.head(1):
+        return dbscan_scenes(points, eps, min_pts, scene, dims)
+    over = cut(over)
+    small, large = points.join(over, list(scene), "left_anti"), points.join(over, list(scene), "left_semi")
+    return dbscan_scenes(small, eps, min_pts, scene, dims).unionByName(dbscan(large, eps, min_pts, scene, dims).select(*points.columns, "component", F.col("label").cast("int").alias("label")))
 
 
 def standardized(points: DataFrame, columns: dict[str, str], scene=("day",)) -> DataFrame:
@@ -150,11 +242,11 @@ def standardized(points: DataFrame, columns: dict[str, str], scene=("day",)) ->
     return joined.select(*points.columns, *z)
 
 
-def cluster_stats(labelled: DataFrame) -> DataFrame:
+def cluster_stats(rows: DataFrame) -> DataFrame:
     """Measures of each cluster of each day. The second pass needs the centroid, which comes from a join with one row per cluster."""
-    members = labelled.filter("label is not null").withColumn("power", F.when(F.coalesce("frp", F.lit(0.0)) == 0, 0.5).otherwise(F.col("frp"))).withColumn("conf", confidence("conf_raw"))
+    members = rows.filter("label is not null").withColumn("power", F.when(F.coalesce("frp", F.lit(0.0)) == 0, 0.5).otherwise(F.col("frp"))).withColumn("conf", confidence("conf_raw"))
     n = F.count("*")
-    centroid = members.groupBy("day", "label").agg((exact_sum("lon", 3) / n).alias("c_lon"), (exact_sum("lat", 3) / n).alias("c_lat"))
+    centroid = members.groupBy("day", "label").agg((exact_sum("lon") / n).alias("c_lon"), (exact_sum("lat") / n).alias("c_lat"))
     away = members.join(centroid, ["day", "label"]).withColumn("km", haversine_km(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon")))
     stats = away.groupBy("day", "label").agg(
         n.alias("n"), exact_sum("power").alias("frp_sum"), (exact_sum("power") / n).alias("frp_mean"), F.max("power").alias("frp_max"),
@@ -165,9 +257,9 @@ def cluster_stats(labelled: DataFrame) -> DataFrame:
     return stats.withColumn("cluster_id", F.format_string("F-%03d", "label")).withColumn("class", cluster_class("n", "frp_sum"))
 
 
-def cluster_sensor_mix(labelled: DataFrame) -> DataFrame:
+def cluster_sensor_mix(rows: DataFrame) -> DataFrame:
     """Detections of each sensor in each cluster, their whole percentage, and whether the sensor leads (of equals the first seen)."""
-    counts = labelled.filter("label is not null").groupBy("day", "label", "sensor").agg(F.count("*").alias("n"), F.min("pt_seq").alias("first_seen"))
+    counts = rows.filter("label is not null").groupBy("day", "label", "sensor").agg(F.count("*").alias("n"), F.min("pt_seq").alias("first_seen"))
     w = Window.partitionBy("day", "label")
     leads = F.row_number().over(w.orderBy(F.desc("n"), "first_seen")) == 1
     return counts.select("day", "label", "sensor", "n", rounded(F.col("n") * 100.0 / F.sum("n").over(w)).alias("pct"), leads.alias("leads"))
@@ -180,31 +272,31 @@ def cluster_classes(stats: DataFrame) -> DataFrame:
     return classes.join(stats.groupBy("class").agg(F.count("*").alias("n")), "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def segmentation_summary(labelled: DataFrame, eps: float, min_pts: int) -> DataFrame:
+def segmentation_summary(rows: DataFrame, eps: float, min_pts: int) -> DataFrame:
     """Per day: detections, those in no cluster, and the share inside clusters."""
     total = F.count("*")
     inside = F.count("label")
-    return labelled.groupBy("day").agg(total.alias("total"), (total - inside).alias("scattered"), (inside * 100.0 / total).alias("clustered_pct"), F.lit(eps).alias("eps"), F.lit(min_pts).alias("min_pts"))
+    return rows.groupBy("day").agg(total.alias("total"), (total - inside).alias("scattered"), (inside * 100.0 / total).alias("clustered_pct"), F.lit(eps).alias("eps"), F.lit(min_pts).alias("min_pts"))
 
 
 def weak_labels(points: DataFrame, eps: float = 0.12, min_pts: int = 6) -> DataFrame:
     """pt_seq and training label: the class of its cluster by standardized place within the day, ISOLATED outside clusters."""
     scaled = standardized(points, {"lat": "z_lat", "lon": "z_lon"})
-    labelled = dbscan(scaled, eps, min_pts, dims=("z_lat", "z_lon"))
-    sizes = labelled.filter("label is not null").groupBy("day", "label").agg(F.count("*").alias("n"), exact_sum("frp").alias("s"))
-    joined = labelled.select("pt_seq", "day", "label").join(sizes, ["day", "label"], "left")
+    found = labelled(scaled, eps, min_pts, dims=("z_lat", "z_lon"))
+    sizes = found.filter("label is not null").groupBy("day", "label").agg(F.count("*").alias("n"), exact_sum("frp").alias("s"))
+    joined = found.select("pt_seq", "day", "label").join(sizes, ["day", "label"], "left")
     return joined.select("pt_seq", F.when(F.col("label").isNull(), "ISOLATED").otherwise(weak_label("n", "s")).alias("behavior"))
 
 
 def complex_stats(points: DataFrame, eps: float = 0.12, min_pts: int = 6, k: int | None = None) -> DataFrame:
     """Complexes over all rows by standardized place and log power, with their measures, rank by power and class; those under min_pts are left out."""
     scaled = standardized(points.withColumn("log_frp", F.log1p("frp")), {"lat": "z_lat", "lon": "z_lon", "log_frp": "z_frp"}, scene=()).withColumn("scene", F.lit(0))
-    labelled = dbscan(scaled, eps, min_pts, scene=("scene",), dims=("z_lat", "z_lon", "z_frp")).filter("label is not null").withColumn("conf", confidence_training("conf_raw"))
+    found = labelled(scaled, eps, min_pts, scene=("scene",), dims=("z_lat", "z_lon", "z_frp")).filter("label is not null").withColumn("conf", confidence_training("conf_raw"))
     n = F.count("*")
-    stats = labelled.groupBy((F.col("label") - 1).alias("complex_id")).agg(
+    stats = found.groupBy((F.col("label") - 1).alias("complex_id")).agg(
         n.alias("detections"), rounded(exact_sum("frp"), 1).alias("total_frp_mw"), rounded(exact_sum("frp") / n, 1).alias("mean_frp_mw"), rounded(F.max("frp"), 1).alias("max_frp_mw"),
         rounded(F.sum("conf") / n, 1).alias("mean_confidence"), F.array_join(F.sort_array(F.collect_set("sensor")), "+").alias("sensors"),
-        rounded(exact_sum("lat", 3) / n, 4).alias("centroid_lat"), rounded(exact_sum("lon", 3) / n, 4).alias("centroid_lon"), F.count_distinct("day").alias("acq_days"),
+        rounded(exact_sum("lat") / n, 4).alias("centroid_lat"), rounded(exact_sum("lon") / n, 4).alias("centroid_lon"), F.count_distinct("day").alias("acq_days"),
         rounded(F.count_if("night") / n, 3).alias("night_fraction"),
     ).filter(F.col("detections") >= min_pts)
     rank = F.row_number().over(Window.orderBy(F.desc("total_frp_mw"), "complex_id"))  # one row per complex
@@ -239,13 +331,13 @@ def hull_measures(ring: np.ndarray, lat0: float) -> tuple[float, float]:
     return float(area), float(np.hypot(step[:, 0] * KM_LON * at, step[:, 1] * KM_LAT).sum())
 
 
-def cluster_hulls(labelled: DataFrame) -> DataFrame:
+def cluster_hulls(found: DataFrame) -> DataFrame:
     """Hull, area, perimeter and elongation of each cluster. Only the extremes of thin columns of places go to the hull, as all others lie inside."""
-    members = labelled.filter("label is not null")
+    members = found.filter("label is not null")
     column = F.floor(F.col("lon") * 1000)
     # of the points of one longitude only the northernmost and the southernmost can be on the hull
     thin = members.groupBy("day", "label", column.alias("column"), "lon").agg(F.min("lat").alias("low"), F.max("lat").alias("high"))
-    centre = members.groupBy("day", "label").agg((exact_sum("lat", 3) / F.count("*")).alias("lat0"), (exact_sum("lon", 3) / F.count("*")).alias("lon0"), F.count("*").alias("n"))
+    centre = members.groupBy("day", "label").agg((exact_sum("lat") / F.count("*")).alias("lat0"), (exact_sum("lon") / F.count("*")).alias("lon0"), F.count("*").alias("n"))
     radius = members.join(centre, ["day", "label"]).groupBy("day", "label").agg(F.avg(haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))).alias("radius"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -261,3 +353,17 @@ def cluster_hulls(labelled: DataFrame) -> DataFrame:
 
     joined = thin.join(centre, ["day", "label"]).join(radius, ["day", "label"])
     return joined.groupBy("day", "label").applyInPandas(one, "day date, label int, hull array<array<double>>, area_km2 double, perimeter_km double, elongation double")
+
+
+def behavior_votes(rows: DataFrame, column: str = "behavior") -> DataFrame:
+    """day, label, behavior, n, pct (whole), leads: the classes that a model gives the members of each cluster; of equals the first seen leads.
+    Members without a class do not vote."""
+    counts = rows.filter(F.col("label").isNotNull() & F.col(column).isNotNull()).groupBy("day", "label", F.col(column).alias("behavior")).agg(F.count("*").alias("n"), F.min("pt_seq").alias("first_seen"))
+    w = Window.partitionBy("day", "label")  # classes are few
+    leads = F.row_number().over(w.orderBy(F.desc("n"), "first_seen")) == 1
+    return counts.select("day", "label", "behavior", "n", rounded(F.col("n") * 100.0 / F.sum("n").over(w)).alias("pct"), leads.alias("leads"))
+
+
+def behavior_mix(rows: DataFrame, column: str = "behavior") -> DataFrame:
+    """day, behavior, n over all detections of a day, in clusters or not."""
+    return rows.filter(F.col(column).isNotNull()).groupBy("day", F.col(column).alias("behavior")).agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burncal.functions.scalars import SENSORS, col, month_of, rounded, year_of
-from burncal.operators.harmonize import all_sensor_months
+from burncal.operators.harmonize import all_sensor_months, harmonization
 
 
 def regime_matrix(calendar: DataFrame) -> DataFrame:
@@ -57,16 +57,22 @@ def clusters_geojson(clusters: DataFrame) -> DataFrame:
 
 
 def detections_csv(detections: DataFrame) -> DataFrame:
-    """The columns of the CSV export; write with `.write.csv(path, header=True)`."""
-    return detections.select("sensor", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("frp").alias("frp_mw"), F.col("conf_raw").alias("confidence"), F.when(col("night"), "N").otherwise("D").alias("daynight"))
+    """The columns of the CSV export, empty where a feed has none; write with `.write.csv(path, header=True)`."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in detections.columns else F.lit("")
+    return detections.select(
+        "sensor", text("satellite").alias("satellite"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("frp").alias("frp_mw"), text("conf_raw").alias("confidence"),
+        F.when(col("night"), "N").otherwise("D").alias("daynight"), text("acquired").alias("acq_time"),
+    )
 
 
 def calendar_json(calendar: DataFrame) -> DataFrame:
-    """One document per region: its sensors with their months, in order."""
+    """One document per region: its sensors with their months, in order, and how MODIS and VIIRS compare (no numbers where they never meet)."""
     months = F.sort_array(F.collect_list(F.struct("ym", "est", "frp", "hi_conf", "night")))  # a region's months
     per_sensor = calendar.groupBy("region", "sensor").agg(months.alias("monthly"))
     document = F.map_from_entries(F.sort_array(F.collect_list(F.struct("sensor", F.struct("monthly").alias("data")))))
-    return per_sensor.groupBy("region").agg(F.to_json(F.struct(F.first("region").alias("region"), document.alias("sensors"))).alias("document"))
+    sensors = per_sensor.groupBy("region").agg(document.alias("sensors"))
+    block = harmonization(calendar).select("region", F.struct(F.col("overlap_months").alias("overlapMonths"), F.col("mean_ratio").alias("meanRatioSNPPtoMODIS"), "sample").alias("harmonization"))
+    return sensors.join(block, "region", "left").select("region", F.to_json(F.struct("region", "sensors", "harmonization")).alias("document"))
 
 
 def outlook_json(fused: DataFrame, outlook: DataFrame, peaks: DataFrame, history: int = 36) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burncal.functions.scalars import counts_as_high, exact_sum, month_of, rounded, year_of
@@ -32,9 +32,17 @@ def month_rows(detections: DataFrame, days=(8, 22), group=("sensor",)) -> DataFr
 
 
 def paired(calendar: DataFrame) -> DataFrame:
-    """One row per region and month with both sensors' numbers, null where a sensor has none."""
+    """One row per region and month with both sensors' numbers, null where a sensor has none. Where rows have a place (seq), of a month that
+    comes twice MODIS's first and VIIRS's last row counts; without places the larger numbers do."""
     both = calendar.filter(F.col("sensor").isin(MODIS, VIIRS)).groupBy("region", "ym")
-    return both.agg(*(F.max(F.when(F.col("sensor") == s, F.col(c))).alias(f"{p}_{c}") for s, p in ((MODIS, "m"), (VIIRS, "v")) for c in ("est", "frp")))
+
+    def number(sensor: str, c: str):
+        own = F.when(F.col("sensor") == sensor, F.col(c))
+        if "seq" not in calendar.columns:
+            return F.max(own)
+        return (F.min_by if sensor == MODIS else F.max_by)(own, F.when(F.col("sensor") == sensor, F.col("seq")))
+
+    return both.agg(*(number(s, c).alias(f"{p}_{c}") for s, p in ((MODIS, "m"), (VIIRS, "v")) for c in ("est", "frp")))
 
 
 def overlap_ratio(calendar: DataFrame) -> DataFrame:
@@ -47,27 +55,46 @@ def overlap_ratio(calendar: DataFrame) -> DataFrame:
         F.percentile(f, 0.5).alias("ratio_frp"),
         rounded(F.stddev_pop(c) / F.greatest(F.lit(1e-6), F.avg(c)), 3).alias("ratio_cv"),
         F.count("*").alias("overlap_months"),
-        rounded(exact_sum(rounded(c, 3), 3) / F.count("*"), 3).alias("mean_ratio"),
+        rounded(exact_sum(rounded(c, 3)) / F.count("*"), 3).alias("mean_ratio"),
     )
 
 
+def _ratios(rows: DataFrame) -> tuple[Column, Column]:
+    """Ratios of count and of power, null but in months with both sensors."""
+    both = (F.col("m_est") > 0) & (F.col("v_est") > 0)
+    return F.when(both, F.col("v_est") / F.col("m_est")), F.when(both, F.col("v_frp") / F.greatest(F.lit(1), F.col("m_frp")))
+
+
 def unified_series(calendar: DataFrame) -> DataFrame:
     """region, ym, count, frp, scaled: VIIRS where it exists, else MODIS times the region's median ratio. Empty months are left out. The
-    ratios have one row per region."""
-    rows = paired(calendar).join(overlap_ratio(calendar).select("region", "ratio_count", "ratio_frp"), "region", "left")
+    ratios come from a window over a region's months, so the months are made once."""
+    rows, own = paired(calendar), Window.partitionBy("region")
+    of_count, of_power = (F.coalesce(F.percentile(x, 0.5).over(own), F.lit(1.0)) for x in _ratios(rows))
+    rows = rows.withColumn("ratio_count", of_count).withColumn("ratio_frp", of_power)
     has_v = F.col("v_est").isNotNull()
-    count = F.when(has_v, F.col("v_est")).otherwise(rounded(F.col("m_est") * F.coalesce("ratio_count", F.lit(1.0))))
-    frp = F.when(has_v, F.col("v_frp")).otherwise(rounded(F.col("m_frp") * F.coalesce("ratio_frp", F.lit(1.0))))
+    count = F.when(has_v, F.col("v_est")).otherwise(rounded(F.col("m_est") * F.col("ratio_count")))
+    frp = F.when(has_v, F.col("v_frp")).otherwise(rounded(F.col("m_frp") * F.col("ratio_frp")))
     return rows.select("region", "ym", count.alias("count"), frp.alias("frp"), (~has_v).alias("scaled")).filter("count > 0 or frp > 0")
 
 
 def outlook_fused(calendar: DataFrame, default_ratio: float = 8.0) -> DataFrame:
     """region, ym, est: MODIS where it exists, else VIIRS divided by the region's mean ratio."""
-    rows = paired(calendar).join(overlap_ratio(calendar).select("region", "mean_ratio"), "region", "left")
+    rows, own = paired(calendar), Window.partitionBy("region")
+    three = rounded(_ratios(rows)[0], 3).cast("decimal(28,10)")
+    mean = rounded(F.sum(three).over(own).cast("double") / F.nullif(F.count(three).over(own), F.lit(0)), 3)
+    rows = rows.withColumn("mean_ratio", mean)
     ratio = F.coalesce(F.when(F.col("mean_ratio") != 0, F.col("mean_ratio")), F.lit(default_ratio))
     return rows.select("region", "ym", F.coalesce(F.col("m_est"), rounded(F.col("v_est") / ratio), F.lit(0)).alias("est"))
 
 
+def harmonization(calendar: DataFrame, months: int = 6) -> DataFrame:
+    """region, overlap_months, mean_ratio, sample: the block of a calendar document, with the last months that both sensors have."""
+    met = paired(calendar).filter("m_est > 0 and v_est > 0")
+    sample = F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("ym", rounded(F.col("v_est") / F.col("m_est"), 3).alias("ratio"), F.col("m_est").alias("m"), F.col("v_est").alias("s"))))), 1, months)
+    last = met.groupBy("region").agg(F.reverse(sample).alias("sample"))  # a region's months
+    return overlap_ratio(calendar).select("region", "overlap_months", "mean_ratio").join(last, "region")
+
+
 def all_sensor_months(calendar: DataFrame) -> DataFrame:
     """region, ym and the plain sums over all sensors, with confident and night shares."""
     sums = calendar.groupBy("region", "ym").agg(*(F.sum(c).alias(c) for c in ("est", "frp", "hi_conf", "night")))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burncal.functions.constants import EVENT_MODEL, REGIONS
-from burncal.functions.scalars import linear, month_of, next_month, rounded, sigmoid
+from burncal.functions.scalars import confidence, confidence_training, exact_sum, linear, month_of, next_month, rounded, sigmoid
 from burncal.operators.harmonize import all_sensor_months
+from burncal.session import cut
 
 CLASSIFIER_FEATURES = ("log_frp", "conf", "night_n", "hour", "is_viirs", "dens_0", "dens_1", "dens_2", "frp_ratio")
 BALANCED = "weight"
@@ -63,11 +64,9 @@ def regimes(df: DataFrame, features: list[str], k: int = 6, seed: int = 42) -> D
 
 
 def classifier_features(points: DataFrame, densities: DataFrame, group: str = "day", hour_bug: bool = False) -> DataFrame:
-    """The nine features of each detection. The power ratio is to the group's upper median; with hour_bug midnight counts as noon."""
-    from burncal.functions.scalars import confidence
-
-    upper = F.element_at(F.sort_array(F.collect_list("frp")), (F.floor(F.count("*") / 2) + 1).cast("int"))
-    medians = points.groupBy(group).agg(upper.alias("median"))
+    """The nine features of each detection. The power ratio is to the group's upper median (1 for none); with hour_bug midnight counts as noon."""
+    place = points.select(group, "frp", F.row_number().over(Window.partitionBy(group).orderBy("frp")).alias("r"), F.count("*").over(Window.partitionBy(group)).alias("n"))
+    medians = place.filter(F.col("r") == F.floor(F.col("n") / 2) + 1).select(group, F.when(F.col("frp") != 0, F.col("frp")).otherwise(1.0).alias("median"))
     hour = F.when(F.lit(hour_bug) & (F.col("acq_hour") == 0), 12).otherwise(F.col("acq_hour"))
     joined = points.join(F.broadcast(medians), group).join(densities, "pt_seq")
     return joined.select(
@@ -83,8 +82,61 @@ def binary_metrics(df: DataFrame, label: str = "y", p: str = "p", threshold: flo
     return df.agg((right / F.count("*")).alias("accuracy"), F.try_divide(hit, said).alias("precision"), F.try_divide(hit, true).alias("recall"), F.try_divide(2 * hit, said + true).alias("f1"), F.avg((F.col(p) - F.col(label)) ** 2).alias("brier"), F.try_divide(hit, said + true - hit).alias("iou"))
 
 
-def silhouette(df: DataFrame, features: list[str], k: int = 6, seed: int = 42) -> float:
-    """Squared-distance silhouette of a KMeans clustering."""
+def ranking_metrics(df: DataFrame, label: str = "y", p: str = "p") -> DataFrame:
+    """One row: n, positives, auc (area under the ROC curve, ties count half) and ap (mean precision at each step of recall). Rows are reduced to
+    distinct scores; running totals come from range partitions and the sums of those before, so no task sees all scores."""
+    scores = df.groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    dealt = cut(scores.repartitionByRange(F.desc("p")).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = dealt.groupBy("part").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("a", "pos0"), ("b", "neg0"))))
+    inside = Window.partitionBy("part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = dealt.join(F.broadcast(offsets), "part").select("pos", "neg", (F.col("pos0") + F.sum("pos").over(inside)).alias("tp"), (F.col("neg0") + F.sum("neg").over(inside)).alias("fp"))
+    under = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
+    precise = F.sum((F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).cast("decimal(28,12)")).cast("double")
+    n1, n0 = F.sum("pos"), F.sum("neg")
+    return steps.agg((n1 + n0).alias("n"), n1.alias("positives"), F.try_divide(under, n1 * n0).alias("auc"), F.try_divide(precise, n1).alias("ap"))
+
+
+def confusion(df: DataFrame, truth: str, said: str) -> DataFrame:
+    """truth, said, n: how often each class is given to each."""
+    return df.groupBy(F.col(truth).alias("truth"), F.col(said).alias("said")).agg(F.count("*").alias("n"))
+
+
+def class_metrics(df: DataFrame, truth: str, said: str) -> DataFrame:
+    """One row: n, accuracy and macro_f1, the mean over all classes that are true or said of somebody. Classes are few."""
+    table = confusion(df, truth, said)
+    each = table.select(F.explode(F.array(F.struct(F.col("truth").alias("class"), F.col("n").alias("t"), F.lit(0).alias("s")), F.struct(F.col("said").alias("class"), F.lit(0).alias("t"), F.col("n").alias("s")))).alias("c"), F.lit(0).alias("hit"))
+    each = each.select("c.class", "c.t", "c.s", "hit").unionByName(table.filter("truth = said").select(F.col("truth").alias("class"), F.lit(0).alias("t"), F.lit(0).alias("s"), F.col("n").alias("hit")))
+    f1 = each.groupBy("class").agg((F.sum("hit") * 2.0 / (F.sum("t") + F.sum("s"))).alias("f1")).agg(F.avg("f1").alias("macro_f1"))
+    whole = table.agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("truth") == F.col("said"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    return whole.crossJoin(F.broadcast(f1))
+
+
+def group_profile(df: DataFrame, by: str) -> DataFrame:
+    """What sets the groups (regimes) apart: n, mean power and confidence, share of the night, mean hour, to three decimals."""
+    mean = lambda c: rounded(F.sum(c) / F.count("*"), 3)
+    conf = F.sum(confidence_training("conf_raw"))
+    return df.groupBy(by).agg(
+        F.count("*").alias("n"), rounded(exact_sum("frp") / F.count("*"), 3).alias("mean_frp"), rounded(conf / F.count("*"), 3).alias("mean_conf"),
+        rounded(F.count_if("night") / F.count("*"), 3).alias("night_frac"), mean("acq_hour").alias("mean_hour"),
+    )
+
+
+def forest_scores(model, features: DataFrame) -> DataFrame:
+    """pt_seq, day, behavior and p of each detection by a model of train_classifier: the mean of the trees' class probabilities, and the class where it is
+    largest."""
+    classes = model.stages[0].labels
+    scored = model.transform(features.withColumn(model.stages[0].getInputCol(), F.lit(classes[0])))  # the indexer wants its column
+    p = vector_to_array("probability")
+    best = F.array_max(p)
+    return scored.select("pt_seq", "day", F.element_at(F.array(*map(F.lit, classes)), F.array_position(p, best).cast("int")).alias("behavior"), rounded(best, 3).alias("p"))
+
+
+def silhouette(df: DataFrame, features: list[str], k: int = 6, seed: int = 42, sample: int | None = None) -> float:
+    """Squared-distance silhouette of a KMeans clustering, with `sample` of about so many rows of it."""
+    if sample:
+        n = df.count()
+        df = df.sample(min(1.0, sample / max(1, n)), seed)
     assembled = VectorAssembler(inputCols=features, outputCol="features").transform(df)
     return ClusteringEvaluator().evaluate(KMeans(k=k, seed=seed).fit(assembled).transform(assembled))
 

@@ -7,23 +7,27 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burncal.functions.constants import FOOTPRINT_MODEL
 from burncal.functions.scalars import exact_sum
 
 RADII = (0.05, 0.25, 1.0)
+TILE = 512
 
 
 def box_counts(points: DataFrame, cell: float = 0.01, radii=RADII, margin: float = 1.05) -> DataFrame:
     """pt_seq and, for each radius, the detections of the day in the square of cells around it, scaled to the circle's area. The detections are
-    reduced to cells before the raster is made, one raster per day."""
+    reduced to cells, and these dealt to tiles of TILE cells a side with a margin of the largest square, one raster per tile; so a raster's size
+    does not depend on the extent of a day."""
     ks = [max(1, math.floor(r / cell + 0.5)) for r in radii]
     factor = [math.pi * r * r / ((2 * k + 1) * cell) ** 2 for r, k in zip(radii, ks)]
     corner = points.groupBy("day").agg((F.min("lon") - margin).alias("w"), (F.min("lat") - margin).alias("s"))
     at = points.join(F.broadcast(corner), "day").select("pt_seq", "day", F.floor((F.col("lon") - F.col("w")) / cell).cast("int").alias("i"), F.floor((F.col("lat") - F.col("s")) / cell).cast("int").alias("j"))
     cells = at.groupBy("day", "i", "j").agg(F.count("*").alias("n"))
+    tiles = lambda c: F.sequence(F.floor((F.col(c) - max(ks)) / TILE).cast("int"), F.floor((F.col(c) + max(ks)) / TILE).cast("int"))
+    dealt = cells.select("*", F.explode(tiles("i")).alias("ti"), tiles("j").alias("tjs")).select("day", "i", "j", "n", "ti", F.explode("tjs").alias("tj"))
 
     def one(scene: pd.DataFrame) -> pd.DataFrame:
         i, j = scene["i"].to_numpy(), scene["j"].to_numpy()
@@ -36,9 +40,10 @@ def box_counts(points: DataFrame, cell: float = 0.01, radii=RADII, margin: float
         x, y = i - i0 + 1, j - j0 + 1
         for k, r in enumerate(ks):
             out[f"box_{k}"] = total[x + r, y + r] - total[x - r - 1, y + r] - total[x + r, y - r - 1] + total[x - r - 1, y - r - 1]
-        return pd.DataFrame(out)
+        own = (i // TILE == scene["ti"].to_numpy()) & (j // TILE == scene["tj"].to_numpy())
+        return pd.DataFrame(out)[own]
 
-    boxes = cells.groupBy("day").applyInPandas(one, "day date, i int, j int, " + ", ".join(f"box_{k} double" for k in range(len(ks))))
+    boxes = dealt.groupBy("day", "ti", "tj").applyInPandas(one, "day date, i int, j int, " + ", ".join(f"box_{k} double" for k in range(len(ks))))
     return at.join(boxes, ["day", "i", "j"]).select("pt_seq", *((F.col(f"box_{k}") * f).alias(f"dens_{k}") for k, f in enumerate(factor)))
 
 
@@ -137,3 +142,15 @@ def footprint_stats(cells: DataFrame, actual_cells: int, cell: float, mid_lat: f
 
 
 KM = 111.32
+
+
+def forecast_cells(cells: DataFrame, k: int = 8000) -> DataFrame:
+    """Of each day's forecast the k cells with the highest p, the first by place among equals."""
+    best = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("p"), "j", "i"))
+    return cells.withColumn("rank", best).filter(F.col("rank") <= k)
+
+
+def hit_share(cells: DataFrame, k: int = 2000) -> DataFrame:
+    """Per day the whole percentage of the k best cells (ranked rows of forecast_cells) that are active now, and how many these are."""
+    top = cells.filter(F.col("rank") <= k).groupBy("day").agg(F.count("*").alias("top"), F.count_if("actual").alias("hits"))
+    return top.withColumn("top_aligned_pct", F.floor(F.col("hits") * 100 / F.col("top") + F.lit(0.5)).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burncal.functions.scalars import clamped, col, confidence, cos_lat, month_of, rounded, year_of
+from burncal.functions.scalars import clamped, col, confidence, exact_sum, month_of, rounded, threat_label, threat_score, year_of
 
 HOT = 150.0
 
@@ -96,14 +96,58 @@ def months_to_peak(outlook: DataFrame, now: str) -> DataFrame:
     return peak.select("region", "peak", months.alias("months"))
 
 
+def _half(night) -> Column:
+    return F.when(col(night), "night").otherwise("day")
+
+
 def detection_questions(detections: DataFrame, region: str) -> DataFrame:
-    """A question for an analyst about each detection."""
+    """A question for an analyst about each detection, with its confidence (60 if unknown)."""
+    conf = F.coalesce(confidence("conf_raw"), F.lit(60))
     text = F.format_string(
-        "Explain this fire detection at %.2f, %.2f on %s: sensor %s, FRP %.1f MW, %s overpass, region %s.", "lat", "lon", F.col("day").cast("string"), "sensor", "frp", F.when(col("night"), "night").otherwise("day"), F.lit(region)
-    )
+        "Fire detection at %.2f, %.2f in %s on %s, %s overpass: sensor %s, %.1f MW, confidence %d. What does it mean and what should be watched?",
+        "lat", "lon", F.lit(region), F.col("day").cast("string"), _half("night"), "sensor", "frp", conf,
+    )
     return detections.select("pt_seq", text.alias("question"))
 
 
+def cluster_questions(clusters: DataFrame, region: str) -> DataFrame:
+    """A question about each cluster, from rows of cluster_stats with area_km2 and elongation."""
+    text = F.format_string(
+        "Fire cluster %s (%s) in %s on %s: %d detections, %d MW in total, spread %.1f km, hull of %d km2, front ratio %.2f. Brief a commander on it and on the next 48 hours.",
+        "cluster_id", "class", F.lit(region), F.col("day").cast("string"), "n", rounded("frp_sum"), "spread_km", rounded("area_km2"), "elongation",
+    )
+    return clusters.select("day", "cluster_id", text.alias("question"))
+
+
+def cell_questions(cells: DataFrame, region: str) -> DataFrame:
+    """A question about each cell of a day: day, lat, lon, n, frp_sum, max_frp, mean_conf, night_pct."""
+    text = F.format_string(
+        "Fire cell around %.2f, %.2f in %s on %s: %d detections, %d MW in total, strongest %d MW, mean confidence %d, %d%% at night. Assess it and say what to watch next.",
+        "lat", "lon", F.lit(region), F.col("day").cast("string"), "n", rounded("frp_sum"), rounded("max_frp"), rounded("mean_conf"), rounded("night_pct"),
+    )
+    return cells.select("day", "lat", "lon", text.alias("question"))
+
+
+def day_cells(detections: DataFrame, size: float = 1.0) -> DataFrame:
+    """Square cells of a day with what a question or a badge about them needs; places are centres."""
+    conf = F.coalesce(confidence("conf_raw"), F.lit(60))
+    at = lambda c: (F.floor(F.col(c) / size) + F.lit(0.5)) * size
+    return detections.groupBy("day", at("lat").alias("lat"), at("lon").alias("lon")).agg(
+        F.count("*").alias("n"), exact_sum("frp").alias("frp_sum"), F.max("frp").alias("max_frp"), F.avg(conf).alias("mean_conf"), (F.count_if("night") * 100.0 / F.count("*")).alias("night_pct")
+    )
+
+
+def popup_inputs(detections: DataFrame, clusters: DataFrame, cells: DataFrame) -> DataFrame:
+    """What the badge of a mark on the map is worked out from, and the badge: kind, id, frp, conf, night, score, threat. A cluster counts as 1.4
+    times its mean power with confidence 75, a cell as its strongest detection with its mean confidence; both as night from over 40 %."""
+    own = detections.select(F.lit("detection").alias("kind"), F.col("pt_seq").cast("string").alias("id"), "frp", F.coalesce(confidence("conf_raw"), F.lit(60)).cast("double").alias("conf"), "night")
+    of_clusters = clusters.select(F.lit("cluster").alias("kind"), F.concat_ws(" ", F.col("day").cast("string"), "cluster_id").alias("id"), (F.col("frp_mean") * 1.4).alias("frp"), F.lit(75.0).alias("conf"), (F.col("night_pct") > 40).alias("night"))
+    place = F.format_string("%s %.1f %.1f", F.col("day").cast("string"), "lat", "lon")
+    of_cells = cells.select(F.lit("cell").alias("kind"), place.alias("id"), F.col("max_frp").alias("frp"), F.col("mean_conf").alias("conf"), (F.col("night_pct") > 40).alias("night"))
+    rows = own.unionByName(of_clusters).unionByName(of_cells)
+    return rows.withColumn("score", threat_score("frp", "conf", "night")).withColumn("threat", threat_label("score"))
+
+
 def contexts(summary: DataFrame, alerts: DataFrame) -> DataFrame:
     """One JSON document per day: totals, alert and the sensors."""
     sensors = summary.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("sensor", "n", "mean_frp", "hi_conf"))).alias("sensors"))  # five sensors
@@ -111,5 +155,5 @@ def contexts(summary: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def flat_distance(lon1, lat1, lon2, lat2) -> Column:
-    """Distance in degrees with longitudes shortened by latitude."""
-    return F.hypot((col(lon1) - col(lon2)) * cos_lat(lat1), col(lat1) - col(lat2))
+    """Distance in degrees on the plane of longitude and latitude."""
+    return F.hypot(col(lon1) - col(lon2), col(lat1) - col(lat2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burncal.functions.scalars import EARTH_KM
@@ -56,6 +56,12 @@ def tracks(clusters: DataFrame, max_gap_km: float = 60.0, same_day: bool = False
     return rows.select("region", "day", "label", "n", "frp_sum", "c_lon", "c_lat", F.col("class").alias("cls")).groupBy("region").applyInPandas(one, SCHEMA)
 
 
+def track_picks(found: DataFrame, least_days: int = 2, k: int = 8) -> DataFrame:
+    """Of each region the k tracks with the most power on their latest day, of those seen on enough days."""
+    best = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("latest_frp"), "track_id"))
+    return found.filter(F.col("days_seen") >= least_days).withColumn("rank", best).filter(F.col("rank") <= k)
+
+
 def trend_class(tracks_: DataFrame) -> DataFrame:
     """Growing, decaying or steady by the change of power since the first day."""
     t = F.col("frp_trend")

@@ -29,12 +29,25 @@ def sitrep(summary: DataFrame) -> DataFrame:
     return days.select("day", text.alias("text"))
 
 
-#: Intent -> pattern, the first that matches counts.
-INTENTS = [("compare", "compare|versus|vs|difference"), ("trend", "trend|increas|decreas|long.?term"), ("forecast", "forecast|predict|next"), ("anomaly", "anomal|unusual|normal"), ("where", "where|location|hotspot")]
+#: Intent -> words of its pattern, the first that matches counts.
+INTENTS = [
+    ("season", "peak|season|when|critical"),
+    ("anomaly", "anomal|unusual|strange|record"),
+    ("sensors", "sensor|difference|modis|viirs|compare"),
+    ("regime", "regime|type|classif"),
+    ("outlook", "forecast|outlook|next"),
+]
 
 
 def intent(questions: DataFrame, column: str = "question") -> DataFrame:
-    found = F.lit("summary")
+    """The rows with the intent of a question; without one it asks for a snapshot."""
+    found = F.lit("snapshot")
     for name, pattern in reversed(INTENTS):
         found = F.when(F.lower(column).rlike(pattern), name).otherwise(found)
     return questions.withColumn("intent", found)
+
+
+def navigation(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """The rows with the region and date of an answer's NAVIGATE directive; null without one, or if it is no JSON object."""
+    target = F.from_json(F.nullif(F.regexp_extract(column, r"NAVIGATE:\s*(\{[^}]+\})", 1), F.lit("")), "region string, date string")
+    return answers.withColumn("region", target["region"]).withColumn("date", target["date"])

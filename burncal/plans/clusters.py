@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burncal.functions.constants import FOOTPRINT_MODEL
-from burncal.functions.scalars import SENSORS, rounded
-from burncal.operators import cluster, exports, raster, summary, track, triage
-from burncal.plans.detections import CONF, DET_CONF, r, total
+from burncal.functions.scalars import SENSORS, cluster_class, frp_band, rounded
+from burncal.operators import cluster, exports, models, raster, selections, summary, track, triage
+from burncal.operators.selections import split_by_last_day
+from burncal.plans.detections import CONF, DET_CONF, LABEL, r, total
+from burncal.session import cut
 from burncal.sources.fixtures import BBOX, detections, oracle
 
 EPS = 0.62  # what adaptive_eps gives for the view's box
@@ -18,7 +20,7 @@ MIN_PTS = 3
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.dbscan(detections(spark, sf_dir), EPS, MIN_PTS)
+    return cluster.labelled(detections(spark, sf_dir), EPS, MIN_PTS)
 
 
 def eps_neighbor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +28,13 @@ def eps_neighbor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).select("pt_seq", "day", F.col("component").cast("long").alias("component"), "label")
+    """Over cells, whatever the size of a scene."""
+    return cluster.dbscan(detections(spark, sf_dir), EPS, MIN_PTS).select("pt_seq", "day", F.col("component").cast("long").alias("component"), "label")
 
 
 def dbscan_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same labels, one scene in memory at a time."""
-    return cluster.dbscan_small_scenes(detections(spark, sf_dir), EPS, MIN_PTS)
+    """The same labels, one scene in memory at a time where scenes are small enough."""
+    return labelled(spark, sf_dir).select("pt_seq", "component", "label")
 
 
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +81,99 @@ def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.detections_csv(detections(spark, sf_dir))
+    rows = detections(spark, sf_dir)
+    return exports.detections_csv(rows.withColumn("satellite", F.substring_index("sensor", "-", -1)).withColumn("acquired", F.format_string("%02d:00 UTC", "acq_hour")))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.trend_class(track.tracks(cluster_stats(spark, sf_dir)))
 
 
+def track_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track.track_picks(tracks(spark, sf_dir)).select("region", "rank", "track_id", "days_seen", "latest_frp")
+
+
+def voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training label stands for a model's class."""
+    rows = detections(spark, sf_dir)
+    return labelled(spark, sf_dir).join(cluster.weak_labels(rows), "pt_seq")
+
+
+def behavior_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.behavior_votes(voted(spark, sf_dir))
+
+
+def behavior_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.behavior_mix(cluster.weak_labels(detections(spark, sf_dir)).join(detections(spark, sf_dir), "pt_seq"))
+
+
+def classifier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detections(spark, sf_dir)
+    found = models.classifier_features(rows, raster.box_counts(rows))
+    return found.select("pt_seq", *(rounded(c, 6).alias(c) if c.startswith(("dens", "log", "frp")) else F.col(c) for c in models.CLASSIFIER_FEATURES))
+
+
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detection by a forest that has learnt the training labels of all days but the last. Its depth and number of trees are the published ones."""
+    rows = detections(spark, sf_dir)
+    features = cut(models.classifier_features(rows, raster.box_counts(rows)))
+    known = split_by_last_day(features)[0].join(cluster.weak_labels(rows), "pt_seq")
+    return models.forest_scores(models.train_classifier(known), features)
+
+
+def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well power tells confident detections from others."""
+    rows = summary.with_confidence(detections(spark, sf_dir)).select((F.coalesce("conf", F.lit(0)) >= 70).cast("int").alias("y"), F.floor("frp").alias("p"))
+    found = models.ranking_metrics(rows)
+    return found.select("n", "positives", rounded("auc", 6).alias("auc"), rounded("ap", 6).alias("ap"))
+
+
+def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = summary.with_confidence(detections(spark, sf_dir)).select((F.coalesce("conf", F.lit(0)) >= 70).cast("int").alias("y"), F.least(F.col("frp") / 500, F.lit(1.0)).alias("p"))
+    found = models.binary_metrics(rows)
+    return found.select(*(rounded(c, 6).alias(c) for c in found.columns))
+
+
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training labels against intensity bands."""
+    rows = detections(spark, sf_dir).withColumn("band", frp_band("frp"))
+    return models.confusion(cluster.weak_labels(rows).join(rows, "pt_seq"), "behavior", "band")
+
+
+def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of a detection's own power and of its cluster, where it is in one."""
+    stats = cluster_stats(spark, sf_dir).select("day", "label", F.col("class").alias("truth"))
+    rows = labelled(spark, sf_dir).join(stats, ["day", "label"]).withColumn("said", cluster_class(F.lit(1), "frp"))
+    found = models.class_metrics(rows, "truth", "said")
+    return found.select("n", rounded("accuracy", 6).alias("accuracy"), rounded("macro_f1", 6).alias("macro_f1"))
+
+
+def group_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.group_profile(detections(spark, sf_dir).withColumn("band", frp_band("frp")), "band")
+
+
+def cell_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selections.cell_questions(selections.day_cells(detections(spark, sf_dir)), "amazon")
+
+
+def cluster_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(spark, sf_dir)
+    return selections.cluster_questions(cluster.cluster_stats(rows).join(cluster.cluster_hulls(rows), ["day", "label"]), "amazon")
+
+
+def popup_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detections(spark, sf_dir)
+    return selections.popup_inputs(rows, cluster_stats(spark, sf_dir), selections.day_cells(rows)).select("kind", "id", "score", "threat")
+
+
+def forecast_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.forecast_cells(footprint_forecast(spark, sf_dir))
+
+
+def forecast_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.hit_share(forecast_cells(spark, sf_dir))
+
+
 def density_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.density_features(detections(spark, sf_dir))
 
@@ -116,6 +205,9 @@ QUERIES = {
     "cluster_classes": cluster_classes, "top_clusters": top_clusters, "segmentation_summary": segmentation_summary, "weak_labels": weak_labels, "complex_stats": complex_stats,
     "cluster_hulls": cluster_hulls, "geojson_clusters": geojson_clusters, "geojson_points": geojson_points, "csv_rows": csv_rows, "tracks": tracks, "density_features": density_features,
     "box_densities": box_densities, "footprint_forecast": footprint_forecast, "event_relevance": event_relevance, "sitrep_text": sitrep_text,
+    "track_picks": track_picks, "behavior_votes": behavior_votes, "behavior_mix": behavior_mix, "classifier_features": classifier_features, "forest_scores": forest_scores, "ranking_metrics": ranking_metrics,
+    "binary_metrics": binary_metrics, "confusion": confusion, "class_metrics": class_metrics, "group_profile": group_profile, "cell_questions": cell_questions, "cluster_questions": cluster_questions,
+    "popup_inputs": popup_inputs, "forecast_cells": forecast_cells, "forecast_hits": forecast_hits,
 }
 
 
@@ -142,7 +234,7 @@ _POWER = "case when coalesce(frp,0)=0 then 0.5e0 else frp end"
 _KM = "2*6371e0*asin(least(1e0, sqrt(sin((radians(lat)-radians(cy))/2)*sin((radians(lat)-radians(cy))/2) + cos(radians(cy))*cos(radians(lat))*sin((radians(lon)-radians(cx))/2)*sin((radians(lon)-radians(cx))/2))))"
 _STATS = {
     "mem": f"select *, {_POWER} as power, {CONF} as conf from lb where label is not null",
-    "cen": f"select day, label, {total('lon', 3)}/count(*) as cx, {total('lat', 3)}/count(*) as cy from mem group by 1,2",
+    "cen": f"select day, label, {total('lon')}/count(*) as cx, {total('lat')}/count(*) as cy from mem group by 1,2",
     "awa": f"select mem.*, cx, cy, {_KM} as km from mem join cen using (day, label)",
     "st": f"""select *, case when n>=150 or frp_sum>=5000 then 'MEGAFIRE' when n>=40 or frp_sum>=1200 then 'ESTABLISHED' when n>=8 then 'EMERGING' else 'SCATTERED' end as class, 'F-'||lpad(cast(label as varchar),cast(greatest(3,len(cast(label as varchar))) as int),'0') as cluster_id from
  (select day, label, count(*) as n, {total('power')} as frp_sum, {total('power')}/count(*) as frp_mean, max(power) as frp_max, count(case when conf>=70 or conf is null then 1 end)*100e0/count(*) as hi_pct, count(case when night then 1 end)*100e0/count(*) as night_pct,
@@ -156,6 +248,14 @@ _BOX = {
 _AREA = lambda k, rad: repr(math.pi * rad * rad / ((2 * k + 1) * 0.01) ** 2) + "e0"
 _DOT = lambda a, b: f"list_sum(list_transform(range(1,65), lambda i: cast({a}[i] as double)*cast({b}[i] as double)))"
 
+_BOXES = "select a.pt_seq, " + ", ".join(r(f"count(case when abs(a.i-b.i)<={k} and abs(a.j-b.j)<={k} then 1 end)*{_AREA(k, x)}", 6) + f" as dens_{n}" for n, (k, x) in enumerate(((5, 0.05), (25, 0.25), (100, 1.0)))) + " from ce a join ce b on a.day=b.day group by 1"
+_BAND = "case when frp < 10 then 'SMOULDERING' when frp < 100 then 'SURFACE FIRE' when frp < 250 then 'INTENSE FRONT' else 'CONFLAGRATION' end"
+_CELLS = f"select day, (floor(lat/1e0)+0.5e0)*1e0 as lat, (floor(lon/1e0)+0.5e0)*1e0 as lon, count(*) as n, {total('frp')} as frp_sum, max(frp) as max_frp, avg(coalesce({CONF},60)) as mean_conf, count(case when night then 1 end)*100e0/count(*) as night_pct from det group by 1,2,3"
+_WEAK = {
+    "zd": _ZD, **_labels("wl", "zd", ("z_lat", "z_lon"), 0.12, 6, "day"),
+    "bh": f"select pt_seq, case when l.label is null then 'ISOLATED' when n>=800 and s>=25000 then 'MEGAFIRE' when n>=150 then 'ESTABLISHED' when n>=40 then 'EMERGING' else 'SCATTERED' end as behavior from wl l left join (select day, label, count(*) as n, {total('frp')} as s from wl where label is not null group by 1,2) g on g.day=l.day and g.label=l.label",
+}
+
 ORACLES = {
     "eps_neighbor_counts": oracle(f"select a.pt_seq, count(b.pt_seq) as n from det a left join det b on a.day=b.day and a.pt_seq<>b.pt_seq and (a.lon-b.lon)*(a.lon-b.lon)+(a.lat-b.lat)*(a.lat-b.lat)<={EPS}e0*{EPS}e0 group by 1", "det"),
     "dbscan_labels": _recursive("select pt_seq, day, component, label from lb", "det", **_DB),
@@ -174,14 +274,51 @@ ORACLES = {
     "complex_stats": _recursive(
         f"""select *, cast(row_number() over (order by total_frp_mw desc, complex_id) as int) as rank, case when detections>=500 or total_frp_mw>=20000 then 'megafire' when detections>=150 or total_frp_mw>=5000 then 'major' when detections>=40 then 'active' else 'smoldering' end as class from
  (select label-1 as complex_id, count(*) as detections, {r(total('frp'), 1)} as total_frp_mw, {r(total('frp') + '/count(*)', 1)} as mean_frp_mw, {r('max(frp)', 1)} as max_frp_mw, {r('cast(sum(cf) as double)/count(*)', 1)} as mean_confidence, string_agg(distinct sensor, '+' order by sensor) as sensors,
- {r(total('lat', 3) + '/count(*)', 4)} as centroid_lat, {r(total('lon', 3) + '/count(*)', 4)} as centroid_lon, count(distinct day) as acq_days, {r('cast(count(case when night then 1 end) as double)/count(*)', 3)} as night_fraction
+ {r(total('lat') + '/count(*)', 4)} as centroid_lat, {r(total('lon') + '/count(*)', 4)} as centroid_lon, count(distinct day) as acq_days, {r('cast(count(case when night then 1 end) as double)/count(*)', 3)} as night_fraction
  from (select *, coalesce(case lower(trim(conf_raw)) when 'l' then 20 when 'n' then 50 when 'h' then 90 else {CONF} end, 50) as cf from cx where label is not null) q group by 1 having count(*)>=6) x""",
         "det", za=_ZA, **_labels("cx", "za", ("z_lat", "z_lon", "z_frp"), 0.12, 6, "scene"),
     ),
     "geojson_points": oracle(
         "select pt_seq, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":['||lon||','||lat||']},\"properties\":{\"frp\":'||frp||',\"sensor\":\"'||sensor||'\",\"night\":'||night||'}}' as feature from (select *, list_position(" + str(list(SENSORS)) + ", sensor) as rk from det order by rk, pt_seq limit 6000) x", "det"
     ),
-    "csv_rows": oracle("select sensor, lat as latitude, lon as longitude, frp as frp_mw, conf_raw as confidence, case when night then 'N' else 'D' end as daynight from det", "det"),
+    "csv_rows": oracle(
+        "select sensor, split_part(sensor,'-',2) as satellite, lat as latitude, lon as longitude, frp as frp_mw, coalesce(conf_raw,'') as confidence, case when night then 'N' else 'D' end as daynight, printf('%02d:00 UTC', acq_hour) as acq_time from det", "det"
+    ),
+    "behavior_votes": _recursive(
+        f"select day, label, behavior, n, {r('n*100e0/sum(n) over (partition by day, label)', 0)} as pct, row_number() over (partition by day, label order by n desc, f)=1 as leads from (select lb.day, lb.label, behavior, count(*) as n, min(lb.pt_seq) as f from lb join bh using (pt_seq) where lb.label is not null group by 1,2,3) x",
+        "det", **_DB, **_WEAK,
+    ),
+    "behavior_mix": _recursive("select day, behavior, count(*) as n from bh join det using (pt_seq) group by 1,2", "det", **_WEAK),
+    "confusion": _recursive(f"select behavior as truth, {_BAND} as said, count(*) as n from bh join det using (pt_seq) group by 1,2", "det", **_WEAK),
+    "class_metrics": _recursive(
+        f"""select cast(sum(n) as bigint) as n, {r('cast(sum(case when truth=said then n else 0 end) as double)/sum(n)', 6)} as accuracy, {r('any_value(f1)', 6)} as macro_f1 from cm,
+ (select avg(2e0*hit/(t+s)) as f1 from (select class, sum(t) as t, sum(s) as s, sum(hit) as hit from (select truth as class, n as t, 0 as s, case when truth=said then n else 0 end as hit from cm union all select said, 0, n, 0 from cm) u group by 1) v) w""",
+        "det", **_DB, **_STATS, cm="select class as truth, case when frp>=5000 then 'MEGAFIRE' when frp>=1200 then 'ESTABLISHED' else 'SCATTERED' end as said, count(*) as n from lb join (select day, label, class from st) q using (day, label) group by 1,2",
+    ),
+    "group_profile": oracle(
+        f"select {_BAND} as band, count(*) as n, {r(total('frp') + '/count(*)', 3)} as mean_frp, {r('cast(sum(cf) as double)/count(*)', 3)} as mean_conf, {r('count(case when night then 1 end)*1e0/count(*)', 3)} as night_frac, {r('cast(sum(acq_hour) as double)/count(*)', 3)} as mean_hour from (select *, coalesce(case lower(trim(conf_raw)) when 'l' then 20 when 'n' then 50 when 'h' then 90 else {CONF} end, 50) as cf from det) q group by 1",
+        "det",
+    ),
+    "ranking_metrics": oracle(
+        f"select n1+n0 as n, n1 as positives, {r('auc/(n1*n0)', 6)} as auc, {r('ap/n1', 6)} as ap from (select cast(sum(pos) as bigint) as n1, cast(sum(neg) as bigint) as n0, sum(neg*(tp-pos/2e0)) as auc, sum(pos*1e0*tp/(tp+fp)) as ap from (select *, sum(pos) over w as tp, sum(neg) over w as fp from (select floor(frp) as p, count(case when coalesce(conf,0)>=70 then 1 end) as pos, count(case when coalesce(conf,0)<70 then 1 end) as neg from dc group by 1) x window w as (order by p desc)) y) z",
+        "det", dc=DET_CONF,
+    ),
+    "binary_metrics": oracle(
+        f"select {r('avg(cast((p>=0.5)=(y=1) as int))', 6)} as accuracy, {r('hit*1e0/nullif(said,0)', 6)} as precision, {r('hit*1e0/nullif(true_,0)', 6)} as recall, {r('2e0*hit/nullif(said+true_,0)', 6)} as f1, {r('avg((p-y)*(p-y))', 6)} as brier, {r('hit*1e0/nullif(said+true_-hit,0)', 6)} as iou from (select *, count(case when p>=0.5 and y=1 then 1 end) over () as hit, count(case when p>=0.5 then 1 end) over () as said, count(case when y=1 then 1 end) over () as true_ from (select cast(coalesce(conf,0)>=70 as int) as y, least(frp/500, 1e0) as p from dc) x) z group by hit, said, true_",
+        "det", dc=DET_CONF,
+    ),
+    "classifier_features": oracle(
+        f"select pt_seq, {r('ln(1e0+frp)', 6)} as log_frp, coalesce({CONF},60) as conf, cast(night as int) as night_n, acq_hour as hour, cast(sensor like 'VIIRS%' as int) as is_viirs, dens_0, dens_1, dens_2, {r('frp/case when med<>0 then med else 1e0 end', 6)} as frp_ratio from det join (select day, frp as med from (select day, frp, row_number() over (partition by day order by frp) as rn, count(*) over (partition by day) as n from det) x where rn=n//2+1) m using (day) join bd using (pt_seq)",
+        "det", **_BOX, bd=_BOXES,
+    ),
+    "cell_questions": oracle(
+        f"""select day, lat, lon, printf('Fire cell around %.2f, %.2f in amazon on %s: %d detections, %d MW in total, strongest %d MW, mean confidence %d, %d%% at night. Assess it and say what to watch next.', lat, lon, cast(day as varchar), n, {r('frp_sum', 0)}, {r('max_frp', 0)}, {r('mean_conf', 0)}, {r('night_pct', 0)}) as question from dcell""",
+        "det", dcell=_CELLS,
+    ),
+    "popup_inputs": _recursive(
+        f"select kind, id, score, {LABEL} as threat from (select kind, id, {r('least(60e0, log10(1e0+greatest(frp,0e0))/log10(501e0)*60) + least(greatest(conf,0),100)/100e0*25 + case when night then 15 else 8 end', 0)} as score from (select 'detection' as kind, cast(pt_seq as varchar) as id, frp, cast(coalesce({CONF},60) as double) as conf, night from det union all select 'cluster', cast(day as varchar)||' '||cluster_id, frp_mean*1.4e0, 75e0, night_pct>40 from st union all select 'cell', printf('%s %.1f %.1f', cast(day as varchar), lat, lon), max_frp, mean_conf, night_pct>40 from dcell) u) v",
+        "det", **_DB, **_STATS, dcell=_CELLS,
+    ),
     "density_features": oracle(
         "select a.pt_seq, " + ", ".join(f"count(case when (a.lon-b.lon)*(a.lon-b.lon)+(a.lat-b.lat)*(a.lat-b.lat)<={x}e0*{x}e0 then 1 end) as dens_{k}" for k, x in enumerate((0.05, 0.25, 1.0))) + " from det a join det b on a.day=b.day group by 1", "det"
     ),

@@ -21,9 +21,9 @@ def r(x: str, digits: int) -> str:
     return f"floor(({x})*1e{digits}+0.5e0)/1e{digits}" if digits else f"cast(floor(({x})+0.5e0) as bigint)"
 
 
-def total(x: str, digits: int = 2) -> str:
+def total(x: str) -> str:
     """SQL of an exact sum."""
-    return f"cast(sum(cast({x} as decimal(18,{digits}))) as double)"
+    return f"cast(sum(cast({x} as decimal(28,10))) as double)"
 
 
 SCORE = r("least(60e0, log10(1e0+greatest(frp,0e0))/log10(501e0)*60) + least(greatest(coalesce(conf,60),0),100)/100e0*25 + case when night then 15 else 8 end", 0)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from burncal.operators import cluster, harmonize, selections, series, summary
+from burncal.operators import cluster, harmonize, selections, series, summary, triage
 from burncal.plans.clusters import labelled
-from burncal.plans.detections import CONF, r
+from burncal.plans.detections import CONF, DET_CONF, r, total
 from burncal.plans.series import _FUSED, _PAIR, _PROFILE, _RATIO, _UNIFIED, BEFORE, ORACLES as SERIES
 from burncal.sources.fixtures import BBOX, calendar, detections, oracle
 
@@ -48,6 +49,19 @@ def day_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selections.contexts(summary.sensor_day_summary(rows, BBOX), summary.alert_level(rows))
 
 
+def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return triage.intent(turns, "text").select("conv_id", "turn", "intent")
+
+
+def navigation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some turns end with a directive, some with one that is no JSON."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    said = F.when(F.col("conv_id") % 3 == 0, F.format_string(' NAVIGATE: {"region": "r%d", "date": "2024-01-%02d"} x', "turn", F.col("conv_id") % 28 + 1)).when(F.col("conv_id") % 3 == 1, " NAVIGATE: {nothing}").otherwise("")
+    found = triage.navigation(turns.withColumn("answer", F.concat(F.coalesce("text", F.lit("")), said)))
+    return found.select("conv_id", "turn", "region", "date")
+
+
 def last_day_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selections.split_by_last_day(detections(spark, sf_dir))[1].select("pt_seq", "day")
 
@@ -55,8 +69,11 @@ def last_day_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "hot_core": hot_core, "display_points": display_points, "extreme_points": extreme_points, "busy_tiles": busy_tiles, "percent_of_typical": percent_of_typical, "months_to_peak": months_to_peak,
     "hull_cells": hull_cells, "detection_questions": detection_questions, "day_contexts": day_contexts, "last_day_split": last_day_split,
+    "question_intents": question_intents, "navigation_targets": navigation_targets,
 }
 
+#: SQL of a number rounded half up by its decimals.
+_D = lambda x, digits: f"case when {x} < 0 then -cast(round(cast(-{x} as decimal(35,17)), {digits}) as double) else cast(round(cast({x} as decimal(35,17)), {digits}) as double) end"
 _TY = "cast(floor((1e0-asinh(tan(radians(lat)))/3.141592653589793e0)/2*64) as int)"
 
 ORACLES = {
@@ -69,5 +86,18 @@ ORACLES = {
         "select region, peak, (cast(substring(peak,1,4) as int)-2001)*12+cast(substring(peak,6,2) as int)-11 as months from (select region, first(ym order by mean desc, ym) as peak from so group by 1) x", "cal",
         pr=_PAIR, ra=_RATIO, fu=_FUSED, pf=_PROFILE, so=SERIES["season_outlook"].rpartition(") select a.region")[2].join(("select a.region", "")),
     ),
+    "question_intents": "select conv_id, turn, case " + " ".join(f"when regexp_matches(lower(text), '{pattern}') then '{name}'" for name, pattern in triage.INTENTS) + " else 'snapshot' end as intent from conversations",
+    "navigation_targets": """with said as (select conv_id, turn, coalesce(text,'') || case conv_id%3 when 0 then printf(' NAVIGATE: {"region": "r%d", "date": "2024-01-%02d"} x', turn, conv_id%28+1) when 1 then ' NAVIGATE: {nothing}' else '' end as answer from conversations),
+ found as (select conv_id, turn, regexp_extract(answer, 'NAVIGATE:\\s*(\\{[^}]+\\})', 1) as j from said)
+ select conv_id, turn, case when json_valid(j) then json_extract_string(j, '$.region') end as region, case when json_valid(j) then json_extract_string(j, '$.date') end as date from found""",
+    "detection_questions": oracle(
+        f"select pt_seq, printf('Fire detection at %.2f, %.2f in amazon on %s, %s overpass: sensor %s, %.1f MW, confidence %d. What does it mean and what should be watched?', {_D('lat', 2)}, {_D('lon', 2)}, cast(day as varchar), case when night then 'night' else 'day' end, sensor, {_D('frp', 1)}, coalesce({CONF},60)) as question from det", "det"
+    ),
+    "day_contexts": oracle(
+        "select day, cast(to_json({'day': cast(day as varchar), 'total': total, 'level': level, 'sensors': sensors}) as varchar) as context from al join (select day, list({'sensor': sensor, 'n': n, 'mean_frp': mean_frp, 'hi_conf': hi_conf} order by sensor) as sensors from sd group by 1) x using (day)",
+        "det", dc=DET_CONF,
+        sd=f"select day, sensor, count(*) as n, {r(total('frp') + '/count(*)', 1)} as mean_frp, count(case when conf>=80 then 1 end) as hi_conf from dc where lon between -74 and -46 and lat between -12 and 2 group by 1,2",
+        al=f"select day, total, case when total>=150 or frp>=2500 then 'RED' when total>=60 or frp>=1200 then 'ORANGE' when total>=20 then 'AMBER' else 'GREEN' end as level from (select day, count(*) as total, {total('frp')} as frp from det group by 1) q",
+    ),
     "last_day_split": oracle("select pt_seq, day from det where day=(select max(day) from det)", "det"),
 }

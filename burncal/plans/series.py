@@ -239,3 +239,46 @@ ORACLES = {
         "cal", am=_ALL,
     ),
 }
+
+
+_SO = "select a.region" + ORACLES["season_outlook"].rpartition(") select a.region")[2]
+ORACLES["calendar_documents"] = oracle(
+    """select region, '{"region":"'||region||'","sensors":{'||sensors||'}'||coalesce(',"harmonization":'||block,'')||'}' as document from
+ (select region, string_agg('"'||sensor||'":'||m, ',' order by sensor) as sensors from (select region, sensor, cast(to_json({'monthly': list({'ym': ym, 'est': est, 'frp': frp, 'hi_conf': hi_conf, 'night': night} order by ym)}) as varchar) as m from cal group by 1,2) x group by 1) s
+ left join (select region, cast(to_json({'overlapMonths': any_value(overlap_months), 'meanRatioSNPPtoMODIS': any_value(mean_ratio), 'sample': list({'ym': ym, 'ratio': q, 'm': m_est, 's': v_est} order by ym)}) as varchar) as block from
+ (select *, floor(cast(v_est as double)/m_est*1e3+0.5e0)/1e3 as q, row_number() over (partition by region order by ym desc) as rn from pr where m_est>0 and v_est>0) p join ra using (region) where rn<=6 group by 1) h using (region)""",
+    "cal", pr=_PAIR, ra=_RATIO,
+)
+ORACLES["outlook_documents"] = oracle(
+    """select region, cast(to_json({'region': region, 'history': hs, 'forecast': fo, 'peakMonths': pk}) as varchar) as document from
+ (select region, list({'ym': ym, 'est': est} order by ym) as hs from (select *, row_number() over (partition by region order by ym desc) as rn from fu) x where rn<=36 group by 1) a
+ join (select region, list({'ym': ym, 'mean': mean, 'lo': lo, 'hi': hi} order by ym) as fo from so group by 1) b using (region)
+ join (select region, list(lpad(cast(month as varchar),2,'0') order by rk) as pk from (select *, row_number() over (partition by region order by mean desc, month) as rk from pf) q where rk<=3 group by 1) c using (region)""",
+    "cal", pr=_PAIR, ra=_RATIO, fu=_FUSED, pf=_PROFILE, so=_SO,
+)
+
+
+def _regression() -> dict[str, str]:
+    """CTEs that end in `fit`: the harmonic model by making its six columns orthogonal one after the other over the months that are known (w=1);
+    the months ahead (w=0) go through the same steps."""
+    angle = "2*pi()*(month-1)/12e0"
+    columns = ["1e0", "cast(i as double)", f"sin({angle})", f"cos({angle})", f"sin(2*{angle})", f"cos(2*{angle})"]
+    parts = {
+        "hm": "select *, row_number() over (partition by region order by ym desc) as back, count(*) over (partition by region) as months from uni",
+        "hk": 'select region, ym, ln(1e0+"count") as y, 1 as w, row_number() over (partition by region order by ym)-1 as i from hm where back<=216 and months>=36',
+        "hr": "select region, ym, y, w, i, cast(substring(ym,6,2) as int) as month from hk union all select region, strftime(cast(last||'-01' as date)+to_months(cast(h as int)),'%Y-%m'), null, 0, n-1+h, month(cast(last||'-01' as date)+to_months(cast(h as int))) from (select region, max(ym) as last, count(*) as n from hk group by 1) l, range(1,13) g(h)",
+        "h0": "select *, " + ", ".join(f"{c} as x{k}" for k, c in enumerate(columns)) + " from hr",
+    }
+    for k in range(6):
+        less = "".join(f" - q{j}*(sum(w*x{k}*q{j}) over p)/(sum(w*q{j}*q{j}) over p)" for j in range(k))
+        parts[f"h{k + 1}"] = f"select *, x{k}{less} as q{k} from h{k} window p as (partition by region)"
+    said = " + ".join(f"q{j}*(sum(w*coalesce(y,0)*q{j}) over p)/(sum(w*q{j}*q{j}) over p)" for j in range(6))
+    parts["h7"] = f"select *, {said} as z from h6 window p as (partition by region)"
+    parts["h8"] = "select *, sqrt(avg(case when w=1 then (y-z)*(y-z) end) over p) as sd, sum(case when w=1 then (y-z)*(y-z) end) over p as rest, var_pop(y) over p * count(y) over p as spread from h7 window p as (partition by region)"
+    return parts
+
+
+ORACLES["harmonic_forecast"] = oracle(
+    f"select region, ym, {r('greatest(0e0, exp(z)-1)', 0)} as mean, {r('greatest(0e0, exp(z-1.96e0*sd)-1)', 0)} as lo, {r('exp(z+1.96e0*sd)-1', 0)} as hi, {r('sd', 3)} as sigma, {r('greatest(0e0, 1-rest/spread)', 3)} as r2 from h8 where w=0",
+    "cal", **_UNIFIED, **_regression(),
+)

@@ -16,8 +16,8 @@ with b as (select event_id, ts, value, event_type, user_id%12 as c,
   cast(regexp_extract(props,'([0-9]+)',1) as int) as k, (event_id*7919) as h1, (event_id*104729) as h2 from {events})
 select event_id as pt_seq, cast(ts as date) as day, cast(hour(ts) as int) as acq_hour,
  case event_type when 'click' then 'MODIS-Terra' when 'error' then 'MODIS-Aqua' when 'purchase' then 'VIIRS-SNPP' when 'signup' then 'VIIRS-NOAA20' else 'VIIRS-NOAA21' end as sensor,
- case when event_id%5=0 then cast(h1%2800 as double)/100 - 74 else cast((c*37)%28 as double) - 74 + cast(h1%2000 as double)/1000 end as lon,
- case when event_id%5=0 then cast(h2%1400 as double)/100 - 12 else cast((c*53)%14 as double) - 12 + cast(h2%2000 as double)/1000 end as lat,
+ case when event_id%5=0 then cast(h1%2800000 as double)/100000 - 74 else cast((c*37)%28 as double) - 74 + cast(h1%200000 as double)/100000 end as lon,
+ case when event_id%5=0 then cast(h2%1400000 as double)/100000 - 12 else cast((c*53)%14 as double) - 12 + cast(h2%200000 as double)/100000 end as lat,
  value as frp,
  case when event_type in ('click','error') then cast(k as string) when k<20 then 'l' when k<80 then 'n' else 'h' end as conf_raw,
  (hour(ts)<6 or hour(ts)>=18) as night

@@ -17,9 +17,12 @@ WEATHER = "daily struct<time:array<string>,temperature_2m_max:array<double>,rela
 
 
 def read_detections_csv(spark: SparkSession, path: str, sensor: str | None = None) -> DataFrame:
-    """Detections from CSV files with headers in any case. Rows without a place go; power that is no number is 0; numbers stay text until they
-    are cast, so one bad cell costs no row."""
-    raw = spark.read.csv(path, header=True, mode="PERMISSIVE")
+    """Detections from CSV files with headers in any case. Rows without a place, and rows shorter than the header, go; power that is no number
+    is 0; numbers stay text until they are cast, so one bad cell costs no row."""
+    named = spark.read.csv(path, header=True)
+    short = F.size(F.split("_line", ",")) < len(named.columns)  # _line is there where a row has more or fewer cells than the header
+    raw = spark.read.schema(named.schema.add("_line", "string")).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_line")
+    raw = raw.filter(F.col("_line").isNull() | ~short).drop("_line")
     raw = raw.toDF(*(c.strip().lower() for c in raw.columns))
     get = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     return raw.select(
@@ -39,11 +42,11 @@ def read_product(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
-    """Month rows of calendar documents."""
+    """Month rows of calendar documents; seq is the place within a sensor."""
     documents = spark.read.schema(CALENDAR).json(path, multiLine=True)
     sensors = documents.select("region", F.explode("sensors").alias("sensor", "s"))
-    months = sensors.select("region", "sensor", F.explode("s.monthly").alias("m"))
-    return months.select("region", "sensor", "m.ym", "m.sampled", "m.days", "m.est", F.col("m.frp").cast("long").alias("frp"), F.col("m.meanFrp").alias("mean_frp"), F.col("m.hiConf").alias("hi_conf"), "m.night")
+    months = sensors.select("region", "sensor", F.posexplode("s.monthly").alias("seq", "m"))
+    return months.select("region", "sensor", "seq", "m.ym", "m.sampled", "m.days", "m.est", F.col("m.frp").cast("long").alias("frp"), F.col("m.meanFrp").alias("mean_frp"), F.col("m.hiConf").alias("hi_conf"), "m.night")
 
 
 def read_outlook(spark: SparkSession, path: str) -> DataFrame:

@@ -33,9 +33,20 @@ def labels_of(spark, rows, eps, min_pts=3):
 
 
 def brute(rows, eps, min_pts):
-    frame = pd.DataFrame({"pt_seq": range(1, len(rows) + 1), "lon": [float(r[0]) for r in rows], "lat": [float(r[1]) for r in rows]})
-    out = cluster.dbscan_scene(frame, eps, min_pts)
-    return [None if pd.isna(v) else int(v) for v in out["label"]]
+    """A scan in the order of points, with all distances."""
+    near = [[j for j, (x, y) in enumerate(rows) if j != i and (x - a) ** 2 + (y - b) ** 2 <= eps * eps] for i, (a, b) in enumerate(rows)]
+    core, label, number = [len(n) + 1 >= min_pts for n in near], [None] * len(rows), 0
+    for i in range(len(rows)):
+        if core[i] and label[i] is None:
+            number += 1
+            label[i], queue = number, [i]
+            while queue:
+                for j in near[queue.pop()]:
+                    if label[j] is None:
+                        label[j] = number
+                        if core[j]:
+                            queue.append(j)
+    return label
 
 
 @pytest.mark.parametrize(
@@ -62,6 +73,36 @@ def test_dbscan_equals_scan(spark, rows):
     assert labels_of(spark, rows, 0.5) == brute(rows, 0.5, 3)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-6, 6), st.integers(-6, 6)), max_size=60), st.integers(1, 5))
+def test_scene_equals_scan(rows, most):
+    rows = [(x / 4, y / 4) for x, y in rows]
+    component, label = cluster.label_scene(np.array(rows).reshape(-1, 2), 0.5, 3)
+    assert [int(v) or None for v in label] == brute(rows, 0.5, 3)
+    assert all(v < 0 or label[v] == label[i] for i, v in enumerate(component))
+    if rows:  # few pairs at a time give the same pairs
+        grid = lambda n: {tuple(sorted(p)) for a, b in cluster._Grid(np.array(rows), 0.5, n).pairs() for p in zip(a.tolist(), b.tolist())}
+        assert grid(most) == grid(1 << 20)
+
+
+def test_small_and_large_scenes(spark):
+    rng = np.random.RandomState(3)
+    rows = [(i + 1, DAY + dt.timedelta(days=int(i % 5 == 0)), *(float(v) for v in rng.randint(0, 40, 2) / 8), 1.0) for i in range(300)]
+    frame = spark.createDataFrame(rows, "pt_seq long, day date, lon double, lat double, frp double")
+    found = {most: sorted((r.pt_seq, r.component, r.label) for r in cluster.labelled(frame, 0.3, 4, most=most).collect()) for most in (1000, 100, 1)}
+    assert found[1000] == found[100] == found[1] and len(found[1]) == 300
+
+
+def test_cells_that_almost_meet(spark):
+    """Dense cells whose small cells lie around eps from each other: linked if and only if two points are."""
+    rng = np.random.RandomState(1)
+    for gap in (0.9999, 1.0001):
+        left = [(-float(v), float(w)) for v, w in rng.rand(40, 2) * 0.05] + [(0.0, 0.0)]
+        right = [(gap + float(v), float(w)) for v, w in rng.rand(40, 2) * 0.05] + [(gap, 0.0)]
+        rows = [r for pair in zip(left, right) for r in pair]
+        assert labels_of(spark, rows, 1.0) == brute(rows, 1.0, 3)
+
+
 @pytest.mark.parametrize(
     "rows, size", [([(0, 0)], 1), ([(0, 0), (1, 1)], 2), ([(0, 0), (1, 0), (0, 1)], 3), ([(0, 0), (1, 1), (2, 2)], 2), ([(0, 0), (2, 0), (2, 2), (0, 2), (1, 1)], 4)]
 )
