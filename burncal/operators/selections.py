@@ -105,7 +105,7 @@ def detection_questions(detections: DataFrame, region: str) -> DataFrame:
     conf = F.coalesce(confidence("conf_raw"), F.lit(60))
     text = F.format_string(
         "Fire detection at %.2f, %.2f in %s on %s, %s overpass: sensor %s, %.1f MW, confidence %d. What does it mean and what should be watched?",
-        "lat", "lon", F.lit(region), F.col("day").cast("string"), _half("night"), "sensor", "frp", conf,
+        rounded("lat", 2), rounded("lon", 2), F.lit(region), F.col("day").cast("string"), _half("night"), "sensor", rounded("frp", 1), conf,
     )
     return detections.select("pt_seq", text.alias("question"))
 

@@ -72,8 +72,6 @@ QUERIES = {
     "question_intents": question_intents, "navigation_targets": navigation_targets,
 }
 
-#: SQL of a number rounded half up by its decimals.
-_D = lambda x, digits: f"case when {x} < 0 then -cast(round(cast(-{x} as decimal(35,17)), {digits}) as double) else cast(round(cast({x} as decimal(35,17)), {digits}) as double) end"
 _TY = "cast(floor((1e0-asinh(tan(radians(lat)))/3.141592653589793e0)/2*64) as int)"
 
 ORACLES = {
@@ -91,7 +89,7 @@ ORACLES = {
  found as (select conv_id, turn, regexp_extract(answer, 'NAVIGATE:\\s*(\\{[^}]+\\})', 1) as j from said)
  select conv_id, turn, case when json_valid(j) then json_extract_string(j, '$.region') end as region, case when json_valid(j) then json_extract_string(j, '$.date') end as date from found""",
     "detection_questions": oracle(
-        f"select pt_seq, printf('Fire detection at %.2f, %.2f in amazon on %s, %s overpass: sensor %s, %.1f MW, confidence %d. What does it mean and what should be watched?', {_D('lat', 2)}, {_D('lon', 2)}, cast(day as varchar), case when night then 'night' else 'day' end, sensor, {_D('frp', 1)}, coalesce({CONF},60)) as question from det", "det"
+        f"select pt_seq, printf('Fire detection at %.2f, %.2f in amazon on %s, %s overpass: sensor %s, %.1f MW, confidence %d. What does it mean and what should be watched?', {r('lat', 2)}, {r('lon', 2)}, cast(day as varchar), case when night then 'night' else 'day' end, sensor, {r('frp', 1)}, coalesce({CONF},60)) as question from det", "det"
     ),
     "day_contexts": oracle(
         "select day, cast(to_json({'day': cast(day as varchar), 'total': total, 'level': level, 'sensors': sensors}) as varchar) as context from al join (select day, list({'sensor': sensor, 'n': n, 'mean_frp': mean_frp, 'hi_conf': hi_conf} order by sensor) as sensors from sd group by 1) x using (day)",
