@@ -6,13 +6,13 @@ Texts and templates are lower-cased word sequences (letters and digits), shingle
 values, retrieves the templates of its size that agree with it in some band. The window on the grid nearest to a notice with 0.8
 of a template's shingles has a Jaccard similarity of about 0.6 at least, so it is retrieved with probability
 1 - (1 - 0.6^2)^24 > 0.9999. Then exact containment decides: at least 0.8 of the template's shingles in the window and STEP
-words on either side.
+words on either side. So a place is reported too whose 0.8 of the shingles lie in a window wider by STEP words on both sides.
 
 Scale. The templates are a fixed list of bounded size and are broadcast; a first look at the raw text for words that every match
 has to contain keeps most texts out of all later steps. Only windows that matched are grouped, by document and template.
 
 Cases: null and empty texts, and texts with fewer than five words, match nothing; a notice with a null doc_id is reported with it;
-repeated rows give one row; of several places the best, then the first, is reported; further columns are ignored; an empty
+very long texts are cut into windows like any other; repeated rows give one row; of several places the best, then the first, is reported; further columns are ignored; an empty
 table gives an empty result.
 """
 

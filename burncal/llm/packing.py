@@ -6,13 +6,15 @@ rows are balanced jointly.
 
 Scale. A group with at least 1/UNITS of a shard's capacity in some dimension is a unit of its own; there are at most
 3 * shards * UNITS of those, whatever the size of the corpus. All smaller groups are hashed into shards * UNITS bundles
-that are placed as one group each. So the placement works on a bounded list of units; everything that grows with the rows
+that are placed as one group each, with a bundle's vector (a documented switch: single small groups are not placed one by one). So the placement works on a bounded list of units; everything that grows with the rows
 is a Spark aggregation with map-side combine or a broadcast join with that bounded list. A group over half a shard's
-capacity (a hot group of copies) is split by doc_id into pieces of about a quarter, as no shard could hold it evenly.
+capacity (a hot group of copies) is split by doc_id into pieces of about a twentieth of a shard (PIECE), as no shard could hold it evenly.
 
-Cases: a null text has no bytes and no tokens and is a group of its own (size 8, checksum 0); an empty table gives an
-empty result; repeated rows each take a slot; ties go to the lowest shard; slots follow doc_id within a part of a shard;
-further columns are ignored.
+Tokens are counted as single white-space characters and one, so two spaces in a row hold an empty token.
+
+Cases: a null text has no bytes and no tokens and is a group of its own (size 8, checksum 0), unlike the empty text; an empty table gives an
+empty result; repeated rows each take a slot; ties go to the lowest shard; slots follow doc_id within a part of a shard; a very long text
+counts whole and lies in one shard; rows with a null doc_id are packed like any other; further columns are ignored.
 """
 
 from __future__ import annotations

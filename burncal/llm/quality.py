@@ -8,7 +8,8 @@ regression on labelled rows that the fit did not see (crc32 of the id modulo 5 i
 
 Cases: null and empty texts have zero statistics and are scored like any other; labels that are null or not 0/1 are not
 learnt from; without labels of both kinds every score is 0.5; repeated rows each get a row; a label counts once per row of
-its id; further columns are ignored; an empty table gives an empty result.
+its id, and repeated label rows count each; very long texts are read whole; equal texts get equal scores; further columns are ignored; an
+empty table gives an empty result. Sums of doubles come in the order of tasks, so scores, of six decimals, can differ in the last one.
 """
 
 from __future__ import annotations
