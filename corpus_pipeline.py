@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burncal.llm import decontaminate, pieces, quality, secrets, simhash
-from burncal.llm.common import documents, table, written
+from burncal.llm.common import documents, table
+from burncal.session import discard, table_of
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder, each result written as Parquet and read by the next stage."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage{k}")
+            docs, path = table_of(docs, f"stage{k}")
+            if before:
+                discard(spark, before)  # the table that this one was made from
+            before = path
     return docs
