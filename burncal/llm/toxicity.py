@@ -10,7 +10,8 @@
 3. Every whole text is scored: forward-backward over all its tokens, whatever their words. The tokens of a batch are cut into blocks that
    run side by side, each with so many tokens before and after it that what lies further off can't change a marginal by more than 1e-12
    (each step of a chain contracts by a known factor), so the marginals are those of the full chain.
-4. The largest marginal and the expected number of toxic tokens, calibrated by logistic regression, are the document's score. Tokens with
+4. The two largest marginals, the expected number of toxic tokens and the number of all tokens (one token of many can be chance),
+   calibrated by logistic regression, are the document's score. Tokens with
    a marginal of at least 0.5 are its offending offsets; a document whose score is 0.5 or more without such a token names the one
    with the largest marginal (the first of equals), on which its score rests.
 
@@ -72,7 +73,7 @@ class Model:
     weights: np.ndarray  # of hashed features; weights[0] is 0
     bias: float
     transitions: np.ndarray  # log potentials [from, to]; state 1 is toxic
-    calibration: np.ndarray  # of 1, logit of the largest marginal, log1p of the expected count
+    calibration: np.ndarray  # of 1 and the evidence
     constant: float | None = None  # the score of all, if nothing can be learnt
     seeds: list[str] = field(default_factory=list)
 
@@ -173,7 +174,7 @@ def chain_marginals(emission: np.ndarray, there: np.ndarray, transitions: np.nda
     return both[:, :, 1] / both.sum(2), pairs
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, there: np.ndarray, steps: int = 120, rate: float = 0.1, l2: float = 0.05, enough: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+def fit_chain(x: np.ndarray, y: np.ndarray, there: np.ndarray, steps: int = 60, rate: float = 0.1, l2: float = 0.05, enough: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and transitions by Adam on the exact gradient of the penalized conditional likelihood, until no part of the gradient
     is over `enough` of the windows."""
     used, flat = np.unique(np.append(0, x), return_inverse=True)  # only features that occur have weights
@@ -271,17 +272,18 @@ class Tagger:
         emission[:-1] += np.where(first[1:-1], 0.0, own[1:, 2])
         return np.split(marginals(np.clip(emission, -40, 40), first[:-1], self.model.transitions), stops[:-1])
 
-    def evidence(self, p: np.ndarray) -> tuple[float, float]:
-        """What the score rests on: logit of the largest marginal, log1p of the expected number of toxic tokens."""
-        best = min(float(p.max(initial=0.0)), 1 - 1e-12)
-        return max(-12.0, math.log(best / (1 - best))) if best > 0 else -12.0, math.log1p(float(p.sum()))
+    def evidence(self, p: np.ndarray) -> tuple[float, ...]:
+        """What the score rests on: logits of the two largest marginals, log1p of the expected number of toxic tokens, and -log1p of that of
+        all tokens."""
+        two = np.append(np.partition(p, len(p) - 2)[-2:] if len(p) > 1 else p, [0.0, 0.0])
+        logit = [max(-12.0, math.log(v / (1 - v))) if v > 0 else -12.0 for v in sorted(np.minimum(two, 1 - 1e-12).tolist())[:-3:-1]]
+        return *logit, math.log1p(float(p.sum())), -math.log1p(len(p))
 
     def score(self, p: np.ndarray) -> float:
         if self.model.constant is not None:
             return self.model.constant
-        a, b = self.evidence(p)
-        c = self.model.calibration
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * a + c[2] * b))))
+        z = self.model.calibration[0] + float(np.dot(self.model.calibration[1:], self.evidence(p)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -299,18 +301,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     labelled = cut(_labelled(id_and_text(docs, id_col, text_col), labels.withColumnRenamed(id_col, "doc_id"), label_col))  # one pass over the texts
     seeds, n1, n0 = mine_seeds(labelled)
     if not seeds:
-        return Model(np.zeros(1 << HASH_BITS), 0.0, np.zeros((2, 2)), np.zeros(3), n1 / (n1 + n0) if n1 + n0 else 0.5)
+        return Model(np.zeros(1 << HASH_BITS), 0.0, np.zeros((2, 2)), np.zeros(5), n1 / (n1 + n0) if n1 + n0 else 0.5)
     weights, bias, transitions = fit_chain(*arrays(windows(labelled, seeds)))
-    model = Model(weights, bias, transitions, np.zeros(3), seeds=sorted(seeds))
+    model = Model(weights, bias, transitions, np.zeros(5), seeds=sorted(seeds))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def evidence(batch: pa.RecordBatch) -> pa.RecordBatch:
         tagger = Tagger(shared.value)
         rows = [tagger.evidence(p) for p in tagger.tag(texts(batch))]
-        return pa.record_batch([batch.column("label"), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["label", "a", "b"])
+        return pa.record_batch([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["label", "evidence"])
 
-    known = map_batches(labelled.select("text", "label"), evidence, "label int, a double, b double").collect()  # MAX_LABELLED rows at most
-    known = np.array(sorted(tuple(r) for r in known), float)
+    known = map_batches(labelled.select("text", "label"), evidence, "label int, evidence array<double>").collect()  # MAX_LABELLED rows at most
+    known = np.array(sorted((r.label, *r.evidence) for r in known), float)
     model.calibration = logistic(known[:, 1:], known[:, 0])
     return model
 

@@ -710,9 +710,8 @@ def plain_toxicity(model, text):
 
 
 def model_score(model, p):
-    best = min(max(p, default=0), 1 - 1e-12)
-    a = max(-12, math.log(best / (1 - best))) if best else -12
-    return 1 / (1 + math.exp(-(model.calibration @ [1, a, math.log1p(sum(p))])))
+    logit = [max(-12, math.log(v / (1 - v))) if v else -12 for v in sorted((min(v, 1 - 1e-12) for v in [*p, 0, 0]), reverse=True)[:2]]
+    return 1 / (1 + math.exp(-(model.calibration @ [1, *logit, math.log1p(sum(p)), -math.log1p(len(p))])))
 
 
 def test_chain_marginals_equal_enumeration():
