@@ -18,6 +18,7 @@ from burncal.session import cut
 
 CLASSIFIER_FEATURES = ("log_frp", "conf", "night_n", "hour", "is_viirs", "dens_0", "dens_1", "dens_2", "frp_ratio")
 BALANCED = "weight"
+MAX_LABELLED = 20_000
 
 
 def event_scores(calendar: DataFrame, least: int = 15, model: dict = EVENT_MODEL) -> DataFrame:
@@ -51,8 +52,10 @@ def train_logistic(df: DataFrame, features: list[str], label: str = "y", seed: i
     return Pipeline(stages=stages).fit(balanced(df, label))
 
 
-def train_classifier(df: DataFrame, label: str = "behavior", trees: int = 40, depth: int = 12, seed: int = 42):
-    """A forest over the features of a detection."""
+def train_classifier(df: DataFrame, label: str = "behavior", trees: int = 40, depth: int = 12, seed: int = 42, most: int = MAX_LABELLED):
+    """A forest over the features of a detection, from about `most` labelled rows, those with the smallest hashes of their ids."""
+    share = most / max(most, df.count())
+    df = df.filter(F.xxhash64("pt_seq", F.lit(seed)) / F.lit(float(1 << 64)) + 0.5 < share) if share < 1 else df
     stages = [StringIndexer(inputCol=label, outputCol="y"), VectorAssembler(inputCols=list(CLASSIFIER_FEATURES), outputCol="features"), RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)]
     return Pipeline(stages=stages).fit(df)
 

@@ -31,17 +31,22 @@ def box_counts(points: DataFrame, cell: float = 0.01, radii=RADII, margin: float
 
     def one(scene: pd.DataFrame) -> pd.DataFrame:
         i, j = scene["i"].to_numpy(), scene["j"].to_numpy()
+        own = (i // TILE == scene["ti"].to_numpy()) & (j // TILE == scene["tj"].to_numpy())
+        out = {"day": scene["day"][own], "i": i[own], "j": j[own]}
         pad = max(ks) + 1
         i0, j0 = i.min() - pad, j.min() - pad
-        grid = np.zeros((i.max() - i0 + pad + 2, j.max() - j0 + pad + 2))
-        np.add.at(grid, (i - i0 + 1, j - j0 + 1), scene["n"].to_numpy())
+        shape, n = (i.max() - i0 + pad + 2, j.max() - j0 + pad + 2), scene["n"].to_numpy(float)
+        if own.sum() * len(i) <= shape[0] * shape[1]:  # few cells: compare them, in place of a raster that is mostly empty
+            far = np.maximum(np.abs(i[own][:, None] - i), np.abs(j[own][:, None] - j))
+            out |= {f"box_{k}": (far <= r) @ n for k, r in enumerate(ks)}
+            return pd.DataFrame(out)
+        grid = np.zeros(shape)
+        np.add.at(grid, (i - i0 + 1, j - j0 + 1), n)
         total = grid.cumsum(0).cumsum(1)
-        out = {"day": scene["day"], "i": i, "j": j}
-        x, y = i - i0 + 1, j - j0 + 1
+        x, y = i[own] - i0 + 1, j[own] - j0 + 1
         for k, r in enumerate(ks):
             out[f"box_{k}"] = total[x + r, y + r] - total[x - r - 1, y + r] - total[x + r, y - r - 1] + total[x - r - 1, y - r - 1]
-        own = (i // TILE == scene["ti"].to_numpy()) & (j // TILE == scene["tj"].to_numpy())
-        return pd.DataFrame(out)[own]
+        return pd.DataFrame(out)
 
     boxes = dealt.groupBy("day", "ti", "tj").applyInPandas(one, "day date, i int, j int, " + ", ".join(f"box_{k} double" for k in range(len(ks))))
     return at.join(boxes, ["day", "i", "j"]).select("pt_seq", *((F.col(f"box_{k}") * f).alias(f"dens_{k}") for k, f in enumerate(factor)))

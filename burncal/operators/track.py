@@ -22,17 +22,17 @@ def follow(clusters: pd.DataFrame, max_gap_km: float = 60.0, same_day: bool = Fa
     """Tracks of one area. Clusters of a day come by falling power; each joins the nearest track within the gap that no cluster of the day has
     joined. With same_day a track begun that day can be joined too, and days_seen counts matches."""
     tracks: list[dict] = []
+    last = np.zeros((len(clusters), 2))  # where each track was seen last: lat, lon
     for day, rows in clusters.sort_values(["day", "frp_sum", "label"], ascending=[True, False, True]).groupby("day", sort=True):
-        free = list(range(len(tracks)))
+        free = np.zeros(len(clusters), bool)
+        free[: len(tracks)] = True
         for c in rows.itertuples():
-            best, gap = None, np.inf
-            for i in free:
-                lon, lat = tracks[i]["trail"][-1]
-                if (d := haversine(lat, lon, c.c_lat, c.c_lon)) < gap:
-                    best, gap = i, d
-            if best is not None and gap <= max_gap_km:
+            at = np.flatnonzero(free)
+            away = haversine(last[at, 0], last[at, 1], c.c_lat, c.c_lon)
+            best = int(at[away.argmin()]) if len(at) and away.min() <= max_gap_km else None  # of equals the first
+            if best is not None:
                 t = tracks[best]
-                free.remove(best)
+                free[best], last[best] = False, (c.c_lat, c.c_lon)
                 t["days_seen"] += 1
                 t["peak_frp"] = max(t["peak_frp"], c.frp_sum)
                 t["frp_trend"] = (c.frp_sum - t["first_frp"]) / max(t["first_frp"], 1)
@@ -40,8 +40,8 @@ def follow(clusters: pd.DataFrame, max_gap_km: float = 60.0, same_day: bool = Fa
                 t |= {"last_day": day, "latest_class": c.cls, "latest_frp": c.frp_sum, "latest_n": c.n}
             else:
                 tracks.append({"track_id": f"SYS-{len(tracks) + 1:03d}", "first_day": day, "last_day": day, "days_seen": 1, "latest_class": c.cls, "peak_frp": c.frp_sum, "latest_frp": c.frp_sum, "frp_trend": 0.0, "latest_n": c.n, "trail": [[c.c_lon, c.c_lat]], "first_frp": c.frp_sum})
-                if same_day:
-                    free.append(len(tracks) - 1)
+                last[len(tracks) - 1] = c.c_lat, c.c_lon
+                free[len(tracks) - 1] = same_day
     return [t for t in tracks if t["latest_frp"] > 0]
 
 

@@ -117,7 +117,7 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detection by a forest that has learnt the training labels of all days but the last. Its depth and number of trees are the published ones."""
     rows = detections(spark, sf_dir)
     features = cut(models.classifier_features(rows, raster.box_counts(rows)))
-    known = split_by_last_day(features)[0].join(cluster.weak_labels(rows), "pt_seq")
+    known = cut(split_by_last_day(features)[0].join(cluster.weak_labels(rows), "pt_seq"))
     return models.forest_scores(models.train_classifier(known), features)
 
 

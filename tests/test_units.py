@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from burncal.functions import scalars as s
 from burncal.functions.constants import AOIS, PROTOTYPES, REGIONS, SEASON
-from burncal.operators import cluster, exports, harmonize, models, raster, series, summary, track
+from burncal.operators import cluster, exports, harmonize, models, raster, series, summary, track, triage
 from burncal.sources import fixtures, readers
 from burncal.streaming.detections import tracked
 from tests.conftest import SF
@@ -207,6 +208,8 @@ def test_sql_functions(spark):
 
 
 def test_readers(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("latitude,longitude,frp\n1,2,3\n4,5\n6,7,8,9\n")  # a short row goes, a long one stays
+    assert sorted(r.lat for r in readers.read_detections_csv(spark, str(tmp_path / "s.csv")).collect()) == [1.0, 6.0]
     (tmp_path / "a.csv").write_text("Latitude,LONGITUDE,frp,confidence,daynight,satellite,acq_date,acq_time\n1.5,2.5,x,h,N,Terra,2024-01-02,345\n,2,3,n,D,Aqua,2024-01-02,0\n1,2,7.5,50,D,Aqua,bad,1230\n")
     rows = readers.read_detections_csv(spark, str(tmp_path / "a.csv"), "MODIS-Aqua").orderBy("frp").collect()
     assert [(r.lat, r.frp, r.night, r.day, r.acquired) for r in rows] == [(1.5, 0.0, True, dt.date(2024, 1, 2), "03:45 UTC"), (1.0, 7.5, False, None, "12:30 UTC")]
@@ -250,6 +253,67 @@ def test_smoothing_and_boxes(spark):
     assert raster.footprint_stats(cells, 1, 0.05, 0.5).first().overlap == 1
 
 
+def test_tiles_of_boxes(spark, monkeypatch):
+    """Boxes by raster and by comparison, over small tiles and large ones, against counting."""
+    rng = np.random.RandomState(2)
+    rows = [(float(x), float(y)) for x, y in rng.randint(0, 400, (300, 2)) / 100 + 0.005] + [(1.005, 1.005)] * 5
+    frame = points(spark, rows)
+    w, low = min(x for x, _ in rows) - 1.05, min(y for _, y in rows) - 1.05
+    at = [(math.floor((x - w) / 0.01), math.floor((y - low) / 0.01)) for x, y in rows]
+    factor = [math.pi * r * r / ((2 * k + 1) * 0.01) ** 2 for r, k in ((0.05, 5), (0.25, 25), (1.0, 100))]
+    expected = [[round(f * sum(abs(a - i) <= k and abs(b - j) <= k for a, b in at), 6) for f, k in zip(factor, (5, 25, 100))] for i, j in at]
+    for tile in (64, 512):
+        monkeypatch.setattr(raster, "TILE", tile)
+        found = sorted(map(tuple, raster.box_counts(frame).collect()))
+        assert [[round(v, 6) for v in r[1:]] for r in found] == expected
+
+
+def test_picks_and_limits(spark):
+    rows = spark.createDataFrame([("r", f"T{k}", k % 3 + 1, float(k)) for k in range(12)], "region string, track_id string, days_seen int, latest_frp double")
+    assert [r.track_id for r in track.track_picks(rows, 2, 3).orderBy("rank").collect()] == ["T11", "T10", "T8"]
+    cells = spark.createDataFrame([(DAY, k, 0, 1 - k / 10, k % 2 == 0) for k in range(6)], "day date, i int, j int, p double, actual boolean")
+    best = raster.forecast_cells(cells, 4)
+    assert sorted(r.i for r in best.collect()) == [0, 1, 2, 3] and raster.hit_share(best, 3).first()[1:] == (3, 2, 67)
+
+
+def test_ranking_and_class_metrics(spark):
+    rng = np.random.RandomState(7)
+    rows = [(int(y), float(p)) for y, p in zip(rng.randint(0, 2, 200), rng.randint(0, 30, 200) / 30)]
+    pos, neg = [p for y, p in rows if y], [p for y, p in rows if not y]
+    auc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+    said = lambda t: [y for y, p in rows if p >= t]
+    steps = [(sum(said(t)), len(said(t))) for t in sorted({p for _, p in rows}, reverse=True)]
+    ap = sum((a - b) * a / n for (a, n), b in zip(steps, [0, *(a for a, _ in steps)])) / len(pos)
+    found = models.ranking_metrics(spark.createDataFrame(rows, "y int, p double").repartition(5)).first()
+    assert (found.n, found.positives) == (200, len(pos)) and abs(found.auc - auc) < 1e-9 and abs(found.ap - ap) < 1e-9
+    classes = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "t string, s string")
+    one = models.class_metrics(classes, "t", "s").first()
+    assert (one.n, one.accuracy) == (4, 0.5) and abs(one.macro_f1 - (0.5 + 2 / 3 + 0) / 3) < 1e-12
+
+
+def test_forest_scores_are_means_of_trees(spark):
+    rows = fixtures.detections(spark, SF).filter("pt_seq < 400")
+    features = models.classifier_features(rows, cluster.density_features(rows)).cache()
+    fitted = models.train_classifier(features.join(cluster.weak_labels(rows, 0.3, 3), "pt_seq"), trees=4, depth=3)
+    scores = {r.pt_seq: r for r in models.forest_scores(fitted, features).collect()}
+    vectors = {r.pt_seq: r.features for r in fitted.stages[1].transform(features).collect()}
+    for pt_seq, v in list(vectors.items())[:40]:
+        each = [t.predictProbability(v).toArray() for t in fitted.stages[2].trees]
+        mean = np.mean(each, 0)
+        assert scores[pt_seq].p == math.floor(mean.max() * 1000 + 0.5) / 1000 and mean[fitted.stages[0].labels.index(scores[pt_seq].behavior)] == mean.max()
+
+
+def test_rules_of_answers(spark):
+    asked = ["When is the peak", "anything strange?", "compare the sensors", "which type", "the next months", "hello", None]
+    found = triage.intent(spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "i int, question string")).orderBy("i").collect()
+    assert [r.intent for r in found] == ["season", "anomaly", "sensors", "regime", "outlook", "snapshot", "snapshot"]
+    answers = ['x NAVIGATE: {"region": "congo", "date": "2024-01-02"} y', "NAVIGATE: {broken}", "none", None]
+    found = triage.navigation(spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, answer string")).orderBy("i").collect()
+    assert [(r.region, r.date) for r in found] == [("congo", "2024-01-02"), (None, None), (None, None), (None, None)]
+    twice = spark.createDataFrame([("r", s_, "2000-01", e, e, q) for q, (s_, e) in enumerate([("MODIS-Terra", 5), ("MODIS-Terra", 9), ("VIIRS-SNPP", 40), ("VIIRS-SNPP", 30)])], "region string, sensor string, ym string, est long, frp long, seq int")
+    assert harmonize.paired(twice).first()[2:] == (5, 5, 30, 30)
+
+
 def test_models(spark):
     rows = fixtures.detections(spark, SF)
     features = models.classifier_features(rows, cluster.density_features(rows))
