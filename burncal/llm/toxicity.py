@@ -56,16 +56,29 @@ def beginnings(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
-def _hash(feature: str) -> int:
-    return 1 + zlib.crc32(feature.encode("utf-8", "surrogatepass")) % ((1 << HASH_BITS) - 1)
+#: An odd factor for each feature of a token, which deals the checksums of its parts anew.
+_FACTORS = np.random.RandomState(17).randint(1 << 30, 1 << 31, PER_TOKEN).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def features(token: str) -> tuple[int, ...]:
-    """Hashed features of a token: OWN of its own (0: none), then what it is to its neighbours, the word before and the word after."""
-    low = token.lower()
-    shape = ("a" if token.islower() else "A" if token.isupper() else "Aa" if token.istitle() else "aA") + str(min(len(token), 12)) + "é" * (not token.isascii())
-    own = ["=" + low, "@" + shape, *("^" + low[:k] for k in BEGINNINGS if len(low) >= k), *("$" + low[-k:] for k in ENDINGS if len(low) >= k)]
-    return (*map(_hash, own), *[0] * (OWN - len(own)), _hash("<" + low), _hash(">" + low))
+def _crc(part: str) -> int:
+    return zlib.crc32(part.encode("utf-8", "surrogatepass"))
+
+
+def _shape(token: str) -> int:
+    case = 0 if token.islower() else 1 if token.isupper() else 2 if token.istitle() else 3
+    return (case * 2 + (not token.isascii())) * 16 + min(len(token), 12)
+
+
+def features(tokens: list[str]) -> np.ndarray:
+    """Hashed features [n, PER_TOKEN] of tokens: OWN of their own (0: none), that is the word, its shape, beginnings and endings; then what each
+    is to its neighbours, the word before and the word after."""
+    low = [t.lower() for t in tokens]
+    whole = list(map(_crc, low))
+    parts = [whole, list(map(_shape, tokens)), *([_crc(w[:k]) if len(w) >= k else -1 for w in low] for k in BEGINNINGS), *([_crc(w[-k:]) if len(w) >= k else -1 for w in low] for k in ENDINGS), whole, whole]
+    codes = np.array(parts, np.int64).reshape(PER_TOKEN, -1).T
+    mixed = ((codes.astype(np.uint64) + np.uint64(1)) * _FACTORS) >> np.uint64(20)
+    mixed = (mixed ^ (mixed >> np.uint64(17))) % np.uint64((1 << HASH_BITS) - 1)
+    return np.where(codes < 0, 0, mixed.astype(np.int64) + 1)
 
 
 @dataclass
@@ -142,11 +155,12 @@ def windows(labelled: DataFrame, seeds: set[str]) -> list[tuple[list[str], list[
 
 def arrays(rows: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features [n, WIDTH, PER_TOKEN], labels [n, WIDTH], and which tokens exist."""
-    known: dict[str, tuple[int, ...]] = {}
+    names = sorted({t for tokens, _ in rows for t in tokens})
+    known, table = dict(zip(names, range(len(names)))), features(names)
     x, y = np.zeros((len(rows), WIDTH, PER_TOKEN), np.int64), np.zeros((len(rows), WIDTH), np.int64)
     there = np.zeros((len(rows), WIDTH), bool)
     for i, (tokens, marks) in enumerate(rows):
-        own = np.array([known.get(t) or known.setdefault(t, features(t)) for t in tokens])
+        own = table[[known[t] for t in tokens]]
         x[i, : len(own), :OWN] = own[:, :OWN]
         x[i, 1 : len(own), OWN], x[i, : len(own) - 1, OWN + 1] = own[:-1, OWN], own[1:, OWN + 1]
         y[i, : len(own)], there[i, : len(own)] = marks, True
@@ -253,7 +267,7 @@ class Tagger:
             self._forget()
             new = sorted(tokens)
         if new:
-            w = self.model.weights[np.array([features(t) for t in new])]
+            w = self.model.weights[features(new)]
             self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
             self.table = np.vstack([self.table, np.stack([w[:, :OWN].sum(1), w[:, OWN], w[:, OWN + 1]], 1)])
 

@@ -688,7 +688,7 @@ def test_toxicity(spark, docs, none):
 def plain_toxicity(model, text):
     """Score and offending offsets of a text: one token after the other, in logarithms."""
     places = [m.span() for m in toxicity.WORD.finditer(text)]
-    own = [toxicity.features(text[s:e]) for s, e in places]
+    own = [toxicity.features([text[s:e]])[0] for s, e in places]
     n, t = len(own), model.transitions
     if not n:
         return model_score(model, []), []
