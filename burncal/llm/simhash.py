@@ -37,7 +37,7 @@ from burncal.operators.components import connected_components
 
 BITS = 64
 HEAVY = 512
-SHINGLE, PRINTS, SKETCH, MOST_BITS = 5, 3, 256, 48
+SHINGLE, PRINTS, SKETCH, MOST_BITS = 5, 4, 256, 50
 WORDS = 200_000  # whose hashes a task keeps
 CHUNK_ROWS = 65_536
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -73,7 +73,7 @@ def describe(text: str, known: dict[bytes, bytes]) -> bytes:
         if (h := known.get(w)) is None:
             if len(known) >= WORDS:
                 known.clear()
-            h = known[w] = xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_64_digest(w, 2)
+            h = known[w] = xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2)
         own.append(h)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
     digest = xxhash.xxh3_128_digest

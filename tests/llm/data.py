@@ -81,7 +81,7 @@ def components(prints: list[tuple[int, int]], radius: int = 4) -> dict[int, int]
     return {d: root(d) for d, _ in prints}
 
 
-def near_copies(rows: list[tuple[int, str | None]], radius: int = 4, most: int = 48) -> dict[int, int]:
+def near_copies(rows: list[tuple[int, str | None]], radius: int = 4, most: int = 50) -> dict[int, int]:
     """(doc, text) -> smallest doc reachable over near copies, by comparing all pairs bit by bit."""
 
     def bits(items: list[bytes], *hashes) -> list[bool]:
@@ -92,7 +92,7 @@ def near_copies(rows: list[tuple[int, str | None]], radius: int = 4, most: int =
     for doc, text in rows:
         words = (text or "").encode().lower().split()
         shingles = [b" ".join(words[k : k + 5]) for k in range(len(words) - 4)] or [b" ".join(words)] * bool(words)
-        prints = bits(sorted(set(words)), lambda w: xxhash.xxh3_128_digest(w, 1), lambda w: xxhash.xxh3_64_digest(w, 2)) or [False] * 192
+        prints = bits(sorted(set(words)), lambda w: xxhash.xxh3_128_digest(w, 1), lambda w: xxhash.xxh3_128_digest(w, 2)) or [False] * 256
         own.append((doc, prints, bits(shingles, lambda s: xxhash.xxh3_128_digest(s, 3), lambda s: xxhash.xxh3_128_digest(s, 4)) or [False] * 256))
     parent = {d: d for d, _, _ in own}
 
@@ -103,7 +103,7 @@ def near_copies(rows: list[tuple[int, str | None]], radius: int = 4, most: int =
 
     for i, (a, x, s) in enumerate(own):
         for b, y, t in own[i:]:
-            differ = [sum(p != q for p, q in zip(x[k : k + 64], y[k : k + 64])) for k in (0, 64, 128)]
+            differ = [sum(p != q for p, q in zip(x[k : k + 64], y[k : k + 64])) for k in (0, 64, 128, 192)]
             if min(differ) <= radius and sum(p != q for p, q in zip(s, t)) <= most:
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
