@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burncal.functions.constants import EVENT_MODEL, REGIONS
@@ -150,13 +150,30 @@ def linear_weights(fitted) -> dict:
     return {"features": assembler.getInputCols(), "mean": scaler.mean.toArray().tolist(), "scale": scaler.std.toArray().tolist(), "coef": model.coefficients.toArray().tolist(), "intercept": model.intercept}
 
 
-def train_footprint(cells: DataFrame, features: list[str]):
+def train_boosted(df: DataFrame, features: list[str], label: str = "label", rounds: int = 60, depth: int = 5, rate: float = 0.08, seed: int = 42):
+    """Balanced boosted trees."""
+    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), GBTClassifier(labelCol=label, weightCol=BALANCED, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)]
+    return Pipeline(stages=stages).fit(balanced(df, label))
+
+
+def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of a saved tree model (a stage that was written to a path), for use elsewhere: tree, node (in order from the root), feature (-1: leaf),
+    threshold (go left up to it), left, right, and the weights of the classes."""
+    node = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    leaf = F.col("leftChild") < 0
+    return node.select(
+        "tree", F.col("id").alias("node"), F.when(leaf, -1).otherwise(F.col("split.featureIndex")).alias("feature"), F.when(~leaf, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("impurityStats").alias("weights"),
+    )
+
+
+def train_footprint(cells: DataFrame, features: list[str], boosted: bool = False):
     """The footprint model fitted on all days but the last, and its scores of the last day beside a persistence baseline: the cells whose density of the
-    last day is in the upper two fifths."""
+    last day is over that of three fifths of the cells that came true (without any, of 95 % of all cells)."""
     from burncal.operators.selections import split_by_last_day
 
     train, test = split_by_last_day(cells.withColumnRenamed("target", "day"))
-    fitted = train_logistic(train, features, "label")
+    fitted = train_boosted(train, features) if boosted else train_logistic(train, features, "label")
     scored = fitted.transform(test).select("day", "i", "j", "label", F.element_at(vector_to_array("probability"), 2).alias("p"), "last_day")
-    bound = scored.agg(F.percentile("last_day", 0.6).alias("bound"))  # one row
+    bound = scored.agg(F.coalesce(F.percentile(F.when(F.col("label") == 1, F.col("last_day")), 0.6), F.percentile("last_day", 0.95)).alias("bound"))  # one row
     return fitted, scored.crossJoin(F.broadcast(bound)).withColumn("persistence", (F.col("last_day") >= F.col("bound")).cast("double")).drop("bound")

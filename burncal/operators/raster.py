@@ -107,9 +107,10 @@ def footprint_forecast(points: DataFrame, box, alias_prior: bool = False, thresh
 LAYERS = ("kde_010", "kde_035", "kde_080", "frp_035", "last_day", "day_before")
 
 
-def training_cells(points: DataFrame, box, cell: float = 0.05, window: int = 4, edge: str = "reflect", least: float = 0.01) -> DataFrame:
-    """For every day with enough detections before it: the cells with any density, their six layers, place, season, and whether the cell is active
-    that day. A detection serves the days up to `window` after it; each target day is one raster."""
+def training_cells(points: DataFrame, box, cell: float = 0.05, window: int = 4, edge: str = "reflect", least: float = 0.01, inside: DataFrame | None = None) -> DataFrame:
+    """For every day with enough detections before it: the cells with any density, their six layers, place, season, and as label whether the cell
+    lies in a fire's hull that day (inside: day, i, j of such cells, as cells_in_hulls gives them for the same box and cell), or without
+    hulls whether it is active. A detection serves the days up to `window` after it; each target day is one raster."""
     west, south, east, north = box
     wide, high = math.ceil((east - west) / cell) + 1, math.ceil((north - south) / cell) + 1
     i, j = F.floor((F.col("lon") - west) / cell).cast("int"), F.floor((F.col("lat") - south) / cell).cast("int")
@@ -134,7 +135,7 @@ def training_cells(points: DataFrame, box, cell: float = 0.05, window: int = 4,
         return pd.DataFrame(out | {"x": ii * cell / (east - west), "y": jj * cell / (north - south), "doy_sin": math.sin(angle), "doy_cos": math.cos(angle)})[names]
 
     features = ahead.groupBy("target").applyInPandas(one, "target date, i int, j int, " + ", ".join(f"{x} double" for x in (*LAYERS, "x", "y", "doy_sin", "doy_cos")))
-    active = cells.select(F.col("day").alias("target"), "i", "j", F.lit(1).alias("y_active"))
+    active = (cells if inside is None else inside).select(F.col("day").alias("target"), "i", "j", F.lit(1).alias("y_active"))
     known = cells.select(F.col("day").alias("target")).distinct()
     return features.join(known, "target", "left_semi").join(active, ["target", "i", "j"], "left").withColumn("label", F.coalesce("y_active", F.lit(0))).drop("y_active")
 

@@ -148,10 +148,19 @@ def popup_inputs(detections: DataFrame, clusters: DataFrame, cells: DataFrame) -
     return rows.withColumn("score", threat_score("frp", "conf", "night")).withColumn("threat", threat_label("score"))
 
 
-def contexts(summary: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One JSON document per day: totals, alert and the sensors."""
-    sensors = summary.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("sensor", "n", "mean_frp", "hi_conf"))).alias("sensors"))  # five sensors
-    return alerts.join(sensors, "day").select("day", F.to_json(F.struct(F.col("day").cast("string").alias("day"), "total", "level", "sensors")).alias("context"))
+def contexts(summary: DataFrame, alerts: DataFrame, clusters: DataFrame, weather: DataFrame, k: int = 5) -> DataFrame:
+    """One JSON document per day for an analyst: totals, alert, sensors, clusters by class, the k with the most power, and the fire weather."""
+    sensor = F.struct("sensor", "n", "mean_frp", "max_frp", rounded(F.col("hi_conf") * 100.0 / F.col("n")).alias("hi_pct"), "night_pct")
+    sensors = summary.groupBy("day").agg(F.sort_array(F.collect_list(sensor)).alias("sensors"))  # five sensors
+    facts = F.struct(F.col("cluster_id").alias("id"), F.col("class").alias("cls"), "n", rounded("frp_sum").alias("frp_sum"), "spread_km", rounded("night_pct").alias("night_pct"))
+    ranked = clusters.select("day", "class", facts.alias("c"), F.row_number().over(Window.partitionBy("day").orderBy(F.desc("frp_sum"), "label")).alias("r"))
+    classes = F.struct(*(F.count_if(F.col("class") == c).alias(c) for c in ("MEGAFIRE", "ESTABLISHED", "EMERGING", "SCATTERED")))
+    top = F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= k, F.struct("r", "c")))), lambda s: s["c"])
+    groups = alerts.select("day").join(ranked, "day", "left").groupBy("day").agg(F.count("r").alias("clusters"), classes.alias("classes"), top.alias("top"))  # days without clusters too
+    sky = weather.select("day", F.struct("score", "verdict").alias("weather"))
+    rows = alerts.join(sensors, "day").join(groups, "day").join(F.broadcast(sky), "day", "left")  # weather: a row per day
+    whole = [F.col("day").cast("string").alias("day"), F.col("total"), rounded("frp").alias("frp"), F.col("level"), F.col("sensors"), F.col("clusters"), F.col("classes"), F.col("top"), F.col("weather")]
+    return rows.select("day", F.to_json(F.struct(*whole)).alias("context"))
 
 
 def flat_distance(lon1, lat1, lon2, lat2) -> Column:

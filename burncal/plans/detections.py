@@ -9,6 +9,8 @@ from burncal.functions import scalars as s
 from burncal.operators import summary
 from burncal.sources.fixtures import BBOX, detections, oracle, weather
 from burncal.sources.readers import clamp_to_latest, date_islands, source_precedence
+from burncal.sources.readers import source_flags as source_flags_of
+from burncal.sources.readers import valid_requests as valid_requests_of
 
 BOX = "lon between -74 and -46 and lat between -12 and 2"
 #: SQL of the harmonized confidence.
@@ -146,6 +148,21 @@ def precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_precedence(slot, ["day", "slot"], ["primary", "fallback"]).groupBy("day", "source").agg(F.count("*").alias("n"), s.exact_sum("frp").alias("frp"))
 
 
+def source_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether MODIS alone, both or VIIRS alone serve the slots of a day and hour."""
+    rows = detections(spark, sf_dir)
+    slot = rows.select("day", "acq_hour", (F.col("pt_seq") % 7).alias("slot"), F.when(F.col("sensor").startswith("MODIS"), "primary").otherwise("fallback").alias("source"))
+    return source_flags_of(source_precedence(slot, ["day", "acq_hour", "slot"], ["primary", "fallback"]), ["day", "acq_hour"], "primary")
+
+
+def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of all widths and heights, none and less than none too, with days that are none."""
+    k = F.col("pt_seq")
+    day = F.when(k % 7 == 0, "today").when(k % 11 == 0, None).otherwise(F.col("day").cast("string"))
+    asked = detections(spark, sf_dir).select("pt_seq", F.col("lon").alias("w"), F.col("lat").alias("s"), (F.col("lon") + (k % 5 - 1)).alias("e"), (F.col("lat") + (k % 4 - 1)).alias("n"), day.alias("day"), F.when(k % 13 != 0, (k % 15).cast("int")).alias("days"))
+    return valid_requests_of(asked).select("pt_seq", "day", "days")
+
+
 def clamped_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for days up to three past the last one of each sensor."""
     rows = detections(spark, sf_dir)
@@ -159,6 +176,7 @@ QUERIES = {
     "diurnal_signature": diurnal_signature, "hexbin": hexbin, "quarter_degree_top": quarter_degree_top, "cell_field": cell_field, "concentration": concentration,
     "daily_dynamics": daily_dynamics, "modis_viirs_by_day": modis_viirs_by_day, "window_verdict": window_verdict, "alert_level": alert_level, "threat_rollup": threat_rollup,
     "live_totals": live_totals, "grid_histogram": grid_histogram, "date_islands": islands, "source_precedence": precedence, "clamped_days": clamped_days,
+    "source_flags": source_flags, "valid_requests": valid_requests,
 }
 
 _BANDS = "case when frp<10 then 'SMOULDERING' when frp<100 then 'SURFACE FIRE' when frp<250 then 'INTENSE FRONT' else 'CONFLAGRATION' end"
@@ -216,6 +234,12 @@ ORACLES = {
  (select cast(sum(hi_conf) as double)/sum(total) from dd) as hi_share) a) b""",
         "det", dc=DET_CONF, dd=_DAYS,
     ),
+    "source_flags": oracle(
+        "select day, acq_hour, case when bool_and(p) then 'primary' when bool_or(p) then 'mixed' else 'fallback' end as flag from (select day, acq_hour, pt_seq%7 as slot, bool_or(sensor like 'MODIS%') as p from det group by 1,2,3) x group by 1,2", "det"
+    ),
+    "valid_requests": oracle(
+        "select pt_seq, cast(day as varchar) as day, cast(case when pt_seq%13<>0 then least(10, greatest(1, pt_seq%15)) else 1 end as int) as days from det where pt_seq%5-1>0 and pt_seq%4-1>0 and pt_seq%7<>0 and pt_seq%11<>0", "det"
+    ),
     "alert_level": oracle(f"select *, case when total>=150 or frp>=2500 then 'RED' when total>=60 or frp>=1200 then 'ORANGE' when total>=20 then 'AMBER' else 'GREEN' end as level from (select day, count(*) as total, {total('frp')} as frp from det group by day) d", "det"),
     "threat_rollup": oracle(f"select day, count(case when score>=80 then 1 end) as extreme, count(case when score between 62 and 79 then 1 end) as high from (select day, {SCORE} as score from dc) x group by day", "det", dc=DET_CONF),
     "live_totals": oracle(f"select count(*) as n, {total('frp')}/count(*) as mean_frp, count(case when conf>=80 then 1 end)*100e0/count(*) as hi_pct, count(case when night then 1 end)*100e0/count(*) as night_pct, max(frp) as max_frp from dc", "det", dc=DET_CONF),

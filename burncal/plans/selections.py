@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burncal.operators import cluster, harmonize, selections, series, summary, triage
-from burncal.plans.clusters import labelled
-from burncal.plans.detections import CONF, DET_CONF, r, total
+from burncal.plans.clusters import _DB, _STATS, _recursive, cluster_stats, labelled
+from burncal.plans.detections import CONF, DET_CONF, ORACLES as DETECTIONS, r, total, weather_scores
 from burncal.plans.series import _FUSED, _PAIR, _PROFILE, _RATIO, _UNIFIED, BEFORE, ORACLES as SERIES
 from burncal.sources.fixtures import BBOX, calendar, detections, oracle
 
@@ -46,7 +46,7 @@ def detection_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detections(spark, sf_dir)
-    return selections.contexts(summary.sensor_day_summary(rows, BBOX), summary.alert_level(rows))
+    return selections.contexts(summary.sensor_day_summary(rows, BBOX), summary.alert_level(rows), cluster_stats(spark, sf_dir), weather_scores(spark, sf_dir))
 
 
 def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +91,17 @@ ORACLES = {
     "detection_questions": oracle(
         f"select pt_seq, printf('Fire detection at %.2f, %.2f in amazon on %s, %s overpass: sensor %s, %.1f MW, confidence %d. What does it mean and what should be watched?', {r('lat', 2)}, {r('lon', 2)}, cast(day as varchar), case when night then 'night' else 'day' end, sensor, {r('frp', 1)}, coalesce({CONF},60)) as question from det", "det"
     ),
-    "day_contexts": oracle(
-        "select day, cast(to_json({'day': cast(day as varchar), 'total': total, 'level': level, 'sensors': sensors}) as varchar) as context from al join (select day, list({'sensor': sensor, 'n': n, 'mean_frp': mean_frp, 'hi_conf': hi_conf} order by sensor) as sensors from sd group by 1) x using (day)",
-        "det", dc=DET_CONF,
-        sd=f"select day, sensor, count(*) as n, {r(total('frp') + '/count(*)', 1)} as mean_frp, count(case when conf>=80 then 1 end) as hi_conf from dc where lon between -74 and -46 and lat between -12 and 2 group by 1,2",
-        al=f"select day, total, case when total>=150 or frp>=2500 then 'RED' when total>=60 or frp>=1200 then 'ORANGE' when total>=20 then 'AMBER' else 'GREEN' end as level from (select day, count(*) as total, {total('frp')} as frp from det group by 1) q",
+    "day_contexts": _recursive(
+        f"""select day, cast(to_json({{'day': cast(day as varchar), 'total': total, 'frp': {r('frp', 0)}, 'level': level, 'sensors': sensors, 'clusters': clusters, 'classes': classes, 'top': coalesce(top, []), 'weather': weather}}) as varchar) as context from al
+ join (select day, list({{'sensor': sensor, 'n': n, 'mean_frp': mean_frp, 'max_frp': max_frp, 'hi_pct': {r('hi_conf*100e0/n', 0)}, 'night_pct': night_pct}} order by sensor) as sensors from sd group by 1) x using (day)
+ join (select day, count(label) as clusters, {{'MEGAFIRE': count(case when class='MEGAFIRE' then 1 end), 'ESTABLISHED': count(case when class='ESTABLISHED' then 1 end), 'EMERGING': count(case when class='EMERGING' then 1 end), 'SCATTERED': count(case when class='SCATTERED' then 1 end)}} as classes from al2 left join st using (day) group by 1) g using (day)
+ join (select day, list({{'id': cluster_id, 'cls': class, 'n': n, 'frp_sum': {r('frp_sum', 0)}, 'spread_km': spread_km, 'night_pct': {r('night_pct', 0)}}} order by rn) filter (label is not null) as top from (select al2.day, st.* exclude (day), row_number() over (partition by al2.day order by frp_sum desc, label) as rn from al2 left join st on st.day=al2.day) q where rn<=5 group by 1) t using (day)
+ join (select day, {{'score': score, 'verdict': verdict}} as weather from ws) w using (day)""",
+        "det", "wx", dc=DET_CONF, **_DB, **_STATS,
+        sd=f"select day, sensor, count(*) as n, {r(total('frp') + '/count(*)', 1)} as mean_frp, {r('max(frp)', 1)} as max_frp, count(case when conf>=80 then 1 end) as hi_conf, {r('count(case when night then 1 end)*100e0/count(*)', 1)} as night_pct from dc where lon between -74 and -46 and lat between -12 and 2 group by 1,2",
+        al=f"select day, total, frp, case when total>=150 or frp>=2500 then 'RED' when total>=60 or frp>=1200 then 'ORANGE' when total>=20 then 'AMBER' else 'GREEN' end as level from (select day, count(*) as total, {total('frp')} as frp from det group by 1) q",
+        al2="select day from al",
+        ws="select day, score, verdict from (" + DETECTIONS["weather_scores"] + ") v",
     ),
     "last_day_split": oracle("select pt_seq, day from det where day=(select max(day) from det)", "det"),
 }

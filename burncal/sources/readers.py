@@ -111,6 +111,21 @@ def source_precedence(rows: DataFrame, slot: list[str], order: list[str], source
     return rows.withColumn("rank", rank).join(best, slot).filter("rank = best").drop("rank", "best")
 
 
+def source_flags(rows: DataFrame, group: list[str], first: str, source: str = "source") -> DataFrame:
+    """Per group whether all its rows come from the first source, some (mixed) or none; with none the flag is the least other source."""
+    own = F.col(source) == first
+    flag = F.when(F.bool_and(own), first).when(F.bool_or(own), "mixed").otherwise(F.min(source))
+    return rows.groupBy(*group).agg(flag.alias("flag"))
+
+
+def valid_requests(requests: DataFrame) -> DataFrame:
+    """Requests (w, s, e, n, day as text, days) for a real box with finite sides and a day like 2024-01-31; the number of days is held between 1 and
+    10, and is 1 if there is none."""
+    finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != F.lit(float("inf"))) for c in ("w", "s", "e", "n")]
+    good = finite[0] & finite[1] & finite[2] & finite[3] & (F.col("e") > F.col("w")) & (F.col("n") > F.col("s")) & F.coalesce(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    return requests.filter(good).withColumn("days", F.least(F.lit(10), F.greatest(F.lit(1), F.coalesce("days", F.lit(1)))).cast("int"))
+
+
 def clamp_to_latest(asked: DataFrame, available: DataFrame) -> DataFrame:
     """sensor, day asked for, day_used and whether it was clamped to the sensor's latest day. There are few sensors."""
     latest = available.groupBy("sensor").agg(F.max("day").alias("latest"))

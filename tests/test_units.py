@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from burncal.functions import scalars as s
 from burncal.functions.constants import AOIS, PROTOTYPES, REGIONS, SEASON
-from burncal.operators import cluster, exports, harmonize, models, raster, series, summary, track, triage
+from burncal.operators import cluster, exports, harmonize, models, raster, selections, series, summary, track, triage
 from burncal.sources import fixtures, readers
 from burncal.streaming.detections import tracked
 from tests.conftest import SF
@@ -371,7 +371,6 @@ def test_selections(spark):
     rows = fixtures.detections(spark, SF)
     train, test = sel.split_by_last_day(rows)
     assert train.count() + test.count() == rows.count() and sel.seeded_sample(rows, 7).collect() == sel.seeded_sample(rows.repartition(5), 7).collect()
-    assert sel.contexts(summary.sensor_day_summary(rows, fixtures.BBOX), summary.alert_level(rows)).count() == 30
     assert "night overpass" in " ".join(r.question for r in sel.detection_questions(rows, "amazon").collect())
 
 
@@ -384,4 +383,22 @@ def test_footprint_training(spark):
     assert weights["features"] == features and len(weights["coef"]) == len(features)
     m, base = models.binary_metrics(scored, "label").first(), models.binary_metrics(scored, "label", "persistence").first()
     assert 0 < m.iou <= 1 and 0 <= base.iou <= 1
-    assert -1 <= models.silhouette(cells.limit(300), ["x", "y"], 3) <= 1
+    assert -1 <= models.silhouette(cells.limit(300), ["x", "y"], 3) <= 1 and -1 <= models.silhouette(cells, ["x", "y"], 3, sample=200) <= 1
+
+
+def test_footprint_labels_of_hulls_and_nodes(spark, tmp_path):
+    rows = fixtures.detections(spark, SF)
+    hulls = cluster.cluster_hulls(cluster.labelled(rows, 0.62, 3))
+    inside = selections.cells_in_hulls(hulls, fixtures.BBOX, 0.5)
+    cells = raster.training_cells(rows, fixtures.BBOX, cell=0.5, inside=inside).cache()
+    want = {(r.day, r.i, r.j) for r in inside.collect()}
+    assert all(r.label == ((r.target, r.i, r.j) in want) for r in cells.select("target", "i", "j", "label").collect()) and cells.filter("label = 1").count() > 0
+    features = [*raster.LAYERS, "x", "y"]
+    _, scored = models.train_footprint(cells, features, boosted=False)
+    assert scored.filter("persistence = 1").count() > 0
+    fitted = models.train_boosted(cells, features, rounds=2, depth=2)
+    assert fitted.transform(cells).filter("prediction is null").count() == 0
+    fitted.stages[1].write().save(str(tmp_path / "m"))
+    nodes = models.forest_nodes(spark, str(tmp_path / "m")).orderBy("tree", "node").collect()
+    trees = {t: {r.node: r for r in nodes if r.tree == t} for t in {r.tree for r in nodes}}
+    assert len(trees) == 2 and all((r.feature < 0) == (r.threshold is None) and (r.feature < 0 or {r.left, r.right} <= trees[r.tree].keys()) for r in nodes)
