@@ -41,10 +41,10 @@ def emission_chain(years: DataFrame, tau: float = 1800.0) -> DataFrame:
 
 
 def points_geojson(detections: DataFrame, limit: int = 6000) -> DataFrame:
-    """One GeoJSON feature per detection, sensors in display order, the first `limit`."""
+    """One GeoJSON feature per detection, sensors in display order, the first `limit`. Places are decimals, which JSON writes without exponents."""
     rank = F.array_position(F.array(*map(F.lit, SENSORS)), F.col("sensor"))
     first = detections.orderBy(rank, "pt_seq").limit(limit)
-    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    point = F.struct(F.lit("Point").alias("type"), F.array(*(F.col(c).cast("decimal(12,5)") for c in ("lon", "lat"))).alias("coordinates"))
     return first.select("pt_seq", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct("frp", "sensor", "night").alias("properties"))).alias("feature"))
 
 

@@ -279,7 +279,7 @@ ORACLES = {
         "det", za=_ZA, **_labels("cx", "za", ("z_lat", "z_lon", "z_frp"), 0.12, 6, "scene"),
     ),
     "geojson_points": oracle(
-        "select pt_seq, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":['||lon||','||lat||']},\"properties\":{\"frp\":'||frp||',\"sensor\":\"'||sensor||'\",\"night\":'||night||'}}' as feature from (select *, list_position(" + str(list(SENSORS)) + ", sensor) as rk from det order by rk, pt_seq limit 6000) x", "det"
+        "select pt_seq, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":['||cast(lon as decimal(12,5))||','||cast(lat as decimal(12,5))||']},\"properties\":{\"frp\":'||frp||',\"sensor\":\"'||sensor||'\",\"night\":'||night||'}}' as feature from (select *, list_position(" + str(list(SENSORS)) + ", sensor) as rk from det order by rk, pt_seq limit 6000) x", "det"
     ),
     "csv_rows": oracle(
         "select sensor, split_part(sensor,'-',2) as satellite, lat as latitude, lon as longitude, frp as frp_mw, coalesce(conf_raw,'') as confidence, case when night then 'N' else 'D' end as daynight, printf('%02d:00 UTC', acq_hour) as acq_time from det", "det"
