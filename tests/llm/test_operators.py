@@ -192,6 +192,20 @@ def test_components(spark):
     found = {r.node: r.component for r in connected_components(chain).collect()}
     assert found == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
     assert connected_components(chain.limit(0)).count() == 0
+    rng = np.random.RandomState(5)  # hubs at both ends, and random edges
+    links = [(0, i) for i in range(1, 1500)] + [(5000, i) for i in range(1600, 3000)] + [tuple(map(int, rng.randint(6000, 9000, 2))) for _ in range(2500)]
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        p, q = sorted((root(x), root(y)))
+        parent[q] = p
+    assert {x: found.get(x, x) for x in parent} == {x: root(x) for x in parent}
 
 
 def check_packing(rows, found, shards, spread):
