@@ -67,7 +67,10 @@ def complex_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_hulls(labelled(spark, sf_dir))
+    """Corners as text, in alphabetical order, and lengths to three decimals."""
+    found = cluster.cluster_hulls(labelled(spark, sf_dir))
+    corners = F.array_join(F.array_sort(F.transform("hull", lambda p: F.format_string("%.5f %.5f", p[0], p[1]))), ",")
+    return found.select("day", "label", corners.alias("corners"), "area_km2", rounded("perimeter_km", 3).alias("perimeter_km"), "elongation")
 
 
 def geojson_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +248,20 @@ _ZA = "select d.*, 0 as scene, (lat-ml)/sl as z_lat, (lon-mo)/so as z_lon, (lf-m
 _BOX = {
     "ce": "select pt_seq, d.day, cast(floor((lon-w)/0.01e0) as int) as i, cast(floor((lat-s)/0.01e0) as int) as j from det d join (select day, min(lon)-1.05e0 as w, min(lat)-1.05e0 as s from det group by day) c on c.day=d.day",
 }
+#: Hulls: edges a -> b with no point of the cluster to their right, nor beyond them in line; then corners and measures.
+_HULL = {
+    "hp": "select distinct day, label, lon as x, lat as y from lb where label is not null",
+    "he": """select a.day, a.label, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from hp a join hp b on a.day=b.day and a.label=b.label and (a.x<>b.x or a.y<>b.y)
+ where not exists (select 1 from hp c where c.day=a.day and c.label=a.label and ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) < 0 or ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) = 0
+ and ((c.x-a.x)*(b.x-a.x)+(c.y-a.y)*(b.y-a.y) < 0 or (c.x-a.x)*(b.x-a.x)+(c.y-a.y)*(b.y-a.y) > (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)))))""",
+    "hc": f"select day, label, {total('lat')}/count(*) as cy, {total('lon')}/count(*) as cx, count(*) as n from lb where label is not null group by 1,2",
+    "hr": f"select lb.day, lb.label, any_value(cy) as lat0, avg({_KM}) as radius from lb join hc on hc.day=lb.day and hc.label=lb.label where lb.label is not null group by 1,2",
+    "hg": """select day, label, string_agg(corner, ',' order by corner) as corners, count(*) as k from (select day, label, printf('%.5f %.5f', ax, ay) as corner from he) v group by 1,2
+ union all select day, label, any_value(printf('%.5f %.5f', x, y)), 1 from hp group by 1,2 having count(*)=1""",
+    "ha": f"select day, label, abs(sum((bx-ax)*greatest(0.2e0,cos(radians(lat0)))*111.32e0*(by_+ay)*110.57e0)/2) as area, sum(sqrt(power((bx-ax)*111.32e0*greatest(0.2e0,cos(radians(ay))),2)+power((by_-ay)*110.57e0,2))) as around from he join hr using (day, label) group by 1,2",
+    "hm": f"""select day, label, corners, {r('area', 0).replace('cast(', '', 1).replace(' as bigint)', '')} as area_km2, perimeter, case when area>1 then {r('perimeter/(2*sqrt(pi()*area))', 2)} else 1e0 end as elongation from
+ (select day, label, corners, case when k>=3 then area else pi()*radius*radius end as area, case when k>=3 then around else 2*pi()*radius end as perimeter from hg join hr using (day, label) left join ha using (day, label)) q""",
+}
 _AREA = lambda k, rad: repr(math.pi * rad * rad / ((2 * k + 1) * 0.01) ** 2) + "e0"
 _DOT = lambda a, b: f"list_sum(list_transform(range(1,65), lambda i: cast({a}[i] as double)*cast({b}[i] as double)))"
 
@@ -278,6 +295,11 @@ ORACLES = {
  from (select *, coalesce(case lower(trim(conf_raw)) when 'l' then 20 when 'n' then 50 when 'h' then 90 else {CONF} end, 50) as cf from cx where label is not null) q group by 1 having count(*)>=6) x""",
         "det", za=_ZA, **_labels("cx", "za", ("z_lat", "z_lon", "z_frp"), 0.12, 6, "scene"),
     ),
+    "cluster_hulls": _recursive("select day, label, corners, area_km2, " + r("perimeter", 3) + " as perimeter_km, elongation from hm", "det", **_DB, **_HULL),
+    "cluster_questions": _recursive(
+        f"""select day, cluster_id, printf('Fire cluster %s (%s) in amazon on %s: %d detections, %d MW in total, spread %.1f km, hull of %d km2, front ratio %.2f. Brief a commander on it and on the next 48 hours.', cluster_id, class, cast(day as varchar), n, {r('frp_sum', 0)}, spread_km, {r('area_km2', 0)}, elongation) as question from st join hm using (day, label)""",
+        "det", **_DB, **_STATS, **_HULL,
+    ),
     "geojson_points": oracle(
         "select pt_seq, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":['||cast(lon as decimal(12,5))||','||cast(lat as decimal(12,5))||']},\"properties\":{\"frp\":'||frp||',\"sensor\":\"'||sensor||'\",\"night\":'||night||'}}' as feature from (select *, list_position(" + str(list(SENSORS)) + ", sensor) as rk from det order by rk, pt_seq limit 6000) x", "det"
     ),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burncal.operators import cluster, harmonize, selections, series, summary, triage
-from burncal.plans.clusters import _DB, _STATS, _recursive, cluster_stats, labelled
+from burncal.plans.clusters import _DB, _HULL, _STATS, _recursive, cluster_stats, labelled
 from burncal.plans.detections import CONF, DET_CONF, ORACLES as DETECTIONS, r, total, weather_scores
 from burncal.plans.series import _FUSED, _PAIR, _PROFILE, _RATIO, _UNIFIED, BEFORE, ORACLES as SERIES
 from burncal.sources.fixtures import BBOX, calendar, detections, oracle
@@ -84,6 +84,12 @@ ORACLES = {
         "select region, peak, (cast(substring(peak,1,4) as int)-2001)*12+cast(substring(peak,6,2) as int)-11 as months from (select region, first(ym order by mean desc, ym) as peak from so group by 1) x", "cal",
         pr=_PAIR, ra=_RATIO, fu=_FUSED, pf=_PROFILE, so=SERIES["season_outlook"].rpartition(") select a.region")[2].join(("select a.region", "")),
     ),
+    "hull_cells": _recursive(
+        """select distinct day, i, j from (select day, label, i, cast(unnest(range(j0, j1+1)) as int) as j from (select day, label, cast(unnest(range(i0, i1+1)) as int) as i, j0, j1 from
+ (select day, label, cast(floor((min(ax)+74)/0.25e0) as bigint) as i0, cast(floor((max(ax)+74)/0.25e0) as bigint) as i1, cast(floor((min(ay)+12)/0.25e0) as bigint) as j0, cast(floor((max(ay)+12)/0.25e0) as bigint) as j1 from he group by 1,2 having count(*)>=3) b) c) t
+ where not exists (select 1 from he e where e.day=t.day and e.label=t.label and (e.bx-e.ax)*((-12e0+(t.j+0.5e0)*0.25e0)-e.ay)-(e.by_-e.ay)*((-74e0+(t.i+0.5e0)*0.25e0)-e.ax) < 0)""",
+        "det", **_DB, hp=_HULL["hp"], he=_HULL["he"],
+    ),
     "question_intents": "select conv_id, turn, case " + " ".join(f"when regexp_matches(lower(text), '{pattern}') then '{name}'" for name, pattern in triage.INTENTS) + " else 'snapshot' end as intent from conversations",
     "navigation_targets": """with said as (select conv_id, turn, coalesce(text,'') || case conv_id%3 when 0 then printf(' NAVIGATE: {"region": "r%d", "date": "2024-01-%02d"} x', turn, conv_id%28+1) when 1 then ' NAVIGATE: {nothing}' else '' end as answer from conversations),
  found as (select conv_id, turn, regexp_extract(answer, 'NAVIGATE:\\s*(\\{[^}]+\\})', 1) as j from said)
