@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burncal.llm import decontaminate, licenses, media, packing, pieces, quality, secrets, simhash, suffixes, toxicity
+from burncal.llm import centroids, decontaminate, licenses, media, merkle, mixing, oracles, packing, pieces, quality, secrets, simhash, suffixes, toxicity
 from burncal.llm.common import documents, held_out, table
 
 
@@ -59,6 +59,20 @@ def op10_minhash_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(documents(spark, sf_dir))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_crf_toxicity": op2_crf_toxicity,
@@ -70,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nbest_pieces": op8_nbest_pieces,
     "op9_fourier_quality": op9_fourier_quality,
     "op10_minhash_licenses": op10_minhash_licenses,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_apportioned_mix": op12_apportioned_mix,
+    "op13_sort_means": op13_sort_means,
 }
 
 ORACLES: dict[str, str] = {
@@ -88,4 +105,7 @@ e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order
 k as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (rise) as n_spans, string_agg(x, '' order by p) filter (not gone) as kept from e group by doc_id)
 select d.doc_id, n as n_bytes, coalesce(k.n_removed, 0) as n_removed, coalesce(k.n_spans, 0) as n_spans, sha256(unhex(coalesce(k.kept, ''))) as kept_sha256
 from d left join k using (doc_id)""",
+    "op11_merkle_manifest": oracles.OP11,
+    "op12_apportioned_mix": oracles.OP12,
+    "op13_sort_means": oracles.OP13,
 }
