@@ -115,7 +115,7 @@ def moved(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
 def first_centroids(rows: DataFrame, k: int = K, seed: int = SEED) -> np.ndarray:
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = rows.select(order.alias("h"), "v").orderBy(F.asc_nulls_last("h"), "v").limit(k).collect()
-    return np.array([r.v for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r.v for r in first], np.int64).reshape(len(first), len(first[0].v) if first else 0)
 
 
 def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding", size: int = SIZE, scale: int = SCALE) -> DataFrame:
