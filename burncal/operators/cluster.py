@@ -1,7 +1,7 @@
 """Density clustering of detections, scene by scene, and measures of the clusters.
 
-Neighbours are found with a grid: a point is compared with the points of the cells around its own, an equi-join on the cell with the distance
-as residual predicate. Points are core if enough neighbours lie within eps; core points that are neighbours form components; a
+Numbers of neighbours come from a pyramid of cell counts (`pyramid`), labels from cells whose points are all neighbours: over cells on Spark (`dbscan`), or
+scene by scene in memory (`scenes`). Points are core if enough neighbours lie within eps; core points that are neighbours form components; a
 border point joins the adjacent component whose first core point comes first; clusters are numbered in that order. This is the
 labelling that a sequential scan in the order of pt_seq gives.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,35 +20,23 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from burncal.functions.scalars import KM_LAT, KM_LON, cluster_class, complex_class, confidence, confidence_training, exact_sum, haversine_km, rounded, weak_label
 from burncal.operators.components import connected_components
+from burncal.operators.pyramid import radius_counts
+from burncal.operators.scenes import label_scene
 from burncal.session import cut
 
 SCENE_POINTS = 50_000  # of a scene that one task labels
 SUB_CELLS = 8
 
 
-def neighbor_pairs(points: DataFrame, eps: float, scene=("day",), dims=("lon", "lat"), own: bool = False) -> DataFrame:
-    """(a, b, d2) of the pairs of a scene within eps, both ways; with own also each point with itself."""
-    cells = [F.floor(F.col(d) / eps) for d in dims]
-    named = points.select(*scene, F.col("pt_seq"), *dims, *(c.alias(f"c{k}") for k, c in enumerate(cells)))
-    around = F.array(*(F.struct(*(F.lit(o).alias(f"o{k}") for k, o in enumerate(offset))) for offset in itertools.product((-1, 0, 1), repeat=len(dims))))
-    spread = named.select(*scene, "pt_seq", *dims, *(f"c{k}" for k in range(len(dims))), F.explode(around).alias("o"))
-    left = spread.select(*scene, F.col("pt_seq").alias("a"), *(F.col(d).alias(f"a_{d}") for d in dims), *((F.col(f"c{k}") + F.col(f"o.o{k}")).alias(f"c{k}") for k in range(len(dims))))
-    right = named.select(*scene, F.col("pt_seq").alias("b"), *(F.col(d).alias(f"b_{d}") for d in dims), *(f"c{k}" for k in range(len(dims))))
-    d2 = sum(((F.col(f"a_{d}") - F.col(f"b_{d}")) * (F.col(f"a_{d}") - F.col(f"b_{d}")) for d in dims[1:]), (F.col(f"a_{dims[0]}") - F.col(f"b_{dims[0]}")) * (F.col(f"a_{dims[0]}") - F.col(f"b_{dims[0]}")))
-    met = left.join(right, [*scene, *(f"c{k}" for k in range(len(dims)))]).select(*scene, "a", "b", d2.alias("d2"))
-    return met.filter((F.col("d2") <= eps * eps) & (F.lit(own) | (F.col("a") != F.col("b"))))
-
-
 def neighbor_counts(points: DataFrame, eps: float, scene=("day",), dims=("lon", "lat")) -> DataFrame:
     """pt_seq and number of other points within eps, 0 too."""
-    counts = neighbor_pairs(points, eps, scene, dims).groupBy(F.col("a").alias("pt_seq")).agg(F.count("*").alias("n"))
-    return points.select("pt_seq").join(counts, "pt_seq", "left").select("pt_seq", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = radius_counts(points, [eps], scene, dims)
+    return counts.select("pt_seq", F.greatest(F.col("n_0") - 1, F.lit(0)).alias("n"))
 
 
 def density_features(points: DataFrame, radii=(0.05, 0.25, 1.0), scene=("day",)) -> DataFrame:
-    """Points within each radius, the point itself counted, from one join at the largest radius."""
-    pairs = neighbor_pairs(points, max(radii), scene, own=True)
-    return pairs.groupBy(F.col("a").alias("pt_seq")).agg(*(F.count_if(F.col("d2") <= r * r).alias(f"dens_{k}") for k, r in enumerate(radii)))
+    """Points within each radius, the point itself counted."""
+    return radius_counts(points, radii, scene).withColumnsRenamed({f"n_{k}": f"dens_{k}" for k in range(len(radii))})
 
 
 def _in_cells(points: DataFrame, side: float, scene, dims) -> DataFrame:
@@ -101,7 +88,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int = 3, scene=("day",), dims
     the boxes are further apart, and by their points only in between.
     """
     d, side = len(dims), eps / len(dims) ** 0.5 * (1 - 1e-9)
-    cell, reach = [*scene, *(f"c{k}" for k in range(len(dims)))], math.ceil(len(dims) ** 0.5)
+    cell, reach = [*scene, *(f"c{k}" for k in range(len(dims)))], math.floor(len(dims) ** 0.5) + 1
     offsets = list(itertools.product(range(-reach, reach + 1), repeat=d))
     placed = _in_cells(points, side, scene, dims)
     sizes = placed.groupBy(*cell).agg(F.count("*").alias("size"))
@@ -134,80 +121,6 @@ def dbscan(points: DataFrame, eps: float, min_pts: int = 3, scene=("day",), dims
     return labelled.join(numbers.select("component", number.alias("label")), "component", "left")
 
 
-class _Grid:
-    """Points in the cells of a grid, for pairs of points of cells that touch, a bounded number at a time."""
-
-    def __init__(self, x: np.ndarray, side: float, most: int = 1 << 21):
-        cells = np.floor(x / side).astype(np.int64)
-        cells -= cells.min(0) - 1
-        base = np.append(np.cumprod((cells.max(0) + 2)[::-1])[::-1][1:], 1)
-        key = cells @ base
-        self.order, self.most = np.argsort(key, kind="stable"), most
-        self.key = key[self.order]
-        ahead = [o for o in itertools.product((-1, 0, 1), repeat=x.shape[1]) if o > (0,) * x.shape[1]]
-        self.steps = [int(np.array(o) @ base) for o in ahead]
-
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Each pair once, as positions of points."""
-        place = np.arange(len(self.key))
-        for step in (0, *self.steps):
-            end = np.searchsorted(self.key, self.key + step, "right")
-            begin = place + 1 if step == 0 else np.searchsorted(self.key, self.key + step)
-            size = end - begin
-            total = np.cumsum(size)
-            first = 0
-            while first < len(place):
-                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + self.most, "right")))
-                own = size[first:last]
-                a = np.repeat(place[first:last], own)
-                b = np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(begin[first:last], own)
-                yield self.order[a], self.order[b]
-                first = last
-
-
-def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Roots (the smallest member) after the components of a and b have become one."""
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
-def label_scene(x: np.ndarray, eps: float, min_pts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Component (position of its first core point, -1 for noise) and label (from 1, 0 for noise) of points in the order of their ids."""
-    n = len(x)
-
-    def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for a, b in grid.pairs():
-            d = x[a] - x[b]
-            close = (d * d).sum(1) <= eps * eps
-            yield a[close], b[close]
-
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grid, degree = _Grid(x, eps * (1 + 1e-9)), np.zeros(n, np.int64)
-    for a, b in near():
-        degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-    core, root, border = degree + 1 >= min_pts, np.arange(n), []
-    for a, b in near():
-        both = core[a] & core[b]
-        root = _joined(root, a[both], b[both])
-        a, b = np.where(core[a], b, a), np.where(core[a], a, b)
-        edge = ~core[a] & core[b]
-        border.append(np.stack([a[edge], b[edge]]))
-    component = np.where(core, root, n)
-    at, of = np.concatenate(border, 1)
-    np.minimum.at(component, at, root[of])
-    found, number = np.unique(component, return_inverse=True)
-    noise = component == n
-    return np.where(noise, -1, component), np.where(noise, 0, number + 1)
-
-
 def dbscan_scenes(points: DataFrame, eps: float, min_pts: int = 3, scene=("day",), dims=("lon", "lat")) -> DataFrame:
     """What `dbscan` gives, with one task per scene; for scenes that each fit in memory."""
 

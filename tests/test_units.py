@@ -75,15 +75,12 @@ def test_dbscan_equals_scan(spark, rows):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(-6, 6), st.integers(-6, 6)), max_size=60), st.integers(1, 5))
-def test_scene_equals_scan(rows, most):
+@given(st.lists(st.tuples(st.integers(-6, 6), st.integers(-6, 6)), max_size=60))
+def test_scene_equals_scan(rows):
     rows = [(x / 4, y / 4) for x, y in rows]
     component, label = cluster.label_scene(np.array(rows).reshape(-1, 2), 0.5, 3)
     assert [int(v) or None for v in label] == brute(rows, 0.5, 3)
     assert all(v < 0 or label[v] == label[i] for i, v in enumerate(component))
-    if rows:  # few pairs at a time give the same pairs
-        grid = lambda n: {tuple(sorted(p)) for a, b in cluster._Grid(np.array(rows), 0.5, n).pairs() for p in zip(a.tolist(), b.tolist())}
-        assert grid(most) == grid(1 << 20)
 
 
 def test_small_and_large_scenes(spark):
