@@ -89,11 +89,13 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track.trend_class(track.tracks(cluster_stats(spark, sf_dir)))
+    """The trail as text."""
+    found = track.trend_class(track.tracks(cluster_stats(spark, sf_dir)))
+    return found.withColumn("trail", F.array_join(F.transform("trail", lambda p: F.format_string("%.4f %.4f", p[0], p[1])), ","))
 
 
 def track_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track.track_picks(tracks(spark, sf_dir)).select("region", "rank", "track_id", "days_seen", "latest_frp")
+    return track.track_picks(track.tracks(cluster_stats(spark, sf_dir))).select("region", "rank", "track_id", "days_seen", "latest_frp")
 
 
 def voted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +245,20 @@ _STATS = {
  (select day, label, count(*) as n, {total('power')} as frp_sum, {total('power')}/count(*) as frp_mean, max(power) as frp_max, count(case when conf>=70 or conf is null then 1 end)*100e0/count(*) as hi_pct, count(case when night then 1 end)*100e0/count(*) as night_pct,
  {r('any_value(cx)', 4)} as c_lon, {r('any_value(cy)', 4)} as c_lat, {r('avg(km)', 1)} as radius_km, {r('max(km)', 1)} as spread_km, min(lon) as west, min(lat) as south, max(lon) as east, max(lat) as north from awa group by 1,2) x""",
 }
+#: Tracks, cluster by cluster: the last places and days of all tracks so far, and the track that the cluster joins or begins.
+_HAVERSINE = "2*6371e0*asin(least(1e0, sqrt(sin(radians(clat-la[j])/2)*sin(radians(clat-la[j])/2) + cos(radians(la[j]))*cos(radians(clat))*sin(radians(clon-lo[j])/2)*sin(radians(clon-lo[j])/2))))"
+_MOVED = lambda was, now: f"case when hit then list_transform(range(1, len({was})+1), lambda j: case when j=best then {now} else {was}[j] end) else list_append({was}, {now}) end"
+_TRACKS = {
+    "tc": "select *, row_number() over (order by day, frp_sum desc, label) as i from st",
+    "tw(i, la, lo, dy, t)": f"""select cast(0 as bigint), cast([] as double[]), cast([] as double[]), cast([] as date[]), cast(0 as bigint) union all
+ select i, {_MOVED('la', 'clat')}, {_MOVED('lo', 'clon')}, {_MOVED('dy', 'day')}, case when hit then best else len(la)+1 end from
+ (select *, coalesce(m, 1e9) <= 60e0 as hit, list_position(away, m) as best from (select *, list_min(away) as m from
+ (select *, list_transform(range(1, len(la)+1), lambda j: case when dy[j] < day then {_HAVERSINE} else 1e9 end) as away from
+ (select c.i, c.c_lat as clat, c.c_lon as clon, c.day, la, lo, dy from tw w join tc c on c.i=w.i+1) v) x) y) z""",
+    "tr": """select 'aoi' as region, 'SYS-'||lpad(cast(t as varchar), cast(greatest(3, len(cast(t as varchar))) as int), '0') as track_id, min(day) as first_day, max(day) as last_day, cast(count(*) as int) as days_seen, arg_max(class, day) as latest_class,
+ max(frp_sum) as peak_frp, arg_max(frp_sum, day) as latest_frp, (arg_max(frp_sum, day)-arg_min(frp_sum, day))/greatest(arg_min(frp_sum, day), 1e0) as frp_trend, arg_max(n, day) as latest_n, string_agg(printf('%.4f %.4f', c_lon, c_lat), ',' order by day) as trail
+ from tc join tw using (i) group by t having arg_max(frp_sum, day) > 0""",
+}
 _ZD = "select det.*, (lat-ml)/case when sl>0 then sl else 1 end as z_lat, (lon-mo)/case when so>0 then so else 1 end as z_lon from det join (select day, avg(lat) as ml, stddev_pop(lat) as sl, avg(lon) as mo, stddev_pop(lon) as so from det group by day) s using (day)"
 _ZA = "select d.*, 0 as scene, (lat-ml)/sl as z_lat, (lon-mo)/so as z_lon, (lf-mf)/sf as z_frp from (select *, ln(1e0+frp) as lf from det) d, (select avg(lat) as ml, stddev_pop(lat) as sl, avg(lon) as mo, stddev_pop(lon) as so, avg(ln(1e0+frp)) as mf, stddev_pop(ln(1e0+frp)) as sf from det) s"
 _BOX = {
@@ -273,6 +289,11 @@ _WEAK = {
     "bh": f"select pt_seq, case when l.label is null then 'ISOLATED' when n>=800 and s>=25000 then 'MEGAFIRE' when n>=150 then 'ESTABLISHED' when n>=40 then 'EMERGING' else 'SCATTERED' end as behavior from wl l left join (select day, label, count(*) as n, {total('frp')} as s from wl where label is not null group by 1,2) g on g.day=l.day and g.label=l.label",
 }
 
+
+def _tracked(select: str) -> str:
+    return _recursive(select, "det", **_DB, **_STATS, **_TRACKS).replace("tc as (", "tc as materialized (")
+
+
 ORACLES = {
     "eps_neighbor_counts": oracle(f"select a.pt_seq, count(b.pt_seq) as n from det a left join det b on a.day=b.day and a.pt_seq<>b.pt_seq and (a.lon-b.lon)*(a.lon-b.lon)+(a.lat-b.lat)*(a.lat-b.lat)<={EPS}e0*{EPS}e0 group by 1", "det"),
     "dbscan_labels": _recursive("select pt_seq, day, component, label from lb", "det", **_DB),
@@ -295,6 +316,8 @@ ORACLES = {
  from (select *, coalesce(case lower(trim(conf_raw)) when 'l' then 20 when 'n' then 50 when 'h' then 90 else {CONF} end, 50) as cf from cx where label is not null) q group by 1 having count(*)>=6) x""",
         "det", za=_ZA, **_labels("cx", "za", ("z_lat", "z_lon", "z_frp"), 0.12, 6, "scene"),
     ),
+    "tracks": _tracked("select *, case when frp_trend>0.25 then 'growing' when frp_trend<-0.25 then 'decaying' else 'steady' end as trend from tr"),
+    "track_picks": _tracked("select * from (select region, cast(row_number() over (partition by region order by latest_frp desc, track_id) as int) as rank, track_id, days_seen, latest_frp from tr where days_seen>=2) x where rank<=8"),
     "cluster_hulls": _recursive("select day, label, corners, area_km2, " + r("perimeter", 3) + " as perimeter_km, elongation from hm", "det", **_DB, **_HULL),
     "cluster_questions": _recursive(
         f"""select day, cluster_id, printf('Fire cluster %s (%s) in amazon on %s: %d detections, %d MW in total, spread %.1f km, hull of %d km2, front ratio %.2f. Brief a commander on it and on the next 48 hours.', cluster_id, class, cast(day as varchar), n, {r('frp_sum', 0)}, spread_km, {r('area_km2', 0)}, elongation) as question from st join hm using (day, label)""",
