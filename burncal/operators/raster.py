@@ -1,9 +1,11 @@
 """Rasters: box counts from an integral image, Gaussian densities, and the footprint of the next day. Histograms and scores are DataFrame
-operations; only the raster of a scene, whose size the area and cell fix, is numpy."""
+operations; rasters are numpy, tile by tile with the margin that a tile needs, so their extent does not matter."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -63,78 +65,168 @@ def smoothed(grid: np.ndarray, sigma: float, edge: str = "edge") -> np.ndarray:
     return grid / grid.max() if grid.max() > 0 else grid
 
 
-def footprint_forecast(points: DataFrame, box, alias_prior: bool = False, threshold: float = 0.5, model: dict = FOOTPRINT_MODEL, edge: str = "edge") -> DataFrame:
-    """Cells of the day after the last with a probability of at least the threshold: day, i, j, lon, lat, p, actual (active on the last day). The window
-    is the last day and up to four before it; under 30 detections there is none. With alias_prior the last day's density is the whole
-    window's."""
+LAYERS = ("kde_010", "kde_035", "kde_080", "frp_035", "last_day", "day_before")
+#: The column of a cell that each layer smooths, and the width in degrees.
+WIDTHS = (("n", 0.10), ("n", 0.35), ("n", 0.80), ("frp", 0.35), ("last", 0.35), ("before", 0.35))
+FIELD_TILE = 128
+LEAST = 30  # detections without which an area has no field
+
+
+@dataclass(frozen=True)
+class Grid:
+    """The raster of an area: cells of `cell` degrees, `wide` times `high` of them, from the south-west corner."""
+
+    west: float
+    south: float
+    east: float
+    north: float
+    cell: float
+    wide: int
+    high: int
+
+    @property
+    def reach(self) -> int:
+        return max(radius_of(width / self.cell) for _, width in WIDTHS)
+
+
+def forecast_grid(box, least_cell: float) -> Grid:
+    """Of at most about 560 cells a side."""
     west, south, east, north = box
-    cell = max(model["cell"], float(f"{max(east - west, north - south, 0.5) / 560:.4f}"))
-    wide, high = min(640, math.ceil((east - west) / cell) + 1), min(640, math.ceil((north - south) / cell) + 1)
-    i, j = F.floor((F.col("lon") - west) / cell).cast("int"), F.floor((F.col("lat") - south) / cell).cast("int")
-    days = points.select("day").distinct().orderBy(F.desc("day")).limit(5)
-    recent = points.join(F.broadcast(days), "day").select(F.lit(0).alias("area"), "day", i.alias("i"), j.alias("j"), "frp")
-    cells = recent.filter((F.col("i") >= 0) & (F.col("i") < wide) & (F.col("j") >= 0) & (F.col("j") < high)).groupBy("area", "day", "i", "j").agg(F.count("*").alias("n"), exact_sum("frp").alias("frp"))
+    cell = max(least_cell, float(f"{max(east - west, north - south, 0.5) / 560:.4f}"))
+    return Grid(west, south, east, north, cell, min(640, math.ceil((east - west) / cell) + 1), min(640, math.ceil((north - south) / cell) + 1))
 
-    def one(scene: pd.DataFrame) -> pd.DataFrame:
-        def raster(rows: pd.DataFrame, column: str = "n") -> np.ndarray:
-            grid = np.zeros((high, wide))
-            np.add.at(grid, (rows["j"].to_numpy(), rows["i"].to_numpy()), rows[column].to_numpy(float))
-            return grid
-
-        names = ["day", "i", "j", "lon", "lat", "p", "actual"]
-        order = sorted(scene["day"].unique())
-        if scene["n"].sum() < 30:
-            return pd.DataFrame(columns=names)
-        last = scene[scene["day"] == order[-1]]
-        before = scene[scene["day"] == order[-2]] if len(order) > 1 else last
-        now = scene if alias_prior else last
-        target = pd.Timestamp(order[-1]) + pd.Timedelta(days=1)
+
+def radius_of(sigma: float) -> int:
+    return max(1, math.floor(4 * sigma + 0.5))
+
+
+def line_weights(first: int, last: int, n: int, sigma: float, edge: str) -> tuple[int, np.ndarray]:
+    """What the cells of a line of n give to those from first to last in a Gaussian; places beyond the ends are as numpy.pad's mode says. The
+    matrix has columns from the returned cell on."""
+    r = radius_of(sigma)
+    kernel = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    kernel /= kernel.sum()
+    source = np.pad(np.arange(n), r, mode=edge)[np.arange(first, last)[:, None] + np.arange(2 * r + 1)]
+    low = int(source.min())
+    matrix = np.zeros((last - first, int(source.max()) - low + 1))
+    np.add.at(matrix, (np.arange(last - first)[:, None], source - low), kernel)
+    return low, matrix
+
+
+def tile_layers(cells: pd.DataFrame, grid: Grid, ti: int, tj: int, edge: str, tile: int = FIELD_TILE) -> np.ndarray:
+    """The six layers (not yet divided by their largest values) of a tile, from the cells in it and around it."""
+    i0, j0 = ti * tile, tj * tile
+    i1, j1 = min(grid.wide, i0 + tile), min(grid.high, j0 + tile)
+    found, i, j, sides = [], cells["i"].to_numpy(), cells["j"].to_numpy(), {}
+    for column, width in WIDTHS:
+        if width not in sides:
+            sides[width] = *line_weights(j0, j1, grid.high, width / grid.cell, edge), *line_weights(i0, i1, grid.wide, width / grid.cell, edge)
+        low_j, down, low_i, across = sides[width]
+        block = np.zeros((down.shape[1], across.shape[1]))
+        inside = (i >= low_i) & (i < low_i + block.shape[1]) & (j >= low_j) & (j < low_j + block.shape[0])
+        np.add.at(block, (j[inside] - low_j, i[inside] - low_i), cells[column].to_numpy(float)[inside])
+        found.append(down @ block @ across.T)
+    return np.array(found)
+
+
+def on_grids(points: DataFrame, grids: dict[str, Grid], *keep: str) -> DataFrame:
+    """area, i, j and the columns to keep, for each area's raster that a point lies in. The areas are a parameter, so few."""
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("area"), F.lit(g.west).alias("w"), F.lit(g.south).alias("s"), F.lit(g.cell).alias("c"), F.lit(g.wide).alias("wide"), F.lit(g.high).alias("high")) for a, g in grids.items())))
+    at = points.select("lon", "lat", *keep, each.alias("g")).select("g.*", F.floor((F.col("lon") - F.col("g.w")) / F.col("g.c")).cast("int").alias("i"), F.floor((F.col("lat") - F.col("g.s")) / F.col("g.c")).cast("int").alias("j"), *keep)
+    return at.filter((F.col("i") >= 0) & (F.col("i") < F.col("wide")) & (F.col("j") >= 0) & (F.col("j") < F.col("high"))).select("area", "i", "j", *keep)
+
+
+def fields(cells: DataFrame, grids: dict[str, Grid], key: list[str], edge: str, finish: Callable[[pd.Series, Grid, np.ndarray, pd.DataFrame, int, int], pd.DataFrame], schema: str, tile: int = FIELD_TILE) -> DataFrame:
+    """Rasters by tiles. `cells` has the key (area first), i, j and the columns of WIDTHS. A tile gets its own cells and those as far around it as the
+    widest Gaussian reaches, so no task has more than a tile with its margin, whatever the area. A first pass finds the largest values of the layers of
+    a raster; in the second `finish` gets (key and values, grid, layers divided by the largest, cells, first i, first j) of every tile."""
+
+    def tiles_of(c: str, side: str):
+        reach, last = (F.create_map(*(F.lit(v) for a, g in grids.items() for v in (a, n(g))))[F.col("area")] for n in (lambda g: g.reach, lambda g: (getattr(g, side) - 1) // tile))
+        return F.sequence(F.greatest(F.floor((F.col(c) - reach) / tile), F.lit(0)).cast("int"), F.least(F.floor((F.col(c) + reach) / tile), last).cast("int"))
+
+    dealt = cells.withColumn("ti", F.explode(tiles_of("i", "wide"))).withColumn("tj", F.explode(tiles_of("j", "high")))
+    names = [f"m{k}" for k in range(len(WIDTHS))]
+
+    def largest(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        layers = tile_layers(rows, grids[first["area"]], first["ti"], first["tj"], edge, tile)
+        own = (rows["i"] // tile == first["ti"]) & (rows["j"] // tile == first["tj"])
+        return pd.DataFrame({k: [first[k]] for k in key} | {"n": [float(rows["n"][own].sum())]} | {m: [v] for m, v in zip(names, layers.max((1, 2)))})
+
+    kinds = dict(cells.dtypes)
+    shape = ", ".join(f"{k} {kinds[k]}" for k in key)
+    tops = dealt.groupBy(*key, "ti", "tj").applyInPandas(largest, f"{shape}, n double, " + ", ".join(f"{m} double" for m in names))
+    tops = tops.groupBy(*key).agg(F.sum("n").alias("n"), *(F.max(m).alias(m) for m in names)).filter(F.col("n") >= LEAST)
+    every = F.explode(F.filter(F.array(*(F.struct(F.lit(a).alias("area"), F.lit(x).alias("ti"), F.lit(y).alias("tj")) for a, g in grids.items() for x in range(-(-g.wide // tile)) for y in range(-(-g.high // tile)))), lambda t: t["area"] == F.col("area")))
+    tiles = tops.withColumn("t", every).select(*key, *names, "t.ti", "t.tj")
+
+    def one(tops_: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(tops_):
+            return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
+        first = tops_.iloc[0]
+        grid = grids[first["area"]]
+        layers = tile_layers(rows, grid, first["ti"], first["tj"], edge, tile)
+        most = np.array([first[m] for m in names])
+        return finish(first, grid, layers / np.where(most > 0, most, 1)[:, None, None], rows, first["ti"] * tile, first["tj"] * tile)
+
+    return tiles.groupBy(*key, "ti", "tj").cogroup(dealt.groupBy(*key, "ti", "tj")).applyInPandas(one, schema)
+
+
+def footprint_forecast(points: DataFrame, areas, alias_prior: bool = False, threshold: float = 0.5, model: dict = FOOTPRINT_MODEL, edge: str = "edge", tile: int = FIELD_TILE) -> DataFrame:
+    """Cells of the day after the last with a probability of at least the threshold: area, day, i, j, lon, lat, p, actual (active on the last day).
+    `areas` is a box or names with their boxes. The window is the last day of the points and up to four before it; areas with under LEAST detections
+    have no forecast. With alias_prior the last day's density is the whole window's."""
+    boxes = areas if isinstance(areas, dict) else {"aoi": areas}
+    grids = {a: forecast_grid(box, model["cell"]) for a, box in boxes.items()}
+    recent = points.select("day").distinct().orderBy(F.desc("day")).limit(5)
+    order = Window.orderBy(F.desc("day"))  # five rows
+    ages = recent.select("day", (F.row_number().over(order) - 1).alias("age"), F.max("day").over(Window.partitionBy()).alias("latest"), F.least(F.count(F.lit(1)).over(Window.partitionBy()) - 1, F.lit(1)).alias("second"))
+    held = on_grids(points.join(F.broadcast(ages), "day"), grids, "age", "latest", "second", "frp")
+    count = lambda when: F.count_if(when).cast("double")
+    last = F.count(F.lit(1)).cast("double") if alias_prior else count(F.col("age") == 0)
+    cells = held.groupBy("area", "latest", "i", "j").agg(F.count(F.lit(1)).cast("double").alias("n"), exact_sum("frp").alias("frp"), last.alias("last"), count(F.col("age") == F.col("second")).alias("before"))
+
+    def finish(first: pd.Series, grid: Grid, layers: np.ndarray, rows: pd.DataFrame, i0: int, j0: int) -> pd.DataFrame:
+        high, wide = layers.shape[1:]
+        target = pd.Timestamp(first["latest"]) + pd.Timedelta(days=1)
         angle = 2 * math.pi * target.dayofyear / 365
-        layers = [smoothed(raster(scene), s / cell, edge) for s in (0.10, 0.35, 0.80)]
-        layers += [smoothed(raster(scene, "frp"), 0.35 / cell, edge), smoothed(raster(now), 0.35 / cell, edge), smoothed(raster(before), 0.35 / cell, edge)]
-        x = np.broadcast_to((np.arange(wide) + 0.5) * cell / (east - west), (high, wide))
-        y = np.broadcast_to(((np.arange(high) + 0.5) * cell / (north - south))[:, None], (high, wide))
-        features = [np.log1p(v) for v in layers] + [x, y, math.sin(angle), math.cos(angle)]
+        x = np.broadcast_to((np.arange(i0, i0 + wide) + 0.5) * grid.cell / (grid.east - grid.west), (high, wide))
+        y = np.broadcast_to(((np.arange(j0, j0 + high) + 0.5) * grid.cell / (grid.north - grid.south))[:, None], (high, wide))
+        features = [*np.log1p(layers), x, y, math.sin(angle), math.cos(angle)]
         z = model["intercept"] + sum(c * (f - m) / (s or 1) for f, m, s, c in zip(features, model["mean"], model["scale"], model["coef"]))
         p = 1 / (1 + np.exp(-z))
         jj, ii = np.nonzero(p >= threshold)
+        active = np.zeros((high, wide), bool)
+        own = rows[(rows["last"] > 0) & rows["i"].between(i0, i0 + wide - 1) & rows["j"].between(j0, j0 + high - 1)]
+        active[own["j"] - j0, own["i"] - i0] = True
         at = lambda v: np.floor(v * 1e4 + 0.5) / 1e4
-        return pd.DataFrame({"day": target.date(), "i": ii, "j": jj, "lon": at(west + (ii + 0.5) * cell), "lat": at(south + (jj + 0.5) * cell), "p": np.floor(p[jj, ii] * 1000 + 0.5) / 1000, "actual": raster(now)[jj, ii] > 0})[names]
+        out = {"area": first["area"], "day": target.date(), "i": ii + i0, "j": jj + j0, "lon": at(grid.west + (ii + i0 + 0.5) * grid.cell), "lat": at(grid.south + (jj + j0 + 0.5) * grid.cell)}
+        return pd.DataFrame(out | {"p": np.floor(p[jj, ii] * 1000 + 0.5) / 1000, "actual": active[jj, ii]})
 
-    return cells.groupBy("area").applyInPandas(one, "day date, i int, j int, lon double, lat double, p double, actual boolean")
+    return fields(cells, grids, ["area", "latest"], edge, finish, "area string, day date, i int, j int, lon double, lat double, p double, actual boolean", tile)
 
 
-LAYERS = ("kde_010", "kde_035", "kde_080", "frp_035", "last_day", "day_before")
-
-
-def training_cells(points: DataFrame, box, cell: float = 0.05, window: int = 4, edge: str = "reflect", least: float = 0.01, inside: DataFrame | None = None) -> DataFrame:
+def training_cells(points: DataFrame, box, cell: float = 0.05, window: int = 4, edge: str = "reflect", least: float = 0.01, inside: DataFrame | None = None, tile: int = FIELD_TILE) -> DataFrame:
     """For every day with enough detections before it: the cells with any density, their six layers, place, season, and as label whether the cell
     lies in a fire's hull that day (inside: day, i, j of such cells, as cells_in_hulls gives them for the same box and cell), or without
-    hulls whether it is active. A detection serves the days up to `window` after it; each target day is one raster."""
+    hulls whether it is active. A detection serves the days up to `window` after it; the last day of a target is the latest of these that has any."""
     west, south, east, north = box
-    wide, high = math.ceil((east - west) / cell) + 1, math.ceil((north - south) / cell) + 1
-    i, j = F.floor((F.col("lon") - west) / cell).cast("int"), F.floor((F.col("lat") - south) / cell).cast("int")
-    cells = points.select("day", i.alias("i"), j.alias("j"), "frp").filter((F.col("i") >= 0) & (F.col("i") < wide) & (F.col("j") >= 0) & (F.col("j") < high)).groupBy("day", "i", "j").agg(F.count("*").alias("n"), exact_sum("frp").alias("frp"))
-    ahead = cells.select(F.explode(F.sequence(F.lit(1), F.lit(window))).alias("age"), "day", "i", "j", "n", "frp").select(F.date_add("day", F.col("age")).alias("target"), "age", "i", "j", "n", "frp")
+    grids = {"aoi": Grid(west, south, east, north, cell, math.ceil((east - west) / cell) + 1, math.ceil((north - south) / cell) + 1)}
+    cells = on_grids(points, grids, "day", "frp").groupBy("area", "day", "i", "j").agg(F.count(F.lit(1)).alias("n"), exact_sum("frp").alias("frp"))
+    ahead = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("age")).withColumn("target", F.date_add("day", F.col("age")))
+    youngest = ahead.groupBy("target").agg(F.min("age").alias("youngest"))  # a row for each day
+    of = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0)).cast("double")
+    held = ahead.join(F.broadcast(youngest), "target").groupBy("area", "target", "i", "j").agg(F.sum("n").cast("double").alias("n"), exact_sum("frp").alias("frp"), of(F.col("age") == F.col("youngest")).alias("last"), of(F.col("age") == 2).alias("before"))
 
-    def one(scene: pd.DataFrame) -> pd.DataFrame:
-        def raster(rows: pd.DataFrame, column: str = "n") -> np.ndarray:
-            grid = np.zeros((high, wide))
-            np.add.at(grid, (rows["j"].to_numpy(), rows["i"].to_numpy()), rows[column].to_numpy(float))
-            return grid
-
-        names = ["target", "i", "j", *LAYERS, "x", "y", "doy_sin", "doy_cos"]
-        if scene["n"].sum() < 30:
-            return pd.DataFrame(columns=names)
-        last = scene[scene["age"] == scene["age"].min()]
-        layers = [smoothed(raster(scene), s / cell, edge) for s in (0.10, 0.35, 0.80)]
-        layers += [smoothed(raster(scene, "frp"), 0.35 / cell, edge), smoothed(raster(last), 0.35 / cell, edge), smoothed(raster(scene[scene["age"] == 2]), 0.35 / cell, edge)]
-        jj, ii = np.nonzero(np.max(layers, axis=0) > least)
-        angle = 2 * math.pi * pd.Timestamp(scene["target"].iloc[0]).dayofyear / 365
-        out = {"target": scene["target"].iloc[0], "i": ii, "j": jj} | {name: np.log1p(layer[jj, ii]) for name, layer in zip(LAYERS, layers)}
-        return pd.DataFrame(out | {"x": ii * cell / (east - west), "y": jj * cell / (north - south), "doy_sin": math.sin(angle), "doy_cos": math.cos(angle)})[names]
-
-    features = ahead.groupBy("target").applyInPandas(one, "target date, i int, j int, " + ", ".join(f"{x} double" for x in (*LAYERS, "x", "y", "doy_sin", "doy_cos")))
+    def finish(first: pd.Series, grid: Grid, layers: np.ndarray, rows: pd.DataFrame, i0: int, j0: int) -> pd.DataFrame:
+        jj, ii = np.nonzero(layers.max(0) > least)
+        angle = 2 * math.pi * pd.Timestamp(first["target"]).dayofyear / 365
+        out = {"target": first["target"], "i": ii + i0, "j": jj + j0} | {name: np.log1p(layer[jj, ii]) for name, layer in zip(LAYERS, layers)}
+        return pd.DataFrame(out | {"x": (ii + i0) * cell / (east - west), "y": (jj + j0) * cell / (north - south), "doy_sin": math.sin(angle), "doy_cos": math.cos(angle)})
+
+    schema = "target date, i int, j int, " + ", ".join(f"{x} double" for x in (*LAYERS, "x", "y", "doy_sin", "doy_cos"))
+    features = fields(held, grids, ["area", "target"], edge, finish, schema, tile)
     active = (cells if inside is None else inside).select(F.col("day").alias("target"), "i", "j", F.lit(1).alias("y_active"))
     known = cells.select(F.col("day").alias("target")).distinct()
     return features.join(known, "target", "left_semi").join(active, ["target", "i", "j"], "left").withColumn("label", F.coalesce("y_active", F.lit(0))).drop("y_active")
@@ -147,16 +239,32 @@ def footprint_stats(cells: DataFrame, actual_cells: int, cell: float, mid_lat: f
     return cells.agg(n.alias("predicted"), F.floor(n * area + 0.5).alias("area_km2"), F.avg("p").alias("mean_p"), F.max("p").alias("max_p"), overlap.alias("overlap"), (overlap / (n + actual_cells - overlap)).alias("iou"), F.count_if(F.col("p") >= 0.85).alias("confident"))
 
 
+def forecast_stats(points: DataFrame, cells: DataFrame, areas: dict, model: dict = FOOTPRINT_MODEL) -> DataFrame:
+    """The measures of footprint_stats for each area with a forecast, and how many cells are active on the last day."""
+    grids = {a: forecast_grid(box, model["cell"]) for a, box in areas.items()}
+    size = {a: g.cell * KM * (g.cell * KM * math.cos(math.radians((g.south + g.north) / 2))) for a, g in grids.items()}
+    latest = points.agg(F.max("day").alias("day"))
+    active = on_grids(points.join(F.broadcast(latest), "day"), grids).distinct().groupBy("area").agg(F.count(F.lit(1)).alias("active"))
+    each = cells.groupBy("area").agg(F.count(F.lit(1)).alias("predicted"), (F.sum(F.col("p").cast("decimal(18,3)")).cast("double") / F.count(F.lit(1))).alias("mean_p"), F.max("p").alias("max_p"), F.count_if("actual").alias("overlap"), F.count_if(F.col("p") >= 0.85).alias("confident"))
+    area = F.create_map(*(F.lit(v) for item in size.items() for v in item))[F.col("area")]
+    joined = each.join(active, "area", "left").withColumn("active", F.coalesce("active", F.lit(0)))
+    return joined.withColumns({"area_km2": F.floor(F.col("predicted") * area + 0.5), "iou": F.col("overlap") / (F.col("predicted") + F.col("active") - F.col("overlap"))})
+
+
 KM = 111.32
 
 
+def _fields_of(cells: DataFrame) -> list[str]:
+    return [c for c in ("area", "day") if c in cells.columns]
+
+
 def forecast_cells(cells: DataFrame, k: int = 8000) -> DataFrame:
-    """Of each day's forecast the k cells with the highest p, the first by place among equals."""
-    best = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("p"), "j", "i"))
+    """Of each forecast (an area and day) the k cells with the highest p, the first by place among equals."""
+    best = F.row_number().over(Window.partitionBy(*_fields_of(cells)).orderBy(F.desc("p"), "j", "i"))
     return cells.withColumn("rank", best).filter(F.col("rank") <= k)
 
 
 def hit_share(cells: DataFrame, k: int = 2000) -> DataFrame:
-    """Per day the whole percentage of the k best cells (ranked rows of forecast_cells) that are active now, and how many these are."""
-    top = cells.filter(F.col("rank") <= k).groupBy("day").agg(F.count("*").alias("top"), F.count_if("actual").alias("hits"))
+    """Per forecast the whole percentage of the k best cells (ranked rows of forecast_cells) that are active now, and how many these are."""
+    top = cells.filter(F.col("rank") <= k).groupBy(*_fields_of(cells)).agg(F.count("*").alias("top"), F.count_if("actual").alias("hits"))
     return top.withColumn("top_aligned_pct", F.floor(F.col("hits") * 100 / F.col("top") + F.lit(0.5)).cast("long"))
