@@ -171,6 +171,20 @@ def popup_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selections.popup_inputs(rows, cluster_stats(spark, sf_dir), selections.day_cells(rows)).select("kind", "id", "score", "threat")
 
 
+#: Areas with a forecast of their own.
+AREAS = {"aoi": BBOX, "inner": (-66.0, -8.0, -58.0, -2.0)}
+#: The tables' days are of January; so many days later they are of the season that the footprint model has learnt.
+SEASON_DAYS = 231
+
+
+def in_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(spark, sf_dir).withColumn("day", F.date_add("day", SEASON_DAYS))
+
+
+def footprint_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.footprint_forecast(in_season(spark, sf_dir), AREAS)
+
+
 def forecast_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.forecast_cells(footprint_forecast(spark, sf_dir))
 
@@ -179,6 +193,11 @@ def forecast_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.hit_share(forecast_cells(spark, sf_dir))
 
 
+def forecast_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = raster.forecast_stats(in_season(spark, sf_dir), footprint_forecast(spark, sf_dir), AREAS)
+    return found.withColumns({"mean_p": rounded("mean_p", 3), "iou": rounded("iou", 3)})
+
+
 def density_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.density_features(detections(spark, sf_dir))
 
@@ -188,12 +207,6 @@ def box_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pt_seq", *(rounded(f"dens_{k}", 6).alias(f"dens_{k}") for k in range(3)))
 
 
-def footprint_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view's season is not the model's, so the terms of the season are left out."""
-    model = FOOTPRINT_MODEL | {"coef": [*FOOTPRINT_MODEL["coef"][:-2], 0.0, 0.0]}
-    return raster.footprint_forecast(detections(spark, sf_dir), BBOX, model=model)
-
-
 def event_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of label 0 make the profile; all others are events at a made-up distance."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -212,7 +225,7 @@ QUERIES = {
     "box_densities": box_densities, "footprint_forecast": footprint_forecast, "event_relevance": event_relevance, "sitrep_text": sitrep_text,
     "track_picks": track_picks, "behavior_votes": behavior_votes, "behavior_mix": behavior_mix, "classifier_features": classifier_features, "forest_scores": forest_scores, "ranking_metrics": ranking_metrics,
     "binary_metrics": binary_metrics, "confusion": confusion, "class_metrics": class_metrics, "group_profile": group_profile, "cell_questions": cell_questions, "cluster_questions": cluster_questions,
-    "popup_inputs": popup_inputs, "forecast_cells": forecast_cells, "forecast_hits": forecast_hits,
+    "popup_inputs": popup_inputs, "forecast_cells": forecast_cells, "forecast_hits": forecast_hits, "forecast_stats": forecast_stats,
 }
 
 
@@ -290,6 +303,44 @@ _WEAK = {
 }
 
 
+def _forecast() -> dict[str, str]:
+    """CTEs that end in fp: every cell of the areas' rasters with its probability. Gaussians are two sums over weights, places beyond the
+    ends counted at the ends."""
+    grids = {a: raster.forecast_grid(box, FOOTPRINT_MODEL["cell"]) for a, box in AREAS.items()}
+    rows = ", ".join(f"('{a}', {g.west}e0, {g.south}e0, {g.east}e0, {g.north}e0, {g.cell}e0, {g.wide}, {g.high})" for a, g in grids.items())
+    line = lambda v, n: f"select area, b, v as {v}, least(greatest(v+o, 0), {n}-1) as {'i' if v == 'x' else 'j'}, sum(k) as w from (select fk.*, unnest(range({n})) as v from fk) q group by 1, 2, 3, 4"
+    values = ("n", "frp", "last", "before")
+    layer = [f"coalesce(max(case when v.b={b} then ln(1e0+v.{c}/case when m.{c}>0 then m.{c} else 1e0 end) end), 0e0) as l{k}" for k, (b, c) in enumerate(((1, "n"), (2, "n"), (3, "n"), (2, "frp"), (2, "last"), (2, "before")))]
+    features = [*(f"l{k}" for k in range(6)), "(x+0.5e0)*cell/(e-w)", "(y+0.5e0)*cell/(n-s)", "sin(angle)", "cos(angle)"]
+    z = " + ".join(f"({c!r}e0)*(({f})-({m!r}e0))/({d!r}e0)" for f, m, d, c in zip(features, FOOTPRINT_MODEL["mean"], FOOTPRINT_MODEL["scale"], FOOTPRINT_MODEL["coef"]))
+    return {
+        "fa(area, w, s, e, n, cell, wide, high)": f"values {rows}",
+        "fd": f"select day, row_number() over (order by day desc)-1 as age, max(day) over () + {SEASON_DAYS} as latest, least(count(*) over () - 1, 1) as second from (select distinct day from det order by day desc limit 5) x",
+        "fc": f"select area, latest, i, j, cast(count(*) as double) as n, {total('frp')} as frp, cast(count(case when age=0 then 1 end) as double) as last, cast(count(case when age=second then 1 end) as double) as before from (select fa.area, latest, age, second, frp, wide, high, cast(floor((lon-w)/cell) as int) as i, cast(floor((lat-s)/cell) as int) as j from det join fd using (day), fa) x where i>=0 and i<wide and j>=0 and j<high group by 1,2,3,4",
+        "fk": "select area, b, o, wide, high, exp(-(o*o)/(2*g*g))/sum(exp(-(o*o)/(2*g*g))) over (partition by area, b) as k from (select *, unnest(range(-r, r+1)) as o from (select *, greatest(1, cast(floor(4*g+0.5e0) as bigint)) as r from (select fa.*, b, width/cell as g from fa, (values (1, 0.10e0), (2, 0.35e0), (3, 0.80e0)) b(b, width)) x) y) q",
+        "fx": line("x", "wide"),
+        "fy": line("y", "high"),
+        "fh": f"select fc.area, b, x, j, {', '.join(f'sum({c}*fx.w) as {c}' for c in values)} from fc join fx on fx.area=fc.area and fx.i=fc.i group by 1,2,3,4",
+        "fv": f"select fh.area, fh.b, x, y, {', '.join(f'sum({c}*fy.w) as {c}' for c in values)} from fh join fy on fy.area=fh.area and fy.b=fh.b and fy.j=fh.j group by 1,2,3,4",
+        "fm": f"select area, b, {', '.join(f'max({c}) as {c}' for c in values)} from fv group by 1,2",
+        "fl": f"select v.area, x, y, {', '.join(layer)} from fv v join fm m on m.area=v.area and m.b=v.b group by 1,2,3",
+        "ft": "select area, latest, 2e0*pi()*dayofyear(latest+1)/365 as angle from fc group by 1,2 having sum(n)>=30",
+        "fr": "select fa.*, x, y, latest, angle from fa join ft using (area), unnest(range(wide)) g(x), unnest(range(high)) h(y)",
+        "fp": f"select fr.area, fr.latest, w, s, cell, fr.x, fr.y, 1e0/(1e0+exp(-({FOOTPRINT_MODEL['intercept']!r}e0 + {z}))) as p from (select fr.*, {', '.join(f'coalesce(l{k}, 0e0) as l{k}' for k in range(6))} from fr left join fl on fl.area=fr.area and fl.x=fr.x and fl.y=fr.y) fr",
+        "fo": "select fp.area, fp.latest+1 as day, cast(x as int) as i, cast(y as int) as j, floor((w+(x+0.5e0)*cell)*1e4+0.5e0)/1e4 as lon, floor((s+(y+0.5e0)*cell)*1e4+0.5e0)/1e4 as lat, floor(p*1000+0.5e0)/1000 as p, coalesce(last>0, false) as actual from fp left join fc on fc.area=fp.area and fc.i=x and fc.j=y where p>=0.5e0",
+        "fb": "select * from (select *, cast(row_number() over (partition by area, day order by p desc, j, i) as int) as rank from fo) q where rank<=8000",
+        "fs": "select area, count(*) as predicted, cast(sum(cast(p as decimal(18,3))) as double)/count(*) as mean_p, max(p) as max_p, count(case when actual then 1 end) as overlap, count(case when p>=0.85e0 then 1 end) as confident from fo group by 1",
+        "fz(area, size)": "values " + ", ".join(f"('{a}', {g.cell * raster.KM * (g.cell * raster.KM * math.cos(math.radians((g.south + g.north) / 2)))!r}e0)" for a, g in grids.items()),
+    }
+
+
+def _forecasted(select: str) -> str:
+    sql = oracle(select, "det", **_forecast())
+    for name in ("fc", "fx", "fy", "fh", "fv", "fo"):
+        sql = sql.replace(f" {name} as (", f" {name} as materialized (")
+    return sql
+
+
 def _tracked(select: str) -> str:
     return _recursive(select, "det", **_DB, **_STATS, **_TRACKS).replace("tc as (", "tc as materialized (")
 
@@ -316,6 +367,12 @@ ORACLES = {
  from (select *, coalesce(case lower(trim(conf_raw)) when 'l' then 20 when 'n' then 50 when 'h' then 90 else {CONF} end, 50) as cf from cx where label is not null) q group by 1 having count(*)>=6) x""",
         "det", za=_ZA, **_labels("cx", "za", ("z_lat", "z_lon", "z_frp"), 0.12, 6, "scene"),
     ),
+    "footprint_forecast": _forecasted("select * from fo"),
+    "forecast_cells": _forecasted("select * from fb"),
+    "forecast_hits": _forecasted("select *, cast(floor(hits*100e0/top+0.5e0) as bigint) as top_aligned_pct from (select area, day, count(*) as top, count(case when actual then 1 end) as hits from fb where rank<=2000 group by 1,2) q"),
+    "forecast_stats": _forecasted(
+        f"select area, predicted, {r('mean_p', 3)} as mean_p, max_p, overlap, confident, coalesce(active, 0) as active, cast(floor(predicted*size+0.5e0) as bigint) as area_km2, {r('overlap*1e0/(predicted+coalesce(active, 0)-overlap)', 3)} as iou from fs join fz using (area) left join (select area, count(*) as active from fc where last>0 group by 1) k using (area)"
+    ),
     "tracks": _tracked("select *, case when frp_trend>0.25 then 'growing' when frp_trend<-0.25 then 'decaying' else 'steady' end as trend from tr"),
     "track_picks": _tracked("select * from (select region, cast(row_number() over (partition by region order by latest_frp desc, track_id) as int) as rank, track_id, days_seen, latest_frp from tr where days_seen>=2) x where rank<=8"),
     "cluster_hulls": _recursive("select day, label, corners, area_km2, " + r("perimeter", 3) + " as perimeter_km, elongation from hm", "det", **_DB, **_HULL),
