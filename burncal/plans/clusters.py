@@ -341,7 +341,8 @@ def _forecasted(select: str) -> str:
     return sql
 
 
-def _tracked(select: str) -> str:
+def tracked_sql(select: str) -> str:
+    """SQL over tr, the tracks of the view's clusters."""
     return _recursive(select, "det", **_DB, **_STATS, **_TRACKS).replace("tc as (", "tc as materialized (")
 
 
@@ -373,8 +374,8 @@ ORACLES = {
     "forecast_stats": _forecasted(
         f"select area, predicted, {r('mean_p', 3)} as mean_p, max_p, overlap, confident, coalesce(active, 0) as active, cast(floor(predicted*size+0.5e0) as bigint) as area_km2, {r('overlap*1e0/(predicted+coalesce(active, 0)-overlap)', 3)} as iou from fs join fz using (area) left join (select area, count(*) as active from fc where last>0 group by 1) k using (area)"
     ),
-    "tracks": _tracked("select *, case when frp_trend>0.25 then 'growing' when frp_trend<-0.25 then 'decaying' else 'steady' end as trend from tr"),
-    "track_picks": _tracked("select * from (select region, cast(row_number() over (partition by region order by latest_frp desc, track_id) as int) as rank, track_id, days_seen, latest_frp from tr where days_seen>=2) x where rank<=8"),
+    "tracks": tracked_sql("select *, case when frp_trend>0.25 then 'growing' when frp_trend<-0.25 then 'decaying' else 'steady' end as trend from tr"),
+    "track_picks": tracked_sql("select * from (select region, cast(row_number() over (partition by region order by latest_frp desc, track_id) as int) as rank, track_id, days_seen, latest_frp from tr where days_seen>=2) x where rank<=8"),
     "cluster_hulls": _recursive("select day, label, corners, area_km2, " + r("perimeter", 3) + " as perimeter_km, elongation from hm", "det", **_DB, **_HULL),
     "cluster_questions": _recursive(
         f"""select day, cluster_id, printf('Fire cluster %s (%s) in amazon on %s: %d detections, %d MW in total, spread %.1f km, hull of %d km2, front ratio %.2f. Brief a commander on it and on the next 48 hours.', cluster_id, class, cast(day as varchar), n, {r('frp_sum', 0)}, spread_km, {r('area_km2', 0)}, elongation) as question from st join hm using (day, label)""",

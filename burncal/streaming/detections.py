@@ -1,17 +1,11 @@
-"""Structured Streaming front end: daily summaries with a watermark, and fire tracks as keyed state."""
+"""Structured Streaming front end: a file stream of detections, and daily summaries with a watermark."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from burncal.functions.scalars import confidence, exact_sum, rounded
-from burncal.operators.track import haversine
 
 
 def read_detections(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:
@@ -31,36 +25,10 @@ def daily_summary(stream: DataFrame, late: str = "1 day", distinct: bool = True)
     return days.select(F.to_date("w.start").alias("day"), "sensor", "n", "mean_frp", "max_frp", "hi_conf", "night")
 
 
-TRACK = "region string, track_id string, first_day date, last_day date, days_seen int, peak_frp double, latest_frp double, lon double, lat double"
-
-
-def tracked(clusters: DataFrame, max_gap_km: float = 60.0, forget_days: int = 30) -> DataFrame:
-    """Tracks of a stream of clusters (region, day, frp_sum, c_lon, c_lat): every batch gives the tracks that it changed. The state of a region is its
-    tracks of the last days; a cluster joins the nearest free one of an earlier day."""
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"next": 1, "tracks": []}
-        rows = pd.concat(list(batches)).sort_values(["day", "frp_sum"], ascending=[True, False])
-        changed: dict[str, dict] = {}
-        for day, today in rows.groupby("day", sort=True):
-            label = str(day)
-            free = [t for t in kept["tracks"] if t["last_day"] < label]
-            for c in today.itertuples():
-                near = min(free, key=lambda t: haversine(t["lat"], t["lon"], c.c_lat, c.c_lon), default=None)
-                if near is not None and haversine(near["lat"], near["lon"], c.c_lat, c.c_lon) <= max_gap_km:
-                    free.remove(near)
-                    near |= {"last_day": label, "days_seen": near["days_seen"] + 1, "peak_frp": max(near["peak_frp"], c.frp_sum), "latest_frp": c.frp_sum, "lon": c.c_lon, "lat": c.c_lat}
-                else:
-                    near = {"track_id": f"SYS-{kept['next']:03d}", "first_day": label, "last_day": label, "days_seen": 1, "peak_frp": c.frp_sum, "latest_frp": c.frp_sum, "lon": c.c_lon, "lat": c.c_lat}
-                    kept["next"] += 1
-                    kept["tracks"].append(near)
-                changed[near["track_id"]] = near
-            oldest = str((pd.Timestamp(label) - pd.Timedelta(days=forget_days)).date())
-            kept["tracks"] = [t for t in kept["tracks"] if t["last_day"] >= oldest]
-        state.update((json.dumps(kept),))
-        out = pd.DataFrame([{"region": key[0]} | t for t in changed.values()])
-        for c in ("first_day", "last_day"):
-            out[c] = pd.to_datetime(out[c]).dt.date
-        yield out[[x.split()[0] for x in TRACK.split(", ")]]
-
-    return clusters.groupBy("region").applyInPandasWithState(advance, TRACK, "tracks string", "update", GroupStateTimeout.NoTimeout)
+def appended(summary: DataFrame, path: str) -> DataFrame:
+    """Run a summary over what is there, from its checkpoint under the path if there is one: days that no row in time can change any more are
+    written once, to the folder of their batch, and all days written so far come back."""
+    spark = summary.sparkSession
+    writer = summary.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state")
+    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/days/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/days").drop("batch")

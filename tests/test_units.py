@@ -18,7 +18,6 @@ from burncal.functions import scalars as s
 from burncal.functions.constants import AOIS, PROTOTYPES, REGIONS, SEASON
 from burncal.operators import cluster, exports, harmonize, models, raster, selections, series, summary, track, triage
 from burncal.sources import fixtures, readers
-from burncal.streaming.detections import tracked
 from tests.conftest import SF
 
 DAY = dt.date(2024, 1, 1)
@@ -325,16 +324,6 @@ def test_models(spark):
     assert 0 <= m.brier <= 1 and 0 <= m.accuracy <= 1
 
 
-def test_stream_tracks(spark, tmp_path):
-    schema = "region string, day date, frp_sum double, c_lon double, c_lat double"
-    for d, x in ((1, 0.0), (2, 0.1), (3, 0.2)):
-        spark.createDataFrame([("r", dt.date(2024, 1, d), 10.0 * d, x, 0.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    seen: list = []
-    stream = tracked(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in")))
-    stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    assert max(r.days_seen for r in seen) == 3 and {r.track_id for r in seen} == {"SYS-001"}
-
-
 def _field(number, value):
     """One protocol-buffer field with a short value."""
     return bytes([number << 3 | 2, len(value)]) + value
