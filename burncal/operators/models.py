@@ -8,11 +8,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burncal.functions.constants import EVENT_MODEL, REGIONS
 from burncal.functions.scalars import confidence, confidence_training, exact_sum, linear, month_of, next_month, rounded, sigmoid
+from burncal.operators import forest
 from burncal.operators.harmonize import all_sensor_months
 from burncal.session import cut
 
@@ -68,8 +69,8 @@ def regimes(df: DataFrame, features: list[str], k: int = 6, seed: int = 42) -> D
 
 def classifier_features(points: DataFrame, densities: DataFrame, group: str = "day", hour_bug: bool = False) -> DataFrame:
     """The nine features of each detection. The power ratio is to the group's upper median (1 for none); with hour_bug midnight counts as noon."""
-    place = points.select(group, "frp", F.row_number().over(Window.partitionBy(group).orderBy("frp")).alias("r"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    medians = place.filter(F.col("r") == F.floor(F.col("n") / 2) + 1).select(group, F.when(F.col("frp") != 0, F.col("frp")).otherwise(1.0).alias("median"))
+    upper = F.expr("percentile_disc(0.5) within group (order by frp desc)")  # of an even number the upper one
+    medians = points.groupBy(group).agg(upper.alias("median")).withColumn("median", F.when(F.col("median") != 0, F.col("median")).otherwise(1.0))
     hour = F.when(F.lit(hour_bug) & (F.col("acq_hour") == 0), 12).otherwise(F.col("acq_hour"))
     joined = points.join(F.broadcast(medians), group).join(densities, "pt_seq")
     return joined.select(
@@ -128,11 +129,8 @@ def group_profile(df: DataFrame, by: str) -> DataFrame:
 def forest_scores(model, features: DataFrame) -> DataFrame:
     """pt_seq, day, behavior and p of each detection by a model of train_classifier: the mean of the trees' class probabilities, and the class where it is
     largest."""
-    classes = model.stages[0].labels
-    scored = model.transform(features.withColumn(model.stages[0].getInputCol(), F.lit(classes[0])))  # the indexer wants its column
-    p = vector_to_array("probability")
-    best = F.array_max(p)
-    return scored.select("pt_seq", "day", F.element_at(F.array(*map(F.lit, classes)), F.array_position(p, best).cast("int")).alias("behavior"), rounded(best, 3).alias("p"))
+    nodes = forest.flat(forest.nodes_of(features.sparkSession, model.stages[-1]))
+    return forest.score(features, nodes, list(CLASSIFIER_FEATURES), model.stages[0].labels)
 
 
 def silhouette(df: DataFrame, features: list[str], k: int = 6, seed: int = 42, sample: int | None = None) -> float:
@@ -156,17 +154,6 @@ def train_boosted(df: DataFrame, features: list[str], label: str = "label", roun
     return Pipeline(stages=stages).fit(balanced(df, label))
 
 
-def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """The nodes of a saved tree model (a stage that was written to a path), for use elsewhere: tree, node (in order from the root), feature (-1: leaf),
-    threshold (go left up to it), left, right, and the weights of the classes."""
-    node = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
-    leaf = F.col("leftChild") < 0
-    return node.select(
-        "tree", F.col("id").alias("node"), F.when(leaf, -1).otherwise(F.col("split.featureIndex")).alias("feature"), F.when(~leaf, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
-        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("impurityStats").alias("weights"),
-    )
-
-
 def train_footprint(cells: DataFrame, features: list[str], boosted: bool = False):
     """The footprint model fitted on all days but the last, and its scores of the last day beside a persistence baseline: the cells whose density of the
     last day is over that of three fifths of the cells that came true (without any, of 95 % of all cells)."""

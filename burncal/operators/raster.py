@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burncal.functions.constants import FOOTPRINT_MODEL
-from burncal.functions.scalars import exact_sum
+from burncal.functions.scalars import exact_sum, linear, sigmoid
 
 RADII = (0.05, 0.25, 1.0)
 TILE = 512
@@ -232,6 +232,24 @@ def training_cells(points: DataFrame, box, cell: float = 0.05, window: int = 4,
     return features.join(known, "target", "left_semi").join(active, ["target", "i", "j"], "left").withColumn("label", F.coalesce("y_active", F.lit(0))).drop("y_active")
 
 
+def footprint_overlap(cells: DataFrame, hulls: DataFrame, model: dict = FOOTPRINT_MODEL, threshold: float = 0.5) -> DataFrame:
+    """How well the footprint model and persistence meet the fires of each target day: predicted cells, cells in hulls, those in both and IoU, and the same of the
+    cells whose density of the day before is over that of three fifths of the cells that came true (without any, of 95 % of all cells).
+    cells: from training_cells with these hull cells (day, i, j; those outside the raster are to be left out before)."""
+    p = sigmoid(linear([F.col(c) for c in (*LAYERS, "x", "y", "doy_sin", "doy_cos")], model["mean"], model["scale"], model["coef"], model["intercept"]))
+    known = cells.select("target", "label", (p >= threshold).alias("said"), F.floor(F.col("last_day") * 1e9 + 0.5).alias("density"))
+    bounds = known.groupBy("target").agg(F.coalesce(F.percentile(F.when(F.col("label") == 1, F.col("density")), 0.6), F.percentile("density", 0.95)).alias("bound"))  # a row for each day
+    fires = hulls.groupBy(F.col("day").alias("target")).agg(F.count(F.lit(1)).alias("fires"))
+    kept = F.col("density") >= F.col("bound")
+    hit = F.col("label") == 1
+    each = known.join(bounds, "target").groupBy("target").agg(
+        F.count_if("said").alias("predicted"), F.count_if(F.col("said") & hit).alias("overlap"), F.count_if(kept).alias("persisted"), F.count_if(kept & hit).alias("persisted_overlap")
+    )
+    joined = each.join(fires, "target", "left").withColumn("fires", F.coalesce("fires", F.lit(0)))
+    iou = lambda said, both: F.coalesce(F.try_divide(F.col(both), F.col(said) + F.col("fires") - F.col(both)), F.lit(0.0))
+    return joined.withColumns({"iou": iou("predicted", "overlap"), "persistence_iou": iou("persisted", "persisted_overlap")})
+
+
 def footprint_stats(cells: DataFrame, actual_cells: int, cell: float, mid_lat: float) -> DataFrame:
     """Number of cells, area, mean and largest p, overlap and IoU with the cells that are active now, confident cells."""
     area = cell * KM * (cell * KM * math.cos(math.radians(mid_lat)))

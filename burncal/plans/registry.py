@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burncal.plans import clusters, detections, selections, series, streams
+from burncal.plans import clusters, detections, learning, selections, series, streams
 
-MODULES = (detections, series, clusters, selections, streams)
+MODULES = (detections, series, clusters, selections, learning, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from burncal.functions import scalars as s
 from burncal.functions.constants import AOIS, PROTOTYPES, REGIONS, SEASON
-from burncal.operators import cluster, exports, harmonize, models, raster, selections, series, summary, track, triage
+from burncal.operators import cluster, exports, forest, harmonize, models, raster, selections, series, summary, track, triage
 from burncal.sources import fixtures, readers
 from tests.conftest import SF
 
@@ -385,6 +385,6 @@ def test_footprint_labels_of_hulls_and_nodes(spark, tmp_path):
     fitted = models.train_boosted(cells, features, rounds=2, depth=2)
     assert fitted.transform(cells).filter("prediction is null").count() == 0
     fitted.stages[1].write().save(str(tmp_path / "m"))
-    nodes = models.forest_nodes(spark, str(tmp_path / "m")).orderBy("tree", "node").collect()
+    nodes = forest.node_table(spark, str(tmp_path / "m")).orderBy("tree", "node").collect()
     trees = {t: {r.node: r for r in nodes if r.tree == t} for t in {r.tree for r in nodes}}
     assert len(trees) == 2 and all((r.feature < 0) == (r.threshold is None) and (r.feature < 0 or {r.left, r.right} <= trees[r.tree].keys()) for r in nodes)
