@@ -12,9 +12,11 @@ a bound of about 2^16 fingerprints. Inside a bucket pairs are compared in numpy
 
 Near copies. Fingerprints of shingles differ in about 10 bits at a similarity of 0.8, too many for a mask of every pattern, but those of
 the distinct words differ less, as a changed word touches one word and five shingles. `near_copies` therefore looks for pairs within the
-radius in any of PRINTS independent fingerprints of the distinct words, each with its covering masks, and links a pair only if
-the similarity of their five-word shingles is 0.8 as far as SKETCH further SimHash bits of the shingles tell: at 0.8 these differ in 39 bits on
-average, with a deviation of 6, and pairs of up to MOST_BITS are linked.
+radius in any of PRINTS independent fingerprints of the distinct words, each with its covering masks. SKETCH further SimHash bits of the five-word
+shingles then estimate a pair's similarity: at 0.8 they differ in 39 bits on average, with a deviation of 6, and pairs of up to MOST_BITS go on. All this
+only proposes: of the proposed pairs of a bucket those of a spanning forest, the likest first, are taken, and each is a link only if the shingles of
+its two texts, counted with repeats, are similar to 0.8 or more. So what is dropped has a near copy that counts show; a group of n texts costs each bucket n - 1
+comparisons. Texts with the same shingles are one node.
 
 Cases: null and empty texts, and texts without words, have fingerprint zero, linked like any other; very long texts count whole; ties
 (a bit set in just half the hashes) are 0; rows with a null
@@ -24,6 +26,7 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burncal.llm.common import cut, id_and_text, map_batches
+from burncal.llm.common import cut, id_and_text, map_batches, small_batches
 from burncal.operators.components import connected_components
 
 BITS = 64
 HEAVY = 512
 SHINGLE, PRINTS, SKETCH, MOST_BITS = 5, 4, 256, 50
+SIMILAR = 0.8
 WORDS = 200_000  # whose hashes a task keeps
 CHUNK_ROWS = 65_536
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -63,11 +67,24 @@ def majority(raw: bytes, size: int) -> bytes:
     return np.packbits(counts.ravel() * 2 > len(hashes)).tobytes()
 
 
+def shingles_of(text: str) -> list[bytes]:
+    words = text.encode().lower().split()
+    return list(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))) if len(words) >= SHINGLE else [b" ".join(words)] if words else []
+
+
+def similarity(a: Counter, b: Counter) -> float:
+    """Common shingles by all shingles, counted with repeats; texts without words are alike."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    common = sum(min(n, many[s]) for s, n in few.items())
+    return common / (a.total() + b.total() - common) if a or b else 1.0
+
+
 def describe(text: str, known: dict[bytes, bytes]) -> bytes:
-    """PRINTS fingerprints of the distinct words, then SKETCH bits of the five-word shingles; zero for a text without words."""
+    """PRINTS fingerprints of the distinct words, SKETCH bits of the five-word shingles, and 8 bytes that all texts with the same shingles share; zero for a
+    text without words."""
     words = text.encode().lower().split()
     if not words:
-        return bytes(8 * PRINTS + SKETCH // 8)
+        return bytes(8 * PRINTS + SKETCH // 8 + 8)
     own = []
     for w in set(words):
         if (h := known.get(w)) is None:
@@ -75,9 +92,10 @@ def describe(text: str, known: dict[bytes, bytes]) -> bytes:
                 known.clear()
             h = known[w] = xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2)
         own.append(h)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
     digest = xxhash.xxh3_128_digest
-    return majority(b"".join(own), 8 * PRINTS) + majority(b"".join([digest(s, 3) + digest(s, 4) for s in shingles]), SKETCH // 8)
+    raw = b"".join([digest(s, 3) + digest(s, 4) for s in shingles_of(text)])
+    same = np.frombuffer(raw, np.uint64).reshape(-1, 4)[:, 0].sum(dtype=np.uint64)  # wraps
+    return majority(b"".join(own), 8 * PRINTS) + majority(raw, SKETCH // 8) + same.tobytes()
 
 
 def covering_masks(radius: int, family: int = 0) -> list[int]:
@@ -102,23 +120,22 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc
     return map_batches(id_and_text(docs, id_col, text_col), per_batch, "doc_id long, fp long")
 
 
-def _stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, root) of the components that pairs of one group within the radius, and within `most` bits of their sketches,
-    form. Groups are runs."""
-    label = np.arange(len(fp))
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest member) after the components of a and b have become one."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal label
-        while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, label[a], low)
-            np.minimum.at(new, label[b], low)
-            new = new[new]
-            if np.array_equal(new, label):
-                return
-            label = new
 
+def _stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (node, root) of the components that pairs of one group within the radius form. Groups are runs."""
+    label = np.arange(len(fp))
     active, lag, held, size = np.arange(len(fp)), 1, [], 0
     while True:
         active = active[active + lag < len(fp)]
@@ -126,23 +143,61 @@ def _stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, ske
         if not len(active):
             break
         near = active[np.bitwise_count(fp[active] ^ fp[active + lag]) <= radius]
-        if sketch.shape[1]:
-            near = near[np.bitwise_count(sketch[near] ^ sketch[near + lag]).sum(1, dtype=np.int64) <= most]
         if len(near):
             held.append((near, near + lag))
             size += len(near)
         if size > 1 << 20:
-            join(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            label = joined(label, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
             held, size = [], 0
         lag += 1
     if held:
-        join(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        label = joined(label, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
     linked = np.flatnonzero(label != np.arange(len(fp)))
     return node[linked], node[label[linked]]
 
 
+def forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
+    """Which pairs form a spanning forest, the shortest first: every component takes its shortest pair to another one, again and again."""
+    label, taken = np.arange(n), []
+    weight = distance.astype(np.int64) * len(a) + np.arange(len(a))  # no two alike
+    open_ = np.arange(len(a))
+    while True:
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+        if not len(open_):
+            return np.concatenate(taken) if taken else open_
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, label[a[open_]], weight[open_])
+        np.minimum.at(best, label[b[open_]], weight[open_])
+        chosen = np.unique(best[best < np.iinfo(np.int64).max]) % len(a)
+        taken.append(chosen)
+        label = joined(label, a[chosen], b[chosen])
+
+
+def _forest_edges(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (node, node) of one group within the radius, and within `most` bits of their sketches, that connect what all such pairs connect. Groups are runs."""
+    active, lag = np.arange(len(fp)), 1
+    a = b = d = np.zeros(0, np.int64)
+    new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    while True:
+        active = active[active + lag < len(fp)]
+        active = active[group[active + lag] == group[active]]
+        near = active[np.bitwise_count(fp[active] ^ fp[active + lag]) <= radius]
+        bits = np.bitwise_count(sketch[near] ^ sketch[near + lag]).sum(1, dtype=np.int64)
+        near, bits = near[bits <= most], bits[bits <= most]
+        new.append((near, near + lag, bits))
+        size += len(near)
+        if size > 1 << 20 or not len(active):
+            a, b, d = (np.concatenate([x, *(h[k] for h in new)]) for k, x in enumerate((a, b, d)))
+            kept = forest(a, b, d, len(fp))  # a forest of forests spans the same
+            a, b, d, new, size = a[kept], b[kept], d[kept], [], 0
+        if not len(active):
+            return node[a], node[b]
+        lag += 1
+
+
 def _link(batches: Iterator[pa.RecordBatch], radius: int, keys: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Reads rows (keys, fp, node, sketch) sorted by bucket, a whole number of buckets at a time, and yields star edges."""
+    """Reads rows (keys, fp, node, sketch) sorted by bucket, a whole number of buckets at a time, and yields star edges; with a sketch those of a forest of true pairs."""
 
     def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
         key, fp, node, sketch = rows[:keys], rows[keys], rows[keys + 1], rows[keys + 2 :]
@@ -150,7 +205,7 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int, keys: int, most: int)
         changes = np.zeros(len(fp), bool)
         for k in key:
             changes[1:] |= k[1:] != k[:-1]
-        a, b = _stars(np.cumsum(changes), fp.view(np.uint64), node, radius, sketch, most)
+        a, b = (_forest_edges if sketch.shape[1] else _stars)(np.cumsum(changes), fp.view(np.uint64), node, radius, sketch, most)
         return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     held: list[np.ndarray] = []
@@ -186,7 +241,7 @@ def near_edges(nodes: DataFrame, radius: int = 4, heavy: int = HEAVY, prints: tu
     if sketch:
         split = split.join(nodes.select("node", *sketch), "node").select("t", "k", "t2", "k2", "fp", "node", *sketch)
     key = ["t", "k", "t2", "k2"]
-    return split.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: _link(batches, radius, len(key), most), "a long, b long")
+    return split.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(lambda batches: _link(batches, radius, len(key), most), "a long, b long")
 
 
 def near_components(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -198,11 +253,38 @@ def near_components(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4
     return rows.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, radius: int = 4, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Reads rows (pair, doc_id, text) sorted by pair and yields the pairs of doc_id whose texts are similar enough."""
+    last: tuple[int, int, Counter] | None = None
+    for batch in batches:
+        a, b = [], []
+        for pair, doc, text in zip(*(batch.column(c).to_pylist() for c in ("pair", "doc_id", "text"))):
+            own = Counter(shingles_of(text or ""))
+            if last is not None and last[0] == pair:
+                if similarity(last[2], own) >= least:
+                    a.append(last[1])
+                    b.append(doc)
+                last = None
+            else:
+                last = (pair, doc, own)
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def true_links(docs: DataFrame, pairs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of doc_id whose texts are similar by their counted shingles. Texts go to the pairs that they are in; of rows with one doc_id one counts."""
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    ends = cut(once.withColumn("pair", F.monotonically_increasing_id()).select("pair", F.explode(F.array("a", "b")).alias("doc_id")))
+    texts = docs.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    small_batches(docs.sparkSession, 64)
+    met = ends.join(texts, "doc_id").select("pair", "doc_id", "text").repartition("pair").sortWithinPartitions("pair", "doc_id")
+    return met.mapInArrow(lambda batches: _verified(batches, least), "a long, b long")
+
+
+def near_copies(docs: DataFrame, radius: int = 4, most_bits: int = MOST_BITS, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """doc_id, component_id for every row: the smallest doc_id reachable over links between near copies. Rows with a null doc_id join the
     component of their text."""
     prints, sketch = tuple(f"f{k}" for k in range(PRINTS)), tuple(f"s{k}" for k in range(SKETCH // 64))
-    own = [*prints, *sketch]
+    own = [*prints, *sketch, "same"]
     known: dict[bytes, bytes] = {}
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -210,11 +292,13 @@ def near_copies(docs: DataFrame, radius: int = 4, most_bits: int = MOST_BITS, id
         values = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, len(own))
         return pa.record_batch([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], ["doc_id", *own])
 
-    rows = cut(map_batches(id_and_text(docs, id_col, text_col), per_batch, "doc_id long, " + ", ".join(f"{c} long" for c in own)))
+    named = id_and_text(docs, id_col, text_col)
+    rows = cut(map_batches(named, per_batch, "doc_id long, " + ", ".join(f"{c} long" for c in own)))
     nodes = cut(rows.groupBy(*own).agg(F.min("doc_id").alias("node")))
-    components = connected_components(near_edges(nodes.filter("node is not null"), radius, heavy, prints, sketch, most_bits))
-    named = nodes.join(components, "node", "left").select(*own, F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, own, "left").select("doc_id", "component_id")
+    proposed = near_edges(nodes.filter("node is not null"), radius, heavy, prints, sketch, most_bits)
+    components = connected_components(true_links(named, proposed, least))
+    of = nodes.join(components, "node", "left").select(*own, F.coalesce("component", "node").alias("component_id"))
+    return rows.join(of, own, "left").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import xxhash
 
@@ -81,30 +82,29 @@ def components(prints: list[tuple[int, int]], radius: int = 4) -> dict[int, int]
     return {d: root(d) for d, _ in prints}
 
 
-def near_copies(rows: list[tuple[int, str | None]], radius: int = 4, most: int = 50) -> dict[int, int]:
-    """(doc, text) -> smallest doc reachable over near copies, by comparing all pairs bit by bit."""
+def counted_shingles(text: str | None) -> Counter:
+    words = (text or "").encode().lower().split()
+    return Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else Counter([tuple(words)] * bool(words))
 
-    def bits(items: list[bytes], *hashes) -> list[bool]:
-        every = [b"".join(h(x) for h in hashes) for x in items]
-        return [sum(h[b // 8] >> (7 - b % 8) & 1 for h in every) * 2 > len(every) for b in range(8 * len(every[0]) if every else 0)]
 
-    own = []
-    for doc, text in rows:
-        words = (text or "").encode().lower().split()
-        shingles = [b" ".join(words[k : k + 5]) for k in range(len(words) - 4)] or [b" ".join(words)] * bool(words)
-        prints = bits(sorted(set(words)), lambda w: xxhash.xxh3_128_digest(w, 1), lambda w: xxhash.xxh3_128_digest(w, 2)) or [False] * 256
-        own.append((doc, prints, bits(shingles, lambda s: xxhash.xxh3_128_digest(s, 3), lambda s: xxhash.xxh3_128_digest(s, 4)) or [False] * 256))
-    parent = {d: d for d, _, _ in own}
+def jaccard(a: Counter, b: Counter) -> float:
+    common = (a & b).total()
+    return common / (a.total() + b.total() - common) if a or b else 1.0
+
+
+def near_copies(rows: list[tuple[int, str | None]], least: float = 0.8) -> dict[int, int]:
+    """doc -> smallest doc reachable over near copies, by comparing the shingles of all pairs."""
+    own = [(doc, counted_shingles(text)) for doc, text in rows]
+    parent = {d: d for d, _ in own}
 
     def root(d):
         while parent[d] != d:
             d = parent[d]
         return d
 
-    for i, (a, x, s) in enumerate(own):
-        for b, y, t in own[i:]:
-            differ = [sum(p != q for p, q in zip(x[k : k + 64], y[k : k + 64])) for k in (0, 64, 128, 192)]
-            if min(differ) <= radius and sum(p != q for p, q in zip(s, t)) <= most:
+    for i, (a, x) in enumerate(own):
+        for b, y in own[i:]:
+            if min(x.total(), y.total()) >= least * max(x.total(), y.total()) and jaccard(x, y) >= least:
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
-    return {d: root(d) for d, _, _ in own}
+    return {d: root(d) for d, _ in own}

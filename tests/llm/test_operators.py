@@ -22,7 +22,7 @@ import pytest
 from burncal.llm import common, decontaminate, licenses, media, packing, pieces, quality, queries, secrets, simhash, suffixes, toxicity
 from burncal.operators.components import connected_components
 from tests.conftest import SF
-from tests.llm.data import BASE, LONG, PASSAGE, ROWS, components, frame, near_copies, prose, removed
+from tests.llm.data import BASE, LONG, PASSAGE, ROWS, components, counted_shingles, frame, jaccard, near_copies, prose, removed
 from tests.llm.data import simhash as plain_simhash
 
 
@@ -162,7 +162,7 @@ def test_near_copies(spark, docs, none):
     for heavy in (simhash.HEAVY, 1):
         found = simhash.near_copies(frame(spark, rows), heavy=heavy).collect()
         assert len(found) == len(rows) and all(r.component_id == expected[r.doc_id] for r in found)
-    assert np.mean([expected[1000 + 10 * k + j] == 1000 + 10 * k for k in range(6) for j in range(1, 6)]) >= 0.9  # two words of 200 each: a similarity of 0.8
+    assert np.mean([expected[1000 + 10 * k + j] == 1000 + 10 * k for k in range(6) for j in range(1, 6)]) >= 0.9  # two words of 200 each
     assert simhash.near_copies(none).count() == 0
     kept = simhash.deduplicate(frame(spark, rows))
     assert kept.columns == docs.columns
@@ -170,6 +170,54 @@ def test_near_copies(spark, docs, none):
     assert {r.text for r in simhash.deduplicate(docs).collect() if r.doc_id is None} == {BASE, "alone"}
 
 
+def test_near_copies_of_all_similarities(spark):
+    """Copies of texts with 1 to 40 of their words changed, so similarities of 0.3 to 0.97: nothing under 0.8 is linked, and nine in ten of the rest are."""
+    rng = np.random.RandomState(12)
+    rows = []
+    for k in range(30):
+        words = [f"{w}{rng.randint(60)}" for w in prose(150 + 10 * k, 400 + k).split()]
+        rows.append((100 * k, " ".join(words)))
+        for j, share in enumerate((0.005, 0.01, 0.02, 0.03, 0.04, 0.06, 0.1)):
+            changed = list(words)
+            for at in rng.choice(len(words), max(1, int(share * len(words))), replace=False):
+                changed[at] = f"other{at}"
+            rows.append((100 * k + j + 1, " ".join(changed)))
+    expected, counted = near_copies(rows), {i: counted_shingles(t) for i, t in rows}
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
+    groups = {}
+    for i, c in found.items():
+        groups.setdefault(c, []).append(i)
+    assert all(any(jaccard(counted[i], counted[j]) >= 0.8 for j in own if j != i) for own in groups.values() if len(own) > 1 for i in own)
+    assert all(expected[i] == expected[c] for i, c in found.items())
+    dropped, redundant = {i for i, c in found.items() if i != c}, {i for i, c in expected.items() if i != c}
+    assert dropped <= redundant and len(dropped) >= 0.9 * len(redundant) and len(redundant) >= 80
+    assert len(rows) - len(redundant) > 60  # and many stay
+
+
+def test_repeated_shingles_count(spark):
+    """Texts with the same set of shingles but other numbers of them are no copies; texts with the same numbers in another order are."""
+    once, often = "la la la la la", " ".join(["la"] * 60)
+    a, b = prose(60, 31), prose(60, 32)
+    rows = [(1, once), (2, often), (3, "x"), (4, "x x"), (5, f"{a} {b}"), (6, f"{b} {a}"), (7, " ".join(["la"] * 58))]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert found == near_copies(rows) and found[1] != found[2] and found[6] == 5 and found[7] == 2
+
+
+def test_forest():
+    rng = np.random.RandomState(2)
+    for n, m in ((1, 0), (5, 3), (60, 300), (300, 200)):
+        a, b, d = rng.randint(0, n, m), rng.randint(0, n, m), rng.randint(0, 4, m)
+        kept = simhash.forest(a, b, d, n)
+        label, whole = simhash.joined(np.arange(n), a[kept], b[kept]), simhash.joined(np.arange(n), a, b)
+        assert np.array_equal(label, whole) and len(kept) == n - len(set(whole.tolist()))
+        order, least, seen = sorted(range(m), key=lambda k: d[k]), 0, np.arange(n)
+        for k in order:  # the sum of the shortest forest, pair by pair
+            if seen[a[k]] != seen[b[k]]:
+                seen = simhash.joined(seen, a[k : k + 1], b[k : k + 1])
+                least += d[k]
+        assert d[kept].sum() == least
+
+
 @pytest.mark.parametrize("radius", [2, 4])
 def test_covering_masks(spark, radius):
     rng = np.random.RandomState(radius)
