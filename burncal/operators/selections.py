@@ -32,7 +32,7 @@ def extreme_points(detections: DataFrame, k: int = 24) -> DataFrame:
 
 def seeded_sample(rows: DataFrame, n: int, seed: int = 42, key: str = "pt_seq") -> DataFrame:
     """n rows without replacement, the same for the same seed."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(n)
 
 
 def split_by_last_day(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,12 +42,14 @@ def split_by_last_day(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("day < last").drop("last"), marked.filter("day = last").drop("last")
 
 
-def busy_tiles(detections: DataFrame, zoom: int = 7, least: int = 25, k: int = 5, day_only: bool = True) -> DataFrame:
-    """Per day the k tiles with the most daytime detections, of those with enough."""
+def busy_tiles(detections: DataFrame, zoom: int = 7, least: int = 25, k: int = 5, day_only: bool = True, seen: DataFrame | None = None, clear: float = 0.05) -> DataFrame:
+    """Per day the k tiles with the most daytime detections, of those with enough; with `seen` (day, x, y, visibility) only of those that are clear enough."""
     from burncal.functions.scalars import tile_x, tile_y
 
     rows = detections.filter(~F.col("night")) if day_only else detections
     tiles = rows.groupBy("day", tile_x("lon", zoom).alias("x"), tile_y("lat", zoom).alias("y")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    if seen is not None:
+        tiles = tiles.join(seen.filter(F.col("visibility") >= clear).select("day", "x", "y"), ["day", "x", "y"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("n"), "x", "y"))
     return tiles.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -58,6 +60,13 @@ def area_of_corners(lon1: float, lat1: float, lon2: float, lat2: float, least: f
     return (round(w, 2), round(s, 2), round(e, 2), round(n, 2)) if e - w > least and n - s > least else None
 
 
+def drawn_area(lon1, lat1, lon2, lat2, least: float = 0.5) -> Column:
+    """`area_of_corners` for columns: west, south, east, north, or null."""
+    lons, lats = (F.least(lon1, lon2), F.greatest(lon1, lon2)), (F.least(lat1, lat2), F.greatest(lat1, lat2))
+    box = F.struct(rounded(lons[0], 2).alias("west"), rounded(lats[0], 2).alias("south"), rounded(lons[1], 2).alias("east"), rounded(lats[1], 2).alias("north"))
+    return F.when((lons[1] - lons[0] > least) & (lats[1] - lats[0] > least), box)
+
+
 def area_of_place(places: DataFrame, widest: float = 25.0) -> DataFrame:
     """The place's own box (south, north, west, east as geocoders give it) if it is not too wide, else a box around its centre."""
     own = (F.col("east") - F.col("west") < widest) & (F.col("north") - F.col("south") < widest)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burncal.plans import clusters, detections, feeds, learning, selections, series, streams
+from burncal.plans import clusters, detections, feeds, learning, rules, selections, series, streams
 
-MODULES = (detections, series, clusters, selections, learning, streams, feeds)
+MODULES = (detections, series, clusters, selections, learning, streams, feeds, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
