@@ -7,6 +7,7 @@ import heapq
 import io
 import itertools
 import math
+import random
 import re
 import struct
 import wave
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from burncal.llm import common, decontaminate, licenses, media, packing, pieces, quality, queries, secrets, simhash, suffixes, toxicity
+from burncal.llm import common, decontaminate, licenses, made, media, packing, pieces, quality, queries, secrets, simhash, suffixes, toxicity
 from burncal.operators.components import connected_components
 from tests.conftest import SF
 from tests.llm.data import BASE, LONG, PASSAGE, ROWS, components, counted_shingles, frame, jaccard, near_copies, prose, removed
@@ -519,6 +520,28 @@ def test_network_decides(spark):
     assert [r.secrets for r in sorted(changed, key=lambda r: r.doc_id) if r.doc_id >= 1000] != [found[i] for i, _ in hidden]
 
 
+def test_formats_that_no_rule_reads(spark):
+    """Tokens of the generator's formats, made anew, and of the one that is never learnt from, in prose without any keyword; and what only looks like them."""
+    rows, _ = planted()
+    scorer = secrets.train(secrets.find_candidates(frame(spark, rows)))
+    assert scorer.nets[0].thresholds == scorer.nets[1].thresholds  # a probability means the same in both
+
+    def share(form, n=60):
+        rng, asked = random.Random(77), []
+        for k in range(n):
+            token = form(rng)
+            text = f"{prose(3, k)} {token} {prose(3, -k)}"
+            asked.append([(kind, secrets.fold_of(text[s:e]), secrets.views(kind, text, s, e)) for kind, s, e in secrets.candidates(text) if token in text[s:e]])
+        judged = iter(scorer.judge([c for own in asked for c in own]))
+        return np.mean([any([next(judged)[1] for _ in own]) for own in asked])
+
+    assert made.HELD_OUT not in {kind for kind, _ in made.made(500)} and made.HELD_OUT in {kind for kind, _ in made.made(500, held_out=True)}
+    found = {kind: share(form) for kind, form in made.SECRETS.items()}
+    assert min(v for k, v in found.items() if k != "lower_hex") >= 0.9 and np.mean(list(found.values())) >= 0.9, found  # lower_hex is the rules'
+    false = {kind: share(form) for kind, form in made.OTHERS.items()}
+    assert false["uuid"] <= 0.05 and np.mean(list(false.values())) <= 0.05, false
+
+
 def test_candidates():
     text = 'a "short" token=\'abcdefghij.klmnop\' and x@y.example.com, "pass word" "p!ss@w0rd!" éééééééééééé 0123456789abcdef01'
     own = [(k, text[s:e]) for k, s, e in secrets.candidates(text)]
@@ -682,6 +705,7 @@ def test_samples_of_copies(spark, monkeypatch):
     assert {r.copies for r in common.sampled_copies(spark.createDataFrame(rows, "w string"), 4500).collect()} == {1, 1500}
     fitted, net = [], secrets.CharNet
     monkeypatch.setattr(secrets, "MAX_FINDINGS", 90)
+    monkeypatch.setattr(secrets, "MADE", 0)  # the rows of the table alone
     monkeypatch.setattr(secrets, "encode", lambda w: np.array(w, object))
     monkeypatch.setattr(net, "fit", lambda self, x, y, epochs: (fitted.append((x, y)) if epochs == 3 else None, self)[1])
     monkeypatch.setattr(net, "calibrate", lambda self, x, y, kinds: (fitted.append((x, y)), self)[1])
