@@ -23,6 +23,7 @@ import pytest
 from burncal.llm import common, decontaminate, licenses, made, media, packing, pieces, quality, queries, secrets, simhash, suffixes, toxicity
 from burncal.operators.components import connected_components
 from tests.conftest import SF
+from tests.oracle import compare
 from tests.llm.data import BASE, LONG, PASSAGE, ROWS, components, counted_shingles, frame, jaccard, near_copies, prose, removed
 from tests.llm.data import simhash as plain_simhash
 
@@ -907,6 +908,9 @@ CONTRACTS = {
     "op8_nbest_pieces": "doc_id bigint, round_trip boolean",
     "op9_fourier_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_minhash_licenses": "doc_id bigint, license string",
+    "op11_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op12_apportioned_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op13_sort_means": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
 
 
@@ -916,12 +920,19 @@ def test_registered(spark, name):
     found = queries.QUERIES[name](spark, SF)
     rows = found.collect()
     assert {tuple(c.split()) for c in CONTRACTS[name].split(", ")} <= set(found.dtypes) and rows
-    if name not in ("op7_benchmark_windows", "op10_minhash_licenses"):
+    if name.startswith("op13"):
+        assert sorted(r.vec_id for r in rows) == sorted(r.vec_id for r in common.table(spark, SF, "embeddings").select("vec_id").collect())
+    elif name not in ("op7_benchmark_windows", "op10_minhash_licenses"):
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in common.documents(spark, SF).select("doc_id").collect())
     if "held_out" in found.columns:
         bound = 0.5 if name.startswith("op2") else 0.3
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= bound) for r in rows)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, name):
+    assert compare(spark, queries.QUERIES[name], queries.ORACLES[name], SF) > 0
+
+
 def test_base_of_fixture():
     assert len(BASE) > 300 and len(LONG) > 40_000
