@@ -40,8 +40,8 @@ PROTOTYPES = [
 
 #: Logistic model of an extreme month; the last eight features are the regions but the first.
 EVENT_MODEL = {
-    "mean": [42229.92929292929, 40699.01545760637, 35941.82920110193, 671293.5330578513, 0.5760390542844969, 0.16556542528182683, -0.002066115702479348, 0.007710848775968706, *[0.1111111111111111] * 8],
-    "scale": [132936.0158394028, 105110.72491568887, 107193.09648412162, 2145612.010567919, 0.38710845166908614, 0.21933221908134193, 0.7049089002219966, 0.7092529283442355, *[0.31426968052735443] * 8],
+    "mean": [42229.92929292929, 40699.01545760637, 35941.82920110193, 671293.5330578513, 0.5760390542844969, 0.16556542528182683, -0.002066115702479348, 0.007710848775968706, 0.1111111111111111, 0.1111111111111111, 0.1111111111111111, 0.1111111111111111, 0.1111111111111111, 0.1111111111111111, 0.1111111111111111, 0.1111111111111111],
+    "scale": [132936.0158394028, 105110.72491568887, 107193.09648412162, 2145612.010567919, 0.38710845166908614, 0.21933221908134193, 0.7049089002219966, 0.7092529283442355, 0.31426968052735443, 0.31426968052735443, 0.31426968052735443, 0.31426968052735443, 0.31426968052735443, 0.31426968052735443, 0.31426968052735443, 0.31426968052735443],
     "coef": [-0.7324180049797496, 0.3724348731661979, -0.2911352439364084, -0.6234063435864307, 2.143183169373479, 0.1381254518714179, 0.2852600893432781, -0.4795966120634166, -0.2534597179519355, -0.2449882757772252, 0.10232181262163641, 0.18852452545038773, -0.0675440901389126, -0.15698099528352943, -0.2463787347305155, 0.05528453738081439],
     "intercept": -1.485276703671741,
 }

@@ -1,6 +1,6 @@
 """Density clustering of detections, scene by scene, and measures of the clusters.
 
-Numbers of neighbours come from a pyramid of cell counts (`pyramid`), labels from cells whose points are all neighbours: over cells on Spark (`dbscan`), or
+Numbers of neighbours come from a pyramid of cell counts on Spark (`pyramid`) or a tree in memory, labels from cells whose points are all neighbours: on Spark (`dbscan`), or
 scene by scene in memory (`scenes`). Points are core if enough neighbours lie within eps; core points that are neighbours form components; a
 border point joins the adjacent component whose first core point comes first; clusters are numbered in that order. This is the
 labelling that a sequential scan in the order of pt_seq gives.
@@ -21,22 +21,45 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from burncal.functions.scalars import KM_LAT, KM_LON, cluster_class, complex_class, confidence, confidence_training, exact_sum, haversine_km, rounded, weak_label
 from burncal.operators.components import connected_components
 from burncal.operators.pyramid import radius_counts
-from burncal.operators.scenes import label_scene
+from burncal.operators.scenes import count_scene, label_scene
 from burncal.session import cut
 
 SCENE_POINTS = 50_000  # of a scene that one task labels
+COUNTED_POINTS = 20_000  # of a scene whose neighbours one task counts
 SUB_CELLS = 8
 
 
-def neighbor_counts(points: DataFrame, eps: float, scene=("day",), dims=("lon", "lat")) -> DataFrame:
+def counts_within(points: DataFrame, radii, scene=("day",), dims=("lon", "lat"), most: int = COUNTED_POINTS) -> DataFrame:
+    """pt_seq and n_0, n_1, ...: points of the scene within each radius, the point itself counted. Scenes of up to `most` points are counted one task
+    each, larger ones over a pyramid of cells; points without a place have none."""
+    names = [f"n_{k}" for k in range(len(radii))]
+    placed = points.select("pt_seq", *scene, *dims).na.drop(subset=[*scene, *dims])
+    over = placed.groupBy(*scene).count().filter(F.col("count") > most).drop("count")
+
+    def one(rows: pa.Table) -> pa.Table:
+        found = count_scene(np.stack([rows.column(d).to_numpy() for d in dims], 1), radii)
+        return pa.table({"pt_seq": rows.column("pt_seq")} | {n: found[:, k] for k, n in enumerate(names)})
+
+    def small(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*scene).applyInArrow(one, "pt_seq long, " + ", ".join(f"{n} long" for n in names))
+
+    if over.head(1):
+        over = cut(over)
+        large = radius_counts(placed.join(over, list(scene), "left_semi"), radii, scene, dims)
+        found = small(placed.join(over, list(scene), "left_anti")).unionByName(large)
+    else:
+        found = small(placed)
+    return points.select("pt_seq").join(found, "pt_seq", "left").select("pt_seq", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names))
+
+
+def neighbor_counts(points: DataFrame, eps: float, scene=("day",), dims=("lon", "lat"), most: int = COUNTED_POINTS) -> DataFrame:
     """pt_seq and number of other points within eps, 0 too."""
-    counts = radius_counts(points, [eps], scene, dims)
-    return counts.select("pt_seq", F.greatest(F.col("n_0") - 1, F.lit(0)).alias("n"))
+    return counts_within(points, [eps], scene, dims, most).select("pt_seq", F.greatest(F.col("n_0") - 1, F.lit(0)).alias("n"))
 
 
-def density_features(points: DataFrame, radii=(0.05, 0.25, 1.0), scene=("day",)) -> DataFrame:
+def density_features(points: DataFrame, radii=(0.05, 0.25, 1.0), scene=("day",), most: int = COUNTED_POINTS) -> DataFrame:
     """Points within each radius, the point itself counted."""
-    return radius_counts(points, radii, scene).withColumnsRenamed({f"n_{k}": f"dens_{k}" for k in range(len(radii))})
+    return counts_within(points, radii, scene, most=most).withColumnsRenamed({f"n_{k}": f"dens_{k}" for k in range(len(radii))})
 
 
 def _in_cells(points: DataFrame, side: float, scene, dims) -> DataFrame:

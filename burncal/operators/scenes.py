@@ -201,3 +201,73 @@ def label_scene(x: np.ndarray, eps: float, min_pts: int) -> tuple[np.ndarray, np
     out = np.zeros(n, np.int64)
     out[component < n] = label + 1
     return np.where(component == n, -1, component), out
+
+
+class _Tree:
+    """Places halved along their wider sides, again and again: nodes are runs of an order, with boxes."""
+
+    LEAF = 8
+
+    def __init__(self, x: np.ndarray):
+        self.order = np.arange(len(x))
+        first, last, left, right, stack = [0], [len(x)], [-1], [-1], [0]
+        while stack:
+            node = stack.pop()
+            own = self.order[first[node] : last[node]]
+            if len(own) <= self.LEAF:
+                continue
+            axis, middle = int(np.ptp(x[own], axis=0).argmax()), len(own) // 2
+            self.order[first[node] : last[node]] = own[np.argpartition(x[own, axis], middle)]
+            for bounds, child in (((first[node], first[node] + middle), left), ((first[node] + middle, last[node]), right)):
+                child[node] = len(first)
+                first.append(bounds[0])
+                last.append(bounds[1])
+                left.append(-1)
+                right.append(-1)
+                stack.append(child[node])
+        self.first, self.last, self.left, self.right = map(np.array, (first, last, left, right))
+        ordered = x[self.order]
+        self.low = np.array([ordered[a:b].min(0) for a, b in zip(first, last)])
+        self.high = np.array([ordered[a:b].max(0) for a, b in zip(first, last)])
+
+
+def count_scene(x: np.ndarray, radii) -> np.ndarray:
+    """For each point how many points of the scene (it counts too) lie within each radius: [points, radii]. Pairs of nodes of a tree are judged by their boxes; where
+    these don't decide, the larger one is halved, and places are compared only between leaves. Points at one place are one place with a number."""
+    if not len(x):
+        return np.zeros((0, len(radii)), np.int64)
+    places, of, weight = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    tree, out = _Tree(places), []
+    ordered, held = places[tree.order], weight[tree.order]
+    total = np.append(0, np.cumsum(held))
+    inside = total[tree.last] - total[tree.first]
+    size = tree.last - tree.first
+    for r in radii:
+        a = b = np.zeros(1, np.int64)
+        given, found = np.zeros(len(places) + 1, np.int64), np.zeros(len(places), np.int64)
+        while len(a):
+            sure = box_span(tree.low[a], tree.high[a], tree.low[b], tree.high[b]) <= r * r * (1 - SLACK)
+            for p, q in ((a[sure], b[sure]), (b[sure & (a != b)], a[sure & (a != b)])):
+                np.add.at(given, tree.first[p], inside[q])
+                np.add.at(given, tree.last[p], -inside[q])
+            rim = ~sure & (box_gap(tree.low[a], tree.high[a], tree.low[b], tree.high[b]) <= r * r * (1 + SLACK))
+            a, b = a[rim], b[rim]
+            leaves = (tree.left[a] < 0) & (tree.left[b] < 0)
+            p, q = a[leaves], b[leaves]
+            for pair, i, j in products(size[p], size[q]):
+                i, j = tree.first[p[pair]] + i, tree.first[q[pair]] + j
+                close = squared(ordered[i] - ordered[j]) <= r * r
+                np.add.at(found, i[close], held[j[close]])
+                other = close & (p[pair] != q[pair])
+                np.add.at(found, j[other], held[i[other]])
+            a, b = a[~leaves], b[~leaves]
+            same = a == b
+            wide = (size[a] >= size[b]) & (tree.left[a] >= 0) | (tree.left[b] < 0)
+            one, two, own = ~same & wide, ~same & ~wide, a[same]
+            parts = [(tree.left[a[one]], b[one]), (tree.right[a[one]], b[one]), (a[two], tree.left[b[two]]), (a[two], tree.right[b[two]])]
+            parts += [(tree.left[own], tree.left[own]), (tree.left[own], tree.right[own]), (tree.right[own], tree.right[own])]
+            a, b = (np.concatenate(c) for c in zip(*parts))
+        counts = np.empty(len(places), np.int64)
+        counts[tree.order] = found + np.cumsum(given)[:-1]
+        out.append(counts[of.ravel()])
+    return np.stack(out, 1)

@@ -105,6 +105,35 @@ def test_radius_counts(spark, tested):
     assert found == counted(rows, radii)
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 90), st.integers(1, 3), st.booleans())
+def test_counts_of_a_scene(seed, n, d, coarse):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-5, 6, (n, d)) / 4 if coarse else rng.normal(size=(n, d))
+    radii = [0.25, 0.3, 1.0]
+    expected = [[int((scenes.squared(x - p) <= r * r).sum()) for r in radii] for p in x]
+    assert scenes.count_scene(x, radii).tolist() == expected
+
+
+@pytest.mark.parametrize("kind", ["ball", "place", "wide", "rim"])
+def test_counts_of_many_points(kind):
+    """Twenty thousand points, in one place, in a ball, spread, and in two balls a radius apart."""
+    rng = np.random.default_rng(0)
+    ball = rng.normal(size=(20_000, 2)) * 0.1
+    x = {"ball": ball, "place": np.zeros((20_000, 2)), "wide": rng.uniform(0, 30, (20_000, 2)), "rim": ball + np.array([1.0, 0]) * (np.arange(20_000) % 2)[:, None]}[kind]
+    began = time.perf_counter()
+    found = scenes.count_scene(x, [0.05, 0.25, 1.0])
+    assert time.perf_counter() - began < 8
+    for i in range(0, 20_000, 2500):
+        assert found[i].tolist() == [int((scenes.squared(x - x[i]) <= r * r).sum()) for r in (0.05, 0.25, 1.0)]
+
+
+def test_small_and_large_scenes_count_alike(spark):
+    points = detections(spark, SF)
+    found = {most: sorted(map(tuple, cluster.density_features(points, most=most).collect())) for most in (20_000, 35, 0)}
+    assert found[20_000] == found[35] == found[0] and len(found[0]) == 1000
+
+
 def test_radius_counts_of_odd_rows(spark):
     frame = spark.createDataFrame([(1, DAY, None, 1.0), (2, DAY, 1.0, 1.0), (3, None, 1.0, 1.0)], "pt_seq long, day date, lon double, lat double")
     assert {r.pt_seq: r.n for r in cluster.neighbor_counts(frame, 0.5).collect()} == {1: 0, 2: 0, 3: 0}
