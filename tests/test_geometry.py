@@ -162,3 +162,36 @@ def test_fewer_pairs_than_all_of_touching_cells(spark):
         cells[r.day, int(r.lon // 1), int(r.lat // 1)] = cells.get((r.day, int(r.lon // 1), int(r.lat // 1)), 0) + 1
     whole = sum(n * cells.get((day, i + a, j + b), 0) for (day, i, j), n in cells.items() for a in (-1, 0, 1) for b in (-1, 0, 1))
     assert work.compared < 0.25 * whole  # the share falls as scenes get denser: 0.06 of those of ten times the points
+
+
+def scattered(n, d, seed, coarse):
+    """Places in lumps with some between, many of them more than once."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(rng.uniform(-3, 3, d), 0.4, (n // 8, d)) for _ in range(4)] + [rng.uniform(-4, 4, (n // 2, d))])
+    return np.round(x * 4) / 4 if coarse else np.concatenate([x, x[: n // 4]])
+
+
+@pytest.mark.parametrize("d, coarse, min_pts", [(1, False, 4), (2, False, 4), (2, True, 6), (3, False, 3), (3, True, 8)])
+def test_tiles_of_large_scenes(spark, d, coarse, min_pts):
+    """Tiles give the labels and the counts of whole scenes, also where clusters cross many tiles and border places lie between components; scenes with a tile that is
+    too full for a task are labelled and counted on Spark, with the same rows."""
+    dims, eps = ("x", "y", "z")[:d], {1: 0.01, 2: 0.25, 3: 0.5}[d]
+    rows = [(k * 1000 + i, k, *map(float, p)) for k in (1, 2) for i, p in enumerate(scattered(400, d, k, coarse))]
+    frame = spark.createDataFrame(rows, "pt_seq long, s int, " + ", ".join(f"{c} double" for c in dims))
+    whole = sorted((r.pt_seq, r.component, r.label) for r in cluster.dbscan_scenes(frame, eps, min_pts, ("s",), dims).collect())
+    assert max(r[2] or 0 for r in whole) > 2
+    for most in (10**6, 20):
+        assert sorted((r.pt_seq, r.component, r.label) for r in cluster.dbscan_tiles(frame, eps, min_pts, ("s",), dims, most, (8,)).collect()) == whole
+        radii = [eps / 2, eps]
+        counts = sorted((r.pt_seq, r.n_0, r.n_1) for r in cluster.counted_tiles(frame, radii, ("s",), dims, most, (2,)).collect())
+        x = {k: np.array([r[2:] for r in rows if r[1] == k]) for k in (1, 2)}
+        plain = {k: [(scenes.squared(x[k][:, None] - x[k][None]) <= q * q).sum(1) for q in radii] for k in (1, 2)}
+        assert counts == [(r[0], int(plain[r[1]][0][r[0] % 1000]), int(plain[r[1]][1][r[0] % 1000])) for r in sorted(rows)]
+
+
+def test_tile_work_of_labels(spark, monkeypatch):
+    """A scene over the limit is labelled by tiles, each place in a few of them, and not over pairs of points on Spark."""
+    monkeypatch.setattr(cluster, "dbscan", None)
+    points = detections(spark, SF).withColumn("day", cluster.F.lit(DAY))
+    found = {most: sorted((r.pt_seq, r.component, r.label) for r in cluster.labelled(points, 0.62, 3, most=most).collect()) for most in (10, 10**6)}
+    assert found[10] == found[10**6]
