@@ -113,3 +113,21 @@ def test_stats_of_areas(spark):
         overlap = sum(r.actual for r in own)
         assert (found[area].predicted, found[area].active, found[area].overlap) == (len(own), active, overlap)
         assert abs(found[area].iou - overlap / (len(own) + active - overlap)) < 1e-12
+
+
+def test_forecasts_of_large_counts(spark):
+    """Counts in the millions: the forecast is that of the SQL's plain least squares, to the last detection."""
+    import duckdb
+    import numpy as np
+    import pandas as pd
+
+    from burncal.operators import series
+    from burncal.plans import series as plans
+
+    rng, months = np.random.default_rng(3), pd.period_range("2004-01", periods=120, freq="M").strftime("%Y-%m")
+    rows = [(f"r{k}", m, int(10 ** (5 + k) * np.exp(0.01 * i + np.sin(i / 2) + rng.normal() * 0.3))) for k in range(4) for i, m in enumerate(months)]
+    found = sorted(map(tuple, series.harmonic_forecast(spark.createDataFrame(rows, "region string, ym string, count long")).select("region", "ym", "mean", "lo", "hi", "sigma", "r2").collect()))
+    uni = pd.DataFrame(rows, columns=["region", "ym", "count"])  # noqa: F841
+    parts, select = plans._regression(), plans.ORACLES["harmonic_forecast"]
+    sql = "with " + ", ".join(f"{name} as ({text})" for name, text in parts.items()) + select[select.rindex(" select region, ym, ") :]
+    assert found == sorted((a, b, *map(float, rest)) for a, b, *rest in duckdb.sql(sql).fetchall())
