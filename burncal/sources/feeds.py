@@ -7,6 +7,7 @@ store these reach from the workers; `register` makes the names known to a sessio
 
 from __future__ import annotations
 
+import codecs
 import csv
 import datetime as dt
 import io
@@ -23,6 +24,7 @@ from pyspark.sql.types import StructType
 
 RANGE = 64 << 20
 ROWS = 4096
+STEP = 1 << 16  # bytes of a document that is read piece by piece
 
 #: What a pushed filter asks of a value; nulls pass only where it says so.
 ASKS: dict[type, Callable] = {
@@ -108,9 +110,75 @@ def outlook(document: dict) -> Iterator[tuple]:
         yield document.get("region"), "forecast", f.get("ym"), number(f.get("mean")), number(f.get("lo")), number(f.get("hi"))
 
 
+def members(file, key: str, step: int = STEP) -> Iterator[dict]:
+    """The elements of the list that a JSON document has under a key of its top level, one after the other: only the element at hand and `step` bytes of the file are held.
+    A document that is no object, or has anything else there, has none. Of a key that comes more than once all lists count."""
+    decoder, scan, text, at, ended = codecs.getincrementaldecoder("utf-8-sig")(), json.JSONDecoder().raw_decode, "", 0, False
+
+    def more() -> bool:
+        nonlocal text, at, ended
+        if ended:
+            return False
+        data = file.read(max(step, len(text) - at))  # twice as much each time that a value does not end
+        ended = not data
+        text, at = text[at:] + decoder.decode(data, ended), 0
+        return True
+
+    def peek() -> str:
+        """The next character that is no white space, not taken."""
+        nonlocal at
+        while True:
+            while at < len(text) and text[at] in " \t\r\n":
+                at += 1
+            if at < len(text):
+                return text[at]
+            if not more():
+                return ""
+
+    def value():
+        nonlocal at
+        peek()
+        while True:
+            try:
+                found, end = scan(text, at)
+                if end < len(text) or not more():  # a number may go on
+                    at = end
+                    return found
+            except json.JSONDecodeError:
+                if not more():
+                    raise
+
+    def sign(expected: str) -> str:
+        nonlocal at
+        if not (found := peek()) or found not in expected:
+            raise json.JSONDecodeError(f"Expecting one of {expected}", text, at)
+        at += 1
+        return found
+
+    if peek() != "{":
+        value()
+    else:
+        sign("{")
+        going = peek() != "}" or sign("}") != "}"
+        while going:
+            name = value()
+            sign(":")
+            if name == key and peek() == "[":
+                sign("[")
+                inside = peek() != "]" or sign("]") != "]"
+                while inside:
+                    yield value()
+                    inside = sign(",]") == ","
+            else:
+                value()
+            going = sign(",}") == ","
+    if peek():
+        raise json.JSONDecodeError("Extra data", text, at)
+
+
 def events(document: dict) -> Iterator[tuple]:
     """The place is that of the last geometry: a point, or the first vertex of a ring."""
-    for e in document.get("events") or []:
+    for e in document.get("events") or ():
         last = (e.get("geometry") or [{}])[-1]
         place = last.get("coordinates") or [None, None]
         while isinstance(place[0], list):
@@ -214,9 +282,16 @@ class Outlook(Feed):
 
 
 class Events(Feed):
+    """Documents of any length: events are read one at a time."""
+
     kind, parse = "events", staticmethod(events)
     ddl = "event_id string, title string, link string, sources array<string>, date string, lon double, lat double"
 
+    def rows(self, part: Part) -> Iterator[tuple]:
+        store, _ = opened(self.options["path"])
+        with store.open_input_stream(part.path) as file:
+            yield from self.parse({"events": members(file, "events")})
+
 
 class Weather(Feed):
     kind, parse = "weather", staticmethod(weather)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,27 @@ def test_stream_and_restart(spark, tmp_path):
     add(3)
     run()
     assert [b for b in seen if b] == [[1.0, 1.0], [2.0, 2.0], [3.0, 3.0]]
+
+
+@pytest.mark.parametrize("step", [1, 2, 7, 1 << 16])
+def test_events_one_at_a_time(step):
+    """Elements as json gives them, wherever the pieces end; what is broken fails; a long document is never held whole."""
+    document = {"title": 'x "events": [1]', "n": -12.5e3, "deep": {"events": [1, 2]}, "events": [{"id": "é{[", "k": [1, {"a": "]"}]}, {}, 12, None, "€"], "last": [True]}
+    for text in (json.dumps(document), json.dumps(document, indent=2, ensure_ascii=False)):
+        assert list(feeds.members(io.BytesIO(text.encode()), "events", step)) == document["events"]
+    for text in ('{"events":[]}', "{}", '{"events":null}', "[1]", "12"):
+        assert list(feeds.members(io.BytesIO(text.encode()), "events", step)) == []
+    for text in ('{"events":[{}', '{"events":[{} {}]}', '{"events":[]} x', "", '{"a" 1}'):
+        with pytest.raises(json.JSONDecodeError):
+            list(feeds.members(io.BytesIO(text.encode()), "events", step))
+
+
+def test_memory_of_long_documents(tmp_path):
+    one = '{"id":"E","title":"fire","link":"l","sources":[{"id":"s"}],"geometry":[{"date":"d","coordinates":[1,2]}]}'
+    (tmp_path / "a.json").write_text('{"events":[' + ",".join([one] * 50_000) + "]}")
+    feed = feeds.Events({"path": str(tmp_path)})
+    tracemalloc.start()
+    assert sum(1 for part in feed.parts(feeds.files_of(str(tmp_path))) for _ in feed.rows(part)) == 50_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20
