@@ -235,11 +235,12 @@ def near_edges(nodes: DataFrame, radius: int = 4, heavy: int = HEAVY, prints: tu
 
     keyed = nodes.select("node", tables(prints, 0, "t", "k").alias("s")).select("s.t", "s.k", "s.fp", "node")
     met = cut(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "k"))).filter("n > 1").select("t", "k", "fp", "node", (F.col("n") > heavy).alias("is_heavy")))
-    light = met.filter("not is_heavy").select("t", "k", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp", "node")
-    second = met.filter("is_heavy").select("t", "k", "node", tables(("fp",), 1, "t2", "k2").alias("s"))
-    split = light.unionByName(second.select("t", "k", "s.t2", "s.k2", "s.fp", "node"))
-    if sketch:
-        split = split.join(nodes.select("node", *sketch), "node").select("t", "k", "t2", "k2", "fp", "node", *sketch)
+    if sketch:  # joined node by node, not once for every bucket that a node is in: a node has at most as many as there are tables
+        buckets = met.groupBy("node").agg(F.collect_list(F.struct("t", "k", "fp", "is_heavy")).alias("buckets"))
+        met = cut(nodes.select("node", *sketch).join(buckets, "node")).select("node", *sketch, F.inline("buckets"))
+    light = met.filter("not is_heavy").select("t", "k", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp", "node", *sketch)
+    second = met.filter("is_heavy").select("t", "k", "node", *sketch, tables(("fp",), 1, "t2", "k2").alias("s"))
+    split = light.unionByName(second.select("t", "k", "s.t2", "s.k2", "s.fp", "node", *sketch))
     key = ["t", "k", "t2", "k2"]
     return split.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(lambda batches: _link(batches, radius, len(key), most), "a long, b long")
 

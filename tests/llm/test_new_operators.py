@@ -258,3 +258,18 @@ def test_far_centroids_are_skipped():
     at = rng.integers(0, 8, 2000)
     _, _, tested = centroids.assign(c[at] + rng.integers(-100, 100, (2000, 64)), at, c)
     assert tested == 2000  # each vector lies so near its own centroid that no other is looked at
+
+
+def test_sketches_join_node_by_node(spark):
+    """A large group of near copies is in nearly every bucket of all tables; its sketches are joined once for each node, before buckets are split."""
+    from burncal.llm import simhash
+
+    rows = [(k, 1 << (k % 60), k) for k in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, s0 long")
+    found = simhash.near_edges(nodes, 4, 3, ("f0",), ("s0",), 64)
+    assert " Join " not in found._jdf.queryExecution().optimizedPlan().toString().replace("+-", " ")
+    root = list(range(60))
+    for a, b in found.collect():
+        low = min(root[a], root[b])
+        root = [low if r in (root[a], root[b]) else r for r in root]
+    assert set(root) == {0}
