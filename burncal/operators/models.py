@@ -20,6 +20,8 @@ from burncal.session import cut
 CLASSIFIER_FEATURES = ("log_frp", "conf", "night_n", "hour", "is_viirs", "dens_0", "dens_1", "dens_2", "frp_ratio")
 BALANCED = "weight"
 MAX_LABELLED = 20_000
+ALL = 1 << 62
+FOREST_PARTS = 8  # of the rows that a forest learns from; each sends the counts of all open nodes at every level
 
 
 def event_scores(calendar: DataFrame, least: int = 15, model: dict = EVENT_MODEL) -> DataFrame:
@@ -53,10 +55,16 @@ def train_logistic(df: DataFrame, features: list[str], label: str = "y", seed: i
     return Pipeline(stages=stages).fit(balanced(df, label))
 
 
-def train_classifier(df: DataFrame, label: str = "behavior", trees: int = 40, depth: int = 12, seed: int = 42, most: int = MAX_LABELLED):
-    """A forest over the features of a detection, from about `most` labelled rows, those with the smallest hashes of their ids."""
+def learnt_rows(df: DataFrame, most: int = MAX_LABELLED, seed: int = 42) -> DataFrame:
+    """About `most` rows, those with the smallest hashes of their ids; all rows if there are no more."""
     share = most / max(most, df.count())
-    df = df.filter(F.xxhash64("pt_seq", F.lit(seed)) / F.lit(float(1 << 64)) + 0.5 < share) if share < 1 else df
+    return df.filter(F.xxhash64("pt_seq", F.lit(seed)) / F.lit(float(1 << 64)) + 0.5 < share) if share < 1 else df
+
+
+def train_classifier(df: DataFrame, label: str = "behavior", trees: int = 40, depth: int = 12, seed: int = 42, most: int = MAX_LABELLED):
+    """A forest over the features of a detection, from about `most` labelled rows, those with the smallest hashes of their ids. Bags are drawn by part and
+    place in it, so rows are dealt by their ids: the forest depends on the rows alone, and what its levels shuffle not on the number of tasks before."""
+    df = learnt_rows(df, most, seed).repartition(FOREST_PARTS, "pt_seq").sortWithinPartitions("pt_seq")
     stages = [StringIndexer(inputCol=label, outputCol="y"), VectorAssembler(inputCols=list(CLASSIFIER_FEATURES), outputCol="features"), RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)]
     return Pipeline(stages=stages).fit(df)
 
@@ -68,11 +76,12 @@ def regimes(df: DataFrame, features: list[str], k: int = 6, seed: int = 42) -> D
 
 
 def classifier_features(points: DataFrame, densities: DataFrame, group: str = "day", hour_bug: bool = False) -> DataFrame:
-    """The nine features of each detection. The power ratio is to the group's upper median (1 for none); with hour_bug midnight counts as noon."""
+    """The nine features of each detection. The power ratio is to the group's upper median (1 for none); with hour_bug midnight counts as noon. Densities that
+    come with all columns of the points (`raster.with_box_counts`) need no join."""
     upper = F.expr("percentile_disc(0.5) within group (order by frp desc)")  # of an even number the upper one
     medians = points.groupBy(group).agg(upper.alias("median")).withColumn("median", F.when(F.col("median") != 0, F.col("median")).otherwise(1.0))
     hour = F.when(F.lit(hour_bug) & (F.col("acq_hour") == 0), 12).otherwise(F.col("acq_hour"))
-    joined = points.join(F.broadcast(medians), group).join(densities, "pt_seq")
+    joined = (densities if set(points.columns) <= set(densities.columns) else points.join(densities, "pt_seq")).join(F.broadcast(medians), group)
     return joined.select(
         "pt_seq", "day", F.log1p("frp").alias("log_frp"), F.coalesce(confidence("conf_raw"), F.lit(60)).alias("conf"), F.col("night").cast("int").alias("night_n"), hour.alias("hour"),
         F.col("sensor").startswith("VIIRS").cast("int").alias("is_viirs"), "dens_0", "dens_1", "dens_2", (F.col("frp") / F.col("median")).alias("frp_ratio"),

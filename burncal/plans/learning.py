@@ -66,7 +66,7 @@ def footprint_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes in each cluster by what the forest says of its members."""
     said = clusters.forest_scores(spark, sf_dir).select("pt_seq", "behavior")
-    return cluster.behavior_votes(clusters.labelled(spark, sf_dir).join(said, "pt_seq"))
+    return cluster.behavior_votes(clusters.labels_alone(spark, sf_dir).join(said, "pt_seq"))
 
 
 QUERIES = {

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 
-from burncal.operators import cluster, forest, logistic, models, regimes
+from burncal.operators import cluster, forest, logistic, models, raster, regimes
 from burncal.sources import fixtures
 from tests.conftest import SF
 
@@ -46,6 +46,23 @@ def test_sql_over_nodes(spark, fitted):
     assert sum(found[i] != (labels[c], p) for i, c, p in said) <= 2  # sums of votes in another order can tie or round otherwise
 
 
+def test_forests_depend_on_the_rows_alone(spark, fitted):
+    """Rows dealt otherwise, and chosen before or after, give the same nodes; what a level shuffles does not grow with the parts of the input."""
+    _, features = fitted
+    known = features.join(cluster.weak_labels(fixtures.detections(spark, SF), 0.3, 3), "pt_seq").cache()
+    nodes = lambda rows, most: sorted(map(str, forest.nodes_of(spark, models.train_classifier(rows, trees=3, depth=4, most=most).stages[2]).collect()))
+    one = nodes(known.repartition(3), 400)
+    assert one == nodes(known.repartition(31, "hour"), 400) == nodes(models.learnt_rows(known, 400), models.ALL)
+
+
+def test_box_counts_beside_the_points(spark):
+    rows = fixtures.detections(spark, SF)
+    beside = raster.with_box_counts(rows)
+    assert beside.columns[: len(rows.columns)] == rows.columns
+    one, two = (sorted(models.classifier_features(rows, d).collect()) for d in (raster.box_counts(rows), beside))
+    assert one == two and len(one) == rows.count()
+
+
 def test_odd_forests(spark):
     one = forest.Nodes(np.array([0]), np.array([-1]), np.zeros(1), np.zeros(1, int), np.zeros(1, int), np.array([[0.25, 0.75]]))
     frame = spark.createDataFrame([(1, None), (2, 3.0)], "pt_seq long, a double")
