@@ -73,7 +73,10 @@ def sampled_copies(df: DataFrame, n: int) -> DataFrame:
     """The distinct rows of a sample of about n rows, with `copies`: how often each is in the sample; all rows if there are no more. A row
     with c copies of total has c * n / total of them there, rounded up or down by its hash, so what is frequent stays, in proportion, and
     what is gathered is bounded however often rows repeat."""
-    share = min(1.0, n / max(1, df.count()))
-    chance = F.xxhash64(*df.columns) / F.lit(float(1 << 64)) + 0.5 if share < 1 else F.lit(0.0)
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return shared_copies(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies")), min(1.0, n / max(1, df.count())))
+
+
+def shared_copies(counted: DataFrame, share: float) -> DataFrame:
+    """The share of the copies of distinct rows with `copies`, for `sampled_copies`."""
+    chance = F.xxhash64(*(c for c in counted.columns if c != "copies")) / F.lit(float(1 << 64)) + 0.5 if share < 1 else F.lit(0.0)
     return counted.withColumn("copies", F.floor(F.col("copies") * share + chance)).filter("copies > 0")
