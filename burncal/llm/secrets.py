@@ -563,7 +563,7 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The same rows and columns with secrets in `text` replaced, and n_chars, if there, counted anew; null texts stay null. The networks
     are trained on the candidates of all rows; texts are scanned again where they are redacted, so that no text is shuffled."""
-    scorer = train(cut(find_candidates(docs)))
+    scorer = learn(cut(find_candidates(docs)))
     names = docs.columns
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
