@@ -445,7 +445,7 @@ def calibrate_sums(scored: DataFrame, beside: list[tuple[np.ndarray, np.ndarray]
             found[side] = w + np.linalg.solve(hessian, gradient)
             found[side][1] = max(found[side][1], 0.0)
             moved = max(moved, float(np.abs(found[side] - w).max()))
-        if moved < 1e-9:
+        if moved < 1e-7:  # the next step's would be of the order of its square
             break
     return found
 
@@ -487,7 +487,7 @@ def learn(found: DataFrame) -> Scorer | None:
     done = [_network(p) for p in nets]
     logits: Callable[[int, list], np.ndarray] = lambda side, forms: done[side].logits(encode([f[0] for f in forms])) if forms else np.zeros(0)
     held = [made_forms(extra, side, (3,)) for side in (0, 1)]
-    scored = cut(form_logits(weighed.filter("role = 3"), nets))
+    scored = cut(form_logits(weighed.filter("role = 3").coalesce(2 * parts + 6), nets))  # read in every step, so not by many small tasks
     for net, fit in zip(done, calibrate_sums(scored, [(logits(side, forms), np.array([f[1] for f in forms], float)) for side, forms in enumerate(held)])):
         net.calibration = fit
     p = np.concatenate([net.probabilities(encode([f[0] for f in forms])) if forms else np.zeros(0) for net, forms in zip(done, held)])
