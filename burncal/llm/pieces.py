@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ TABLE_BITS = 20
 LENGTHS = (5, 7, 9, 11, 13, 16, 20, 26, 34)  # chunks are padded to one of these; longer ones are segmented one by one
 CACHE = 300_000
 BLOCK = 8192
-TEXT = 8_000_000  # characters that a task gathers before it segments their new chunks
+TEXT = 1_000_000  # bytes that a task segments at once; words and pieces take some ten times as much in a worker, which keeps it
 
 
 @dataclass
@@ -359,21 +360,30 @@ def _smallest(values: np.ndarray, k: int) -> np.ndarray:
 
 
 def _gathered(df: DataFrame, per_batch, schema: str, column: str) -> DataFrame:
-    """mapInArrow over batches that are put together up to TEXT bytes, so that new chunks are segmented many at a time."""
+    """mapInArrow over turns of about TEXT bytes, so that new chunks are segmented many at a time and a worker stays small."""
     small_batches(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column(column).nbytes
-            if size >= TEXT:
-                yield per_batch(_joined(held))
+    return df.mapInArrow(lambda batches: map(per_batch, turns(batches, column, TEXT)), schema)
+
+
+def turns(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, put together or cut so that each batch has about `most` bytes of a column (8 more for each row); a longer text is not cut."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(lengths.astype(np.int64) + 8), 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = int(np.searchsorted(ends, before + most - size, "right"))
+            if stop > start or not held:  # else the next text goes to the next turn
+                stop = max(stop, start + 1)
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - before
+                start = stop
+            if start < batch.num_rows or size >= most:
+                yield _joined(held)
                 held, size = [], 0
-        if sum(b.num_rows for b in held):
-            yield per_batch(_joined(held))
-
-    return df.mapInArrow(run, schema)
+    if held:
+        yield _joined(held)
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

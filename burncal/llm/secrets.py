@@ -71,6 +71,7 @@ BATCH, RATE = 128, 1e-3  # of the rounds over all candidates
 CELLS = 1 << 32  # parameters are summed as whole numbers of this fraction, so that the order of tasks does not matter
 TELLING = 12  # characters; the last window of a long candidate is learnt from only if it has so many of them
 FOLDS = 10  # the first five for one network, the others for the other
+FORM = ("side", "kind", "y", "w", "size", "weight", "copies")  # what a form is judged from
 ALONE, FORMAT = "alone", "format"  # kinds of labelled secrets: the rules' without their context, and made ones
 
 
@@ -396,6 +397,16 @@ def learn_round(weighed: DataFrame, nets: list[dict[str, np.ndarray]], extra: li
 
 def form_logits(rows: DataFrame, nets: list[dict[str, np.ndarray]]) -> DataFrame:
     """side, kind, y, z, weight and copies of every form that is judged; z: the logit."""
+    return map_batches(rows.select(*FORM), _logits_of(rows, nets), "side int, kind string, y int, z double, weight double, copies long")
+
+
+def form_probabilities(rows: DataFrame, nets: list[dict[str, np.ndarray]], calibrations: list[np.ndarray]) -> DataFrame:
+    """kind, p and copies of every form that is judged. In one step: two in a row hold two Python workers for each task, and Spark keeps them all."""
+    logits = _logits_of(rows, nets)
+    return map_batches(rows.select(*FORM), lambda batch: _probabilities(logits(batch), calibrations), "kind string, p double, copies long")
+
+
+def _logits_of(rows: DataFrame, nets: list[dict[str, np.ndarray]]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     held = rows.sparkSession.sparkContext.broadcast(nets)
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -411,18 +422,18 @@ def form_logits(rows: DataFrame, nets: list[dict[str, np.ndarray]]) -> DataFrame
         kinds = (pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64())
         return pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["side", "kind", "y", "z", "weight", "copies"])
 
-    return map_batches(rows.select("side", "kind", "y", "w", "size", "weight", "copies"), per_batch, "side int, kind string, y int, z double, weight double, copies long")
+    return per_batch
 
 
 def with_probability(scored: DataFrame, calibrations: list[np.ndarray]) -> DataFrame:
     """kind, p, copies."""
+    return map_batches(scored.select("side", "kind", "z", "copies"), lambda batch: _probabilities(batch, calibrations), "kind string, p double, copies long")
 
-    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        both = np.stack(calibrations)[batch.column("side").to_numpy(zero_copy_only=False)]
-        p = 1 / (1 + np.exp(-np.clip(both[:, 0] + both[:, 1] * batch.column("z").to_numpy(zero_copy_only=False), -30, 30)))
-        return pa.record_batch([batch.column("kind"), pa.array(p), batch.column("copies")], ["kind", "p", "copies"])
 
-    return map_batches(scored.select("side", "kind", "z", "copies"), per_batch, "kind string, p double, copies long")
+def _probabilities(batch: pa.RecordBatch, calibrations: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.stack(calibrations)[batch.column("side").to_numpy(zero_copy_only=False)]
+    p = 1 / (1 + np.exp(-np.clip(both[:, 0] + both[:, 1] * batch.column("z").to_numpy(zero_copy_only=False), -30, 30)))
+    return pa.record_batch([batch.column("kind"), pa.array(p), batch.column("copies")], ["kind", "p", "copies"])
 
 
 def calibrate_sums(scored: DataFrame, beside: list[tuple[np.ndarray, np.ndarray]], l2: float = 0.01, steps: int = 30) -> list[np.ndarray]:
@@ -496,7 +507,7 @@ def learn(found: DataFrame) -> Scorer | None:
     for net in done:
         net.thresholds |= common
     taken = F.create_map(*(F.lit(x) for kind in (*KINDS[:3], ALONE) for x in (kind, float(done[0].thresholds.get(FORMAT if kind == ALONE else kind, done[0].thresholds[FORMAT])))))
-    last = with_probability(form_logits(weighed.filter("role = 4 and y = 1"), nets), [net.calibration for net in done])
+    last = form_probabilities(weighed.filter("role = 4 and y = 1"), nets, [net.calibration for net in done])
     last = last.groupBy("kind").agg(F.sum("copies").alias("n"), F.sum(F.when(F.col("p") >= taken[F.col("kind")], F.col("copies")).otherwise(0)).alias("hits")).collect()
     report = {r.kind: (r.n, r.hits / r.n) for r in last}
     beside = [net.takes("cnn", x) for side, net in enumerate(done) for forms in [[f for f in made_forms(extra, side, (4,)) if f[1]]] if forms for x in net.probabilities(encode([f[0] for f in forms]))]
