@@ -5,9 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from burncal.operators import track
+from burncal.plans import streams
 from burncal.streaming import detections, tracks
+from tests import oracle
+from tests.conftest import SF
 from tests.test_tracks import COLUMNS, DAY, some
 
 
@@ -77,3 +81,19 @@ def test_late_and_repeated_rows(spark, tmp_path):
     write(spark, str(tmp_path / "in"), [row(at(20), 9.0), row(at(12), 7.0)], DETECTION)  # goes on from the checkpoint: the twelfth closes once
     found = detections.appended(detections.daily_summary(stream(spark, str(tmp_path / "in"), DETECTION), late="2 days"), str(tmp_path)).collect()
     assert sorted((r.day.day, r.n) for r in found) == [(1, 3), (2, 1), (4, 1), (9, 1), (12, 1)]
+
+
+def test_last_days_of_months(spark, tmp_path):
+    """Streams read the 31st too, and months one after another."""
+    events = spark.read.parquet(f"{SF}/events.parquet").filter("day(ts) <= 8")
+    moved = events.withColumn("ts", F.expr("ts + make_dt_interval(25)"))  # from the 26th to the second of February
+    moved.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    only = tmp_path / "sf"
+    only.mkdir()
+    (only / "events.parquet").symlink_to(next((tmp_path / "events.parquet").glob("part-*")))
+    for t in oracle.TABLES:
+        if t != "events":
+            (only / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    assert moved.filter("day(ts) = 31").count() > 0
+    assert oracle.compare(spark, streams.stream_tracks, streams.ORACLES["stream_tracks"], str(only)) > 0
+    assert oracle.compare(spark, streams.stream_late_summary, streams.ORACLES["stream_late_summary"], str(only)) >= 0
