@@ -19,9 +19,9 @@ from burncal.session import cut
 
 CLASSIFIER_FEATURES = ("log_frp", "conf", "night_n", "hour", "is_viirs", "dens_0", "dens_1", "dens_2", "frp_ratio")
 BALANCED = "weight"
-MAX_LABELLED = 20_000
 ALL = 1 << 62
-FOREST_PARTS = 8  # of the rows that a forest learns from; each sends the counts of all open nodes at every level
+FOREST_PARTS = 8  # at least, of the rows that a forest learns from; each sends the counts of all open nodes at every level
+PART_ROWS = 1_000_000  # of such a part
 
 
 def event_scores(calendar: DataFrame, least: int = 15, model: dict = EVENT_MODEL) -> DataFrame:
@@ -55,18 +55,20 @@ def train_logistic(df: DataFrame, features: list[str], label: str = "y", seed: i
     return Pipeline(stages=stages).fit(balanced(df, label))
 
 
-def learnt_rows(df: DataFrame, most: int = MAX_LABELLED, seed: int = 42) -> DataFrame:
-    """About `most` rows, those with the smallest hashes of their ids; all rows if there are no more."""
+def learnt_rows(df: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """About `most` rows, those with the smallest hashes of their ids; all rows if there are no more. For those who ask for a small forest; no query does."""
     share = most / max(most, df.count())
     return df.filter(F.xxhash64("pt_seq", F.lit(seed)) / F.lit(float(1 << 64)) + 0.5 < share) if share < 1 else df
 
 
-def train_classifier(df: DataFrame, label: str = "behavior", trees: int = 40, depth: int = 12, seed: int = 42, most: int = MAX_LABELLED):
-    """A forest over the features of a detection, from about `most` labelled rows, those with the smallest hashes of their ids. Bags are drawn by part and
+def train_classifier(df: DataFrame, label: str = "behavior", trees: int = 40, depth: int = 12, seed: int = 42, most: int = ALL):
+    """A forest over the features of a detection, from all labelled rows (or about `most`, those with the smallest hashes of their ids). Bags are drawn by part and
     place in it, so rows are dealt by their ids: the forest depends on the rows alone, and what its levels shuffle not on the number of tasks before."""
-    df = learnt_rows(df, most, seed).repartition(FOREST_PARTS, "pt_seq").sortWithinPartitions("pt_seq")
+    rows = learnt_rows(df, most, seed) if most < ALL else df
+    rows = rows.select("pt_seq", label, *CLASSIFIER_FEATURES)
+    rows = rows.repartition(max(FOREST_PARTS, rows.count() // PART_ROWS), "pt_seq").sortWithinPartitions("pt_seq")
     stages = [StringIndexer(inputCol=label, outputCol="y"), VectorAssembler(inputCols=list(CLASSIFIER_FEATURES), outputCol="features"), RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)]
-    return Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=stages).fit(rows)
 
 
 def regimes(df: DataFrame, features: list[str], k: int = 6, seed: int = 42) -> DataFrame:

@@ -145,3 +145,24 @@ def test_medians(spark):
     for r in found:
         day = sorted(f for d, f in power.values() if d == r.day)
         assert abs(r.frp_ratio - power[r.pt_seq][1] / (day[len(day) // 2] or 1.0)) < 1e-12
+
+
+def test_forests_learn_from_all_rows(spark):
+    """More rows than forests once took: leaves weigh as much as there are rows, as every tree draws as many as it is given."""
+    n = 30_000
+    rows = spark.range(n).selectExpr("id as pt_seq", "if(id % 3 = 0, 'a', 'b') as behavior", *(f"cast(id % {7 + k} as double) as {c}" for k, c in enumerate(models.CLASSIFIER_FEATURES)))
+    nodes = forest.nodes_of(spark, models.train_classifier(rows, trees=2, depth=2).stages[2])
+    roots = nodes.filter("node = 0").collect()
+    assert len(roots) == 2 and all(0.97 * n < sum(r.weights) < 1.03 * n for r in roots)
+
+
+def test_forest_votes_choose_no_rows(spark, monkeypatch):
+    """The query hands every detection of all days but the last to the forest."""
+    from burncal.plans import clusters
+
+    rows, given, train = fixtures.detections(spark, SF), [], models.train_classifier
+    monkeypatch.setattr(models, "train_classifier", lambda df, **known: given.append(df.count()) or train(df, trees=2, depth=2, **known))
+    monkeypatch.setattr(models.learnt_rows, "__defaults__", (50, 42)[-len(models.learnt_rows.__defaults__) :])
+    assert clusters.forest_scores(spark, SF).count() == rows.count()
+    last = rows.groupBy("day").count().orderBy("day", ascending=False).first()
+    assert given == [rows.count() - last["count"]]
