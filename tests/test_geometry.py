@@ -195,3 +195,49 @@ def test_tile_work_of_labels(spark, monkeypatch):
     points = detections(spark, SF).withColumn("day", cluster.F.lit(DAY))
     found = {most: sorted((r.pt_seq, r.component, r.label) for r in cluster.labelled(points, 0.62, 3, most=most).collect()) for most in (10, 10**6)}
     assert found[10] == found[10**6]
+
+
+def dense(n, d, seed, gap):
+    """Boxes full of points, about `gap` apart, a thin mist around them, and strays at about that distance."""
+    rng = np.random.default_rng(seed)
+    full = [rng.uniform(0, 1, (n, d)) + np.eye(d)[0] * k * (1 + gap * rng.uniform(0.97, 1.03)) for k in range(3)]
+    mist = rng.uniform(-1, 4.5, (n // 20, d))
+    rim = np.concatenate([f[rng.integers(0, n, 20)] + rng.choice([-1, 1], (20, d)) * gap * rng.uniform(0.5, 1.2, (20, d)) for f in full])
+    return rng.permutation(np.concatenate([*full, mist, rim]))
+
+
+@pytest.mark.parametrize("d, n, eps, min_pts, most", [(2, 4000, 0.15, 6, 2500), (2, 4000, 0.15, 20, 2500), (3, 5000, 0.3, 6, 4000), (3, 1500, 0.3, 25, 4000)])
+def test_dense_tiles(spark, monkeypatch, d, n, eps, min_pts, most):
+    """Places of crowded cells don't all go to tiles, so no tile is too full, and labels are those of whole scenes."""
+    monkeypatch.setattr(cluster, "dbscan", None)
+    dims = ("x", "y", "z")[:d]
+    rows = [(k * 100_000 + i, k, *map(float, p)) for k in (1, 2, 3) for i, p in enumerate(dense(n, d, k, eps))]
+    frame = spark.createDataFrame(rows, "pt_seq long, s int, " + ", ".join(f"{c} double" for c in dims)).repartition(5)
+    whole = sorted((r.pt_seq, r.component, r.label) for r in cluster.dbscan_scenes(frame, eps, min_pts, ("s",), dims).collect() if r.label)
+    found = sorted((r.pt_seq, r.component, r.label) for r in cluster.dbscan_tiles(frame, eps, min_pts, ("s",), dims, most, (8,)).collect() if r.label)
+    assert len({r[1] for r in whole}) >= 3
+    assert found == whole
+
+
+def test_boxes_that_leave_labels_open():
+    """Labels of boxes, each by one place but where all places are asked for, are those of the places."""
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        d, min_pts, eps = 1 + seed % 3, int(rng.integers(2, 12)), 0.25
+        x = dense(int(rng.integers(30, 200)), d, seed, eps)
+        half = np.floor(x / scenes.side_of(eps, d) * 2)
+        _, of = np.unique(half, axis=0, return_inverse=True)
+        of = of.ravel()
+        first, n = np.full(of.max() + 1, len(x)), np.bincount(of)
+        np.minimum.at(first, of, np.arange(len(x)))
+        low = np.where((n == 1)[:, None], x[first], half[first] * scenes.side_of(eps, d) / 2)
+        high = np.where((n == 1)[:, None], x[first], (half[first] + 1) * scenes.side_of(eps, d) / 2)
+        asked = scenes.unsure_boxes(x[first], low, high, n, eps, min_pts)
+        kept = np.flatnonzero(asked[of] | (first[of] == np.arange(len(x))))
+        everywhere = np.full(d, -(10**6)), np.full(d, 10**6)
+        place, root, _, _ = scenes.label_tile(x[kept], np.where(asked[of[kept]], 1, n[of[kept]]), eps, min_pts, *everywhere)
+        least = np.full(len(x), len(x))
+        np.minimum.at(least, kept[place], kept[root])
+        least = np.where(asked[of], least, least[first[of]])
+        component = scenes.label_scene(x, eps, min_pts)[0]
+        assert np.array_equal(np.where(component < 0, len(x), component), least)
