@@ -241,3 +241,27 @@ def test_boxes_that_leave_labels_open():
         least = np.where(asked[of], least, least[first[of]])
         component = scenes.label_scene(x, eps, min_pts)[0]
         assert np.array_equal(np.where(component < 0, len(x), component), least)
+
+
+def test_counts_of_crowded_tiles(spark, monkeypatch):
+    """A crowded place is counted tile by tile, not over pairs of cells on Spark, and points without a place have counts of 0."""
+    monkeypatch.setattr(cluster, "radius_counts", None)
+    n, radii = 150_000, (0.01, 0.3)
+    frame = spark.range(n).selectExpr("id as pt_seq", "date'2024-01-01' as day", "(id * 7919 % 149993) / 149993D as lon", "(id * 104729 % 149971) / 149971D as lat")
+    odd = spark.createDataFrame([(n, DAY, None, 1.0), (n + 1, None, 0.5, 0.5), (n + 2, DAY, float("nan"), 0.5)], "pt_seq long, day date, lon double, lat double")
+    found = {r.pt_seq: (r.dens_0, r.dens_1) for r in cluster.density_features(frame.unionByName(odd), radii).collect()}
+    ids = np.arange(n)
+    x = np.stack([ids * 7919 % 149993 / 149993, ids * 104729 % 149971 / 149971], 1)
+    assert len(found) == n + 3 and all(found[n + k] == (0, 0) for k in range(3))
+    for i in range(0, n, 3001):
+        assert found[i] == tuple(int((scenes.squared(x - x[i]) <= r * r).sum()) for r in radii)
+
+
+def test_counts_in_turns(monkeypatch):
+    """Pairs of nodes are judged a bounded number at a time."""
+    x = scattered(300, 2, 3, False)
+    expected = np.stack([(scenes.squared(x[:, None] - x[None]) <= r * r).sum(1) for r in (0.05, 0.5)], 1)
+    monkeypatch.setattr(scenes, "PAIRS", 40)
+    most, gap = [], scenes.box_gap
+    monkeypatch.setattr(scenes, "box_gap", lambda *boxes: most.append(len(boxes[0])) or gap(*boxes))
+    assert np.array_equal(scenes.count_scene(x, (0.05, 0.5)), expected) and max(most) <= 40
