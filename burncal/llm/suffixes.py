@@ -11,7 +11,8 @@ suffix is thus its bucket at depth LENGTH. Refining all suffixes of a corpus wou
    other contexts that agree with it on one side is ambiguous.
 3. Refinement. The contexts of ambiguous anchors meet bucket by bucket. Their suffixes are sorted into buckets of 8 bytes, and
    these are refined by sorting on pairs (own bucket, bucket at a later offset): 8 -> 16 -> 32 -> LENGTH, each pass reusing the
-   identifiers that the one before has made, and only for suffixes that still share a bucket. These buckets are exact.
+   identifiers that the one before has made, and only for suffixes that still share a bucket. These buckets are exact. Suffixes whose LENGTH bytes no other document
+   has by a checksum, and from which no others are refined, are not sorted at all.
 4. Every document marks what its repeated windows cover.
 
 What hashes decide. Where all bytes around an anchor (its context) stand in a smaller document, which holds for most repeats, the context's
@@ -180,10 +181,14 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _pack(docs: np.ndarray, records: np.ndarray) -> bytes:
-    """Records sorted by document: number of documents, their ids and counts, then the records."""
-    ids, counts = np.unique(docs, return_counts=True)
-    return np.int64(len(ids)).tobytes() + ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + records.tobytes()
+def _packs(bucket: np.ndarray, docs: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The records of each bucket, sorted by document: number of documents, their ids and counts, then the records. A bucket costs some slices, as buckets are many."""
+    heads = np.flatnonzero(_differs(bucket, docs)) if len(docs) else np.zeros(0, np.int64)
+    ids, counts = docs[heads].astype("<i8"), np.diff(np.append(heads, len(docs))).astype("<u4")
+    firsts = np.flatnonzero(_differs(bucket[heads])) if len(heads) else heads
+    ends = np.append(firsts[1:], len(heads))
+    for b, i, j, s, e in zip(bucket[heads[firsts]].tolist(), firsts.tolist(), ends.tolist(), heads[firsts].tolist(), np.append(heads, len(docs))[ends].tolist()):
+        yield b, np.int64(j - i).tobytes() + ids[i:j].tobytes() + counts[i:j].tobytes() + records[s:e].tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -235,11 +240,7 @@ def _to_buckets(raw: list[bytes], ids: np.ndarray, buckets: int) -> Iterator[tup
     records["left"], records["right"], records["hot"] = left[heads][keep], right[heads][keep], hot[keep]
     bucket = (k[keep] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((docs[keep], bucket))
-    stops = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if stops[b] < stops[b + 1]:
-            own = order[stops[b] : stops[b + 1]]
-            yield b, _pack(docs[keep][own], records[own]), b""
+    yield from ((b, blob, b"") for b, blob in _packs(bucket[order], docs[keep][order], records[order]))
     known = np.concatenate([np.stack([doc[resolved], (code(_short(key[resolved]), context[resolved]) << 2) | WHOLE], 1), np.stack([docs[hot], (code(_short(k[hot]), own_context[hot]) << 2) | SPREAD], 1)])
     if len(known):
         yield int(known[0, 0] % buckets), b"", known.astype("<i8").tobytes()
@@ -319,15 +320,30 @@ def _marked(a: Anchors, ids: list[int | None], marks: np.ndarray) -> tuple[np.nd
     return whole, (unsure | hot) & ~whole, hot & ~whole
 
 
-def refine(data: np.ndarray, room: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def _steps(depth: int) -> list[tuple[int, int]]:
+    """Of each pass of a refinement the depth before and the offset of the second bucket of a pair."""
+    steps, reach = [], min(8, depth)
+    while reach < depth:
+        steps.append((reach, min(reach, depth - reach)))
+        reach += steps[-1][1]
+    return steps
+
+
+def refine(data: np.ndarray, room: np.ndarray, depth: int = LENGTH, asked: np.ndarray | None = None) -> np.ndarray:
     """Bucket identifiers of suffixes at a depth: equal if and only if the next `depth` bytes are; -1 for a suffix without
-    that many bytes, or whose bucket no other suffix shares. room: the bytes that each suffix has."""
+    that many bytes, or whose bucket no other suffix shares. room: the bytes that each suffix has. With `asked`, the suffixes whose buckets are wanted, only these and
+    those that the pairs of their passes reach are sorted, and only equal ones that are asked for meet."""
     n, reach = len(data), min(8, depth)
-    padded = np.append(data, np.zeros(8, np.uint8))
-    value = np.zeros(n, np.uint64)
-    for k in range(reach):  # the initial buckets
-        value = (value << np.uint64(8)) | padded[k : k + n]
-    bucket, live = np.full(n, -1, np.int64), np.flatnonzero(room >= reach)
+    value = _words(data, reach)
+    live = room >= reach
+    if asked is not None:
+        reached = np.zeros(n, bool)
+        reached[asked] = True
+        for _, offset in reversed(_steps(depth)):
+            reached[np.flatnonzero(reached) + offset] = True
+        live = live & reached
+    bucket, live, alone = np.full(n, -1, np.int64), np.flatnonzero(live), np.zeros(n, bool)
+    steps = dict(_steps(depth))
     while len(live):
         values = value[live]
         order = np.argsort(values, kind="stable")
@@ -336,18 +352,43 @@ def refine(data: np.ndarray, room: np.ndarray, depth: int = LENGTH) -> np.ndarra
         counts = np.bincount(number)[number]
         # a bucket is named after its first suffix, so a suffix that is alone keeps a name that no other bucket gets
         bucket[live[order]] = np.minimum.reduceat(live[order], np.flatnonzero(starts))[number]
+        alone[live[order][counts == 1]] = True
         shared = np.sort(live[order][counts > 1])
         if reach == depth:
             out = np.full(n, -1, np.int64)
             out[shared] = bucket[shared]
             return out
-        offset = min(reach, depth - reach)  # pairs of buckets, the second at this later offset
+        offset = steps[reach]  # pairs of buckets, the second at this later offset
+        exact = alone.copy()  # suffixes whose bucket is that of this depth
+        exact[live] = True
         live = shared[room[shared] >= reach + offset]
+        live = live[exact[live + offset]]
         value[live] = bucket[live].astype(np.uint64) * np.uint64(n) + bucket[live + offset].astype(np.uint64)
         reach += offset
     return np.full(n, -1, np.int64)
 
 
+def _words(data: np.ndarray, size: int = 8) -> np.ndarray:
+    """The next bytes of each suffix, up to eight, as a number."""
+    padded, value = np.append(data, np.zeros(8, np.uint8)), np.zeros(len(data), np.uint64)
+    for k in range(size):  # the initial buckets
+        value = (value << np.uint64(8)) | padded[k : k + len(data)]
+    return value
+
+
+def _met(data: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Those of the windows at `starts` that may also be in another document: equal windows have equal sums of their words, and sums of one document alone go."""
+    words, sums = _words(data), np.zeros(len(starts), np.uint64)
+    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        sums = _mix(sums * np.uint64(_BASE) + words[starts + k])
+    order = np.argsort(sums, kind="stable")
+    if not len(order):
+        return starts
+    heads = np.flatnonzero(_differs(sums[order]))
+    several = np.minimum.reduceat(doc[order], heads) != np.maximum.reduceat(doc[order], heads)
+    return np.sort(starts[order[np.repeat(several, np.diff(np.append(heads, len(order))))]])
+
+
 _PLACE = np.dtype([("doc", "<i8"), ("first", "<i8"), ("windows", "<i4")])
 
 
@@ -359,7 +400,9 @@ def _resolve(table: pa.Table, parts: int) -> pa.Table:
     starts = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(places)), sizes)
     offset = np.arange(len(data)) - starts[of]
-    bucket = refine(data, sizes[of] - offset)
+    room = sizes[of] - offset
+    windows = np.flatnonzero(room >= LENGTH)
+    bucket = refine(data, room, asked=_met(data, windows, places["doc"][of[windows]]))
     shared = np.flatnonzero(bucket >= 0)
     doc = places["doc"][of[shared]]
     smallest = np.full(int(bucket.max(initial=-1)) + 1, np.iinfo(np.int64).max)
@@ -410,11 +453,14 @@ def _contexts(texts: pa.Table, marks: pa.Table, buckets: int) -> pa.Table:
     doc_of, out = np.array(ids, np.int64), []
     keep = np.flatnonzero(unsure & ~hot)
     of = (a.key[keep] % np.uint64(buckets)).astype(np.int64)
-    for b in np.unique(of).tolist():
-        own = keep[of == b]
-        places = np.zeros(len(own), _PLACE)
-        places["doc"], places["first"], places["windows"] = doc_of[a.doc[own]], a.first[own], a.last[own] - a.first[own] + 1
-        out.append((b, places.tobytes(), b"".join([raw[d][f : e + LENGTH] for d, f, e in zip(a.doc[own].tolist(), a.first[own].tolist(), a.last[own].tolist())]), b""))
+    order = np.argsort(of, kind="stable")
+    of, keep = of[order], keep[order]
+    places = np.zeros(len(keep), _PLACE)
+    places["doc"], places["first"], places["windows"] = doc_of[a.doc[keep]], a.first[keep], a.last[keep] - a.first[keep] + 1
+    contexts = [raw[d][f : e + LENGTH] for d, f, e in zip(a.doc[keep].tolist(), a.first[keep].tolist(), a.last[keep].tolist())]
+    begin = np.flatnonzero(_differs(of)).tolist() if len(of) else []
+    for s, e in zip(begin, [*begin[1:], len(of)]):
+        out.append((int(of[s]), places[s:e].tobytes(), b"".join(contexts[s:e]), b""))
     out += _spread(raw, doc_of, a, np.flatnonzero(hot), buckets)
     columns = list(zip(*out)) or [[]] * 4
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "places", "contexts", "runs"])

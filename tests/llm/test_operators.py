@@ -957,3 +957,38 @@ def test_matches_sql(spark, name):
 
 def test_base_of_fixture():
     assert len(BASE) > 300 and len(LONG) > 40_000
+
+
+def test_refinement_sorts_what_may_repeat(monkeypatch):
+    """Windows that no other document has, and suffixes that none depends on, are not sorted; windows of hot Q-grams cost eight suffixes at most."""
+    rng = np.random.default_rng(5)
+    once = [rng.integers(97, 123, 80).astype(np.uint8).tobytes() for _ in range(400)]
+    window = rng.integers(97, 123, 50).astype(np.uint8).tobytes()
+    contexts = [*once, window, window]
+    places = np.zeros(len(contexts), suffixes._PLACE)
+    places["doc"], places["windows"] = np.arange(len(contexts)), [len(c) - 49 for c in contexts]
+    table = pa.table({"places": [places.tobytes()], "contexts": [b"".join(contexts)], "runs": pa.array([None], pa.binary())})
+    sizes, sort = [], np.argsort
+    refine = suffixes.refine
+    monkeypatch.setattr(suffixes, "refine", lambda *a, **k: monkeypatch.setattr(np, "argsort", lambda x, **o: sizes.append(len(x)) or sort(x, **o)) or refine(*a, **k))
+    found = suffixes._resolve(table, 3)
+    monkeypatch.undo()
+    rows = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 3) for b in found.column("runs").to_pylist()])
+    assert rows.tolist() == [[401, 0, 0]] and max(sizes) <= 16
+
+
+def test_packs_of_many_buckets():
+    """Records come back with their documents, whatever the number of buckets; a bucket costs slices and no sort of its own."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["fire", "smoke", "ash", "wind", "line", "crew"], 60)).encode() for _ in range(40)]
+    ids = rng.permutation(40).astype(np.int64)
+    for buckets in (1, 7, 5000):
+        whole = {}
+        for bucket, blob, _ in suffixes._to_buckets(texts, ids, buckets):
+            if blob:
+                docs, records = suffixes._unpack(blob)
+                assert (np.diff(docs) >= 0).all() and bucket not in whole
+                whole[bucket] = sorted(zip(docs.tolist(), records.tolist()))
+        rows = sorted(r for found in whole.values() for r in found)
+        first = rows if buckets == 1 else first
+        assert rows == first and len(whole) > 1 or buckets == 1
